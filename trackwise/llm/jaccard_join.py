@@ -1,25 +1,28 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Shingles are ordered globally by their 64-bit fingerprint; cutting that order
-into ranges cuts every document's set into fragments.
+Shingles are ordered globally: rare ones first, by 64-bit fingerprint, then the
+corpus's common ones by ascending frequency. (Any order gives the same result;
+this one keeps groups small. Counts cover all documents; the table of common
+shingles is bounded by ``COMMON``, and what it leaves out is merely ordered as
+rare.) Cutting an order into fragments cuts every document's set.
 
 1. Documents with equal sets become one node.
-2. Candidates. The symmetric difference of two linked sets has at most
-   (1-t)/(1+t) * (|a|+|b|) shingles, so of one fragment more than that at least
-   one is equal in both. Sets are put into size classes a factor t apart; a node
-   emits a fingerprint of each fragment for its own class and the next larger
-   one, which covers every possible partner. Equal fragments make a candidate
-   group, tied together by edges to its smallest node.
-3. Partial overlaps of each tied pair are counted for each fragment of the
-   global order separately and summed per pair, then tested in integers.
-4. A candidate cluster whose nodes are not yet one component is completed: its
-   nodes are dealt into blocks of bounded size, each pair of blocks is a task
-   that adds up overlaps over slices of the shingle order, and a task returns
-   only links that join different components.
+2. Candidates. Two linked sets share a shingle of the first fragment of both:
+   the first ``n - ceil(t*n) + 1`` shingles. Nodes with such a shingle in common
+   are a group, and are tied to its smallest node.
+3. Each tied pair is tested by sizes and by a parity sketch of both sets, whose
+   differing bits never exceed the sets' symmetric difference; for pairs that
+   may link, partial overlaps are counted for each fragment of the fingerprint
+   range separately, summed per pair and tested in integers.
+4. Groups whose nodes are not in one component yet are completed: pairs across
+   components are tested by size and sketch, in pairs of blocks of bounded size,
+   and the rest by step 3. Groups with equal members are completed once. A first
+   round sends only the most alike pairs, a forest over a block's components,
+   which joins what belongs together; the second sends all pairs that are left.
 5. Components are contracted in a distributed way.
 
-No link is lost: both ends of a link share a fragment, so they are in one
-cluster, and step 4 ends only when each pair across components was tested.
+No link is lost: both ends of a link are in one group, and step 4 tests each pair
+of a group that isn't already connected.
 
 Defined cases: null, empty or blank text has an empty set and links with
 nothing; with fewer words than ``k`` the whole sequence is the one shingle;
@@ -42,8 +45,10 @@ from .textkernel import WordHashes, blank_words, mix, shingle_hashes, signed
 
 #: fragments in which the overlaps of a pair are counted separately
 FRAGMENTS = 4
-#: shingles in a block of a large cluster
-BLOCK = 150_000
+#: nodes in a block of a large group
+BLOCK = 512
+#: shingles counted at once in a task, and most entries of the table of common shingles
+COUNTED, COMMON = 1 << 22, 1 << 20
 
 
 def _set_of(text: str | None, k: int, cache: WordHashes) -> np.ndarray:
@@ -51,96 +56,256 @@ def _set_of(text: str | None, k: int, cache: WordHashes) -> np.ndarray:
 
 
 def _node(s: np.ndarray) -> int | None:
-    """Identity of a set: order-free, 63 mixed bits and its size."""
+    """Identity of a set: an order-free sum of mixed fingerprints and its size."""
     if len(s) == 0:
         return None
     with np.errstate(over="ignore"):
         return int(signed(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)))[0])
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """64-bit words of at least four bits for each shingle; a bit is the parity of the shingles that fall on it."""
+    bits = 64
+    while bits < 4 * len(s):
+        bits *= 2
+    odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer words: positions modulo the smaller size."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0) if len(sketch) > words else sketch
+
+
 def _identify(k: int):
+    """A row for each document; the sketch with a node's first row in the task; and rows of shingles seen twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, seen, held, size = WordHashes(), set(), [], 0
+        names = ["doc_id", "n_shingles", "node", "sketch", "gram", "times"]
+
+        def counted() -> pa.RecordBatch:
+            grams, times = np.unique(np.concatenate(held), return_counts=True)
+            grams, times = grams[times > 1], times[times > 1]
+            none = [pa.nulls(len(grams), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(signed(grams)), pa.array(times.astype(np.int64))], names)
+
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for text in batch["text"].to_pylist():
                 s = _set_of(text, k, cache)
+                node, sketch = _node(s), None
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    sketch = parity_sketch(s).tobytes()
+                    held.append(s)
+                    size += len(s)
                 sizes.append(len(s))
-                nodes.append(_node(s))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+                nodes.append(node)
+                sketches.append(sketch)
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+        if held:
+            yield counted()
 
     return run
 
 
-def size_classes(num: int, den: int, most: int = 1 << 40) -> list[int]:
-    """Upper sizes of the classes, each at least 1/t of the one before: partners are at most one class apart."""
-    tops = [1]
-    while tops[-1] < most:
-        tops.append(max(tops[-1] + 1, -(-tops[-1] * den // num)))
-    return tops
-
-
-def fragment_count(top: int, num: int, den: int) -> int:
-    """One more than the largest symmetric difference of two linked sets of at most ``top`` shingles."""
-    return (den - num) * 2 * top // (den + num) + 1
-
+def prefix_length(n: int, num: int, den: int) -> int:
+    return n + (-num * n) // den + 1
 
-def _signatures(k: int, num: int, den: int):
-    tops = np.array(size_classes(num, den), np.int64)
 
+def _prefixes(k: int, num: int, den: int, shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, place = shipped.value
         cache, seen = WordHashes(), set()
         for batch in batches:
-            sigs, nodes = [], []
+            grams, nodes = [], []
             for text in batch["text"].to_pylist():
                 s = _set_of(text, k, cache)
                 node = _node(s)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                mine = int(np.searchsorted(tops, len(s)))
-                with np.errstate(over="ignore"):
-                    sums = np.zeros(len(s) + 1, np.uint64)
-                    np.cumsum(mix(s), out=sums[1:])
-                    for c in (mine, mine + 1):
-                        parts = fragment_count(int(tops[c]), num, den)
-                        cut = np.searchsorted(s, (np.arange(parts, dtype=np.uint64) * np.uint64(min((1 << 64) // parts, (1 << 64) - 1))))
-                        edge = np.append(cut, len(s))
-                        inside = sums[edge[1:]] - sums[edge[:-1]] + np.diff(edge).astype(np.uint64)
-                        where = np.arange(parts, dtype=np.uint64) + np.uint64((c << 40) & ((1 << 64) - 1))
-                        sigs.append(signed(mix(mix(where) + inside)))
-                        nodes.append(np.full(parts, node, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+                first = prefix_length(len(s), num, den)
+                if len(common):
+                    where = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    frequent = common[where] == s
+                    rare = s[~frequent]
+                    if len(rare) < first:
+                        own = where[frequent]
+                        rare = np.concatenate([rare, s[frequent][np.argsort(place[own])]])
+                    s = rare
+                grams.append(signed(s[:first]))
+                nodes.append(np.full(min(first, len(s)), node, np.int64))
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], ["gram", "node"])
 
     return run
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, node) in, edges between each group's smallest node and its others out."""
-    last_sig, last_hub = None, 0
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (gram, node) in; distinct rows of grams with several nodes out, with their smallest node."""
+    carry: tuple[int, int] | None = None  # gram and smallest node of the group at the end of the last batch
+    sent, last = False, None
     for batch in batches:
-        sig, node = batch["sig"].to_numpy(), batch["node"].to_numpy()
-        if not len(sig):
+        gram, node = batch["gram"].to_numpy(), batch["node"].to_numpy()
+        if not len(gram):
             continue
-        start = np.append(True, sig[1:] != sig[:-1])
-        start[0] = last_sig is None or sig[0] != last_sig
-        at = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
-        hub = np.where(at >= 0, node[np.maximum(at, 0)], last_hub)
-        last_sig, last_hub = sig[-1], hub[-1]
-        tie = hub != node
-        if tie.any():
-            pairs = np.unique(np.stack([hub[tie], node[tie]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        before_gram = np.append(gram[0] if carry is None else carry[0], gram[:-1])
+        before_node = np.append(node[0] if last is None else last, node[:-1])
+        new = gram != before_gram
+        if carry is None:
+            new[0] = True
+        again = ~new & (node == before_node)
+        at = np.maximum.accumulate(np.where(new, np.arange(len(gram)), -1))
+        hub = np.where(at >= 0, node[np.maximum(at, 0)], carry[1] if carry else 0)
+        other = ~again & (hub != node)
+        # a group's hub is sent with its first other node
+        first = other.copy()
+        key = np.where(at >= 0, at, -1)[other]
+        first[other] = np.append(True, key[1:] != key[:-1]) if len(key) else []
+        if len(key) and key[0] == -1 and sent:
+            first[np.flatnonzero(other)[0]] = False
+        if at[-1] >= 0:
+            sent = bool(other[at[-1] :].any())
+        else:
+            sent = sent or bool(other.any())
+        carry, last = (int(gram[-1]), int(hub[-1])), int(node[-1])
+        if other.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y])) for x, y in ((gram[first], gram[other]), (hub[first], hub[other]), (hub[first], node[other]))], ["gram", "hub", "node"])
+
+
+def _possible(num: int, den: int):
+    """Pairs that sizes and sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch["size_a"].to_numpy(), batch["size_b"].to_numpy()
+            most = (den - num) * (na + nb) // (den + num)
+            keep = np.abs(na - nb) <= most
+            sa, sb = batch["sketch_a"], batch["sketch_b"]
+            for i in np.flatnonzero(keep).tolist():
+                a, b = (np.frombuffer(x[i].as_py(), np.uint64) for x in (sa, sb))
+                words = min(len(a), len(b))
+                keep[i] = int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()) <= most[i]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _forest(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """The pairs, from the least differing on, that join components not yet joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    keep = []
+    for i in np.lexsort((np.maximum(a, b), np.minimum(a, b), differ)).tolist():
+        x, y = find(int(comp_a[i])), find(int(comp_b[i]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _across(num: int, den: int, forest: bool):
+    """Pairs across components that may link, of groups (gram, x, y) that come one after another.
+
+    side 0 stands left, 1 right, 2 on both sides; forest: only those that join components.
+    """
+
+    def pairs(node, comp, size, side, sketch) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        raw = [np.frombuffer(x, np.uint64) for x in sketch]
+        out_a, out_b, out_d = [], [], []
+        for words in sorted({len(x) for x in raw}):
+            # each pair once, at the smaller width of the two
+            li = np.array([i for i in left if len(raw[i]) >= words], np.int64)
+            ri = np.array([i for i in right if len(raw[i]) >= words], np.int64)
+            if not len(li) or not len(ri):
+                continue
+            fl, fr = np.stack([folded(raw[i], words) for i in li]), np.stack([folded(raw[i], words) for i in ri])
+            thin_l, thin_r = np.array([len(raw[i]) == words for i in li]), np.array([len(raw[i]) == words for i in ri])
+            for i, row in zip(li.tolist(), range(len(li)), strict=True):
+                ok = (comp[ri] != comp[i]) & (thin_r | thin_l[row])
+                most = (den - num) * (size[ri] + size[i]) // (den + num)
+                ok &= np.abs(size[ri] - size[i]) <= most
+                at = np.flatnonzero(ok)
+                if len(at):
+                    differ = np.bitwise_count(fr[at] ^ fl[row]).sum(axis=1)
+                    at, differ = at[differ <= most[at]], differ[differ <= most[at]]
+                    out_a.append(np.full(len(at), i))
+                    out_b.append(ri[at])
+                    out_d.append(differ)
+        if not out_a:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        if forest:
+            keep = _forest(node[a], node[b], comp[a], comp[b], np.concatenate(out_d))
+            a, b = a[keep], b[keep]
+        a, b = node[a], node[b]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return both[:, 0], both[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = ("gram", "x", "y", "node", "comp", "size", "side")
+        rest = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        def chunks():
+            for batch in batches:
+                yield [batch[c].to_numpy() for c in cols] + [np.array([*batch["sketch"].to_pylist(), None], object)[:-1]]
+            yield None
+
+        for chunk in chunks():
+            if chunk is None:
+                done, rest = rest, None
+            else:
+                if rest is not None:
+                    chunk = [np.concatenate([r, c]) for r, c in zip(rest, chunk, strict=True)]
+                if not len(chunk[0]):
+                    continue
+                tail = np.flatnonzero(np.any([c[:-1] != c[1:] for c in chunk[:3]], axis=0))
+                cut = int(tail[-1]) + 1 if len(tail) else 0
+                done, rest = [c[:cut] for c in chunk], [c[cut:] for c in chunk]
+            if done is None or not len(done[0]):
+                continue
+            edge = np.concatenate([[0], np.flatnonzero(np.any([c[:-1] != c[1:] for c in done[:3]], axis=0)) + 1, [len(done[0])]])
+            for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                found = pairs(*(c[low:high] for c in done[3:]))
+                if len(found[0]):
+                    held.append(found)
+                if sum(len(h[0]) for h in held) > 50_000:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
 
 
 def _fragments(k: int):
+    """The sets of nodes by fragment of the fingerprint range, from rows whose text has that set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             nodes, frags, sets = [], [], []
             for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 s = _set_of(text, k, cache)
+                if _node(s) != node:  # another row of this doc_id
+                    continue
                 edge = np.append(np.searchsorted(s, np.arange(FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)), len(s))
                 for f in range(FRAGMENTS):
                     nodes.append(node)
@@ -151,136 +316,86 @@ def _fragments(k: int):
     return run
 
 
-def _overlap(a: list[np.ndarray], b: list[np.ndarray], slice_width: int = 4096) -> np.ndarray:
-    """Overlap of each set of a with each of b, added up over slices of the shingle order."""
-    ca, cb = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(ca, cb)
-    row_a = np.repeat(np.arange(len(a)), [len(x) for x in a])
-    row_b = np.repeat(np.arange(len(b)), [len(x) for x in b])
-
-    def inside(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(both, values)
-        hit = (at < len(both)) & (both[np.minimum(at, max(len(both) - 1, 0))] == values) if len(both) else np.zeros(len(values), bool)
-        order = np.argsort(at[hit], kind="stable")
-        return at[hit][order], rows[hit][order]
-
-    (pa_, ra), (pb_, rb) = inside(ca, row_a), inside(cb, row_b)
-    total = np.zeros((len(a), len(b)), np.float64)
-    for low in range(0, len(both), slice_width):
-        width = min(slice_width, len(both) - low)
-        ia, ib = slice(*np.searchsorted(pa_, [low, low + width])), slice(*np.searchsorted(pb_, [low, low + width]))
-        ma, mb = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
-        ma[ra[ia], pa_[ia] - low] = 1
-        mb[rb[ib], pb_[ib] - low] = 1
-        total += ma @ mb.T
-    return total
-
-
-def _complete(num: int, den: int):
-    def run(table: pa.Table) -> pa.Table:
-        node, comp, side = (np.asarray(table[c].to_pylist()) for c in ("node", "comp", "side"))
-        sets = [np.asarray(x, np.int64) for x in table["items"].to_pylist()]
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            same = _overlap([sets[i] for i in left], [sets[i] for i in right])
-            size = np.array([len(s) for s in sets])
-            either = size[left][:, None] + size[right][None, :] - same
-            linked = (den * same >= num * either) & (comp[left][:, None] != comp[right][None, :])
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.get(x, x) != x:
-                    root[x] = x = root.get(root[x], root[x])
-                return x
-
-            for i, j in zip(*np.nonzero(linked), strict=True):
-                a, b = find(int(comp[left[i]])), find(int(comp[right[j]]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((int(comp[left[i]]), int(comp[right[j]])))
-        cols = list(zip(*out, strict=True)) or [[], []]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
-
-    return run
+class _Join:
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int):
+        self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
+        self.scratch = Scratch(self.spark, "jaccard-join")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.known = self.docs.where("doc_id is not null")
+        read = self.scratch.write(self.docs.mapInArrow(_identify(k), "doc_id long, n_shingles long, node long, sketch binary, gram long, times long"), "read")
+        self.common = read.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where("times > 7")
+        self.rows = read.where("gram is null").select("doc_id", "n_shingles", "node")
+        usable = read.where("node is not null and doc_id is not null")
+        self.owner = self.scratch.write(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owner")
+        self.sketches = read.where("sketch is not null").select("node", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["node"])
+        self.sketches = self.scratch.write(self.sketches, "sketches")
+
+    def groups(self) -> DataFrame:
+        top = self.common.orderBy(F.desc("times"), "gram").limit(COMMON).collect()
+        grams = np.array([r["gram"] for r in top], np.int64).view(np.uint64)
+        order = np.argsort(grams)
+        shipped = self.spark.sparkContext.broadcast((grams[order], -order))  # ascending frequency
+        rows = self.known.select("text").mapInArrow(_prefixes(self.k, self.num, self.den, shipped), "gram long, node long")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.scratch.write(rows.repartition(parts, "gram").sortWithinPartitions("gram", "node").mapInArrow(_groups, "gram long, hub long, node long"), "groups")
+
+    def possible(self, pairs: DataFrame, name: str) -> DataFrame:
+        side = lambda c: self.sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return self.scratch.write(both.mapInArrow(_possible(self.num, self.den), "a long, b long"), name)
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose partial overlaps, summed over the fragments, reach the threshold."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.owner, "node")
+        texts = self.known.join(wanted, "doc_id").select("node", "text")
+        sets = self.scratch.write(texts.mapInArrow(_fragments(self.k), "node long, frag int, part array<long>").dropDuplicates(["node", "frag"]), f"{name}-sets")
+        side = lambda c: sets.select(F.col("node").alias(c), "frag", F.col("part").alias(f"part_{c}"))
+        size = lambda c: self.sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
+        overlaps = pairs.join(side("a"), "a").join(side("b"), ["b", "frag"]).groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("part_a", "part_b"))).alias("same"))
+        linked = overlaps.join(size("a"), "a").join(size("b"), "b").where(F.lit(self.den) * F.col("same") >= F.lit(self.num) * (F.col("size_a") + F.col("size_b") - F.col("same")))
+        out = self.scratch.write(linked.select("a", "b"), f"{name}-links")
+        self.scratch.drop(f"{name}-sets")
+        return out
+
+    def unfinished(self, groups: DataFrame, comps: DataFrame, name: str, forest: bool) -> DataFrame:
+        """Pairs across components of groups of three and more nodes."""
+        placed = groups.select("gram", "node").join(comps, "node", "left").select("gram", "node", F.coalesce("component", "node").alias("comp"))
+        shape = placed.groupBy("gram").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("print"))
+        open_ = shape.where("n > 2 and low < high").groupBy("n", "least", "print").agg(F.min("gram").alias("gram"))
+        open_ = self.scratch.write(open_.select("gram", F.ceil(F.col("n") / BLOCK).alias("blocks")), f"{name}-open")
+        rows = placed.join(open_, "gram").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
+        deal = "concat(transform(sequence(mine, blocks - 1), y -> struct(mine as x, y as y, if(y = mine, 2L, 0L) as side)), transform(filter(sequence(0L, mine), z -> z < mine), z -> struct(z as x, mine as y, 1L as side)))"
+        rows = rows.withColumn("task", F.explode(F.expr(deal))).select("gram", "task.*", "node", "comp").join(self.sketches, "node")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.select("gram", "x", "y", "node", "comp", "size", "side", "sketch").repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
+        return self.scratch.write(dealt.mapInArrow(_across(self.num, self.den, forest), "a long, b long").distinct(), f"{name}-across")
+
+    def merged(self, comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Components after more links."""
+        side = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+        joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+        upper = connected_components(joined, self.scratch, name)
+        up = upper.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+        old = comps.join(up, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
+        new = upper.join(comps.select("node"), "node", "left_anti").select("node", "component")
+        return self.scratch.write(old.unionByName(new), f"{name}-merged")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when den * |a & b| >= num * |a | b|."""
-    scratch = Scratch(docs.sparkSession, "jaccard-join")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.write(docs.mapInArrow(_identify(k), "doc_id long, n_shingles long, node long"), "rows")
-    known = docs.where("doc_id is not null")
-    sigs = known.select("text").mapInArrow(_signatures(k, num, den), "sig long, node long")
-    ties = scratch.write(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_ties, "a long, b long").distinct(), "ties")
-
-    # the sets of the tied nodes, by fragment of the global order
-    tied = ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct()
-    owner = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = owner.join(tied, "node", "left_semi")
-    owned = rows.join(wanted, ["doc_id", "node"]).select("doc_id", "node").distinct()
-    texts = known.join(owned, "doc_id").select("doc_id", "node", "text")
-    sets = scratch.write(_same_node(texts, k).mapInArrow(_fragments(k), "node long, frag int, part array<long>").dropDuplicates(["node", "frag"]), "sets")
-    sizes = scratch.write(sets.groupBy("node").agg(F.sum(F.size("part")).alias("size")), "sizes")
-
-    # partial overlaps by fragment, summed per pair
-    overlaps = (
-        ties.join(sets.select(F.col("node").alias("a"), "frag", F.col("part").alias("part_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), "frag", F.col("part").alias("part_b")), ["b", "frag"])
-        .select("a", "b", F.size(F.array_intersect("part_a", "part_b")).alias("partial"))
-        .groupBy("a", "b").agg(F.sum("partial").alias("same"))
-    )
-    links = (
-        overlaps.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
-        .where(F.lit(den) * F.col("same") >= F.lit(num) * (F.col("size_a") + F.col("size_b") - F.col("same")))
-        .select("a", "b")
-    )
-    links = scratch.write(links, "links")
-    comps = connected_components(links, scratch, "linked")
-    clusters = connected_components(ties, scratch, "tied")
-
-    # clusters that are not one component yet: the largest component against the rest, and the rest against itself
-    members = scratch.write(
-        clusters.withColumnRenamed("component", "cluster").join(comps, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("comp")).join(sizes, "node"), "members"
-    )
-    by_comp = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
-    shape = by_comp.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("n").alias("nodes"), F.max(F.struct("weight", "comp")).alias("top"), F.sum("weight").alias("weight"))
-    shape = shape.where("comps > 1 and nodes > 2").select("cluster", F.col("top.comp").alias("top"), F.ceil((F.col("weight") - F.col("top.weight")) / BLOCK).alias("rest"), F.ceil(F.col("top.weight") / BLOCK).alias("main"))
-    todo = members.join(scratch.write(shape, "shape"), "cluster")
-    todo = todo.withColumn("is_rest", F.col("comp") != F.col("top")).withColumn("mine", F.when(F.col("is_rest"), F.pmod(F.xxhash64("node"), "rest")).otherwise(F.pmod(F.xxhash64("node"), "main")))
-    # a block pair: (x, y) with x a block of the rest; y another of the rest, or one of the main component
-    upper = F.expr("transform(sequence(mine, rest - 1), y -> struct(mine as x, y as y, false as main, if(y = mine, 2, 0) as side))")
-    lower = F.expr("transform(filter(sequence(0L, mine), z -> z < mine), z -> struct(z as x, mine as y, false as main, 1 as side))")
-    across = F.expr("transform(sequence(0L, main - 1), y -> struct(mine as x, y as y, true as main, 0 as side))")
-    beside = F.expr("transform(sequence(0L, rest - 1), z -> struct(z as x, mine as y, true as main, 1 as side))")
-    todo = todo.withColumn("task", F.explode(F.when(F.col("is_rest"), F.concat(upper, lower, across)).otherwise(beside)))
-    items = sets.groupBy("node").agg(F.flatten(F.collect_list("part")).alias("items"))
-    found = (
-        todo.select("cluster", "node", "comp", "task.*").join(items, "node")
-        .groupBy("cluster", "x", "y", "main").applyInArrow(_complete(num, den), "a long, b long")
-    )
-    more = connected_components(scratch.write(found, "more"), scratch, "completed")
-
-    final = comps.join(more.select(F.col("node").alias("component"), F.col("component").alias("upper")), "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
-    lone = more.join(comps.select("node"), "node", "left_anti")
-    final = scratch.write(final.unionByName(lone.select("node", "component")), "final")
-    least = owner.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = scratch.write(least, "owners")
-    names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(names, "component").select("node", "component_id")
+    join = _Join(docs, k, num, den)
+    scratch, rows = join.scratch, join.rows
+    groups = join.groups()
+    ties = join.possible(groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ties")
+    comps, tested = connected_components(join.verified(ties, "tied"), scratch, "tied"), ties
+    for name, forest in (("alike", True), ("left", False)):
+        more = scratch.write(join.unfinished(groups, comps, name, forest).join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
+        comps = join.merged(comps, join.verified(more, name), name)
+        tested = tested.unionByName(more)
+
+    placed = join.owner.join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    placed = scratch.write(placed, "placed")
+    named = placed.join(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
     linked = rows.where("node is not null").join(named, "node", "left")
-    return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).unionByName(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def _same_node(texts: DataFrame, k: int) -> DataFrame:
-    """Of rows that share a doc_id, those whose text has the node's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in batches:
-            keep = [_node(_set_of(t, k, cache)) == n for n, t in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return texts.mapInArrow(run, texts.schema)
+    linked = linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return linked.unionByName(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

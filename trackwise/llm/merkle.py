@@ -8,9 +8,8 @@ is the root, and the first 8 digits of each leaf by section:
 ``root|leaf,leaf;leaf...``. Likeness is 1 for equal roots, else the shared
 part of the distinct leaves of both (intersection over union).
 
-Defined cases: null text is empty; the empty text has one empty leaf; repeated
-doc_ids: the document before sees the one with the least text hash, and is
-itself compared row by row; a null doc_id takes part in no order and is
+Defined cases: null text is empty; the empty text has one empty leaf; rows
+that share a doc_id follow each other in the order of their fingerprints; a null doc_id takes part in no order and is
 compared with nothing (null likeness to a next document, no edit); one document
 follows itself; an empty table gives an empty result.
 """
@@ -50,22 +49,23 @@ def edits(a: str, b: str) -> Column:
     )
 
 
-def neighbours(ids: DataFrame, least_buckets: int = 128, bucket_rows: int = 500_000) -> DataFrame:
-    """doc_id -> next_id, the next larger one, and for the largest the smallest.
+def in_buckets(rows: DataFrame, least_buckets: int = 128, bucket_rows: int = 100_000) -> DataFrame:
+    """rows with a bucket of neighbouring doc_ids, and as guests the rows that come after each bucket's last.
 
-    Ids are cut into buckets by quantiles, followed inside each bucket, and
-    from a bucket to the first id of the next; the last step has one row for each bucket.
+    Buckets are cut by quantiles, so no doc_id range is large; the guests of a
+    bucket are the first document of the next one, and of the first bucket for the last.
     """
+    ids = rows.select("doc_id")
     n = ids.count()
     buckets = max(least_buckets, n // bucket_rows)
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets)}) if n else []
     number = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= doc_id))") if cuts else F.lit(0)
-    placed = ids.withColumn("bucket", number)
-    heads = placed.groupBy("bucket").agg(F.min("doc_id").alias("head"))
-    order = Window.orderBy("bucket")
-    heads = heads.select("bucket", F.coalesce(F.lead("head").over(order), F.min("head").over(Window.partitionBy(F.lit(0)))).alias("beyond"))
-    inside = placed.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("bucket").orderBy("doc_id")))
-    return inside.join(F.broadcast(heads), "bucket").select("doc_id", F.coalesce("next_id", "beyond").alias("next_id"))
+    # one row for each bucket from here on
+    firsts = ids.withColumn("bucket", number).groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
+    host = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy(F.lit(0))))
+    firsts = firsts.select("doc_id", host.alias("bucket"))
+    guests = rows.join(F.broadcast(firsts), "doc_id").withColumn("guest", F.lit(True))
+    return rows.withColumn("bucket", number).withColumn("guest", F.lit(False)).unionByName(guests)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -80,15 +80,13 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     doc_id, n_chars, edited text, both fingerprints and their likenesses, and the sections the edit touched.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lengths = texts.where("doc_id is not null").groupBy("doc_id").agg((F.max(F.length("text")) / 2).cast("int").alias("half"))
-    after = neighbours(lengths.select("doc_id")).join(lengths, "doc_id")
-    # each document sends its start and its fingerprint to the one before it
-    heads = texts.join(after.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "half"), "doc_id")
-    heads = heads.select("before", F.expr("substring(text, 1, half)").alias("head"), fingerprint("text").alias("next_fingerprint"))
-    heads = heads.groupBy(F.col("before").alias("doc_id")).agg(F.min(F.struct("next_fingerprint", "head")).alias("next"))
-    both = texts.join(heads, "doc_id", "left").select("doc_id", "text", F.length("text").alias("n_chars"), "next")
-    edited = F.expr("if(next is null, text, concat(left(text, n_chars - n_chars div 2), left(next.head, cast(n_chars div 2 as int))))")
-    both = both.select("doc_id", "n_chars", edited.alias("edited"), fingerprint("text").alias("fingerprint"), F.col("next.next_fingerprint").alias("next_fingerprint"))
+    known, other = texts.where("doc_id is not null"), texts.where("doc_id is null")
+    order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "fingerprint")
+    both = in_buckets(known).withColumn("fingerprint", fingerprint("text")).withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order)).where("not guest")
+    both = both.select("doc_id", "text", "fingerprint", "next").unionByName(other.withColumn("fingerprint", fingerprint("text")), allowMissingColumns=True)
+    both = both.withColumn("n_chars", F.length("text"))
+    edited = F.expr("if(next is null, text, concat(left(text, n_chars - n_chars div 2), left(next.text, cast(n_chars div 2 as int))))")
+    both = both.select("doc_id", "n_chars", edited.alias("edited"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"))
     both = both.withColumn("edited_fingerprint", fingerprint("edited"))
     return both.select(
         "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",

@@ -1,13 +1,462 @@
-"""All network queries by name."""
+"""All network queries by name, each over its whole derived tables, with DuckDB forms."""
 
+from __future__ import annotations
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from .functions import decode
+from .functions import measures as m
+from .operators import ingest, matching, network, paths
+from .plans import derive, search
+from .sources import files
 
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def _query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = lambda spark, sf_dir: f(derive.Derived(spark, sf_dir))
+        if sql is not None:
+            SQL[f.__name__] = sql if sql.lstrip().startswith("with recursive") else f"with {derive.SQL} {sql}"
+        return f
+
+    return add
+
+
+def _recursive(parts: str) -> str:
+    return f"with recursive {derive.SQL}, {parts}"
+
+
+_HAV = "2 * 6371e0 * atan2(sqrt({0}), sqrt(1e0 - ({0})))"
+_A = "pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)"
+
+
+def _far(*c: str) -> str:
+    return _HAV.format(_A.format(*c))
+
+
+@_query("select uopid, 10 * (1 + k % 14) as rinf_type, 'DEU' as country from op")
+def decode_uri(d):
+    uri = d.ops().select(F.concat(F.lit(decode.OP_PREFIXES[1]), "uopid").alias("u"), F.concat(F.lit(decode.TYPE_PREFIXES[0] + "rinf/"), "rinf_type").alias("t"), F.lit(decode.COUNTRY_PREFIXES[0] + "DEU").alias("c"))
+    return uri.select(decode.uri_tail(F.col("u"), decode.OP_PREFIXES).alias("uopid"), decode.type_number(decode.uri_tail(F.col("t"), decode.TYPE_PREFIXES)).cast("long").alias("rinf_type"), decode.uri_tail(F.col("c"), decode.COUNTRY_PREFIXES).alias("country"))
+
+
+@_query("select idx, cast(idx % 20 as double) + 0.5e0 as start_lon, 48.25e0 as start_lat, cast(idx % 20 as double) + 0.75e0 as end_lon, 48.5e0 as end_lat from tn")
+def wkt_line(d):
+    return d.tunnels().select("idx", decode.wkt_line(F.col("wkt")).alias("w")).select("idx", "w.*")
+
+
+@_query("select uopid, cast(k % 9 as double) + 0.5e0 as lon, cast(k % 50 as double) + 0.25e0 as lat from op")
+def wkt_point(d):
+    text = F.concat(F.lit("POINT("), F.col("k") % 9, F.lit(".5 "), F.col("k") % 50, F.lit(".25)"))
+    return d.ops().select("uopid", decode.wkt_point(text).alias("w")).select("uopid", "w.*")
+
+
+@_query("select op, line, km + 0.001e0 * (k % 1000) as km from rl")
+def railway_location(d):
+    return d.locations().select("op", "line", decode.kilometre(F.col("km"), F.col("k") % 1000).alias("km"))
+
+
+@_query("select uopid, name, rinf_type, op.country, lat, lon, count(rl.op) as n_locations, coalesce(sum(rl.km), 0e0) as km_sum from op join rl on rl.op = uopid group by all")
+def ops_from_bindings(d):
+    rows = d.ops().join(d.locations().select(F.col("op").alias("uopid"), "line", "km"), "uopid").withColumn("idx", F.col("km"))
+    twice = rows.unionByName(rows.withColumn("idx", F.col("idx") + 1e9))
+    ops = ingest.fold_operational_points(twice)
+    return ops.select("uopid", "name", "rinf_type", "country", "lat", "lon", F.size("locations").cast("long").alias("n_locations"), F.aggregate("locations", F.lit(0.0), lambda s, x: s + x["km"]).alias("km_sum"))
+
+
+@_query("select op as uopid, line, km from rl")
+def kilometre_of_line(d):
+    rows = d.locations().select(F.col("op").alias("uopid"), "line", "km", F.lit(2).alias("idx"))
+    return ingest.kilometre_of_line(rows.unionByName(rows.withColumn("km", F.col("km") - 1).withColumn("idx", F.lit(1))))
+
+
+@_query("select section, cast(i as varchar) as id, coalesce(speed, 100) as speed, radius, contact, cast(list_aggregate(categories, 'string_agg', ',') as varchar) as categories from tr")
+def tracks_from_bindings(d):
+    t = ingest.fold_tracks(d.track_rows()).select("section", F.inline("tracks"))
+    return t.withColumn("categories", F.when(F.size("categories") > 0, F.array_join(F.col("categories").cast("array<string>"), ",")))
+
+
+@_query("select section, line, start_op, end_op, length, cast((a + b) % 3 as bigint) as n_tracks from sol")
+def sections_with_tracks(d):
+    return d.sections().select("section", "line", "start_op", "end_op", "length", F.size("tracks").cast("long").alias("n_tracks"))
+
+
+@_query("select sol.section, length from sol join ts using (section) where passenger")
+def passenger_sections(d):
+    return d.sections(True).select("section", "length")
+
+
+@_query("select tunnel, country, line, length / 1000 as length, start_km, cast(idx % 20 as double) + 0.5e0 as start_lon from (select *, row_number() over (partition by tunnel order by idx) as r from tn) where r = 1")
+def tunnel_infos(d):
+    t = ingest.fold_tunnels(d.tunnels(), decode.wkt_line(F.col("wkt")))
+    return network.tunnel_infos(t).select("tunnel", "country", "line", "length", "start_km", F.col("geometry.start_lon").alias("start_lon"))
+
+
+@_query("select o_orderkey from orders where o_orderkey % 3 = 0 or o_orderdate <= timestamp '1997-01-01' and o_orderdate + interval 365 day >= timestamp '1997-01-01'")
+def current_validity(d):
+    orders = d.table("orders")
+    periods = orders.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderdate").alias("begin"), F.expr("o_orderdate + interval 365 days").alias("end"))
+    return ingest.currently_valid(orders.select("o_orderkey"), periods, "o_orderkey", F.lit("1997-01-01").cast("timestamp"))
+
+
+@_query("select c.c_custkey as s, c_name as name, n_name as nation from customer c left join nation on n_nationkey = c_nationkey and c_custkey % 2 = 0 where c_custkey % 5 <> 0")
+def basic_graph(d):
+    c = d.table("customer").join(F.broadcast(d.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey")
+    triples = c.select(key.alias("s"), F.lit("name").alias("p"), F.col("c_name").alias("o")).unionByName(c.where(key % 2 == 0).select(key.alias("s"), F.lit("nation").alias("p"), F.col("n_name").alias("o")))
+    gone = c.where(key % 5 == 0).select(key.alias("s"))
+    return ingest.minus(ingest.basic_graph(triples, "s", {"name": "name"}, {"nation": "nation"}), gone, ["s"])
+
+
+@_query("select distinct s_suppkey as k, 'railway' as prefix from supplier where s_suppkey % 2 = 0 union all select distinct s_suppkey, 'disused:railway' from supplier where s_suppkey % 3 = 0")
+def tagged_union(d):
+    k = d.table("supplier").select(F.col("s_suppkey").alias("k"))
+    return ingest.tagged_union({"railway": k.where("k % 2 = 0"), "disused:railway": k.where("k % 3 = 0")}, "prefix")
+
+
+@_query("select src, dst, line, country, cost, length, speed, electrified, start_km, end_km from eg")
+def graph_by_locations(d):
+    return d.edges()
+
+
+@_query("""select start_op as src, end_op as dst, line, country, greatest(cast(floor(10000e0 * (round_even(length, 2) / ts.speed)) as bigint), 1) as cost, round_even(length, 2) as length, ts.speed as speed, ts.electrified as electrified, start_km, end_km from sol join ts using (section)""")
+def graph_by_sections(d):
+    return network.graph_by_sections(d.sections(), d.locations())
+
+
+@_query("select count(*) as edges, sum(cost) as cost, max(cost) as max_cost, (select count(distinct n) from (select src as n from ed union all select dst from ed)) as nodes from ed")
+def graph_stats(d):
+    return network.graph_counts(d.forward())
+
+
+@_query("select src as node, count(*) as n_edges, min(cost) as least from eg group by src")
+def adjacency(d):
+    a = network.adjacency(d.edges())
+    return a.select("node", F.size("edges").cast("long").alias("n_edges"), F.array_min(F.transform("edges", lambda e: e["cost"])).alias("least"))
+
+
+@_query("select o_orderkey, greatest(cast(floor(10000e0 * (round_even(o_totalprice / 1000e0, 2) / case when o_orderkey % 7 = 0 then 80 else o_orderkey % 7 * 40 end)) as bigint), 1) as cost from orders")
+def travel_cost(d):
+    return d.table("orders").select("o_orderkey", m.travel_cost(m.half_even(F.col("o_totalprice") / 1000.0, 2), F.col("o_orderkey") % 7 * 40).alias("cost"))
+
+
+@_query("select section, ts.speed as speed, ts.radius as radius, electrified, bool_and(coalesce(contact, '') not like '%not electrified%') as electrified_tool from ts join tr using (section) group by section, ts.speed, ts.radius, electrified")
+def track_rules(d):
+    t = F.col("tracks")
+    return d.sections().select("section", m.max_speed(t).alias("speed"), m.min_radius(t).alias("radius"), m.is_electrified(t).alias("electrified"), m.is_electrified(t, "tool").alias("electrified_tool"))
+
+
+@_query("select electrified, round(sum(length), 3) as length, count(*) as n from ed group by electrified")
+def electrified_length(d):
+    return d.forward().groupBy("electrified").agg(F.round(F.sum("length"), 3).alias("length"), F.count("*").alias("n"))
+
+
+@_query("select uopid, name, rinf_type, lat, lon from op")
+def op_infos(d):
+    return d.ops().select("uopid", "name", "rinf_type", "lat", "lon")
+
+
+_LINE_SQL = """, sp as (select country, line, op, min(km) as km from (select country, line, src as op, start_km as km from eg where start_km < end_km union all select country, line, dst, end_km from eg where start_km < end_km) group by all),
+lq as (select sp.country, line, arg_min(name, {'km': km, 'op': op}) || ' - ' || arg_max(name, {'km': km, 'op': op}) as name, round_even(max(km) - min(km), 3) as length, min(km) as start_km, max(km) as end_km, count(*) as n_ops from sp join op on uopid = op group by sp.country, line)"""
+
+
+@_query("select country, line, name, length, start_km, end_km, n_ops from (with x as (select 1)" + _LINE_SQL + " select * from lq)")
+def line_infos(d):
+    return network.line_infos(d.edges(), d.ops()).select("country", "line", "name", "length", "start_km", "end_km", F.size("uopids").cast("long").alias("n_ops"))
+
+
+@_query("select l.country, l.line, coalesce((select string_agg(tunnel, ',' order by km, tunnel) from (select tunnel, min(start_km) as km from tn where tn.line = l.line group by tunnel)), '') as tunnels from (select distinct country, line from rl) l")
+def line_tunnels(d):
+    lines = d.locations().select("country", "line").distinct()
+    return network.line_tunnels(lines, d.tunnels()).select("country", "line", F.array_join("tunnels", ",").alias("tunnels"))
+
+
+@_query("select l.country, l.line, (select arg_min(wikipedia, idx) from rt where ref = l.line and wikipedia like 'de:%') as wikipedia from (select distinct country, line from rl) l")
+def line_wikipedia(d):
+    return network.line_wikipedia(d.locations().select("country", "line").distinct(), d.routes())
+
+
+@_query("select op, km, name, lat, lon from rl join op on uopid = op where line = 'L07'")
+def ops_of_line(d):
+    return network.ops_of_line(d.locations(), d.ops(), "DEU", "L07")
+
+
+@_query("select section, start_op, end_op, length, start_km, end_km, ts.speed as speed, false as op_missing from sol join ts using (section) where line = 'L07'")
+def sections_of_line(d):
+    return network.sections_of_line(d.sections(), d.locations(), "DEU", "L07")
+
+
+@_query("select section, length / 1000 as length, coalesce(arg_min(coalesce(speed, 100), i), 50) as speed from sol join tr using (section) group by section, length")
+def legacy_sections(d):
+    return network.legacy_sections_of_line(d.sections())
+
+
+@_query("""select * from (select line, op, 'graph' as missing_in from rl where not exists (select 1 from sol where sol.line = rl.line and (start_op = op or end_op = op))
+ union all select distinct line, op, 'locations' from (select line, start_op as op from sol union select line, end_op from sol) e where not exists (select 1 from rl where rl.line = e.line and rl.op = e.op and rl.k % 11 <> 0)
+ ) where not (missing_in = 'graph' and op in (select op from rl where k % 11 = 0))""")
+def consistency_missing(d):
+    edges = network.graph_by_sections(d.sections(), d.locations())
+    return network.consistency(d.locations().where("k % 11 <> 0"), edges)
+
+
+@_query(_recursive("""sc(node, cost) using key (node) as (
+  select 'DE00001', cast(0 as bigint) union
+  select e.dst, min(sc.cost + e.cost) from sc join eg e on e.src = sc.node left join recurring.sc as old on old.node = e.dst where old.cost is null or sc.cost + e.cost < old.cost group by e.dst)
+ select 'DE00001' as source, node, cost from sc"""))
+def shortest_cost_all(d):
+    start = d.spark.range(1).select(F.lit("DE00001").alias("source"))
+    return search.shortest_costs(d.edges(), start).select("source", "node", "cost")
+
+
+def _routes(d, edges=None):
+    """Routes from the first operational point to each tenth one, through the seventh."""
+    q = d.ops().where("k % 10 = 0").select(F.col("uopid").alias("path"), F.array(F.lit("DE00001"), F.lit("DE00007"), F.col("uopid")).alias("waypoints"))
+    return search.shortest_paths(d.edges() if edges is None else edges, q)
+
+
+@_query()
+def shortest_path(d):
+    return _routes(d)
+
+
+@_query(_recursive("""sa(node, cost) using key (node) as (
+  select 'DE00001', cast(0 as bigint) union
+  select e.dst, min(sa.cost + e.cost) from sa join eg e on e.src = sa.node left join recurring.sa as old on old.node = e.dst where old.cost is null or sa.cost + e.cost < old.cost group by e.dst),
+ sb(node, cost) using key (node) as (
+  select 'DE00007', cast(0 as bigint) union
+  select e.dst, min(sb.cost + e.cost) from sb join eg e on e.src = sb.node left join recurring.sb as old on old.node = e.dst where old.cost is null or sb.cost + e.cost < old.cost group by e.dst)
+ select uopid as path, cast((select cost from sa where node = 'DE00007') + sb.cost as bigint) as cost from op join sb on node = uopid where k % 10 = 0"""))
+def multi_waypoint(d):
+    return _routes(d).groupBy("path").agg(F.sum("cost").cast("long").alias("cost"))
+
+
+@_query("select line as path, src, dst, length, row_number() over (partition by line order by start_km, src) as seq from eg where line = 'L03' and start_km < end_km")
+def path_of_line(d):
+    return search.path_of_line(d.edges(), "DEU", "L03").select("path", "src", "dst", "length", F.col("seq").cast("long").alias("seq"))
+
+
+def _line_paths(d):
+    """All forward edges as paths: each operational point's number modulo 25 groups edges, ordered by kilometre, so lines change."""
+    e = d.forward().withColumn("path", F.concat(F.lit("p"), F.substring("src", 3, 9).cast("long") % 25))
+    return e.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("start_km", "line", "src")))
+
+
+_LP = "lp as (select *, 'p' || (cast(substr(src, 3) as bigint) % 25) as path, row_number() over (partition by 'p' || (cast(substr(src, 3) as bigint) % 25) order by start_km, line, src) as seq from ed)"
+
+
+@_query(f"""select path, line, count(*) as edges, sum(cost) as cost from (with {_LP}, r as (select *, case when lag(line) over (partition by path order by seq) <> line then 1 else 0 end as ch from lp),
+ g as (select *, sum(ch) over (partition by path order by seq) as run from r) select path, line, run, count(*) as n, sum(cost) as cost from g group by all) group by path, line""")
+def compact_path(d):
+    c = paths.compact(_line_paths(d))
+    runs = c.groupBy("path", "line").agg(F.sum("cost").alias("cost"))
+    flat = _line_paths(d)
+    change = (F.lag("line").over(Window.partitionBy("path").orderBy("seq")) != F.col("line")).cast("int")
+    n = flat.withColumn("ch", F.coalesce(change, F.lit(0))).withColumn("run", F.sum("ch").over(Window.partitionBy("path").orderBy("seq"))).groupBy("path", "line").agg(F.count_distinct("run").alias("edges"))
+    return runs.join(n, ["path", "line"]).select("path", "line", "edges", "cost")
+
+
+@_query()
+def compact_path_speed(d):
+    return paths.compact(_routes(d), by_speed=True)
+
+
+@_query(f"select path, seq, cost, sum(cost) over (partition by path order by seq) as total_cost from (with {_LP} select * from lp)")
+def running_totals(d):
+    return paths.running_totals(_line_paths(d)).select("path", F.col("seq").cast("long").alias("seq"), "cost", "total_cost")
+
+
+def _walks(d):
+    return _line_paths(d).withColumn("line", F.when(F.col("line").isin("L05", "L09"), F.concat(F.lit("99"), "line")).otherwise(F.col("line")))
+
+
+@_query(f"select path, seq, segment from (with {_LP} select path, seq, line, sum(case when line in ('L05', 'L09') then 1 else 0 end) over (partition by path order by seq) as segment from lp) where line not in ('L05', 'L09')")
+def split_walking(d):
+    return paths.split_walking(_walks(d)).select("path", F.col("seq").cast("long").alias("seq"), F.col("segment").cast("long").alias("segment"))
+
+
+@_query(f"""select path, segment, count(*) as n from (with {_LP}, s as (select *, sum(case when line in ('L05', 'L09') then 1 else 0 end) over (partition by path order by seq) as segment from lp),
+ k as (select * from s where line not in ('L05', 'L09')), z as (select path, segment, arg_max(dst, seq) as u from k group by all)
+ select path, segment, src as u from k join op on uopid = src where rinf_type not in (130, 50) union all select path, segment, u from z join op on uopid = u) group by all""")
+def path_locations(d):
+    return paths.locations(_walks(d), d.ops(), (130, 50)).groupBy("path", F.col("segment").cast("long").alias("segment")).agg(F.count("*").alias("n"))
+
+
+@_query()
+def route_url(d):
+    return paths.route_urls(paths.locations(_routes(d), d.ops()))
+
+
+@_query(f"select path, count(*) as gaps from (with {_LP} select path, lag(dst) over (partition by path order by seq) as before, src from lp) where before <> src group by path")
+def line_gaps(d):
+    return paths.gap_rows(_line_paths(d)).where("gap").groupBy("path").agg(F.count("*").alias("gaps"))
+
+
+@_query("select src, dst, min(cost) as cost from eg group by src, dst")
+def cheapest_edges(d):
+    return paths.cheapest_edges(d.edges()).select("src", "dst", "cost")
+
+
+_MO = """mo as (select distinct * from (select src as tail, src || '/' || country || '/' || line as head, 10 as line_cost, 0 as distance_cost from eg
+ union all select src || '/' || country || '/' || line, dst || '/' || country || '/' || line, 0, cost from eg union all select dst || '/' || country || '/' || line, dst, 10, 0 from eg))"""
+
+
+@_query(f"select tail, head, cast(line_cost as bigint) as line_cost, cast(distance_cost as bigint) as distance_cost from (with {_MO} select * from mo)")
+def mo_expand(d):
+    return search.expand(d.edges())
+
+
+@_query(f"select * from (with {_MO} select count(*) as arcs, (select count(distinct n) from (select tail as n from mo union all select head from mo)) as nodes, (select count(distinct n) - 1 from (select tail as n from mo union all select head from mo)) as top, cast(sum(line_cost) as bigint) as line_cost, cast(sum(distance_cost) as bigint) as distance_cost from mo)")
+def mo_arcs(d):
+    arcs = search.dense_arcs(search.expand(d.edges()))
+    ends = arcs.select(F.col("tail").alias("n")).union(arcs.select("head")).distinct().agg(F.count("*").alias("nodes"), F.max("n").alias("top"))
+    return arcs.agg(F.count("*").alias("arcs"), F.sum(F.col("costs")[0]).alias("line_cost"), F.sum(F.col("costs")[1]).alias("distance_cost")).crossJoin(F.broadcast(ends))
+
+
+@_query(_recursive("""pf(node, line, runs, cost) using key (node, line, runs) as (
+  select 'DE00001', '', 0, cast(0 as bigint) union
+  select e.dst, e.line, pf.runs + case when pf.line = e.line then 0 else 1 end, min(pf.cost + e.cost) from pf join (select src, dst, line, min(cost) as cost from eg group by all) e on e.src = pf.node
+   left join recurring.pf as old on old.node = e.dst and old.line = e.line and old.runs = pf.runs + case when pf.line = e.line then 0 else 1 end
+   where pf.runs + case when pf.line = e.line then 0 else 1 end <= 4 and (old.cost is null or pf.cost + e.cost < old.cost) group by 1, 2, 3)
+ select 'DE00001' as source, node, runs, cost from (select node, runs, min(cost) as cost, min(min(cost)) over (partition by node order by runs rows between unbounded preceding and 1 preceding) as fewer from pf group by node, runs) where fewer is null or cost < fewer"""))
+def pareto_front(d):
+    start = d.spark.range(1).select(F.lit("DE00001").alias("source"))
+    return search.pareto_front(d.edges(), start, 4)
+
+
+def _some_questions(d):
+    return d.ops().where("k % 25 = 0").select(F.lit("DE00001").alias("source"), F.col("uopid").alias("target"))
+
+
+@_query()
+def pareto_solutions(d):
+    arcs = search.expand(d.edges()).select("tail", "head", F.array("line_cost", "distance_cost").alias("costs"))
+    return search.pareto_solutions(arcs, _some_questions(d), 5)
+
+
+@_query()
+def pareto_dim3(d):
+    arcs = paths.cheapest_edges(d.edges().where("line in ('L01', 'L02', 'L03')")).select(F.col("src").alias("tail"), F.col("dst").alias("head"), F.array(F.col("cost"), F.lit(1).cast("long"), F.col("speed").cast("long")).alias("costs"))
+    return search.pareto_solutions(arcs, _some_questions(d), 5)
+
+
+@_query("""select question, sol, cost from (select o_custkey as question, o_orderkey as sol, cast(round_even(o_totalprice, 0) as bigint) as cost, count(*) over w as n, min(o_orderkey) over w as one,
+ first_value(cast(round_even(o_totalprice, 0) as bigint)) over (partition by o_custkey order by o_orderkey) as a,
+ last_value(cast(round_even(o_totalprice, 0) as bigint)) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following) as z
+ from orders window w as (partition by o_custkey)) q where sol = case when n = 1 or n = 2 or a <= z then one
+ else coalesce((select min(o_orderkey) from orders where o_custkey = question and cast(round_even(o_totalprice, 0) as bigint) <= z * 1.2e0), one) end""")
+def tolerance_choice(d):
+    front = d.table("orders").select(F.col("o_custkey").alias("question"), F.col("o_orderkey").alias("sol"), F.rint("o_totalprice").cast("long").alias("cost"))
+    return search.choose_solution(front, 20.0)
+
+
+@_query()
+def gr_roundtrip(d):
+    return files.parse_gr(files.gr_lines(search.dense_arcs(search.expand(d.edges()))))
+
+
+_MS = f"""mx as (select uopid, rinf_type, url, railway, prefix, dist, lat, lon from (select op.uopid, op.rinf_type, st.url, st.railway, st.prefix, {_far('op.lat', 'op.lon', 'st.lat', 'st.lon')} as dist, st.lat, st.lon,
+  row_number() over (partition by op.uopid order by case st.railway when 'station' then 0 when 'halt' then 1 when 'stop' then 2 else 3 end, st.url) as r
+  from op join (select *, unnest(list_distinct(string_split(code, ';'))) as c from st) st on op.uopid = 'DE' || case when length(c) < 5 then lpad(c, 5, '0') else c end where {_far('op.lat', 'op.lon', 'st.lat', 'st.lon')} < 4e0) where r = 1),
+ma as (select op.uopid, op.rinf_type, url, railway, prefix, round_even(dist, 3) as distance, mx.lat, mx.lon from op left join mx on mx.uopid = op.uopid)"""
+
+
+@_query(f"select * from (with {_MS} select * from ma)")
+def osm_match(d):
+    return matching.match_stations(d.ops(), d.stations())
+
+
+@_query(f"select * from (with {_MS} select count(*) as total, count(url) as found, count(*) - count(url) as not_found, count(*) filter (distance < 1) as valid from ma)")
+def match_summary(d):
+    return matching.match_summary(matching.match_stations(d.ops(), d.stations()))
+
+
+@_query(f"select * from (with {_MS} select railway, prefix, count(*) as n from ma where url is not null group by all)")
+def tag_usage(d):
+    return matching.tag_usage(matching.match_stations(d.ops(), d.stations()))
+
+
+@_query(f"select * from (with {_MS} select rinf_type, count(*) as n, count(*) - count(url) as not_found from ma group by all)")
+def counts_by_type(d):
+    return matching.counts_by_type(matching.match_stations(d.ops(), d.stations()))
+
+
+@_query(f"""select section, length, round_even(dist, 3) as distance, (length > 4 or (length < 1.5 and abs(length - dist) * 100 / length < 16) or abs(length - dist) * 100 / length < 10) or not (radius > 1000 or length < 1) as valid
+ from (select sol.section, sol.length, ts.radius, {_far('a.lat', 'a.lon', 'b.lat', 'b.lon')} as dist from sol join ts using (section) join op a on a.uopid = start_op join op b on b.uopid = end_op)""")
+def section_check(d):
+    return matching.section_check(d.sections(), d.ops(), matching.match_stations(d.ops(), d.stations())).select("section", "length", "distance", "valid")
+
+
+@_query()
+def sequential_check(d):
+    return matching.sequential_check(d.sections(), d.ops(), matching.match_stations(d.ops(), d.stations()))
+
+
+@_query("select * from op where regexp_matches(name, 'supp[lł]ier.*[oó]*7', 'i')")
+def location_search(d):
+    return matching.search_locations(d.ops(), name="supplier.*7")
+
+
+@_query("select a.uopid, b.uopid as other from op a join op b on a.lat = b.lat and a.lon = b.lon and a.uopid <> b.uopid")
+def same_location(d):
+    return matching.same_location(d.ops())
+
+
+_UN = "un as (select least(src, dst) as a, greatest(src, dst) as b, line, count(*) as c from ed group by all)"
+
+
+@_query(f"select degree, count(*) as nodes from (with {_UN} select n, count(*) as degree from (select a as n from un union all select b from un) group by n) group by degree")
+def degree_histogram(d):
+    return network.degree_histogram(network.undirected(d.forward()))
+
+
+@_query(f"""select * from (with {_UN}, e as (select line, n, count(*) as g from (select line, a as n from un union all select line, b from un) group by all)
+ select x.line, x.edges, y.nodes, true as connected, y.ends = 2 and y.top <= 2 as is_path, y.top as max_degree from (select line, count(*) as edges from un group by line) x join (select line, count(*) as nodes, max(g) as top, count(*) filter (g = 1) as ends from e group by line) y on x.line = y.line)""")
+def line_graph_stats(d):
+    return network.line_statistics(network.undirected(d.forward()))
+
+
+@_query(_recursive("""un as (select distinct least(src, dst) as a, greatest(src, dst) as b from ed where line in ('L01', 'L02')), ue as (select a, b from un union select b, a from un),
+ rc(node, seen) as (select a, a from ue union select ue.b, rc.seen from rc join ue on ue.a = rc.node) select node, min(seen) as component from rc group by node"""))
+def components(d):
+    pairs = network.undirected(d.forward().where("line in ('L01', 'L02')"))
+    return network.components(pairs).select("node", "component")
+
+
+@_query("(select s_suppkey, s_nationkey, 'before' as side from supplier where s_suppkey % 9 = 0) union all (select s_suppkey, -1, 'after' from supplier where s_suppkey % 9 = 0)")
+def snapshot_diff(d):
+    before = d.table("supplier").select("s_suppkey", "s_nationkey")
+    after = before.withColumn("s_nationkey", F.when(F.col("s_suppkey") % 9 == 0, F.lit(-1)).otherwise(F.col("s_nationkey")))
+    return files.snapshot_diff(before, after)
+
+
+@_query("select o_orderkey, cast(o_orderkey % 2 as integer) as page from orders")
+def union_pages(d):
+    keys = d.table("orders").select("o_orderkey")
+    return files.union_pages([keys.where("o_orderkey % 2 = 0"), keys.where("o_orderkey % 2 = 1")])
+
+
+@_query("select l.uopid, l.lat as lat, abs(least(l.lat, r.lat) + (greatest(l.lat, r.lat) - least(l.lat, r.lat)) / 2) as mid, case when abs(l.lat - r.lat) * 10 < 5 then 12 when abs(l.lat - r.lat) * 10 < 20 then 11 else 10 end as zoom from op l join op r on r.k = l.k + 1")
+def map_view(d):
+    o = d.ops()
+    r = o.select((F.col("k") - 1).alias("k"), F.col("lat").alias("lat2"))
+    return o.join(r, "k").select("uopid", "lat", m.center(F.col("lat"), F.col("lat2")).alias("mid"), m.zoom(F.abs(F.col("lat") - F.col("lat2")) * 10).alias("zoom"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact form of the shortest routes from the first operational point."""
+    d = derive.Derived(spark, sf_dir)
+    q = d.ops().select(F.col("uopid").alias("path"), F.array(F.lit("DE00001"), F.col("uopid")).alias("waypoints"))
+    return paths.compact(search.shortest_paths(d.edges(), q))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

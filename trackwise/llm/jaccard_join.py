@@ -7,9 +7,15 @@ shingles is bounded by ``COMMON``, and what it leaves out is merely ordered as
 rare.) Cutting an order into fragments cuts every document's set.
 
 1. Documents with equal sets become one node.
-2. Candidates. Two linked sets share a shingle of the first fragment of both:
-   the first ``n - ceil(t*n) + 1`` shingles. Nodes with such a shingle in common
-   are a group, and are tied to its smallest node.
+2. Candidates. The symmetric difference of two linked sets has at most
+   (1-t)/(1+t) * (|a|+|b|) shingles, so cut into one fragment more than that, one
+   fragment at least is equal in both. Where that leaves fragments of
+   ``LONG`` shingles or more (thresholds from 0.87 on), equal fragments of the
+   fingerprint range are the keys; size classes a factor t apart fix the number of
+   fragments, and a node has keys for its own class and the next larger one. For
+   lower thresholds, keys are the shingles of the first fragment of the global
+   order, the first ``n - ceil(t*n) + 1``, of which linked sets share one. Nodes
+   with a key in common are a group, and are tied to its smallest node.
 3. Each tied pair is tested by sizes and by a parity sketch of both sets, whose
    differing bits never exceed the sets' symmetric difference; for pairs that
    may link, partial overlaps are counted for each fragment of the fingerprint
@@ -21,7 +27,7 @@ rare.) Cutting an order into fragments cuts every document's set.
    which joins what belongs together; the second sends all pairs that are left.
 5. Components are contracted in a distributed way.
 
-No link is lost: both ends of a link are in one group, and step 4 tests each pair
+All ways give the same result. No link is lost: both ends of a link are in one group, and step 4 tests each pair
 of a group that isn't already connected.
 
 Defined cases: null, empty or blank text has an empty set and links with
@@ -45,6 +51,8 @@ from .textkernel import WordHashes, blank_words, mix, shingle_hashes, signed
 
 #: fragments in which the overlaps of a pair are counted separately
 FRAGMENTS = 4
+#: shingles in a fragment from which equal fragments are the keys
+LONG = 7
 #: nodes in a block of a large group
 BLOCK = 512
 #: shingles counted at once in a task, and most entries of the table of common shingles
@@ -77,8 +85,8 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0) if len(sketch) > words else sketch
 
 
-def _identify(k: int):
-    """A row for each document; the sketch with a node's first row in the task; and rows of shingles seen twice."""
+def _identify(k: int, count: bool):
+    """A row for each document; the sketch with a node's first row in the task; and, to count, rows of shingles seen twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, held, size = WordHashes(), set(), [], 0
@@ -98,8 +106,9 @@ def _identify(k: int):
                 if node is not None and node not in seen:
                     seen.add(node)
                     sketch = parity_sketch(s).tobytes()
-                    held.append(s)
-                    size += len(s)
+                    if count:
+                        held.append(s)
+                        size += len(s)
                 sizes.append(len(s))
                 nodes.append(node)
                 sketches.append(sketch)
@@ -118,6 +127,44 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n + (-num * n) // den + 1
 
 
+def size_classes(num: int, den: int, most: int = 1 << 40) -> list[int]:
+    """Upper sizes of the classes, each at least 1/t of the one before: partners are at most one class apart."""
+    tops = [1]
+    while tops[-1] < most:
+        tops.append(max(tops[-1] + 1, -(-tops[-1] * den // num)))
+    return tops
+
+
+def _equal_fragments(k: int, num: int, den: int):
+    tops = np.array(size_classes(num, den), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, seen = WordHashes(), set()
+        for batch in batches:
+            grams, nodes = [], []
+            for text in batch["text"].to_pylist():
+                s = _set_of(text, k, cache)
+                node = _node(s)
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                mine = int(np.searchsorted(tops, len(s)))
+                with np.errstate(over="ignore"):
+                    sums = np.zeros(len(s) + 1, np.uint64)
+                    np.cumsum(mix(s), out=sums[1:])
+                    for c in (mine, mine + 1):
+                        parts = (den - num) * 2 * int(tops[c]) // (den + num) + 1
+                        width = np.uint64(min((1 << 64) // parts, (1 << 64) - 1))
+                        edge = np.append(np.searchsorted(s, np.arange(parts, dtype=np.uint64) * width), len(s))
+                        inside = sums[edge[1:]] - sums[edge[:-1]] + np.diff(edge).astype(np.uint64)
+                        grams.append(signed(mix(mix(np.arange(parts, dtype=np.uint64) + np.uint64(c << 40)) + inside)))
+                        nodes.append(np.full(parts, node, np.int64))
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], ["gram", "node"])
+
+    return run
+
+
 def _prefixes(k: int, num: int, den: int, shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, place = shipped.value
@@ -322,7 +369,8 @@ class _Join:
         self.scratch = Scratch(self.spark, "jaccard-join")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.known = self.docs.where("doc_id is not null")
-        read = self.scratch.write(self.docs.mapInArrow(_identify(k), "doc_id long, n_shingles long, node long, sketch binary, gram long, times long"), "read")
+        self.equal = den + num >= 2 * LONG * (den - num)
+        read = self.scratch.write(self.docs.mapInArrow(_identify(k, not self.equal), "doc_id long, n_shingles long, node long, sketch binary, gram long, times long"), "read")
         self.common = read.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where("times > 7")
         self.rows = read.where("gram is null").select("doc_id", "n_shingles", "node")
         usable = read.where("node is not null and doc_id is not null")
@@ -331,11 +379,14 @@ class _Join:
         self.sketches = self.scratch.write(self.sketches, "sketches")
 
     def groups(self) -> DataFrame:
-        top = self.common.orderBy(F.desc("times"), "gram").limit(COMMON).collect()
-        grams = np.array([r["gram"] for r in top], np.int64).view(np.uint64)
-        order = np.argsort(grams)
-        shipped = self.spark.sparkContext.broadcast((grams[order], -order))  # ascending frequency
-        rows = self.known.select("text").mapInArrow(_prefixes(self.k, self.num, self.den, shipped), "gram long, node long")
+        if self.equal:
+            keys = _equal_fragments(self.k, self.num, self.den)
+        else:
+            top = self.common.orderBy(F.desc("times"), "gram").limit(COMMON).collect()
+            grams = np.array([r["gram"] for r in top], np.int64).view(np.uint64)
+            order = np.argsort(grams)
+            keys = _prefixes(self.k, self.num, self.den, self.spark.sparkContext.broadcast((grams[order], -order)))  # ascending frequency
+        rows = self.known.select("text").mapInArrow(keys, "gram long, node long")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return self.scratch.write(rows.repartition(parts, "gram").sortWithinPartitions("gram", "node").mapInArrow(_groups, "gram long, hub long, node long"), "groups")
 

@@ -2,7 +2,8 @@
 
 A token's index vector is sparse, ternary and seeded by the token itself; its
 word vector adds the index vectors of its neighbours over the training sample.
-Tokens outside the vocabulary fall back to the vector of their shape. A document
+Tokens outside the vocabulary fall back to the vector of their shape; a token
+that repeats one of the two before it has a vector of its own kind. A document
 is the mean of its tokens' vectors and the logarithm of their number. A network
 of one hidden layer is fitted in numpy; a held-back quarter of the sample
 calibrates the temperature of its probabilities.
@@ -32,7 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: stands for a token that equals one of the two before it
+AGAIN = "\0again"
 WIDTH, HIDDEN, NONZERO = 32, 24, 6
+#: neutral tokens added to every mean, so that a few words say little
+PULL = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,6 +53,12 @@ def _shape(token: str) -> str:
     return f"\0{case}{'+' if len(token) > 14 else ''}"
 
 
+def tokenize(text: str | None) -> list[str]:
+    """Words and runs of other characters; a token that repeats one of the two before it becomes ``AGAIN``."""
+    found = TOKEN.findall(text or "")
+    return [AGAIN if t == a or t == b else t for t, a, b in zip(found, ["", *found], ["", "", *found], strict=False)]
+
+
 def index_vector(token: str) -> np.ndarray:
     """Sparse ternary vector seeded by the token."""
     bits = xxhash.xxh3_128_intdigest(token.encode("utf-8", "surrogatepass"))
@@ -69,7 +80,7 @@ class QualityModel:
 
     def ids(self, text: str | None, shapes: dict[str, int]) -> list[int]:
         get, out = self.vocabulary.get, []
-        for token in TOKEN.findall(text or ""):
+        for token in tokenize(text):
             at = get(token)
             if at is None:
                 at = shapes.get(token)
@@ -88,7 +99,7 @@ class QualityModel:
                 # frequencies first: the sum over distinct tokens reads each vector once
                 distinct, times = np.unique(ids[low : low + chunk], return_counts=True)
                 out[i, :WIDTH] += times.astype(np.float32) @ self.vectors[distinct]
-            out[i, :WIDTH] /= max(1, len(ids))
+            out[i, :WIDTH] /= len(ids) + PULL
             out[i, WIDTH] = np.log1p(len(ids)) / 10
         return out
 
@@ -106,7 +117,7 @@ def word_vectors(tokens: list[list[str]], least: int = 3, most: int = 60_000) ->
     """Vocabulary (shapes included) and vectors: own index vector plus the mean of the neighbours'."""
     counts = Counter(t for doc in tokens for t in doc)
     known = [t for t, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c >= least][:most]
-    vocabulary = {"\0": 0}
+    vocabulary = {"\0": 0, AGAIN: 1}
     for t in known:
         vocabulary.setdefault(t, len(vocabulary))
     for t in sorted({_shape(t) for t in counts}):
@@ -160,7 +171,7 @@ def fit_model(texts: list[str | None], labels: list[int], positives: int, negati
         return QualityModel({"\0": 0}, np.zeros((1, WIDTH), np.float32), None, 1.0, prior)
     fit = np.arange(len(y)) % 4 != 3
     fit |= len(set(y[fit])) < 2
-    tokens = [TOKEN.findall(t or "") for t in texts]
+    tokens = [tokenize(t) for t in texts]
     vocabulary, vectors = word_vectors([t for t, f in zip(tokens, fit, strict=True) if f])
     model = QualityModel(vocabulary, vectors, None, 1.0, prior)
     x = model.features(texts, {})

@@ -102,7 +102,8 @@ def _ask(edges: DataFrame, questions: DataFrame, answer, schema: str) -> DataFra
             rows = [row for q in pdf.itertuples(index=False) for row in answer(shipped.value, q)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return questions.mapInPandas(run, schema)
+    # questions are few and dear: deal them out over all cores
+    return questions.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 
 def shortest_paths(edges: DataFrame, questions: DataFrame) -> DataFrame:

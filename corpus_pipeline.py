@@ -9,14 +9,21 @@ from trackwise.llm import decontaminate, jaccard_join, mixing, quality, sharding
 from trackwise.llm.shared import Scratch
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most 1000, which bounds buffers on both sides; the setting stays for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (a score of 0.5 or more)."""
+    _small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_documents(docs, model, tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked at 0.8 on five-word shingles, the one with the smallest doc_id."""
+    _small_batches(spark)
     found = jaccard_join.jaccard_components(docs, k=5, num=80, den=100)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
@@ -27,6 +34,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs."""
+    _small_batches(spark)
     hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = Scratch(spark, "contaminated").write(hits.where("size(starts) > 0").select("doc_id").distinct(), "ids")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -56,7 +56,7 @@ LONG = 7
 #: nodes in a block of a large group
 BLOCK = 512
 #: shingles counted at once in a task, and most entries of the table of common shingles
-COUNTED, COMMON = 1 << 22, 1 << 20
+COUNTED, COMMON = 1 << 21, 1 << 20
 
 
 def _set_of(text: str | None, k: int, cache: WordHashes) -> np.ndarray:

@@ -85,7 +85,7 @@ class QualityModel:
             if at is None:
                 at = shapes.get(token)
                 if at is None:
-                    if len(shapes) > 300_000:
+                    if len(shapes) > 100_000:
                         shapes.clear()
                     at = shapes[token] = get(_shape(token), 0)
             out.append(at)

@@ -9,6 +9,7 @@ parallel with a heap.
 from __future__ import annotations
 
 import heapq
+import operator
 from collections import defaultdict
 
 import pandas as pd
@@ -65,19 +66,36 @@ def dijkstra(graph: dict, source: str, target: str) -> list[str]:
 
 
 def pareto_labels(graph: dict, source: str, target: str, most: int | None = None) -> list[tuple[tuple[int, ...], list[str]]]:
-    """All non-dominated cost vectors with a witness each, in lexicographic order."""
+    """All non-dominated cost vectors with a witness each, in lexicographic order.
+
+    Labels leave the heap in lexicographic order and costs aren't negative, so a node's settled labels never have a larger
+    first component than a new one: only the other components are compared, and of two dimensions only the least second one.
+    """
     dims = len(next((c for arcs in graph.values() for _, c in arcs), (0,)))
-    fronts: dict[str, list[tuple[int, ...]]] = defaultdict(list)
+    fronts: dict = {}
     heap, out, serial = [((0,) * dims, 0, source, None)], [], 0
 
-    def beaten(node: str, cost: tuple[int, ...]) -> bool:
-        return any(all(a <= b for a, b in zip(f, cost, strict=True)) for f in fronts[node])
+    if dims == 2:
+
+        def beaten(node: str, cost: tuple[int, ...]) -> bool:
+            least = fronts.get(node)
+            return least is not None and least <= cost[1]
+
+        def settle(node: str, cost: tuple[int, ...]) -> None:
+            fronts[node] = cost[1]
+    else:
+
+        def beaten(node: str, cost: tuple[int, ...]) -> bool:
+            return any(all(a <= b for a, b in zip(f, cost[1:], strict=True)) for f in fronts.get(node, ()))
+
+        def settle(node: str, cost: tuple[int, ...]) -> None:
+            fronts.setdefault(node, []).append(cost[1:])
 
     while heap and (most is None or len(out) < most):
         cost, _, node, before = heapq.heappop(heap)
         if beaten(node, cost) or beaten(target, cost):
             continue
-        fronts[node].append(cost)
+        settle(node, cost)
         label = (node, before)
         if node == target:
             trail, at = [], label
@@ -87,8 +105,8 @@ def pareto_labels(graph: dict, source: str, target: str, most: int | None = None
             out.append((cost, trail[::-1]))
             continue
         for head, c in graph.get(node, ()):
-            new = tuple(a + b for a, b in zip(cost, c, strict=True))
-            if not beaten(head, new):
+            new = tuple(map(operator.add, cost, c))
+            if not (beaten(head, new) or beaten(target, new)):
                 serial += 1
                 heapq.heappush(heap, (new, serial, head, label))
     return out

@@ -29,8 +29,14 @@ SCHEMAS = {
 
 
 def read_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A JSON document that is one array of records."""
-    return spark.read.schema(SCHEMAS[name]).option("multiLine", True).json(f"{folder}/{name}.json")
+    """A JSON document that is one array of records, or a folder of JSON lines as ``write_dataset`` leaves it."""
+    path = f"{folder}/{name}.json"
+    return spark.read.schema(SCHEMAS[name]).option("multiLine", not exists(spark, f"{path}/_SUCCESS")).json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
 def write_dataset(df: DataFrame, folder: str, name: str) -> None:
@@ -54,9 +60,7 @@ def union_pages(pages: list[DataFrame]) -> DataFrame:
 
 def cached(spark: SparkSession, path: str, load: Callable[[], DataFrame], use_cache: bool = True) -> DataFrame:
     """A written table that is read if it exists, and loaded and written otherwise."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not (use_cache and at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)):
+    if not (use_cache and exists(spark, f"{path}/_SUCCESS")):
         load().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -10,8 +10,9 @@ from trackwise.llm.shared import Scratch
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of at most 1000, which bounds buffers on both sides; the setting stays for the session."""
+    """Texts go to Python in batches of about 8 MB and at most 1000 rows, which bounds buffers on both sides; the settings stay for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

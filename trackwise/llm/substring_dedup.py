@@ -180,7 +180,7 @@ def _remove(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, max_runs: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, max_runs: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed word spans [starts, ends) of each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")

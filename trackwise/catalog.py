@@ -325,7 +325,7 @@ def mo_arcs(d):
  select 'DE00001' as source, node, runs, cost from (select node, runs, min(cost) as cost, min(min(cost)) over (partition by node order by runs rows between unbounded preceding and 1 preceding) as fewer from pf group by node, runs) where fewer is null or cost < fewer"""))
 def pareto_front(d):
     start = d.spark.range(1).select(F.lit("DE00001").alias("source"))
-    return search.pareto_front(d.edges(), start, 4)
+    return search.pareto_front(d.edges(), start)
 
 
 def _some_questions(d):

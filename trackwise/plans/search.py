@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import operator
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -182,27 +183,56 @@ def pareto_solutions(arcs: DataFrame, questions: DataFrame, most: int | None = N
     return _ask(edges, questions.select("source", "target"), answer, "source string, target string, sol int, costs array<long>, nodes array<string>")
 
 
-def pareto_front(edges: DataFrame, sources: DataFrame, most_runs: int = 12) -> DataFrame:
-    """(source, node, runs, cost): cheapest cost with at most each number of line runs, where one more run is cheaper; by rounds of joins.
+def _ride(arcs, starts) -> dict[str, int]:
+    """Cheapest cost to each node along one line's arcs (src, dst, cost), boarding it at any of the starts (cost, node)."""
+    out = defaultdict(list)
+    for a in arcs:
+        out[a["src"]].append((a["dst"], a["cost"]))
+    done, heap = {}, [(s["cost"], s["node"]) for s in starts]
+    heapq.heapify(heap)
+    while heap:
+        cost, node = heapq.heappop(heap)
+        if node in done:
+            continue
+        done[node] = cost
+        for head, c in out.get(node, ()):
+            if head not in done:
+                heapq.heappush(heap, (cost + c, head))
+    return done
 
-    A run costs twice 10 on boarding and alighting, so the front of the expanded graph is (20 * runs, cost).
+
+def pareto_front(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, runs, cost): cheapest cost with at most each number of line runs, where one more run is cheaper; one round for each run.
+
+    A run costs twice 10 on boarding and alighting, so the front of the expanded graph is (20 * runs, cost). A round boards
+    every line at the nodes that the round before made cheaper; one line's arcs are in memory at a time. It ends when no
+    node gets cheaper, which with costs of 0 or more is at fewer runs than there are nodes.
     """
-    arcs = cut(edges.groupBy("src", "dst", "country", "line").agg(F.min("cost").alias("cost")))
-    state = ["source", "node", "country", "line", "runs"]
-    start = sources.select("source", F.col("source").alias("node"), F.lit("").alias("country"), F.lit("").alias("line"), F.lit(0).alias("runs"), F.lit(0).cast("long").alias("cost"))
-    best = front = cut(start)
-    while not front.isEmpty():
-        moves = front.select("source", F.col("node").alias("src"), F.col("country").alias("c0"), F.col("line").alias("l0"), "runs", F.col("cost").alias("so_far")).join(arcs, "src")
-        same = (F.col("c0") == F.col("country")) & (F.col("l0") == F.col("line"))
-        moves = moves.withColumn("runs", F.col("runs") + F.when(same, 0).otherwise(1)).where(F.col("runs") <= most_runs)
-        step = moves.groupBy("source", F.col("dst").alias("node"), "country", "line", "runs").agg(F.min(F.col("so_far") + F.col("cost")).alias("new"))
-        merged = best.join(step, state, "full")
+    arcs = edges.groupBy("src", "dst", "country", "line").agg(F.min("cost").alias("cost"))
+    lines = cut(arcs.groupBy("country", "line").agg(F.collect_list(F.struct("src", "dst", "cost")).alias("arcs")))
+    stops = cut(arcs.select("country", "line", F.col("src").alias("node")).distinct())
+
+    def ride(batches):
+        for pdf in batches:
+            for q in pdf.itertuples(index=False):
+                reached = _ride(q.arcs, q.starts)
+                yield pd.DataFrame({"source": q.source, "node": list(reached), "new": list(reached.values())})
+
+    best = front = cut(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("runs"), F.lit(0).cast("long").alias("cost")).distinct())
+    found, runs = [front], 0
+    while True:
+        runs += 1
+        boarded = front.join(stops, "node").groupBy("source", "country", "line").agg(F.collect_list(F.struct("cost", "node")).alias("starts"))
+        # lines are few and dear: deal them out over all cores
+        dealt = boarded.join(lines, ["country", "line"]).select("source", "starts", "arcs").repartition(edges.sparkSession.sparkContext.defaultParallelism)
+        step = dealt.mapInPandas(ride, "source string, node string, new long").groupBy("source", "node").agg(F.min("new").alias("new"))
+        merged = best.join(step, ["source", "node"], "full")
         better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))
-        best = cut(merged.select(*state, F.when(better, F.col("new")).otherwise(F.col("cost")).alias("cost"), better.alias("moved")))
-        front, best = best.where("moved").drop("moved"), best.drop("moved")
-    per = best.groupBy("source", "node", "runs").agg(F.min("cost").alias("cost"))
-    fewer = F.min("cost").over(Window.partitionBy("source", "node").orderBy("runs").rowsBetween(Window.unboundedPreceding, -1))
-    return per.withColumn("fewer", fewer).where("fewer is null or cost < fewer").drop("fewer")
+        best = cut(merged.select("source", "node", F.when(better, F.lit(runs)).otherwise(F.col("runs")).alias("runs"), F.when(better, F.col("new")).otherwise(F.col("cost")).alias("cost")))
+        front = best.where(F.col("runs") == runs)
+        if front.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(front)
 
 
 def choose_solution(front: DataFrame, percent: float) -> DataFrame:

@@ -41,3 +41,52 @@ def test_pareto_front_ends_at_the_cheapest(spark):
         got[r.node].append((r.runs, r.cost))
     cheapest = {r.node: r.cost for r in entry.queries()["shortest_cost_all"](spark, "/root/testdata/sf0.01").collect()}
     assert {n: max(f)[1] for n, f in got.items()} == cheapest and all(min(f)[1] >= max(f)[1] for f in got.values())
+
+
+def _front(vectors):
+    return sorted(c for c in vectors if not any(o != c and all(x <= y for x, y in zip(o, c, strict=True)) for o in vectors))
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 4])
+def test_fronts_of_all_targets(dims):
+    """One search for all targets, parallel arcs included, against enumeration of simple paths."""
+    rng = random.Random(dims)
+    for _ in range(10):
+        graph = {a: [(b, tuple(rng.randint(0, 9) for _ in range(dims))) for b in range(6) if b != a for _ in range(rng.randrange(3))] for a in range(6)}
+        costs, stack = defaultdict(set), [(0, (0,) * dims, {0})]
+        while stack:
+            node, cost, seen = stack.pop()
+            costs[node].add(cost)
+            stack += [(h, tuple(x + y for x, y in zip(cost, c, strict=True)), seen | {h}) for h, c in graph[node] if h not in seen]
+        got = search.pareto_fronts(graph, 0, list(range(6)))
+        assert {t: [c for c, _ in f] for t, f in got.items()} == {t: _front(costs[t]) for t in range(6)}
+        assert {t: f[:2] for t, f in got.items()} == search.pareto_fronts(graph, 0, list(range(6)), 2)
+
+
+def test_pareto_solutions_of_all_targets(spark, derived):
+    """Each operational point is asked, over all lines, and has its whole front."""
+    points = {r.uopid for r in derived.ops().collect()}
+    got, front = defaultdict(list), defaultdict(list)
+    for r in entry.queries()["pareto_solutions"](spark, SF).collect():
+        got[r.target].append(tuple(r.costs))
+    for r in entry.queries()["pareto_front"](spark, SF).collect():
+        front[r.node].append((20 * r.runs, r.cost))
+    assert set(got) == points and {t: sorted(c) for t, c in got.items()} == {t: sorted(c) for t, c in front.items()}
+
+
+def test_pareto_dim3_of_all_edges(spark, derived):
+    """Against fronts of vectors that grow by every edge of every line until nothing changes."""
+    edges = {(r.src, r.dst, r.cost, r.speed) for r in derived.edges().collect()}
+    want = {"DE00001": [(0, 0, 0)]}
+    while True:
+        more = {n: set(f) for n, f in want.items()}
+        for src, dst, cost, speed in edges:
+            more.setdefault(dst, set()).update((a + cost, b + 1, c + speed) for a, b, c in want.get(src, ()))
+        more = {n: _front(f) for n, f in more.items() if f}
+        if more == want:
+            break
+        want = more
+    got = defaultdict(list)
+    for r in sorted(entry.queries()["pareto_dim3"](spark, SF).collect(), key=lambda r: r.sol):
+        got[r.target].append(tuple(r.costs))
+    assert got == want

@@ -328,20 +328,20 @@ def pareto_front(d):
     return search.pareto_front(d.edges(), start)
 
 
-def _some_questions(d):
-    return d.ops().where("k % 25 = 0").select(F.lit("DE00001").alias("source"), F.col("uopid").alias("target"))
+def _questions(d):
+    return d.ops().select(F.lit("DE00001").alias("source"), F.col("uopid").alias("target"))
 
 
 @_query()
 def pareto_solutions(d):
     arcs = search.expand(d.edges()).select("tail", "head", F.array("line_cost", "distance_cost").alias("costs"))
-    return search.pareto_solutions(arcs, _some_questions(d), 5)
+    return search.pareto_solutions(arcs, _questions(d))
 
 
 @_query()
 def pareto_dim3(d):
-    arcs = paths.cheapest_edges(d.edges().where("line in ('L01', 'L02', 'L03')")).select(F.col("src").alias("tail"), F.col("dst").alias("head"), F.array(F.col("cost"), F.lit(1).cast("long"), F.col("speed").cast("long")).alias("costs"))
-    return search.pareto_solutions(arcs, _some_questions(d), 5)
+    arcs = d.edges().select(F.col("src").alias("tail"), F.col("dst").alias("head"), F.array(F.col("cost"), F.lit(1).cast("long"), F.col("speed").cast("long")).alias("costs")).distinct()
+    return search.pareto_solutions(arcs, _questions(d))
 
 
 @_query("""select question, sol, cost from (select o_custkey as question, o_orderkey as sol, cast(round_even(o_totalprice, 0) as bigint) as cost, count(*) over w as n, min(o_orderkey) over w as one,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import operator
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from functools import reduce
 
@@ -67,14 +68,23 @@ def dijkstra(graph: dict, source: str, target: str) -> list[str]:
 
 
 def pareto_labels(graph: dict, source: str, target: str, most: int | None = None) -> list[tuple[tuple[int, ...], list[str]]]:
-    """All non-dominated cost vectors with a witness each, in lexicographic order.
+    """All non-dominated cost vectors with a witness each, in lexicographic order."""
+    return pareto_fronts(graph, source, [target], most)[target]
+
+
+def pareto_fronts(graph: dict, source: str, targets: list[str], most: int | None = None) -> dict[str, list[tuple[tuple[int, ...], list[str]]]]:
+    """Of each target, all non-dominated cost vectors with a witness each, in lexicographic order; one search for all targets.
 
     Labels leave the heap in lexicographic order and costs aren't negative, so a node's settled labels never have a larger
-    first component than a new one: only the other components are compared, and of two dimensions only the least second one.
+    first component than a new one: only the other components are compared. Of two dimensions only the least second one
+    counts; of three, the settled labels are a staircase that is searched by halves.
     """
     dims = len(next((c for arcs in graph.values() for _, c in arcs), (0,)))
     fronts: dict = {}
-    heap, out, serial = [((0,) * dims, 0, source, None)], [], 0
+    heap, out, serial = [((0,) * dims, 0, source, None)], {t: [] for t in targets}, 0
+    wanted = len(out) if most is None or most > 0 else 0
+    # with one target, labels that it beats lead nowhere
+    only = targets[0] if len(out) == 1 else None
 
     if dims == 2:
 
@@ -84,6 +94,21 @@ def pareto_labels(graph: dict, source: str, target: str, most: int | None = None
 
         def settle(node: str, cost: tuple[int, ...]) -> None:
             fronts[node] = cost[1]
+    elif dims == 3:
+
+        def beaten(node: str, cost: tuple[int, ...]) -> bool:
+            steps = fronts.get(node)
+            if steps is None:
+                return False
+            i = bisect_right(steps[0], cost[1])
+            return i > 0 and steps[1][i - 1] <= cost[2]
+
+        def settle(node: str, cost: tuple[int, ...]) -> None:
+            second, third = fronts.setdefault(node, ([], []))
+            i = j = bisect_left(second, cost[1])
+            while j < len(second) and third[j] >= cost[2]:
+                j += 1
+            second[i:j], third[i:j] = [cost[1]], [cost[2]]
     else:
 
         def beaten(node: str, cost: tuple[int, ...]) -> bool:
@@ -92,22 +117,25 @@ def pareto_labels(graph: dict, source: str, target: str, most: int | None = None
         def settle(node: str, cost: tuple[int, ...]) -> None:
             fronts.setdefault(node, []).append(cost[1:])
 
-    while heap and (most is None or len(out) < most):
+    while heap and wanted:
         cost, _, node, before = heapq.heappop(heap)
-        if beaten(node, cost) or beaten(target, cost):
+        if beaten(node, cost) or (only is not None and beaten(only, cost)):
             continue
         settle(node, cost)
         label = (node, before)
-        if node == target:
+        found = out.get(node)
+        if found is not None and (most is None or len(found) < most):
             trail, at = [], label
             while at:
                 trail.append(at[0])
                 at = at[1]
-            out.append((cost, trail[::-1]))
+            found.append((cost, trail[::-1]))
+            wanted -= len(found) == most
+        if node == only:
             continue
         for head, c in graph.get(node, ()):
             new = tuple(map(operator.add, cost, c))
-            if not (beaten(head, new) or beaten(target, new)):
+            if not (beaten(head, new) or (only is not None and beaten(only, new))):
                 serial += 1
                 heapq.heappush(heap, (new, serial, head, label))
     return out
@@ -173,14 +201,19 @@ def _dense(df: DataFrame, key: str) -> DataFrame:
 
 
 def pareto_solutions(arcs: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
-    """arcs (tail, head, costs) and questions (source, target) -> (source, target, sol, costs, nodes), all of the front, or its first ``most``."""
+    """arcs (tail, head, costs) and questions (source, target) -> (source, target, sol, costs, nodes), all of the front, or its first ``most``.
+
+    The targets of one source are answered by one search.
+    """
 
     def answer(graph, q):
-        for i, (cost, nodes) in enumerate(pareto_labels(graph, q.source, q.target, most), 1):
-            yield q.source, q.target, i, list(cost), nodes
+        for target, front in pareto_fronts(graph, q.source, list(q.targets), most).items():
+            for i, (cost, nodes) in enumerate(front, 1):
+                yield q.source, target, i, list(cost), nodes
 
     edges = arcs.select(F.col("tail").alias("src"), F.col("head").alias("dst"), "costs")
-    return _ask(edges, questions.select("source", "target"), answer, "source string, target string, sol int, costs array<long>, nodes array<string>")
+    asked = questions.groupBy("source").agg(F.collect_set("target").alias("targets"))
+    return _ask(edges, asked, answer, "source string, target string, sol int, costs array<long>, nodes array<string>")
 
 
 def _ride(arcs, starts) -> dict[str, int]:

@@ -90,3 +90,21 @@ def test_pareto_dim3_of_all_edges(spark, derived):
     for r in sorted(entry.queries()["pareto_dim3"](spark, SF).collect(), key=lambda r: r.sol):
         got[r.target].append(tuple(r.costs))
     assert got == want
+
+
+def test_components_of_all_lines(spark, derived, monkeypatch):
+    """Against union-find over every line, on a network where some points are joined by other lines than L01 and L02 only."""
+    part = derived.locations().where("line not in ('L01', 'L02') or k <= 3").localCheckpoint()
+    monkeypatch.setattr(derive.Derived, "locations", lambda d: part)
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in derived.forward().collect():
+        a, b = sorted((root(r.src), root(r.dst)))
+        up[b] = a
+    got = entry.queries()["components"](spark, SF).collect()
+    assert len(up) > 3 and len(got) == len(up) and {r.node: r.component for r in got} == {n: root(n) for n in up}

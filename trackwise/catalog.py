@@ -423,8 +423,7 @@ def line_graph_stats(d):
 @_query(_recursive("""un as (select distinct least(src, dst) as a, greatest(src, dst) as b from ed where line in ('L01', 'L02')), ue as (select a, b from un union select b, a from un),
  rc(node, seen) as (select a, a from ue union select ue.b, rc.seen from rc join ue on ue.a = rc.node) select node, min(seen) as component from rc group by node"""))
 def components(d):
-    pairs = network.undirected(d.forward().where("line in ('L01', 'L02')"))
-    return network.components(pairs).select("node", "component")
+    return network.components(network.undirected(d.forward())).select("node", "component")
 
 
 @_query("(select s_suppkey, s_nationkey, 'before' as side from supplier where s_suppkey % 9 = 0) union all (select s_suppkey, -1, 'after' from supplier where s_suppkey % 9 = 0)")

@@ -66,7 +66,7 @@ class Derived:
 
     def tunnels(self) -> DataFrame:
         k = F.col("o_orderkey")
-        return self.table("orders").where("o_orderkey % 20 = 0").select(
+        return self.table("orders").select(
             F.concat(F.lit("T"), k % 500).alias("tunnel"), F.lit("DEU").alias("country"), F.concat(F.lit("L"), F.lpad((k % 40).cast("string"), 2, "0")).alias("line"), F.col("o_totalprice").alias("length"), (k.cast("double") / 10).alias("start_km"), k.alias("idx"),
             F.concat(F.lit("LINESTRING ("), (k % 20).cast("string"), F.lit(".5 48.25, "), (k % 20).cast("string"), F.lit(".75 48.5)")).alias("wkt"),
         )

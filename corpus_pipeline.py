@@ -22,23 +22,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score_documents(docs, model, tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key for each pair of doc_id and text, nulls included; rows that agree in both are one document."""
+    return docs.withColumn("_key", F.xxhash64(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")))
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked at 0.8 on five-word shingles, the one with the smallest doc_id."""
+    """Of each component of documents linked at 0.8 on five-word shingles, the one with the smallest doc_id.
+
+    Rows are judged by doc_id and text: of rows that agree in both one is kept, rows of one doc_id with other texts are
+    documents of their own, and rows without a doc_id take part and come last in a component.
+    """
     _small_batches(spark)
-    found = jaccard_join.jaccard_components(docs, k=5, num=80, den=100)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    # repeated rows are copies, too
-    kept = kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return kept.select(*docs.columns)
+    keyed = _keyed(docs)
+    found = jaccard_join.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), k=5, num=80, den=100)
+    named = found.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(keyed.select("_key", "doc_id"), "_key")
+    first = named.groupBy("component_id").agg(F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key")).select("_key")
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no ten-word window of a benchmark item occurs."""
+    """Documents in which no ten-word window of a benchmark item occurs; judged by doc_id and text, so other rows of one doc_id and rows without one are judged by their own text."""
     _small_batches(spark)
-    hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = Scratch(spark, "contaminated").write(hits.where("size(starts) > 0").select("doc_id").distinct(), "ids")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    hits = decontaminate.contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = Scratch(spark, "contaminated").write(hits.where("size(starts) > 0").select(F.col("doc_id").alias("_key")).distinct(), "ids")
+    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 #: share of the tokens that the mixture takes, weights of the languages, seed of the order
@@ -46,7 +55,7 @@ MIX_SHARE, MIX_WEIGHTS, MIX_SEED = 80, {"lang": {"en": 4, "de": 2, "fr": 2, "es"
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A prefix of each source's seeded order, at most once each, by hierarchical budgets."""
+    """A prefix of each source's seeded order, at most once each, by hierarchical budgets; rows of one doc_id, or without one, share a place in the order."""
     leaf = docs.withColumns({"_domain": mixing.domain_of(F.col("source")), "_tokens": mixing.token_count(F.col("text"))})
     rows = leaf.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("n_tokens"))
     plan = mixing.leaf_plan(rows, MIX_SHARE, MIX_WEIGHTS, 1, MIX_SEED, Scratch(spark, "mixing"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,8 +38,8 @@ def read_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    system, at = file_system(spark, path)
+    return system.exists(at)
 
 
 def write_dataset(df: DataFrame, folder: str, name: str) -> None:
@@ -106,13 +109,44 @@ def metadata(spark: SparkSession, endpoint: str, ontology: str, revision: str, c
     return spark.range(1).select(F.lit(endpoint).alias("Endpoint"), F.lit(ontology).alias("Ontology"), F.lit(revision).alias("Revision"), F.lit("trackwise").alias("Program"), F.array(*map(F.lit, countries)).cast("array<string>").alias("Countries"), F.current_timestamp().alias("Date"))
 
 
+#: temporary folders of local sessions, by application
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local session (tests, bench) gets a temporary folder, a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _LOCAL:
+        made = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="trackwise-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{_LOCAL[context.applicationId]}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Spark's own storage layer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, at = file_system(spark, path)
+    system.delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='trackwise-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the table of a ``cut`` that nothing reads any more."""
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        if path.rpartition("/")[2].startswith("table-"):
+            remove(df.sparkSession, path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from trackwise.llm import chat_format, decontaminate, jaccard_join, license_scan, merkle, mixing, quality, secret_scan, sharding, substring_dedup  # noqa: E402
 from trackwise.llm.shared import Scratch, connected_components  # noqa: E402
-from trackwise.llm.textkernel import Powers, rolling, sliding_min  # noqa: E402
+from trackwise.llm.textkernel import WordLanes, blank_words, sequence_hashes, sliding_min  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label string, shard string, row long, node long"
 
@@ -64,9 +64,11 @@ def rows_of(df):
 def test_kernels():
     x = np.arange(20, dtype=np.uint64)[::-1].copy()
     assert [int(v) for v in sliding_min(x, 7)] == [min(x[i : i + 7]) for i in range(14)]
-    w = np.array([1, 2, 3, 1, 2, 3, 4], np.uint64)
-    h = rolling(w, 3, Powers(0xD6E8FEB86659FD93))
-    assert h[0] == h[3] and len(set(h.tolist())) == 4
+    lanes = WordLanes(3).of([b"a", b"b", b"c", b"a", b"b", b"c", b"d", b"d"])
+    for k, h in zip((1, 3, 6), sequence_hashes(lanes, 1, 3, 6), strict=True):
+        assert h.shape == (2, 9 - k) and (k == 6 or (h[:, 0] == h[:, 3]).all())
+        assert len({tuple(x) for x in h.T.tolist()}) == {1: 4, 3: 5, 6: 3}[k]
+    assert sequence_hashes(lanes[:, :2], 3)[0].shape[1] == 0
 
 
 def test_components(spark):
@@ -145,19 +147,56 @@ def brute_dedup(pairs, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("batches", "runs"), [(1, 2), (4, 1)])
-def test_substring_dedup(spark, batches, runs):
+@pytest.mark.parametrize(("cuts", "runs"), [((), 2), ((0.3, 0.5, 0.7), 1), ((0.2, 0.4, 0.6, 0.8), 9)])
+def test_substring_dedup(spark, cuts, runs):
     texts = corpus(3)
     ids = [*range(len(texts))]
     texts += [texts[20], texts[21] + " more", texts[20]]  # repeated ids with equal and other texts
     ids += [20, 20, 90]
-    got = substring_dedup.substring_dedup(docs(spark, texts, ids), window=20, batches=batches, max_runs=runs)
+    d = docs(spark, texts, ids).withColumns({c: F.lit(1) for c in ("h", "g", "whole", "seq", "first", "old")})
+    got = substring_dedup.substring_dedup(d, window=20, cuts=cuts, max_runs=runs)
     assert rows_of(got.select("doc_id", "n_words", "n_removed", "kept_sha256")) == brute_dedup(list(zip(ids, texts, strict=True)), 20)
+    for r in got.collect():
+        assert sum(r["ends"]) - sum(r["starts"]) == r["n_removed"]
 
 
 def test_substring_dedup_empty(spark):
     assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
     assert substring_dedup.substring_dedup(docs(spark, [None, "a b"], [None, 1])).count() == 2
+    w = " ".join(f"w{i}" for i in range(60))
+    got = substring_dedup.substring_dedup(docs(spark, [w, w, w, w], [None, 3, None, 9])).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("3", 0), ("9", 60), ("None", 0), ("None", 0)]
+
+
+def test_substring_dedup_of_balanced_patterns(spark):
+    """Texts of two words in Thue-Morse order, which polynomial hashes modulo 2**64 can't tell apart, and long texts."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = [" ".join(f"{('alpha', 'beta')[b ^ flip]} u{i}" for i, b in enumerate(bits)) for flip in (0, 1)]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs(spark, texts)).collect()}
+    assert [got[i]["n_removed"] for i in (0, 1)] == [0, 0] and got[1]["kept_sha256"] == sha(texts[1])
+    long = " ".join(f"v{i % 70000}" for i in range(300_000))
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs(spark, [long, "x " + long[:500_000] + " y"])).collect()}
+    assert got[0]["n_removed"] == 0 and got[1]["n_words"] - got[1]["n_removed"] <= 4
+
+
+def test_log_between_calls(spark, tmp_path):
+    """Batches in calls of their own, with a new object each, are judged as one table in the order of the calls."""
+    texts = corpus(4)
+    d = docs(spark, texts)
+    root, out = f"file://{tmp_path}/log", []
+    for low, high in ((0, 10), (10, 12), (12, 40), (40, 99)):
+        log = substring_dedup.FingerprintLog(spark, root, 20, max_runs=2)
+        part = d.where(f"doc_id >= {low} and doc_id < {high}")
+        out += rows_of(log.add(part, d.where(f"doc_id < {low}")).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    assert sorted(out) == brute_dedup(list(enumerate(texts)), 20)
+    assert log.runs() == [(0, 2), (3, 3)]
+    log.compact()
+    assert log.runs() == [(0, 3)]
+    # a call that is lost before its commit changes nothing
+    (tmp_path / "log" / "pending-x").mkdir()
+    assert substring_dedup.FingerprintLog(spark, root, 20).runs() == [(0, 3)]
+    again = substring_dedup.FingerprintLog(spark, root, 20).add(docs(spark, [texts[30], "new " * 5], [200, 201]), d).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in again) == [(200, len(words(texts[30])) if len(words(texts[30])) >= 20 else 0), (201, 0)]
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------

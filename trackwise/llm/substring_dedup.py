@@ -3,129 +3,131 @@
 A window is ``window`` consecutive words. Its fingerprint is the smallest hash
 of the word grams of half its length, so equal windows have equal fingerprints
 and neighbouring windows mostly share one: a document has about one fingerprint
-per fourteen windows. The index is a log of immutable runs, each a batch's
-(fingerprint, doc_id) postings sorted by fingerprint. Every new batch is
-merge-joined with the runs before it; runs are compacted when there are more
-than ``max_runs``. Windows whose fingerprint is repeated are then verified by
-96 bits of two independent hashes of their whole word sequence, against the
-smallest doc_id that has that sequence.
+per fourteen windows.
+
+The index is a log in a folder that outlives a call. ``add`` takes a batch of
+documents, which come after all documents added before:
+
+1. Its (fingerprint, doc_id) postings become a sorted run, not yet committed.
+2. The run's keys are merge-joined with those of the earlier runs; a key that an
+   earlier run or another document of the batch has is repeated.
+3. Windows with a repeated fingerprint are verified: by 128 bits of the hash of
+   their whole word sequence, against those of the batch and of the earlier
+   documents that share a fingerprint, whose texts the caller's corpus has.
+4. The verified result is written, then the run is committed by one renaming.
+
+So a call that is lost leaves the log as it was. ``compact`` merges the runs into
+one, split by ranges of (fingerprint, doc_id), so that a frequent fingerprint is
+no task of its own, and leaves out documents that only copy an earlier one; it is
+called by ``add`` when there are more than ``max_runs``. What it replaces counts
+as removed from the moment of its commit, and is deleted then or by the next call.
+
+A document whose whole word sequence an earlier one has (128-bit hash of its
+text's words) loses all words without looking at its windows.
 
 Defined cases: null or empty text has no words and no windows; a text with
 fewer words than a window loses nothing; rows with one doc_id are judged
 separately and don't remove each other's words; a null doc_id is compared with
 nothing and keeps all its words; an empty table gives an empty result; other
-columns of the input are ignored.
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import file_system, remove, shared_folder
 from .shared import Scratch
-from .textkernel import Powers, WordHashes, blank_words, mix, rolling, signed, sliding_min
+from .textkernel import WordLanes, blank_words, sequence_hashes, signed, sliding_min
+
+#: words that are hashed at once, unless one text has more
+CHUNK = 1 << 16
+POSTING = "h long, g long, doc_id long, whole boolean"
+KEY = ["h", "g", "whole"]
+
 
-_BASE_GRAM, _BASE_1, _BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_SALT = np.uint64(0x5851F42D4C957F2D)
+def _whole(words: list[bytes]) -> tuple[int, int]:
+    """128-bit identity of a word sequence, as two signed numbers."""
+    digest = xxhash.xxh3_128_digest(b" ".join(words))
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def _fingerprints(w: np.ndarray, window: int, powers: Powers) -> np.ndarray:
+def _chunks(rows: Iterator[tuple], text_at: int) -> Iterator[list[tuple]]:
+    """Lists of (row, words) with about ``CHUNK`` words together."""
+    held, size = [], 0
+    for row in rows:
+        words = blank_words(row[text_at])
+        held.append((row, words))
+        size += len(words)
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _hashed(chunk: list[tuple], cache: WordLanes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a chunk one after another: where each text begins, window fingerprints, and both lanes of window hashes.
+
+    Values at windows that reach over the end of a text mean nothing.
+    """
+    starts = np.cumsum([0, *(len(words) for _, words in chunk)])
+    lanes = cache.of([w for _, words in chunk for w in words])
     gram = window // 2
-    return sliding_min(mix(rolling(w, gram, powers)), window - gram + 1)
+    grams, windows = sequence_hashes(lanes, gram, window)
+    n = max(0, lanes.shape[1] - window + 1)
+    prints = sliding_min(grams[0], window - gram + 1) if n else np.empty(0, np.uint64)
+    return starts, prints, windows[:, :n]
 
 
-def _whole(w: np.ndarray, powers: Powers) -> int:
-    """Hash of a text's whole word sequence, as a signed 64-bit number."""
-    n = len(w)
-    h = mix(rolling(w, n, powers) + np.uint64(n)) if n else mix(np.zeros(1, np.uint64))
-    return int(signed(h)[0])
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(batch[c].to_pylist() for c in names), strict=True)
 
 
 def _postings(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers, gram_powers = WordHashes(), Powers(_BASE_1), Powers(_BASE_GRAM)
+        cache = WordLanes()
         for batch in batches:
-            hs, ids, whole = [], [], []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                w = cache.of(blank_words(text))
-                if doc is None or len(w) < window:
-                    continue
-                f = signed(np.unique(_fingerprints(w, window, gram_powers)))
-                hs += [f, np.array([_whole(w, powers)], np.int64)]
-                ids.append(np.full(len(f) + 1, doc, np.int64))
-                flags = np.zeros(len(f) + 1, bool)
-                flags[-1] = True
-                whole.append(flags)
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, whole)], ["h", "doc_id", "whole"])
+            for chunk in _chunks(((d, t) for d, t in _rows(batch, "doc_id", "text") if d is not None), 1):
+                starts, prints, _ = _hashed(chunk, cache, window)
+                hs, gs, ids, whole = [], [], [], []
+                for ((doc, _), words), start in zip(chunk, starts.tolist(), strict=False):
+                    if len(words) < window:
+                        continue
+                    found = np.unique(prints[start : start + len(words) - window + 1])
+                    h, g = _whole(words)
+                    hs += [signed(found), np.array([h], np.int64)]
+                    gs += [np.zeros(len(found), np.int64), np.array([g], np.int64)]
+                    ids.append(np.full(len(found) + 1, doc, np.int64))
+                    whole.append(np.arange(len(found) + 1) == len(found))
+                if hs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, gs, ids, whole)], ["h", "g", "doc_id", "whole"])
 
     return run
 
 
-class FingerprintLog:
-    """Sorted immutable runs of (h, doc_id, whole), merge-joined with each new batch."""
-
-    def __init__(self, scratch: Scratch, max_runs: int = 2):
-        self.scratch, self.max_runs, self.runs, self.serial = scratch, max_runs, [], 0
-
-    def _store(self, rows: DataFrame) -> DataFrame:
-        self.serial += 1
-        name = f"run-{self.serial}"
-        spark = rows.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        table = self.scratch.write(rows.repartition(parts, "h").sortWithinPartitions("h", "doc_id"), name)
-        self.runs.append((name, table))
-        return table
-
-    def _key_ranges(self, table: DataFrame) -> DataFrame:
-        return table.groupBy("h", "whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        """Append a batch as a run; returns the keys (h, whole) that it repeats, in itself or in earlier runs."""
-        before = [table for _, table in self.runs]
-        keys = self._key_ranges(self._store(rows))
-        found = keys.where("first < last").select("h", "whole")
-        for table in before:
-            old = table.select("h", "whole").distinct()
-            found = found.unionByName(keys.select("h", "whole").join(old.hint("merge"), ["h", "whole"]))
-        return found.distinct()
-
-    def compact(self) -> None:
-        """Merge all runs into one sorted run."""
-        if len(self.runs) > self.max_runs:
-            old, self.runs = self.runs, []
-            merged = old[0][1]
-            for _, table in old[1:]:
-                merged = merged.unionByName(table)
-            self._store(merged)
-            for name, _ in old:
-                self.scratch.drop(name)
-
-    def postings(self) -> DataFrame:
-        merged = self.runs[0][1]
-        for _, table in self.runs[1:]:
-            merged = merged.unionByName(table)
-        return merged
-
-
 def _prepare(window: int):
-    """One row for each document; those with repeated fingerprints keep their text for the windows to come."""
+    """A row for each document; those with repeated fingerprints keep their text for the windows to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = WordHashes(), Powers(_BASE_1)
         for batch in batches:
             out = []
-            for doc, text, shared, copy_of in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "shared", "copy_of")), strict=True):
+            for doc, text, shared, copy_of in _rows(batch, "doc_id", "text", "shared", "copy_of"):
                 words = blank_words(text)
-                copy = bool(copy_of) and _whole(cache.of(words), powers) in copy_of
+                seq = _whole(words) if shared or copy_of else (0, 0)
+                copy = bool(copy_of) and seq in {(c["h"], c["g"]) for c in copy_of}
                 live = bool(shared) and not copy and len(words) >= window
                 kept = b"" if copy else b" ".join(words)
-                out.append((doc, _whole(cache.of(words), powers) if live else 0, len(words), len(words) if copy else 0, None if live else hashlib.sha256(kept).hexdigest(), text if live else None, shared if live else None))
+                out.append((doc, seq[0] if live else 0, len(words), len(words) if copy else 0, None if live else hashlib.sha256(kept).hexdigest(), text if live else None, shared if live else None))
             cols = list(zip(*out, strict=True)) or [[]] * 7
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "seq", "n_words", "n_removed", "kept_sha256", "text", "shared"])
@@ -134,18 +136,19 @@ def _prepare(window: int):
 
 
 def _windows(window: int):
+    """Hashes of the windows whose fingerprint is repeated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, gram, p1, p2 = WordHashes(), Powers(_BASE_GRAM), Powers(_BASE_1), Powers(_BASE_2)
+        cache = WordLanes()
         for batch in batches:
-            parts = [[], [], [], [], []]
-            for doc, seq, text, shared in zip(*(batch[c].to_pylist() for c in ("doc_id", "seq", "text", "shared")), strict=True):
-                w = cache.of(blank_words(text))
-                at = np.flatnonzero(np.isin(signed(_fingerprints(w, window, gram)), np.array(shared, np.int64)))
-                with np.errstate(over="ignore"):
-                    second = mix(rolling(mix(w ^ _SALT), window, p2))
-                for part, x in zip(parts, (signed(mix(rolling(w, window, p1)))[at], (second[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), doc, np.int64), np.full(len(at), seq, np.int64), at.astype(np.int32)), strict=True):
-                    part.append(x)
-            if parts[0]:
+            for chunk in _chunks(_rows(batch, "doc_id", "seq", "text", "shared"), 2):
+                starts, prints, windows = _hashed(chunk, cache, window)
+                parts: list[list[np.ndarray]] = [[], [], [], [], []]
+                for ((doc, seq, _, shared), words), start in zip(chunk, starts.tolist(), strict=False):
+                    n = max(0, len(words) - window + 1)
+                    at = np.flatnonzero(np.isin(signed(prints[start : start + n]), np.array(shared, np.int64)))
+                    for part, x in zip(parts, (signed(windows[0, start + at]), signed(windows[1, start + at]), np.full(len(at), doc, np.int64), np.full(len(at), seq, np.int64), at.astype(np.int32)), strict=True):
+                        part.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["k1", "k2", "doc_id", "seq", "pos"])
 
     return run
@@ -155,7 +158,7 @@ def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, n, gone, sha, text, at in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "text", "at")), strict=True):
+            for doc, n, gone, sha, text, at in _rows(batch, "doc_id", "n_words", "n_removed", "kept_sha256", "text", "at"):
                 spans: list[list[int]] = []
                 if text is not None:
                     words = blank_words(text)
@@ -180,34 +183,119 @@ def _remove(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, max_runs: int = 1) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the removed word spans [starts, ends) of each document."""
+class FingerprintLog:
+    """Sorted immutable runs ``run-<first batch>-<last batch>`` in a folder, each with its postings and the doc_ids of mere copies."""
+
+    def __init__(self, spark: SparkSession, root: str, window: int = 50, max_runs: int = 4):
+        self.spark, self.root, self.window, self.max_runs = spark, root.rstrip("/"), window, max_runs
+
+    def runs(self) -> list[tuple[int, int]]:
+        """Committed runs, without those that a larger one replaces (which are deleted)."""
+        system, at = file_system(self.spark, self.root)
+        names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+        found = [(int(m[1]), int(m[2])) for n in names if (m := re.fullmatch(r"run-(\d+)-(\d+)", n))]
+        live = [r for r in found if not any(r != o and o[0] <= r[0] and r[1] <= o[1] for o in found)]
+        for r in set(found) - set(live):
+            remove(self.spark, self._path(r))
+        return sorted(live)
+
+    def _path(self, run: tuple[int, int]) -> str:
+        return f"{self.root}/run-{run[0]:08d}-{run[1]:08d}"
+
+    def _read(self, runs: list[tuple[int, int]], table: str, schema: str) -> DataFrame:
+        paths = [f"{self._path(r)}/{table}" for r in runs]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _commit(self, pending: str, run: tuple[int, int]) -> None:
+        system, at = file_system(self.spark, pending)
+        if not system.rename(at, self.spark._jvm.org.apache.hadoop.fs.Path(self._path(run))):
+            raise OSError(f"{pending} can't be renamed")
+
+    def compact(self) -> None:
+        """Merge all runs into one."""
+        runs = self.runs()
+        if len(runs) < 2:
+            return
+        pending, run = f"{self.root}/pending-{uuid.uuid4().hex}", (runs[0][0], runs[-1][1])
+        postings, copies = self._read(runs, "postings", POSTING), self._read(runs, "copies", "doc_id long")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        merged = postings.join(copies, "doc_id", "left_anti").select("h", "g", "doc_id", "whole")
+        merged.repartitionByRange(parts, "h", "g", "doc_id").sortWithinPartitions("h", "g", "doc_id").write.parquet(f"{pending}/postings")
+        copies.limit(0).write.parquet(f"{pending}/copies")
+        self._commit(pending, run)
+        self.runs()
+
+    def add(self, docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+        """Judge and index a batch; corpus: the texts (doc_id, text) of the documents added before, other rows don't matter.
+
+        doc_id, n_words, n_removed, kept_sha256 and the removed word spans [starts, ends) of each document of the batch.
+        """
+        runs = self.runs()
+        if len(runs) > self.max_runs:
+            self.compact()
+            runs = self.runs()
+        if runs and corpus is None:
+            raise ValueError("the texts of earlier documents are needed to verify windows")
+        serial = runs[-1][1] + 1 if runs else 0
+        pending, scratch = f"{self.root}/pending-{uuid.uuid4().hex}", Scratch(self.spark, "substring-dedup")
+        docs = _slim(docs)
+        docs.mapInArrow(_postings(self.window), POSTING).sortWithinPartitions("h", "g", "doc_id").write.parquet(f"{pending}/postings")
+        own, before = self.spark.read.schema(POSTING).parquet(f"{pending}/postings"), self._read(runs, "postings", POSTING)
+
+        keys = own.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        old = before.select(*KEY).distinct().withColumn("old", F.lit(True))
+        keys = keys.join(old.hint("merge"), KEY, "left").where("old or first < last")
+        keys = scratch.write(keys.select(*KEY, F.coalesce("old", F.lit(False)).alias("old"), "first"), "keys")
+
+        hits = own.join(keys, KEY)
+        copies = hits.where("whole and (old or doc_id > first)").select("doc_id", "h", "g")
+        by_doc = hits.where("not whole or old or doc_id > first").groupBy("doc_id").agg(
+            F.collect_set(F.when(~F.col("whole"), F.col("h"))).alias("shared"), F.collect_set(F.when(F.col("whole"), F.struct("h", "g"))).alias("copy_of")
+        )
+        rows = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "shared", "copy_of")
+        prepared = scratch.write(rows.mapInArrow(_prepare(self.window), "doc_id long, seq long, n_words long, n_removed long, kept_sha256 string, text string, shared array<long>"), "prepared")
+        # doc_ids all of whose rows are copies
+        rest = own.where("whole").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "h", "g"], "left").groupBy("doc_id").agg(F.bool_and(F.coalesce("copy", F.lit(False))).alias("copy"))
+        rest.where("copy").select("doc_id").write.parquet(f"{pending}/copies")
+
+        shape = "k1 long, k2 long, doc_id long, seq long, pos int"
+        windows = prepared.where("text is not null").select("doc_id", "seq", "text", "shared").mapInArrow(_windows(self.window), shape).withColumn("old", F.lit(False))
+        if runs:
+            earlier = before.where("not whole").join(keys.where("old and not whole").select("h"), "h").join(self._read(runs, "copies", "doc_id long"), "doc_id", "left_anti")
+            earlier = earlier.groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
+            texts = _slim(corpus).join(earlier, "doc_id").select("doc_id", F.lit(0).cast("long").alias("seq"), "text", "shared")
+            windows = windows.unionByName(texts.mapInArrow(_windows(self.window), shape).withColumn("old", F.lit(True)))
+        windows = scratch.write(windows, "windows")
+        new = F.when(~F.col("old"), F.col("doc_id"))
+        first = windows.groupBy("k1", "k2").agg(F.max("old").alias("before"), F.min(new).alias("first"), F.max(new).alias("last"))
+        first = scratch.write(first.where("first < last or before and first is not null").select("k1", "k2", "before", "first"), "first")
+        removed = windows.where("not old").join(first, ["k1", "k2"]).where("before or doc_id > first").groupBy("doc_id", "seq").agg(F.collect_set("pos").alias("at"))
+        final = prepared.drop("shared").join(removed, ["doc_id", "seq"], "left").select("doc_id", "n_words", "n_removed", "kept_sha256", "text", "at")
+        final = scratch.write(final.mapInArrow(_remove(self.window), "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>"), "result")
+        self._commit(pending, (serial, serial))
+        scratch.drop("keys", "prepared", "windows", "first")
+        return final
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def substring_dedup(docs: DataFrame, window: int = 50, cuts: tuple[float, ...] = (0.15, 0.3), max_runs: int = 1) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and the removed word spans [starts, ends) of each document.
+
+    The table is added to a new log in batches of ascending doc_id, which end at the quantiles ``cuts``.
+    """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "substring-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    bounds = [None, *sorted({int(c) for c in cuts}), None]
-    log, found = FingerprintLog(scratch, max_runs), []
-    for i, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+    log = FingerprintLog(spark, f"{shared_folder(spark)}/substring-log-{uuid.uuid4().hex}", window, max_runs)
+    docs = _slim(docs)
+    bounds = sorted({int(c) for c in docs.approxQuantile("doc_id", list(cuts), 0.01)}) if cuts else []
+    out = None
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         part = docs if low is None else docs.where(F.col("doc_id") >= low)
-        part = part if high is None else part.where(F.col("doc_id") < high)
-        rows = part.mapInArrow(_postings(window), "h long, doc_id long, whole boolean")
-        found.append(scratch.write(log.add(rows), f"repeated-{i}"))
-        log.compact()
-    repeated = found[0]
-    for more in found[1:]:
-        repeated = repeated.unionByName(more)
-    repeated = scratch.write(repeated.distinct(), "repeated")
-    hits = log.postings().join(repeated, ["h", "whole"])
-    firsts = hits.where("whole").groupBy("h").agg(F.min("doc_id").alias("first"))
-    copies = hits.where("whole").join(scratch.write(firsts, "copies"), "h").where("doc_id > first").select("doc_id", "h", F.lit(True).alias("whole"))
-    by_doc = hits.where("not whole").select("doc_id", "h", "whole").unionByName(copies).groupBy("doc_id").agg(
-        F.collect_set(F.when(~F.col("whole"), F.col("h"))).alias("shared"), F.collect_set(F.when(F.col("whole"), F.col("h"))).alias("copy_of")
-    )
-    prepared = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "shared", "copy_of")
-    prepared = scratch.write(prepared.mapInArrow(_prepare(window), "doc_id long, seq long, n_words long, n_removed long, kept_sha256 string, text string, shared array<long>"), "prepared")
-    windows = prepared.where("text is not null").select("doc_id", "seq", "text", "shared").mapInArrow(_windows(window), "k1 long, k2 int, doc_id long, seq long, pos int")
-    first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("k1", "k2", "first")
-    removed = windows.join(scratch.write(first, "first"), ["k1", "k2"]).where("doc_id > first").groupBy("doc_id", "seq").agg(F.collect_set("pos").alias("at"))
-    final = prepared.drop("shared").join(removed, ["doc_id", "seq"], "left")
-    return final.select("doc_id", "n_words", "n_removed", "kept_sha256", "text", "at").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>")
+        # rows without an identifier are compared with nothing: they go with the first batch
+        part = part if high is None else part.where((F.col("doc_id") < high) if low is not None else (F.col("doc_id").isNull() | (F.col("doc_id") < high)))
+        got = log.add(part, None if low is None else docs.where(F.col("doc_id") < low))
+        out = got if out is None else out.unionByName(got)
+    remove(spark, log.root)
+    return out

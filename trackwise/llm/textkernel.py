@@ -78,33 +78,55 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.unique(mix(acc))
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
+class WordLanes(dict):
+    """word -> row of two tables with the halves of its 128-bit fingerprint; emptied between calls when it holds ``limit`` words."""
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+    def __init__(self, limit: int = 150_000):
+        super().__init__()
+        self.limit, self.lanes = limit, np.empty((2, 4096), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        row = len(self)
+        if row == self.lanes.shape[1]:
+            self.lanes = np.concatenate([self.lanes, np.empty_like(self.lanes)], axis=1)
+        high, low = divmod(xxhash.xxh3_128_intdigest(word), 1 << 64)
+        self.lanes[:, row] = high, low
+        self[word] = row
+        return row
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """2 x n fingerprints."""
+        if len(self) > self.limit:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.lanes[:, rows]
 
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            m = 1 << int(n).bit_length()
-            with np.errstate(over="ignore"):
-                for name, b in (("up", self.base), ("down", self.inverse)):
-                    steps = np.full(m, b, np.uint64)
-                    steps[0] = 1
-                    setattr(self, name, np.multiply.accumulate(steps))
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of two sequences' hashes, the hash of one after the other."""
+    x = a * _M1
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= _M2
+    x ^= x >> np.uint64(29)
+    return x
 
-def rolling(words: np.ndarray, k: int, powers: Powers) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of each k consecutive words: equal sequences, equal values."""
-    n = len(words)
-    if n < k:
-        return np.empty(0, np.uint64)
-    powers.grow(n + 1)
+
+def sequence_hashes(words: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """For each length (ascending), hashes of that many consecutive words, along the last axis.
+
+    Hashes of 1, 2, 4 ... words are joined from two halves, and others from two that overlap. No step is linear in the
+    words, so patterns of repeated words can't cancel out as in a polynomial.
+    """
+    out, have, x = [], 1, words
     with np.errstate(over="ignore"):
-        s = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * powers.up[:n], out=s[1:])
-        return (s[k:] - s[:-k]) * powers.down[: n - k + 1]
+        for k in lengths:
+            while have * 2 <= k:
+                x = _joined(x[..., :-have], x[..., have:])
+                have *= 2
+            rest = k - have
+            out.append(_joined(x[..., : x.shape[-1] - rest], x[..., rest:]) if rest and x.shape[-1] else x)
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -1,11 +1,15 @@
 """Corpus operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, other columns."""
 
 import hashlib
+import math
 import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("trackwise.llm")
@@ -338,8 +342,48 @@ def test_licenses(spark):
         assert set(labels) <= set(got[i]["labels"]) and 0 <= got[i]["score"] <= 1
     assert got[3]["labels"] == ["gpl-3"] and got[7]["labels"] == ["bsd-3-clause"] and got[9]["labels"] == ["proprietary"]
     assert got[6]["labels"] == [] and got[6]["score"] == 0
-    assert len(license_scan.rules()) > 300
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
+    assert license_scan.scan_licenses(docs(spark, ["Licensed under MPLv2"], [None])).first()["labels"] == ["mpl-2"]
+
+
+def scanned(*texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    return [r for b in license_scan._scan(iter([batch])) for r in b.to_pylist()]
+
+
+def test_license_gates():
+    """Around keywords, a rule finds what it finds in the whole text; every match has a keyword."""
+    rules = license_scan.compiled()
+    assert len({r[3].pattern for r in rules}) == len(rules) > 250
+    rng = random.Random(2)
+    vocabulary = sorted({w for _, _, _, text in license_scan.RULES for w in re.findall("[a-z0-9]+", text)})
+    filler = ["is", "the", "of", "a", "2", "0", "1", "license", "licence", "v2", "version", "under", "public", "for"]
+    # a text of a rule: one of its alternatives each, optional parts or not
+    tree = lambda t: re.sub(r"\(\?:([^()]*)\)\??", lambda m: rng.choice(m[1].split("|")) if rng.random() < 0.7 or not m[0].endswith("?") else "", t)
+    for _ in range(60):
+        parts = []
+        for _ in range(12):
+            text = rng.choice(license_scan.RULES)[3]
+            while "(" in text:
+                text = tree(text)
+            parts += alnum(re.sub(r"\[([a-z0-9-])[^]]*\]\+?", r"\1", text).replace("v?", rng.choice(["", "v"]))) + rng.choices([*vocabulary, *filler, *filler], k=rng.randint(0, 4))
+        joined, found = f" {' '.join(parts)} ", []
+        for label, priority, keywords, expression, reach in rules:
+            for m in expression.finditer(joined):
+                a, n = joined.count(" ", 0, m.start()) - 1, m[0].count(" ") + 1
+                assert keywords.intersection(w.encode() for w in m[0].split()) and n <= reach, (label, m[0])
+                found.append((a, a + n, priority, label))
+        kept = [d for d in set(found) if not any(o[0] <= d[0] and d[1] <= o[1] and (-o[2], o[0] - o[1], o) < (-d[2], d[0] - d[1], d) for o in found)]
+        (got,) = scanned(" ".join(parts))
+        assert list(zip(got["starts"], got["ends"], got["found"], strict=True)) == [(a, b, label) for a, b, _, label in sorted(kept)]
+
+
+def test_licenses_in_long_texts():
+    """A million words, dense with detections, in time proportional to their number."""
+    text = "under the MIT license and other words, then Apache License version 2 follows: " * 80_000
+    began = time.monotonic()
+    (got,) = scanned(text)
+    assert got["n_words"] == 1_040_000 and len(got["base_at"]) == 160_000 and time.monotonic() - began < 30
 
 
 def test_suppression():
@@ -408,9 +452,36 @@ def test_secrets(spark):
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan_secrets(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         assert [s for s in got[i] if s[1] < 3] == brute_secrets(t), i
-    assert sum(s[1] == 3 for s in got[5]) >= 2
+    assert sum(s[1] == 3 for s in got[5]) == 3
     assert not any(s[1] == 3 for i in (2, 6, 7) for s in got[i])  # 60 letters a are a hex run, but not random
     assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
+    assert [len(r["spans"]) for r in secret_scan.scan_secrets(docs(spark, [texts[0]] * 3, [None, None, 1])).collect()] == [2, 2, 2]
+
+
+def test_secrets_in_long_texts(spark):
+    """A million words with as many assignments as there is room for, in time proportional to their number."""
+    text = " ".join(f"secret=abcdefgh{i}" for i in range(300_000)) + " word" * 700_000
+    began = time.monotonic()
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(docs(spark, [text, "é" * 100_000 + " token=12345678"])).collect()}
+    assert [tuple(s) for s in got[1]] == brute_secrets("é" * 100_000 + " token=12345678")
+    assert [tuple(s) for s in got[0]] == brute_secrets(text) and len(got[0]) == 300_000 and time.monotonic() - began < 60
+
+
+def test_secret_battery(spark):
+    """The p-values of random tokens are spread evenly, and those of writing are small; the discoveries against a plain procedure."""
+    rng = random.Random(11)
+    code = string.ascii_letters + string.digits
+    tokens = ["".join(rng.choice(code) for _ in range(rng.randint(20, 90))) for _ in range(400)] + [f"get_{w}_from_the_{w}_value" for w in ("element", "document", "customer", "identifier", "station")] * 20
+    rows = spark.createDataFrame([(i, 0, len(t), t) for i, t in enumerate(tokens)], "row long, start int, end int, value string")
+    tested = secret_scan._battery(rows)
+    p = {r["row"]: (r["p"], r["n"]) for r in tested.collect()}
+    uniform = [p[i][0] for i in range(400)]
+    assert 0.35 < np.mean(uniform) < 0.62 and np.mean(np.array(uniform) < 0.05) < 0.12 and max(p[i][0] for i in range(400, 500)) < 1e-3
+    mean = np.mean([n for _, n in p.values()])
+    rounded = {i: 2.0 ** -(min(960, max(0, math.floor(-16 * math.log2(v * mean / n)))) / 16) for i, (v, n) in p.items()}
+    order = sorted(rounded, key=rounded.get)
+    most = max([rounded[i] for k, i in enumerate(order, 1) if rounded[i] <= 0.05 * k / len(order)], default=-1)
+    assert {r["row"] for r in secret_scan._random(tested).collect()} == {i for i in rounded if rounded[i] > most}
 
 
 # 9 -------------------------------------------------------------------------------------------------------------------

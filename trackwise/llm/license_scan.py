@@ -1,164 +1,147 @@
 """License detection by ordered signature rules.
 
-A text is lower-cased and cut into words; rules are regular expressions over the
-words joined by single blanks, so positions are word positions. A rule runs only
-where its keyword is among the document's words. Rules have priorities; a
-detection inside another's interval is dropped if its priority is lower, or
-equal and it is shorter. Base phrases always stay.
-
-Defined cases: null text is empty; no words give no detections; repeated rows
-are scanned row by row; an empty table gives an empty result.
+A text is lower-cased and cut into words; rules are hand-written expressions over
+the words joined by single blanks (``license_rules``), so positions are word
+positions. A rule runs only around the places of its keywords: a match has one
+of them among its words and a bounded number of words, so the words within that
+bound of a keyword hold every match. Rules have priorities; of the detections, one
+inside another's interval is dropped if its priority is lower, or equal and it
+isn't longer. Base phrases always stay.
+
+Work grows with the length of a text and the logarithm of its detections.
+
+Defined cases: null text is empty; no words give no detections; rows are scanned
+row by row, repeated ones and those without a doc_id too; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import RULES
 from .textkernel import alnum_words
 
-#: phrases whose every place is a detection of its own
+#: phrases whose every place is a detection of its own, and the score of one
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+BASE_SCORE = 90
 
-# Licence labels, a regular expression for each name as it is written in words, and the word that gates it.
-LICENSES = (
-    ("mit", r"(?:the )?(?:mit|expat)(?: x11)?", "mit expat"),
-    ("x11", r"(?:the )?x11", "x11"),
-    ("isc", r"(?:the )?isc", "isc"),
-    ("apache-1", r"(?:the )?apache(?: software)? 1(?: [01])?", "apache"),
-    ("apache-2", r"(?:the )?(?:apache(?: software)?(?: license)?|asl) (?:version |v)?2(?: 0)?", "apache asl"),
-    ("bsd-2-clause", r"(?:the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd freebsd"),
-    ("bsd-3-clause", r"(?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd"),
-    ("bsd-4-clause", r"(?:the )?(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd"),
-    ("0bsd", r"(?:the )?(?:0bsd|zero clause bsd)", "0bsd bsd"),
-    ("gpl-2", r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: gpl)? ?(?:version |v)?2(?: 0)?", "gpl general gplv2"),
-    ("gpl-3", r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: gpl)? ?(?:version |v)?3(?: 0)?", "gpl general gplv3"),
-    ("lgpl-2", r"(?:the )?(?:gnu )?(?:lgpl|library general public license|lesser general public license) ?(?:version |v)?2(?: [01])?", "lgpl lesser library lgplv2"),
-    ("lgpl-3", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?3(?: 0)?", "lgpl lesser lgplv3"),
-    ("agpl-3", r"(?:the )?(?:gnu )?(?:agpl|affero general public license) ?(?:version |v)?3(?: 0)?", "agpl affero agplv3"),
-    ("mpl-1", r"(?:the )?(?:mpl|mozilla public license) ?(?:version |v)?1(?: [01])?", "mpl mozilla"),
-    ("mpl-2", r"(?:the )?(?:mpl|mozilla public license) ?(?:version |v)?2(?: 0)?", "mpl mozilla"),
-    ("epl-1", r"(?:the )?(?:epl|eclipse public license) ?(?:version |v)?1(?: 0)?", "epl eclipse"),
-    ("epl-2", r"(?:the )?(?:epl|eclipse public license) ?(?:version |v)?2(?: 0)?", "epl eclipse"),
-    ("eupl-1", r"(?:the )?(?:eupl|european union public licen[cs]e) ?(?:version |v)?1(?: [012])?", "eupl european"),
-    ("cddl-1", r"(?:the )?(?:cddl|common development and distribution license) ?(?:version |v)?1(?: [01])?", "cddl common"),
-    ("cpl-1", r"(?:the )?(?:cpl|common public license) ?(?:version |v)?1(?: 0)?", "cpl common"),
-    ("artistic-2", r"(?:the )?artistic(?: license)? (?:version |v)?2(?: 0)?", "artistic"),
-    ("zlib", r"(?:the )?zlib(?: libpng)?", "zlib"),
-    ("bsl-1", r"(?:the )?(?:boost software(?: license)?|bsl) ?(?:version |v)?1(?: 0)?", "boost bsl"),
-    ("unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", r"(?:the )?(?:wtfpl|do what the fuck you want to public license)", "wtfpl fuck"),
-    ("psf-2", r"(?:the )?(?:psf|python software foundation)(?: license)? ?(?:version |v)?2?", "psf python"),
-    ("postgresql", r"(?:the )?postgresql", "postgresql"),
-    ("openssl", r"(?:the )?openssl", "openssl"),
-    ("ncsa", r"(?:the )?(?:university of illinois )?ncsa(?: open source)?", "ncsa"),
-    ("upl-1", r"(?:the )?(?:upl|universal permissive license) ?(?:version |v)?1(?: 0)?", "upl universal"),
-    ("afl-3", r"(?:the )?academic free license ?(?:version |v)?3(?: 0)?", "academic"),
-    ("osl-3", r"(?:the )?open software license ?(?:version |v)?3(?: 0)?", "open"),
-    ("ms-pl", r"(?:the )?(?:ms pl|microsoft public license)", "ms microsoft"),
-    ("ofl-1", r"(?:the )?(?:ofl|sil open font license) ?(?:version |v)?1(?: [01])?", "ofl sil"),
-    ("cc0-1", r"(?:the )?(?:creative commons )?(?:cc0|cc zero)(?: 1 0)?(?: universal)?", "cc0 zero"),
-    ("cc-by", r"(?:the )?(?:cc by|creative commons attribution)(?: [1-4](?: [05])?)?(?! (?:nc|sa|nd|non|noncommercial|share|sharealike|no))", "cc creative"),
-    ("cc-by-sa", r"(?:the )?(?:cc by sa|creative commons attribution share ?alike)(?: [1-4](?: [05])?)?", "cc creative"),
-    ("cc-by-nd", r"(?:the )?(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4](?: [05])?)?", "cc creative"),
-    ("cc-by-nc", r"(?:the )?(?:cc by nc|creative commons attribution non ?commercial)(?! (?:sa|nd|share|no))(?: [1-4](?: [05])?)?", "cc creative"),
-    ("cc-by-nc-sa", r"(?:the )?(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4](?: [05])?)?", "cc creative"),
-    ("cc-by-nc-nd", r"(?:the )?(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4](?: [05])?)?", "cc creative"),
-    ("odbl-1", r"(?:the )?(?:odbl|open database license) ?(?:version |v)?1?(?: 0)?", "odbl database"),
-    ("pddl-1", r"(?:the )?(?:pddl|public domain dedication and license) ?(?:version |v)?1?(?: 0)?", "pddl dedication"),
-    ("gfdl-1", r"(?:the )?(?:gnu )?(?:gfdl|fdl|free documentation license) ?(?:version |v)?1?(?: [0123])?", "gfdl fdl documentation"),
-    ("gpl", r"(?:the )?(?:gnu )?(?:gpl|general public license)", "gpl general"),
-    ("lgpl", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public license)", "lgpl lesser"),
-    ("agpl", r"(?:the )?(?:gnu )?(?:agpl|affero general public license)", "agpl affero"),
-    ("bsd", r"(?:the )?bsd", "bsd"),
-    ("public-domain", r"(?:the )?public domain", "public"),
-)
-
-# How a licence is invoked around its name {n}, and the priority (percent of confidence) of that wording.
-TEMPLATES = (
-    (r"spdx license identifier {n}(?: only| or later)?", 100),
-    (r"(?:is |are |be |was |were )?(?:re)?licen[cs]ed (?:to you )?under (?:the terms (?:and conditions )?of )?{n}(?: licen[cs]e)?", 95),
-    (r"(?:released|distributed|available|published|provided|covered|made available|dual licen[cs]ed) (?:only )?under (?:the (?:terms|conditions) of )?{n}(?: licen[cs]e)?", 90),
-    (r"(?:permission|use|usage|redistribution) (?:is )?(?:granted|permitted|governed|subject) (?:under|by|to) {n}(?: licen[cs]e)?", 85),
-    (r"(?:a copy of|see|read) {n}(?: licen[cs]e)?", 70),
-    (r"licen[cs]es? {n}", 75),
-    (r"{n} licen[cs]e", 60),
-)
-
-# Whole notices that name no licence.
-NOTICES = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 98, "hereby"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 98, "hereby"),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", 97, "redistribution"),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 96, "warranty"),
-    ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 97, "redistribute"),
-    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", 97, "redistribute"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", 98, "unencumbered"),
-    ("public-domain", r"(?:dedicated|released|placed) (?:in|into|to) the public domain", 80, "domain"),
-    ("proprietary", r"all rights reserved", 50, "reserved"),
-    ("proprietary", r"(?:proprietary and confidential|unauthorized copying of this file)", 70, "proprietary unauthorized"),
-)
-
-
-def rules() -> list[tuple[str, re.Pattern[str], int, tuple[bytes, ...]]]:
-    """(label, expression, priority, keywords) in descending priority; some 350 of them."""
-    out = []
-    for label, name, words in LICENSES:
-        gate = tuple(w.encode() for w in words.split())
-        for template, priority in TEMPLATES:
-            out.append((label, re.compile(r"(?<= )" + template.format(n=f"(?:{name})") + r"(?= )"), priority, gate))
-    for label, notice, priority, words in NOTICES:
-        out.append((label, re.compile(r"(?<= )" + notice + r"(?= )"), priority, tuple(w.encode() for w in words.split())))
-    return sorted(out, key=lambda r: -r[2])
-
-
-def suppress(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Of (start, end, priority, label), those not inside the interval of a stronger or equally strong, longer one."""
-    kept: list[tuple[int, int, int, str]] = []
+Detection = tuple[int, int, int, str]
+
+
+def compiled() -> list[tuple[str, int, frozenset[bytes], re.Pattern[str], int]]:
+    """(label, priority, keywords, expression, most words of a match)."""
+    return [(label, priority, frozenset(w.encode() for w in words), re.compile(f"(?<= )(?:{text})(?= )"), text.count(" ") + 1) for label, priority, words, text in RULES]
+
+
+def suppress(found: list[Detection]) -> list[Detection]:
+    """Of (start, end, priority, label), those not inside the interval of a stronger one, or of one as strong and at least as long.
+
+    The strongest come first; a tree of maxima over the starts tells the furthest end of those kept that start at or before a place.
+    """
+    starts = sorted({d[0] for d in found})
+    ends = [0] * (len(starts) + 1)
+    kept = []
     for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d)):
-        if not any(k[0] <= d[0] and d[1] <= k[1] and (k[3] != d[3] or k[:2] != d[:2]) for k in kept):
-            kept.append(d)
+        at = top = bisect_right(starts, d[0])
+        furthest = 0
+        while at:
+            furthest = max(furthest, ends[at])
+            at &= at - 1
+        if furthest >= d[1]:
+            continue
+        kept.append(d)
+        while top < len(ends):
+            ends[top] = max(ends[top], d[1])
+            top += top & -top
     return sorted(kept)
 
 
-def _places(joined: str, phrase: str) -> list[int]:
-    at, out, needle = -1, [], f" {phrase} "
-    while (at := joined.find(needle, at + 1)) >= 0:
-        out.append(joined.count(" ", 0, at + 1) - 1)
+def _around(places: list[int], reach: int, n: int) -> list[tuple[int, int]]:
+    """Disjoint word ranges [a, b) with all words less than ``reach`` from one of the ascending places."""
+    out: list[tuple[int, int]] = []
+    for p in places:
+        a, b = max(0, p - reach + 1), min(n, p + reach)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
     return out
 
 
+class _Text:
+    """A text's words, the places of keywords, and the joined words around them."""
+
+    def __init__(self, words: list[bytes], places: dict[bytes, list[int]]):
+        self.words, self.places = words, places
+        self.joined: dict[tuple[frozenset[bytes], int], list[tuple[int, str, list[int]]]] = {}
+
+    def around(self, keywords: frozenset[bytes], reach: int) -> list[tuple[int, str, list[int]]]:
+        """(first word, words joined with a blank at both ends, places of the blanks) of each range."""
+        key = (keywords, reach)
+        if key not in self.joined:
+            places = sorted(p for w in keywords for p in self.places.get(w, ()))
+            out = []
+            for a, b in _around(places, reach, len(self.words)):
+                part = [w.decode("utf-8", "surrogatepass") for w in self.words[a:b]]
+                blanks, at = [0], 0
+                for w in part:
+                    at += len(w) + 1
+                    blanks.append(at)
+                out.append((a, f" {' '.join(part)} ", blanks))
+            self.joined[key] = out
+        return self.joined[key]
+
+
+def _base(words: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[int, str]]:
+    """(place, label) of the base phrases, whose last words are among the keywords."""
+    out = []
+    for phrase, label in BASE_PHRASES:
+        want = phrase.encode().split()
+        for last in places.get(want[-1], ()):
+            first = last - len(want) + 1
+            if first >= 0 and words[first : last + 1] == want:
+                out.append((first, label))
+    return sorted(out)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = rules()
-    gates = {w for _, _, _, words in table for w in words}
-    gates |= {p.split()[0].encode() for p, _ in BASE_PHRASES}
-    firsts = [(p, label, p.split()[0].encode()) for p, label in BASE_PHRASES]
+    rules = compiled()
+    gates = frozenset().union(*(r[2] for r in rules), (p.split()[-1].encode() for p, _ in BASE_PHRASES))
+    by_word: dict[bytes, list[int]] = {}
+    for i, rule in enumerate(rules):
+        for w in rule[2]:
+            by_word.setdefault(w, []).append(i)
     for batch in batches:
         out = []
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words = alnum_words(text)
             present = gates.intersection(words)
-            base: list[tuple[int, str, int]] = []
-            found: list[tuple[int, int, int, str]] = []
+            base: list[tuple[int, str]] = []
+            found: list[Detection] = []
             if present:
-                joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-                for phrase, label, first in firsts:
-                    if first in present:
-                        base += [(at, label, len(phrase.split())) for at in _places(joined, phrase)]
-                for label, expression, priority, words_of in table:
-                    if not present.isdisjoint(words_of):
+                places: dict[bytes, list[int]] = {}
+                for i, w in enumerate(words):
+                    if w in present:
+                        places.setdefault(w, []).append(i)
+                base = _base(words, places)
+                cells = _Text(words, places)
+                for i in sorted({i for w in present for i in by_word.get(w, ())}):
+                    label, priority, keywords, expression, reach = rules[i]
+                    for first, joined, blanks in cells.around(keywords, reach):
                         for m in expression.finditer(joined):
-                            a = joined.count(" ", 0, m.start()) - 1
-                            found.append((a, a + m[0].count(" ") + 1, priority, label))
+                            a = bisect_right(blanks, m.start()) - 1
+                            found.append((first + a, first + a + m[0].count(" ") + 1, priority, label))
                 found = suppress(found)
-            base.sort()
-            labels = sorted({label for _, label, _ in base})
+            labels = sorted({label for _, label in base})
             every = sorted({*labels, *(d[3] for d in found)})
-            score = max([0, *(d[2] for d in found), *[90] * bool(base)]) / 100
+            score = max([0, *(d[2] for d in found), *[BASE_SCORE] * bool(base)]) / 100
             out.append((doc, len(words), [b[0] for b in base], labels, every, score, [d[0] for d in found], [d[1] for d in found], [d[3] for d in found]))
         cols = list(zip(*out, strict=True)) or [[]] * 9
         ints, names = pa.list_(pa.int64()), pa.list_(pa.string())

@@ -123,6 +123,32 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op6_sql() -> str:
+    """Each rule over the whole words, its keywords as a plain condition, positions from the gaps; suppression by an anti-join."""
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # every word has a blank of its own on either side, so a match takes no blank from the next one
+    rules = ",\n".join("('{}', {}, [{}], '{}')".format(label, priority, ", ".join(f"'{w}'" for w in words), f" (?:{text.replace(' ', '  ')}) ") for label, priority, words, text in license_scan.RULES)
+    phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in license_scan.BASE_PHRASES)
+    blanks = "(length({0}) - length(replace({0}, ' ', '')))"
+    return f"""
+with d as (select doc_id, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+c as (select doc_id, w, ' ' || array_to_string(w, '  ') || ' ' as t from d),
+r(label, priority, words, pattern) as (values {rules}),
+h as (select doc_id, label, priority, string_split_regex(t, pattern) as gaps, regexp_extract_all(t, pattern) as hits from c join r on list_has_any(w, words)),
+i as (select *, unnest(range(1, len(hits) + 1)) as i from h),
+s as (select distinct doc_id, label, priority, cast((list_sum(list_transform(gaps[1:i], lambda x: {blanks.format('x')})) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: {blanks.format('x')})), 0)) // 2 as bigint) as a, cast({blanks.format('hits[i]')} // 2 as bigint) as n from i),
+k as (select * from s where not exists (select 1 from s o where o.doc_id = s.doc_id and o.a <= s.a and s.a + s.n <= o.a + o.n
+  and (o.priority > s.priority or (o.priority = s.priority and (o.n > s.n or (o.n = s.n and o.label < s.label)))))),
+f as (select doc_id, list_distinct(list(label)) as labels, max(priority) as priority from k group by doc_id),
+p(label, phrase) as (values {phrases}),
+q as (select doc_id, label, phrase, w, unnest(range(1, greatest(1, len(w) - len(phrase) + 2))) as place from d, p),
+b as (select doc_id, count(*) as n_base, min(place) - 1 as first_word, max(place) - 1 as last_word, list_distinct(list(label)) as labels from q where w[place:place + len(phrase) - 1] = phrase group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, array_to_string(list_sort(coalesce(b.labels, [])), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(f.labels, []))), ',') as labels, greatest(coalesce(f.priority, 0), case when n_base > 0 then {license_scan.BASE_SCORE} else 0 end) / 100e0 as score
+from d left join f using (doc_id) left join b using (doc_id)
+"""
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     both = merkle.compare_with_next(_table(spark, sf_dir, "documents"))
@@ -154,6 +180,47 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(f"sha2({line.format(base)}, 256)").alias("base_sha256"), F.expr(line.format("spans")).alias("spans"))
 
 
+def _op8_sql() -> str:
+    """Base spans from the gaps between matches, tokens by a plain overlap condition, the battery over unnested symbols, and the false-discovery step over sorted p-values."""
+    either = "".join(c if c in "|?_" else f"[{c.upper()}{c}]" for c in "password|passwd|secret|token|api_?key")
+    assign = f"({either})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    kinds = (("assign", assign, f"length(regexp_extract(value, '^{assign}', 2)) >= 8"), ("access", secret_scan.ACCESS, "length(value) >= 16"), ("hex", "[0-9a-f]+", "length(value) >= 32"), ("random", "[A-Za-z0-9+/_=-]+", "length(value) >= 20"))
+    cut = " union all ".join(f"select doc_id, {rank} as rank, '{kind}' as kind, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as hits from d" for rank, (kind, p, _) in enumerate(kinds))
+    keep = " ".join(f"when {rank} then {cond}" for rank, (_, _, cond) in enumerate(kinds))
+    binned = secret_scan.by_encoding(lambda alphabet, bins: f"translate(symbols, '{alphabet}', '{bins}')")
+    place = secret_scan.by_encoding(lambda alphabet, bins: f"list_transform(string_split(symbols, ''), lambda c: instr('{alphabet}', c) - 1)")
+    half = secret_scan.by_encoding(lambda alphabet, bins: f"{len(alphabet) // 2}")
+    chi = secret_scan.chi_square(lambda b: f"(n - length(replace(binned, '{b}', '')))")
+    steps = secret_scan.STEPS
+    line = "string_agg(kind || ':' || a || ':' || z, ',' order by a, rank, z)"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({cut}),
+i as (select *, unnest(range(1, len(hits) + 1)) as i from m),
+e as (select doc_id, rank, kind, hits[i] as value, cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(hits[1:i], lambda x: length(x))) as bigint) as z from i),
+s as (select *, z - length(value) as a from e where case rank {keep} end),
+b as (select * from s where rank < 3),
+w as (select * from s where rank = 3 and not exists (select 1 from b where b.doc_id = s.doc_id and b.a < s.z and s.a < b.z)),
+t1 as (select *, translate(rtrim(value, '='), '-_', '+/') as symbols from w),
+t2 as (select *, length(symbols) as n from t1 where length(symbols) >= 16 and not regexp_full_match(symbols, '[0-9]+') and not contains(symbols, '=')),
+t3 as (select *, case when regexp_full_match(symbols, '[0-9a-f]+') then 'hex' when regexp_full_match(symbols, '[A-Z2-7]+') then 'base32' when n < 40 then 'base64' else 'base64 long' end as encoding from t2),
+t4 as (select *, {binned} as binned, {place} as x, {half} as half from t3),
+t5 as (select *, {chi} as chi, {secret_scan.FREEDOM} as freedom, len(list_filter(x, lambda q: q >= half)) as ups,
+  1 + len(list_filter(range(2, n + 1), lambda j: (x[j] >= half) <> (x[j - 1] >= half))) as runs, list_sum(x) as total, list_sum(list_transform(x, lambda q: q * q)) as squares,
+  list_sum(list_transform(range(2, n + 1), lambda j: x[j] * x[j - 1])) as pairs, x[1] as first_x, x[n] as last_x from t4),
+t6 as (select *, 1e0 * total / n as mean from t5),
+t7 as (select *, {secret_scan.Z_CHI} as z_chi, {secret_scan.Z_RUNS} as z_runs, {secret_scan.Z_SERIAL} as z_serial from t6),
+t8 as (select *, {secret_scan.P_CHI} as p_chi, {secret_scan.tail('z_runs')} as p_runs, {secret_scan.tail('z_serial')} as p_serial from t7),
+t9 as (select *, greatest(1e-18, {secret_scan.P_VALUE}) as p, avg(n) over () as mean_n from t8),
+g as (select *, pow(2e0, -{secret_scan.STEP} / {steps}e0) as q from t9),
+o as (select *, row_number() over (order by q) as place, count(*) over () as times from g),
+c as (select coalesce(max(q), -1) as ordinary from o where q <= {secret_scan.RATE}e0 * place / times),
+f as (select doc_id, rank, kind, a, z from b union all select doc_id, rank, kind, a, z from g, c where q > ordinary)
+select d.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+  sha256(coalesce({line} filter (rank < 3), '')) as base_sha256, coalesce({line} filter (rank is not null), '') as spans from d left join f on f.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents from a model that never saw the held-out third."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -207,4 +274,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_sharding": _op2_sql(), "op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op7_fingerprint": OP7_SQL, "op10_mixing": _op10_sql()}
+    return {"op1_chat_format": OP1_SQL, "op2_sharding": _op2_sql(), "op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_license_scan": _op6_sql(), "op7_fingerprint": OP7_SQL, "op8_secret_scan": _op8_sql(), "op10_mixing": _op10_sql()}

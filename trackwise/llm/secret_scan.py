@@ -1,123 +1,171 @@
 """Secret scan by a battery of randomness tests, with DataFrame functions only.
 
 Base patterns find assignments, access keys and long hex runs. The method adds
-spans of kind ``random``: tokens of at least 20 characters of a code alphabet are
-given the encoding their characters imply (hex, base32, base62, base64), and
+spans of kind ``random``. Its tokens are runs of at least 20 characters of a code
+alphabet that are no plain number and don't overlap a base span. Each gets the
+encoding that its characters imply (hex, base32, base64) and the p-values, under
+uniform random symbols of that encoding, of
 
 * a chi-squared test of uniform use of the alphabet, in bins,
 * a runs test about the middle of the alphabet,
-* a lag-one serial-correlation test
+* a lag-one serial-correlation test,
 
-must all be consistent with randomness (Bonferroni, at ``ALPHA``). Whether a
-token could be ordinary writing is a likelihood ratio of letter frequencies
-against the encoding's uniform distribution; its inverse bounds a p-value, which
-shrinks with length. Tokens of a document are then selected by the
-Benjamini-Hochberg procedure at rate ``RATE`` with weights proportional to
-length. Tokens that overlap a base span are not tested again.
+combined by the Cauchy combination, which holds for dependent tests. Over all
+tokens of the table, the Benjamini-Hochberg procedure at ``RATE``, with weights
+proportional to length (long tokens give the tests power), finds the tokens that
+aren't random; the others are reported. p-values are rounded up to 16 steps for
+each halving first, so the procedure needs a bounded table of counts and no sort.
 
-Defined cases: null text is empty; repeated rows are scanned row by row; an
-empty table gives an empty result.
+Matches leave their text with the lengths of the gaps between them, and places are
+running sums over these, so work grows with the length of a text.
+
+Defined cases: null text is empty; rows are scanned row by row, repeated ones and
+those without a doc_id too; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The base patterns.
+from .shared import Scratch
+
+# The base patterns, and the words that an assignment begins with.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
-TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-
-# Letters of European prose, per thousand, a to z.
-LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
-
-ALPHA, RATE = 0.001, 0.05
-
-_SPANS = "array<struct<start:int,end:int,value:string>>"
-
-
-def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def spans_of(pattern: str, keep: str) -> str:
-    """SQL for the leftmost non-overlapping matches of a pattern in ``text`` with their places; keep: of match x.
-
-    The pieces between the matches have the lengths that the places lack.
-    """
-    p = _sql(pattern)
-    return (
-        f"filter(aggregate(zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (m, gap) -> struct(m, gap)), "
-        f"struct(0 as at, cast(array() as {_SPANS}) as found), (a, z) -> if(z.m is null, a, struct(a.at + length(z.gap) + length(z.m) as at, "
-        f"concat(a.found, array(struct(a.at + length(z.gap) as start, a.at + length(z.gap) + length(z.m) as end, z.m as value))) as found)), a -> a.found), x -> {keep})"
-    )
-
-
-def _tail(z: str) -> str:
-    """SQL for a two-sided normal tail, to within a few percent of it."""
-    return f"least(1D, exp(-0.717D * abs({z}) - 0.416D * {z} * {z}))"
-
-
-def _battery() -> str:
-    """SQL: token struct x -> struct(start, end, n, p_random, p_text)."""
-    letters = "array(" + ",".join(f"{v}D" for v in LETTERS) + ")"
-    hexa, b32 = "'0123456789abcdef'", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
-    b62 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'"
-    b64 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/'"
-    steps = [
-        # encoding, padding and '-' '_' aside
-        f"struct(x.start as start, x.end as end, translate(rtrim('=', x.value), '-_', '+/') as v)",  # noqa: F541
-        f"struct(y.start as start, y.end as end, split(y.v, '') as c, case when y.v rlike '^[0-9a-f]+$' then {hexa} when y.v rlike '^[A-Z2-7]+$' then {b32} when y.v rlike '^[A-Za-z0-9]+$' then {b62} else {b64} end as abc)",
-        "struct(y.start as start, y.end as end, transform(filter(y.c, q -> q <> ''), q -> instr(y.abc, q) - 1) as i, size(filter(y.c, q -> q <> '')) as n, length(y.abc) as a, "
-        f"aggregate(filter(y.c, q -> q <> ''), 0D, (s, q) -> s + ln(case when q between 'a' and 'z' then 0.9D * {letters}[ascii(q) - 97] / 1000D when q between 'A' and 'Z' then 0.06D * {letters}[ascii(q) - 65] / 1000D when q between '0' and '9' then 0.003D else 0.002D end * length(y.abc))) as llr)",
-        "struct(y.start as start, y.end as end, y.i as i, y.n as n, y.a as a, y.llr as llr, greatest(2, least(16, least(y.a, y.n div 5))) as k, aggregate(y.i, 0D, (s, q) -> s + q) / greatest(y.n, 1) as mean, transform(y.i, q -> q >= y.a / 2D) as up)",
-        "struct(y.start as start, y.end as end, y.n as n, y.llr as llr, y.k as k, "
-        # bin j holds the symbols s with floor(s * k / a) = j
-        "aggregate(sequence(0, y.k - 1), 0D, (s, j) -> s + pow(size(filter(y.i, q -> q * y.k div y.a = j)) - y.n * (ceil((j + 1) * y.a / y.k) - ceil(j * y.a / y.k)) / cast(y.a as double), 2) / greatest(1e-9D, y.n * (ceil((j + 1) * y.a / y.k) - ceil(j * y.a / y.k)) / cast(y.a as double))) as chi, "
-        "cast(size(filter(y.up, q -> q)) as double) as n1, cast(size(filter(y.up, q -> not q)) as double) as n0, "
-        "1D + size(filter(zip_with(slice(y.up, 1, greatest(0, y.n - 1)), slice(y.up, 2, greatest(0, y.n - 1)), (u, w) -> u <> w), q -> q)) as runs, "
-        "aggregate(zip_with(slice(y.i, 1, greatest(0, y.n - 1)), slice(y.i, 2, greatest(0, y.n - 1)), (u, w) -> (u - y.mean) * (w - y.mean)), 0D, (s, q) -> s + q) / greatest(1e-9D, aggregate(y.i, 0D, (s, q) -> s + (q - y.mean) * (q - y.mean))) as r)",
-        "struct(y.start as start, y.end as end, y.n as n, y.llr as llr, "
-        "(pow(y.chi / (y.k - 1), 1D / 3) - (1D - 2D / (9D * (y.k - 1)))) / sqrt(2D / (9D * (y.k - 1))) as z_chi, "
-        "if(y.n1 = 0 or y.n0 = 0, 99D, (y.runs - 1D - 2D * y.n1 * y.n0 / y.n) / sqrt(greatest(1e-9D, 2D * y.n1 * y.n0 * (2D * y.n1 * y.n0 - y.n) / (y.n * y.n * (y.n - 1D))))) as z_runs, y.r * sqrt(y.n) as z_serial)",
-        f"struct(y.start as start, y.end as end, y.n as n, least(1D, 3D * least(if(y.z_chi > 0, {_tail('y.z_chi')}, 1D), {_tail('y.z_runs')}, {_tail('y.z_serial')})) as p_random, least(1D, exp(y.llr)) as p_text)",
-    ]
-    out = f"transform(tokens, x -> {steps[0]})"
-    for step in steps[1:]:
-        out = f"transform({out}, y -> {step})"
-    return f"filter({out}, y -> y.n >= 16)"
-
-
-def _discoveries() -> str:
-    """SQL: weighted Benjamini-Hochberg over ``tested``; weights are lengths over their mean."""
-    weighted = "transform(tested, x -> struct(least(1D, x.p_text * (aggregate(tested, 0D, (s, q) -> s + q.n) / size(tested)) / x.n) as p, x.start as start, x.end as end, x.p_random as p_random))"
-    cut = f"aggregate(transform(array_sort({weighted}), (x, i) -> if(x.p <= {RATE}D * (i + 1) / size(tested), x.p, -1D)), -1D, (s, q) -> greatest(s, q))"
-    return f"transform(array({cut}), c -> filter({weighted}, x -> x.p <= c and x.p_random >= {ALPHA}D))[0]"
+HEX = "[0-9a-f]{32,}"
+TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+KINDS = ("assign", "access", "hex", "random")
 
+#: share of wrongly found among the tokens found not to be random
+RATE = 0.05
+#: steps of a p-value for each halving, and the last step
+STEPS, LAST = 16, 960
+
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: encoding -> alphabet and the bin of each of its symbols; longer tokens of base64 have finer bins
+ENCODINGS = {
+    "hex": (DIGITS + LOWER[:6], "a" * 4 + "b" * 4 + "c" * 4 + "d" * 4),
+    "base32": (UPPER + "234567", "a" * 8 + "b" * 8 + "c" * 10 + "d" * 6),
+    "base64": (UPPER + LOWER + DIGITS + "+/", "a" * 26 + "b" * 26 + "c" * 12),
+    "base64 long": (UPPER + LOWER + DIGITS + "+/", "a" * 9 + "b" * 9 + "c" * 8 + "d" * 9 + "e" * 9 + "f" * 8 + "g" * 12),
+}
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def by_encoding(value) -> str:
+    """SQL: the value of a token's encoding."""
+    return "case encoding " + " ".join(f"when '{name}' then {value(*of)}" for name, of in ENCODINGS.items()) + " end"
+
+
+def chi_square(count) -> str:
+    """SQL for the statistic; count: SQL for the number of symbols in a bin."""
+
+    def of(alphabet: str, bins: str) -> str:
+        share = {b: bins.count(b) / len(alphabet) for b in sorted(set(bins))}
+        return " + ".join(f"pow({count(b)} - n * {s!r}e0, 2) / (n * {s!r}e0)" for b, s in share.items())
+
+    return by_encoding(of)
+
+
+# SQL that engines share: z-values, two-sided normal tails (to within a few percent), and the combined p-value.
+FREEDOM = by_encoding(lambda alphabet, bins: f"{len(set(bins)) - 1}e0")
+Z_CHI = "(pow(chi / freedom, 1e0 / 3e0) - (1e0 - 2e0 / (9e0 * freedom))) / sqrt(2e0 / (9e0 * freedom))"
+Z_RUNS = "case when ups = 0 or ups = n then 99e0 else (runs - 1e0 - 2e0 * ups * (n - ups) / n) / sqrt(greatest(1e-9, 2e0 * ups * (n - ups) * (2e0 * ups * (n - ups) - n) / (1e0 * n * n * (n - 1)))) end"
+Z_SERIAL = "(pairs - mean * (2e0 * total - first_x - last_x) + (n - 1) * mean * mean) / greatest(1e-9, squares - n * mean * mean) * sqrt(1e0 * n)"
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and spans array<struct<start, end, kind, rank>> in code points, by start and then kind as listed.
 
-    Kinds: 0 assign, 1 access, 2 hex, 3 random.
-    """
+def tail(z: str) -> str:
+    return f"exp(-0.717e0 * abs({z}) - 0.416e0 * {z} * {z})"
+
+
+P_CHI = f"case when z_chi > 0 then {tail('z_chi')} / 2 else 1 - {tail('z_chi')} / 2 end"
+
+
+def tangent(p: str) -> str:
+    return f"tan((0.5e0 - least(0.99e0, greatest(1e-15, {p}))) * pi())"
+
+
+P_VALUE = f"0.5e0 - atan(({tangent('p_chi')} + {tangent('p_runs')} + {tangent('p_serial')}) / 3) / pi()"
+STEP = f"cast(least({LAST}, greatest(0, floor(-{STEPS} * log2(p * mean_n / n)))) as int)"
+
+
+def _pieces(pattern: str, gate: str) -> str:
+    """SQL: matches of a pattern in ``text`` with the lengths of the gaps before them; the text is only cut where the gate holds."""
+    p = sql_text(pattern)
+    return f"case when {gate} then filter(zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (gap, value) -> struct(length(gap) as gap, value)), x -> x.value is not null) end"
+
+
+def _matches(docs: DataFrame) -> DataFrame:
+    """A row for each document: number, doc_id and the matches of each kind."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    none = f"cast(array() as {_SPANS})"
-    small = "lower(text)"
-    word = " or ".join(f"contains({small}, '{w}')" for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
-    group = f"length(regexp_extract(x.value, {_sql('^' + ASSIGN)}, 2)) >= 8"
-    found = texts.select(
-        "doc_id",
-        F.expr(f"case when {word} then {spans_of(ASSIGN, group)} else {none} end").alias("assign"),
-        F.expr(f"case when contains(text, 'AKIA') then {spans_of(ACCESS, 'length(x.value) >= 16')} else {none} end").alias("access"),
-        F.expr(f"case when text rlike '[0-9a-f]{{32}}' then {spans_of('[0-9a-f]{32,}', 'true')} else {none} end").alias("hex"),
-        F.expr(f"case when text rlike {_sql(TOKEN)} then {spans_of(TOKEN, 'true')} else {none} end").alias("long"),
-    )
-    base = ("assign", "access", "hex")
-    clear = " and ".join(f"not exists({b}, b -> b.start < x.end and x.start < b.end)" for b in base)
-    found = found.withColumn("tokens", F.expr(f"case when size(long) > 0 then filter(long, x -> {clear}) else {none} end"))
-    found = found.withColumn("tested", F.expr(f"case when size(tokens) > 0 then {_battery()} end"))
-    found = found.withColumn("random", F.expr(f"case when size(tested) > 0 then transform({_discoveries()}, x -> struct(x.start as start, x.end as end, '' as value)) else {none} end"))
-    tagged = ", ".join(f"transform({c}, x -> struct(x.start as start, {i} as rank, x.end as end, '{c}' as kind))" for i, c in enumerate((*base, "random")))
-    return found.select("doc_id", F.expr(f"array_sort(concat({tagged}))").alias("spans"))
+    word = " or ".join(f"contains(lower(text), '{w}')" for w in ASSIGNED)
+    gates = {"assign": (ASSIGN, word), "access": (ACCESS, "contains(text, 'AKIA')"), "hex": (HEX, f"text rlike '{HEX}'"), "random": (TOKEN, f"text rlike {sql_text(TOKEN)}")}
+    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[F.expr(_pieces(*of)).alias(kind) for kind, of in gates.items()])
+
+
+def _places(found: DataFrame) -> DataFrame:
+    """(row, rank, start, end, value) of all matches that count: assignments of 8 characters, access keys of 16."""
+    listed = [f"transform(coalesce({kind}, array()), (x, i) -> struct({rank} as rank, i as i, x.gap as gap, x.value as value))" for rank, kind in enumerate(KINDS)]
+    flat = found.select("row", F.expr(f"inline(concat({', '.join(listed)}))"))
+    flat = flat.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("row", "rank").orderBy("i")))
+    long = F.expr(f"case rank when 0 then length(regexp_extract(value, {sql_text('^' + ASSIGN)}, 2)) >= 8 when 1 then length(value) >= 16 else true end")
+    return flat.where(long).select("row", "rank", (F.col("end") - F.length("value")).cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value")
+
+
+def _clear(places: DataFrame) -> DataFrame:
+    """Tokens that overlap no base span: no base span that starts before a token's end ends behind its start."""
+    token = F.col("rank") == 3
+    order = Window.partitionBy("row").orderBy(F.when(token, F.col("end")).otherwise(F.col("start")), F.when(token, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.coalesce(F.max(F.when(~token, F.col("end"))).over(order), F.lit(0))
+    return places.withColumn("reach", reach).where(token & (F.col("reach") <= F.col("start"))).select("row", "start", "end", "value")
+
+
+def _battery(tokens: DataFrame) -> DataFrame:
+    """tokens (value) -> with n and p, the combined p-value; those of fewer than 16 symbols, and numbers, are left out."""
+    code = "case when symbols rlike '^[0-9a-f]+$' then 'hex' when symbols rlike '^[A-Z2-7]+$' then 'base32' when n < 40 then 'base64' else 'base64 long' end"
+    t = tokens.withColumn("symbols", F.expr("translate(rtrim('=', value), '-_', '+/')")).withColumn("n", F.length("symbols"))
+    t = t.where("n >= 16 and not symbols rlike '^[0-9]+$' and not contains(symbols, '=')").withColumn("encoding", F.expr(code))
+    t = t.withColumn("binned", F.expr(by_encoding(lambda alphabet, bins: f"translate(symbols, '{alphabet}', '{bins}')")))
+    t = t.withColumn("halves", F.expr(by_encoding(lambda alphabet, bins: f"translate(symbols, '{alphabet}', '{'d' * (len(alphabet) // 2) + 'u' * (len(alphabet) // 2)}')")))
+    t = t.withColumn("x", F.expr(by_encoding(lambda alphabet, bins: f"transform(filter(split(symbols, ''), c -> c <> ''), c -> cast(instr('{alphabet}', c) - 1 as bigint))")))
+    t = t.withColumns({"chi": F.expr(chi_square(lambda b: f"(n - length(replace(binned, '{b}', '')))")), "freedom": F.expr(FREEDOM)})
+    t = t.withColumns({"ups": F.expr("n - length(replace(halves, 'u', ''))"), "runs": F.expr("length(regexp_replace(regexp_replace(halves, 'u+', 'u'), 'd+', 'd'))")})
+    add = "aggregate({}, 0L, (s, q) -> s + q)"
+    t = t.withColumns({
+        "total": F.expr(add.format("x")), "squares": F.expr(add.format("transform(x, q -> q * q)")), "pairs": F.expr(add.format("zip_with(slice(x, 1, n - 1), slice(x, 2, n - 1), (a, b) -> a * b)")),
+        "first_x": F.expr("x[0]"), "last_x": F.expr("x[n - 1]"),
+    })
+    t = t.withColumn("mean", F.expr("1e0 * total / n")).withColumns({"z_chi": F.expr(Z_CHI), "z_runs": F.expr(Z_RUNS), "z_serial": F.expr(Z_SERIAL)})
+    t = t.withColumns({"p_chi": F.expr(P_CHI), "p_runs": F.expr(tail("z_runs")), "p_serial": F.expr(tail("z_serial"))})
+    return t.withColumn("p", F.expr(f"greatest(1e-18, {P_VALUE})")).select("row", "start", "end", "n", "p")
+
+
+def _random(tokens: DataFrame) -> DataFrame:
+    """Tokens (n, p) that the weighted Benjamini-Hochberg procedure over the table doesn't find not to be random."""
+    mean = tokens.agg(F.avg("n").alias("mean_n"))  # one row
+    stepped = tokens.crossJoin(F.broadcast(mean)).withColumn("step", F.expr(STEP))
+    counts = stepped.groupBy("step").agg(F.count("*").alias("times"))  # at most LAST + 1 rows
+    falling = Window.orderBy(F.desc("step"))
+    counts = counts.withColumn("found", F.sum("times").over(falling)).withColumn("all", F.sum("times").over(Window.partitionBy(F.lit(0))))
+    last = counts.where(F.expr(f"pow(2e0, -step / {STEPS}e0) * `all` <= {RATE}e0 * found")).agg(F.coalesce(F.min("step"), F.lit(LAST + 1)).alias("ordinary"))
+    return stepped.crossJoin(F.broadcast(last)).where("step < ordinary").select("row", "start", "end")
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id and spans array<struct<start, rank, end, kind>> in code points, by start and then kind as in ``KINDS``."""
+    scratch = Scratch(docs.sparkSession, "secret-scan")
+    found = scratch.write(_matches(docs), "found")
+    places = _places(found.where(" or ".join(f"size({kind}) > 0" for kind in KINDS)))
+    tokens = scratch.write(_battery(_clear(places)), "tokens")
+    base = places.where("rank < 3").select("row", "start", "rank", "end")
+    spans = base.unionByName(_random(tokens).withColumn("rank", F.lit(3)))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
+    listed = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", kind.alias("kind")))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    return found.select("row", "doc_id").join(listed, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))

@@ -7,6 +7,7 @@ import re
 import string
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -395,30 +396,90 @@ def test_suppression():
 
 
 def brute_tree(text):
-    sections = [re.split(r"(?<=[.!?] )", s) for s in re.split(r"(?<=\n)", text)]
-    leaves = [[sha(p) for p in s] for s in sections]
-    return sha(";".join(sha(",".join(s)) for s in leaves)) + "|" + ";".join(",".join(h[:8] for h in s) for s in leaves)
-
-
-def brute_likeness(a, b):
-    x, y = (set(re.split("[,;]", f[65:])) for f in (a, b))
-    return 1.0 if a[:64] == b[:64] else len(x & y) / len(x | y)
+    """Sections of (paragraph hash, leaf hashes), and the fingerprint."""
+    sections = [[]]
+    for p in re.split(r"(?<=\n)", text):
+        leaves = [sha(x) for x in re.split(r"(?<=[.!?] )", p)]
+        h = sha(".".join(leaves))
+        sections[-1].append((h, leaves))
+        if re.fullmatch(r"[\t-\r ]+", p) or h[-1] in "08":
+            sections.append([])
+    if not sections[-1]:
+        sections.pop()
+    tops = [sha(",".join(h for h, _ in s)) for s in sections]
+    cut = lambda h: h[:16]
+    body = [cut(t) + ":" + ",".join(cut(h) + "=" + ".".join(map(cut, leaves)) for h, leaves in s) for t, s in zip(tops, sections, strict=True)]
+    return body, sha(";".join(tops)) + "|" + ";".join(body)
+
+
+def brute_compare(a, b):
+    (sa, fa), (sb, fb) = brute_tree(a), brute_tree(b)
+    if fa[:64] == fb[:64]:
+        return 1.0, [], [], []
+    key = lambda body: [(s, body[:i].count(s)) for i, s in enumerate(body)]
+    ka, kb = key(sa), key(sb)
+    leaves = lambda body: [x for s in body for p in s[17:].split(",") for x in p[17:].split(".")]
+    ca, cb = [k for k in ka if k in kb], [k for k in kb if k in ka]
+    around = lambda ks, k: ([None, *ks][ks.index(k)], [*ks, None][ks.index(k) + 1])
+    moved = [k for k in cb if all(x != y for x, y in zip(around(ca, k), around(cb, k), strict=True))]
+    na, nb = Counter(leaves(sa)), Counter(leaves(sb))
+    n, same = na.total() + nb.total(), (na & nb).total() - len(leaves([s for s, _ in moved])) / 2
+    return min(same / (n - same), 1 - 1 / n), [i for i, k in enumerate(ka) if k not in kb], [i for i, k in enumerate(kb) if k not in ka], [i for i, k in enumerate(kb) if k in moved]
 
 
 def test_fingerprints(spark):
-    texts = ["One. Two! Three?\nNext line. ", "One. Two! Three?\nNext line. ", None, "", "a\n\nb", "é😀x. " * 400 + "\n", "odd"]
-    ids = [4, 9, 20, 33, -5, 100, 101]
-    got = {r["doc_id"]: r for r in merkle.compare_with_next(docs(spark, texts, ids)).collect()}
+    texts = ["One. Two! Three?\nNext line. ", "One. Two! Three?\nNext line. ", None, "", "a\n\nb", "é😀x. " * 400 + "\n", "odd", "\n".join(f"line {i % 7}. more {i}" for i in range(90)), "\n".join(f"line {i % 7}. more {i}" for i in range(80))]
+    ids = [4, 9, 20, 33, -5, 100, 101, 102, 103]
+    got = {r["doc_id"]: r for r in merkle.compare_with_next(docs(spark, texts, ids).withColumn("bucket", F.lit(1)).withColumn("edits", F.lit(1))).collect()}
     order = sorted(zip(ids, [t or "" for t in texts], strict=True))
     for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         r = got[i]
-        assert (r["n_chars"], r["edited"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), edited, brute_tree(t), brute_tree(edited))
-        assert r["near_edited"] == pytest.approx(brute_likeness(r["fingerprint"], r["edited_fingerprint"]))
-        assert r["near_next"] == pytest.approx(brute_likeness(brute_tree(t), brute_tree(nxt)))
+        assert (r["n_chars"], r["edited"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), edited, brute_tree(t)[1], brute_tree(edited)[1])
+        near, *edits = brute_compare(t, edited)
+        assert r["near_edited"] == pytest.approx(near) and [*r["edits"]] == edits
+        assert r["near_next"] == pytest.approx(brute_compare(t, nxt)[0])
     assert got[4]["near_next"] == 1.0
 
 
+def test_comparison_of_branches(spark):
+    """Sections moved, repeated, swapped, deleted and inserted; order and repetition count."""
+    rng = random.Random(3)
+    part = [f"part {i}. " + " ".join(rng.choices("abc", k=3)) + ".\n\n" for i in range(12)]
+    pairs = [("".join(part), "".join(part[:3] + part[4:9] + [part[3]] + part[9:])), ("".join(part[:4]), "".join([part[1], part[0], *part[2:4]])), (part[0] * 3, part[0]), (part[0] * 2 + part[1], part[0] + part[1] + part[0])]
+    for _ in range(30):
+        a = rng.choices(part, k=rng.randint(0, 9))
+        b = [x for x in a if rng.random() < 0.8]
+        b.insert(rng.randint(0, len(b)), rng.choice(part))
+        if rng.random() < 0.5:
+            rng.shuffle(b)
+        pairs.append(("".join(a), "".join(b)))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string").select("i", merkle.fingerprint("x").alias("x"), merkle.fingerprint("y").alias("y"))
+    got = {r["i"]: r["c"] for r in merkle.compare(rows, "x", "y", "c").collect()}
+    for i, (a, b) in enumerate(pairs):
+        near, deleted, inserted, moved = brute_compare(a, b)
+        assert (got[i]["deleted"], got[i]["inserted"], got[i]["moved"]) == (deleted, inserted, moved) and got[i]["likeness"] == pytest.approx(near), i
+    assert brute_compare(*pairs[0])[3] != [] and got[0]["likeness"] < 1
+
+
+def test_buckets_by_bytes(spark):
+    """Rows of neighbouring doc_ids and about as many bytes are together, whatever the spread of the ids."""
+    rng = random.Random(5)
+    ids = [*range(0, 200), *(10**12 + i for i in range(200)), -(10**15)]
+    rows = spark.createDataFrame([(i, "x" * rng.choice([0, 10, 3000])) for i in ids], "doc_id long, text string")
+    got = [r for r in merkle.in_buckets(rows, Scratch(spark, "t"), 1, 20_000, 100).collect()]
+    own = sorted((r["doc_id"], r["bucket"]) for r in got if not r["guest"])
+    assert [i for i, _ in own] == sorted(ids) and [b for _, b in own] == sorted(b for _, b in own)
+    sizes = Counter()
+    for r in got:
+        sizes[r["bucket"]] += (not r["guest"]) * (100 + len(r["text"]))
+    assert len(sizes) > 8 and max(sizes.values()) < 60_000
+    firsts = {b: min(i for i, x in own if x == b) for b in sizes}
+    guests = {r["bucket"]: r["doc_id"] for r in got if r["guest"]}
+    chain = sorted(firsts)
+    assert guests == {b: firsts[n] for b, n in zip(chain, [*chain[1:], chain[0]], strict=True)}
+
+
 def test_fingerprint_edges(spark):
     assert merkle.compare_with_next(docs(spark, [])).count() == 0
     one = merkle.compare_with_next(docs(spark, ["abcd"])).collect()

@@ -1,67 +1,137 @@
-"""Document fingerprints: a Merkle tree over sections and paragraphs, with DataFrame functions only.
-
-A section is a line with its line end; its paragraphs are cut after sentence
-ends, so that texts of one long line have leaves too. Leaves are hashed, a
-section's hash covers its leaves' hashes, the root covers the sections' hashes.
-The pieces joined are the text, so equal roots mean equal texts. A fingerprint
-is the root, and the first 8 digits of each leaf by section:
-``root|leaf,leaf;leaf...``. Likeness is 1 for equal roots, else the shared
-part of the distinct leaves of both (intersection over union).
-
-Defined cases: null text is empty; the empty text has one empty leaf; rows
-that share a doc_id follow each other in the order of their fingerprints; a null doc_id takes part in no order and is
-compared with nothing (null likeness to a next document, no edit); one document
-follows itself; an empty table gives an empty result.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences, with DataFrame functions only.
+
+A paragraph is a line with its line end, and its sentences are the leaves. A
+section ends after a blank line, or after a paragraph whose hash ends with one of
+two digits of sixteen: such ends depend on nothing but the paragraph, so an edit
+moves no other section's ends. A node's hash covers its children's hashes, in
+full, so equal roots mean equal texts. A fingerprint is the root and, cut to 64
+bits, the hashes of all other nodes: ``root|S:P=L.L,P=L;S:P=L`` for sections,
+paragraphs and leaves.
+
+Two fingerprints are compared from the root down. Equal roots: likeness 1. Else
+sections that both have (each as often as both have it) match with all their
+leaves; only the others are descended into, to paragraphs, and where these differ
+to leaves. Leaves of a section that has moved count half. Likeness is the matched
+leaves over those of either text, and below 1 where the roots differ. The
+differing branches are the edits: sections that were deleted, inserted or moved.
+
+Everything is sorted arrays and set operations on them, so work is n log n in
+the length of a text.
+
+Defined cases: null text is empty; the empty text has one empty leaf; rows that
+share a doc_id follow each other in the order of their fingerprints and are in one
+bucket; a null doc_id takes part in no order and is compared with nothing (null
+likeness to a next document, no edit); one document follows itself; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
+#: last digits of a paragraph's hash that end a section
+ENDS = "08"
+
 
-def tree(text: str) -> str:
-    """SQL for the leaf hashes, array of sections of arrays of leaves."""
-    return f"transform(split({text}, '(?<=\\n)'), s -> transform(split(s, '(?<=[.!?] )'), p -> sha2(p, 256)))"
+def let(name: str, value: str, body: str) -> str:
+    """SQL: body with a name for a value that is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def fingerprint(text: str) -> Column:
-    """``root|leaves`` of a text column that isn't null."""
-    sections = "array_join(transform(t, s -> sha2(array_join(s, ','), 256)), ';')"
-    leaves = "array_join(transform(t, s -> array_join(transform(s, h -> left(h, 8)), ',')), ';')"
-    return F.expr(f"transform(array({tree(text)}), t -> concat(sha2({sections}, 256), '|', {leaves}))[0]")
+    """Of a text column that isn't null."""
+    leaves = "array_join(transform(split(p, '(?<=[.!?] )'), x -> sha2(x, 256)), '.')"
+    end = f"if(p rlike '^[\\\\x09-\\\\x0D ]+$' or right(h, 1) in ({', '.join(map(repr, ENDS))}), ';', ',')"
+    paragraph = let("l", leaves, let("h", "sha2(l, 256)", f"concat(h, '=', l, {end})"))
+    body = f"regexp_replace(array_join(transform(split({text}, '(?<=\\n)'), p -> {paragraph}), ''), '[,;]$', '')"
+    section = "concat(sha2(regexp_replace(s, '=[0-9a-f.]*', ''), 256), ':', s)"
+    sections = f"transform(split({body}, ';'), s -> {section})"
+    root = "sha2(array_join(transform(t, s -> left(s, 64)), ';'), 256)"
+    return F.expr(let("t", sections, f"concat({root}, '|', regexp_replace(array_join(t, ';'), '([0-9a-f]{{16}})[0-9a-f]{{48}}', '$1'))"))
+
+
+def counted(values: str) -> str:
+    """SQL: each value with the number of equal ones before it, in the same order, so that set operations respect repetition."""
+    sorted_ = f"array_sort(transform({values}, (v, i) -> struct(v, i)))"
+    starts = "filter(sequence(0, size(s) - 1), j -> j = 0 or s[j].v <> s[j - 1].v)"
+    ranks = "flatten(transform(zip_with(b, concat(slice(b, 2, size(b)), array(size(s))), (x, y) -> y - x), n -> sequence(0, n - 1)))"
+    out = "transform(array_sort(zip_with(s, r, (x, k) -> struct(x.i as i, concat(x.v, '#', k) as v))), x -> x.v)"
+    return f"if(size({values}) = 0, cast(array() as array<string>), {let('s', sorted_, let('b', starts, let('r', ranks, out)))})"
 
 
-def likeness(a: str, b: str) -> Column:
-    """Of two fingerprint columns, 0 to 1."""
-    leaf = "array_distinct(split(substring({0}, 66), '[,;]'))"
-    x, y = leaf.format(a), leaf.format(b)
-    return F.expr(
-        f"case when {a} is null or {b} is null then null when left({a}, 64) = left({b}, 64) then 1D "
-        f"else transform(array(struct({x} as x, {y} as y)), z -> transform(array(size(array_intersect(z.x, z.y))), i -> i / cast(size(z.x) + size(z.y) - i as double))[0])[0] end"
-    )
+def numbers_in(keys: str, chosen: str) -> str:
+    """SQL: numbers from 0 of the keys (all distinct) that are among the chosen, ascending."""
+    marked = f"array_sort(concat(transform({keys}, (k, i) -> struct(k, 0 as c, i)), transform({chosen}, k -> struct(k, 1 as c, -1 as i))))"
+    pairs = "zip_with(slice(m, 1, greatest(size(m) - 1, 0)), slice(m, 2, greatest(size(m) - 1, 0)), (x, y) -> if(x.c = 0 and y.c = 1 and x.k = y.k, x.i, -1))"
+    return f"array_sort(filter({let('m', marked, pairs)}, i -> i >= 0))"
 
 
-def edits(a: str, b: str) -> Column:
-    """Sections of b (numbers from 0) with leaves that a hasn't: the differing branches."""
-    return F.expr(
-        f"filter(transform(split(substring({b}, 66), ';'), (s, i) -> if(forall(split(s, ','), h -> array_contains(split(substring({a}, 66), '[,;]'), h)), -1, i)), i -> i >= 0)"
-    )
+def leaves_in(branches: str) -> str:
+    """SQL: number of leaves below sections or paragraphs."""
+    return f"aggregate({branches}, 0, (n, b) -> n + length(b) - length(translate(b, '.=', '')))"
 
 
-def in_buckets(rows: DataFrame, least_buckets: int = 128, bucket_rows: int = 100_000) -> DataFrame:
+def _pairs(keys: str) -> str:
+    """SQL: neighbours, with marks for both ends."""
+    padded = f"concat(array('^'), {keys}, array('$'))"
+    return let("q", padded, "zip_with(slice(q, 1, size(q) - 1), slice(q, 2, size(q) - 1), (x, y) -> concat(x, '>', y))")
+
+
+def compare(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """rows with a struct column of the comparison of two fingerprint columns, null if either is.
+
+    likeness, and the numbers of deleted sections (in a), of inserted and of moved ones (in b).
+    """
+    c = lambda part: f"_{name}_{part}"
+    strip = lambda keys: f"transform({keys}, k -> regexp_replace(k, '#[0-9]+$', ''))"
+    differ = f"left({a}, 64) <> left({b}, 64)"
+    out = rows
+    for side, of in (("a", a), ("b", b)):
+        out = out.withColumn(c(side), F.expr(f"case when {differ} then {counted(let('x', f'split(substring({of}, 66), {chr(39)};{chr(39)})', 'x'))} end"))
+    out = out.withColumn(c("both"), F.expr(f"array_intersect({c('a')}, {c('b')})"))
+    out = out.withColumn(c("broken"), F.expr(f"array_except({_pairs(f'array_intersect({c(chr(98))}, {c(chr(97))})')}, {_pairs(c('both'))})"))
+    out = out.withColumn(c("moved"), F.expr(f"array_intersect(transform({c('broken')}, p -> substring_index(p, '>', 1)), transform({c('broken')}, p -> substring_index(p, '>', -1)))"))
+    for side in "ab":
+        rest = strip(f"array_except({c(side)}, {c('both')})")
+        out = out.withColumn(c(f"p{side}"), F.expr(counted(f"flatten(transform({rest}, s -> split(substring(s, 18), ',')))")))
+    out = out.withColumn(c("paragraphs"), F.expr(f"array_intersect({c('pa')}, {c('pb')})"))
+    for side in "ab":
+        rest = strip(f"array_except({c('p' + side)}, {c('paragraphs')})")
+        out = out.withColumn(c(f"l{side}"), F.expr(counted(f"flatten(transform({rest}, p -> split(substring(p, 18), '[.]')))")))
+    matched = f"({leaves_in(c('both'))} - 0.5D * {leaves_in(c('moved'))} + {leaves_in(c('paragraphs'))} + size(array_intersect({c('la')}, {c('lb')})))"
+    leaves = f"({leaves_in(c('a'))} + {leaves_in(c('b'))})"
+    out = out.withColumns({c("m"): F.expr(matched), c("n"): F.expr(leaves)})
+    likeness = f"case when {a} is null or {b} is null then null when {differ} then least({c('m')} / ({c('n')} - {c('m')}), 1D - 1D / {c('n')}) else 1D end"
+    none = "cast(array() as array<int>)"
+    lists = {
+        "deleted": numbers_in(c("a"), f"array_except({c('a')}, {c('both')})"), "inserted": numbers_in(c("b"), f"array_except({c('b')}, {c('both')})"), "moved": numbers_in(c("b"), c("moved")),
+    }
+    made = f"if({a} is null or {b} is null, null, named_struct('likeness', {likeness}, {', '.join(f'{chr(39)}{k}{chr(39)}, coalesce({v}, {none})' for k, v in lists.items())}))"
+    return out.withColumn(name, F.expr(made)).select(*rows.columns, name)
+
+
+def in_buckets(rows: DataFrame, scratch: Scratch, least_buckets: int = 128, bucket_bytes: int = 64 << 20, unit: int = 4096) -> DataFrame:
     """rows with a bucket of neighbouring doc_ids, and as guests the rows that come after each bucket's last.
 
-    Buckets are cut by quantiles, so no doc_id range is large; the guests of a
-    bucket are the first document of the next one, and of the first bucket for the last.
+    A row weighs one unit, and one more for each ``unit`` bytes of text. Ranges of doc_id with about as many units each are
+    found by Spark's range partitioning of the units; a row's bucket is found among their first doc_ids by halving. The
+    guests of a bucket are the first document of the next one, and of the first bucket for the last.
     """
-    ids = rows.select("doc_id")
-    n = ids.count()
-    buckets = max(least_buckets, n // bucket_rows)
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets)}) if n else []
-    number = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= doc_id))") if cuts else F.lit(0)
+    units = scratch.write(rows.select("doc_id", (1 + F.octet_length("text") / unit).cast("int").alias("units")), "units")
+    total = units.agg(F.sum("units")).first()[0] or 0
+    buckets = max(least_buckets, -(-total * unit // bucket_bytes))
+    ranged = units.select("doc_id", F.explode(F.sequence(F.lit(1), "units"))).repartitionByRange(buckets, "doc_id")
+    cuts = sorted(r["first"] for r in ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.min("doc_id").alias("first")).collect())[1:]
+    middle = "(s.low + s.high) div 2"
+    halving = f"aggregate(sequence(1, {max(1, len(cuts).bit_length() + 1)}), struct(0L as low, {len(cuts)}L as high), (s, i) -> if(s.low >= s.high, s, if(cuts[{middle}] <= doc_id, struct({middle} + 1 as low, s.high as high), struct(s.low as low, {middle} as high))), s -> s.low)"
+    number = F.expr(let("cuts", f"from_json('{json.dumps(cuts)}', 'array<bigint>')", halving)) if cuts else F.lit(0).cast("long")
     # one row for each bucket from here on
-    firsts = ids.withColumn("bucket", number).groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
+    firsts = units.select("doc_id").withColumn("bucket", number).groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
     host = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy(F.lit(0))))
     firsts = firsts.select("doc_id", host.alias("bucket"))
     guests = rows.join(F.broadcast(firsts), "doc_id").withColumn("guest", F.lit(True))
@@ -77,20 +147,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose second half is the start of the next document.
 
-    doc_id, n_chars, edited text, both fingerprints and their likenesses, and the sections the edit touched.
+    doc_id, n_chars, edited text, both fingerprints, near_edited, near_next, and edits: the deleted, inserted and moved sections.
     """
+    scratch = Scratch(docs.sparkSession, "merkle")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known, other = texts.where("doc_id is not null"), texts.where("doc_id is null")
     order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "fingerprint")
-    both = in_buckets(known).withColumn("fingerprint", fingerprint("text")).withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order)).where("not guest")
+    both = in_buckets(known, scratch).withColumn("fingerprint", fingerprint("text")).withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order)).where("not guest")
     both = both.select("doc_id", "text", "fingerprint", "next").unionByName(other.withColumn("fingerprint", fingerprint("text")), allowMissingColumns=True)
     both = both.withColumn("n_chars", F.length("text"))
     edited = F.expr("if(next is null, text, concat(left(text, n_chars - n_chars div 2), left(next.text, cast(n_chars div 2 as int))))")
     both = both.select("doc_id", "n_chars", edited.alias("edited"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"))
     both = both.withColumn("edited_fingerprint", fingerprint("edited"))
-    return both.select(
-        "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "next_fingerprint").alias("near_next"),
-        edits("fingerprint", "edited_fingerprint").alias("edited_sections"),
-    )
+    both = compare(compare(both, "fingerprint", "edited_fingerprint", "edits"), "fingerprint", "next_fingerprint", "next")
+    return both.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", F.col("edits.likeness").alias("near_edited"), F.col("next.likeness").alias("near_next"), F.col("edits").dropFields("likeness").alias("edits"))

@@ -150,24 +150,46 @@ from d left join f using (doc_id) left join b using (doc_id)
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
+    """Fingerprints of every document and of its edited text, and the sections that the edit touched."""
     both = merkle.compare_with_next(_table(spark, sf_dir, "documents"))
-    return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    edits = F.expr("concat('deleted:', array_join(edits.deleted, ','), ';inserted:', array_join(edits.inserted, ','), ';moved:', array_join(edits.moved, ','))")
+    return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", edits.alias("edits"))
 
 
-_TREE = r"list_transform(string_split(replace({0}, chr(10), chr(10) || chr(31)), chr(31)), lambda s: list_transform(string_split(regexp_replace(s, '([.!?] )', '\1' || chr(31), 'g'), chr(31)), lambda p: sha256(p)))"
-_PRINT = "sha256(array_to_string(list_transform({0}, lambda s: sha256(array_to_string(s, ','))), ';')) || '|' || array_to_string(list_transform({0}, lambda s: array_to_string(list_transform(s, lambda h: h[:8]), ',')), ';')"
-_LEAVES = "list_distinct(list_transform(flatten({0}), lambda h: h[:8]))"
-OP7_SQL = f"""
+def _op7_sql() -> str:
+    """The tree as nested lists; likeness from counts of equal leaves and of the leaves of moved sections, without descending."""
+    leaves = r"list_transform(string_split(regexp_replace(p, '([.!?] )', '\1' || chr(31), 'g'), chr(31)), lambda x: sha256(x))"
+    end = "case when regexp_full_match(p, '[\\x09-\\x0D ]+') or right(sha256(array_to_string(l, '.')), 1) in ('0', '8') then ';' else ',' end"
+
+    def sections(text: str) -> str:
+        paragraphs = f"list_transform(string_split(replace({text}, chr(10), chr(10) || chr(31)), chr(31)), lambda p: {{'p': p, 'l': {leaves}}})"
+        body = f"array_to_string(list_transform({paragraphs}, lambda q: sha256(array_to_string(q.l, '.')) || '=' || array_to_string(q.l, '.') || {end.replace('(p,', '(q.p,').replace('(l,', '(q.l,')}), '')"
+        return f"list_transform(string_split(regexp_replace({body}, '[,;]$', ''), ';'), lambda s: sha256(regexp_replace(s, '=[0-9a-f.]*', '', 'g')) || ':' || s)"
+
+    whole = "sha256(array_to_string(list_transform({0}, lambda s: left(s, 64)), ';')) || '|' || regexp_replace(array_to_string({0}, ';'), '([0-9a-f]{{16}})[0-9a-f]{{48}}', '\\1', 'g')"
+    return f"""
 with o as (select doc_id, coalesce(text, '') as text from documents),
-n as (select *, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as nxt from o),
+n as (select *, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as nxt, coalesce(lead(doc_id) over (order by doc_id), first_value(doc_id) over (order by doc_id)) as next_id from o),
 e as (select *, left(text, length(text) - length(text) // 2) || left(nxt, length(text) // 2) as edited from n),
-t as (select *, {_TREE.format('text')} as ta, {_TREE.format('edited')} as te, {_TREE.format('nxt')} as tn from e),
-l as (select *, {_LEAVES.format('ta')} as la, {_LEAVES.format('te')} as le, {_LEAVES.format('tn')} as ln from t)
-select doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, {_PRINT.format('ta')} as fingerprint, {_PRINT.format('te')} as edited_fingerprint,
-  case when text = edited then 1e0 else cast(len(list_intersect(la, le)) as double) / cast(len(la) + len(le) - len(list_intersect(la, le)) as double) end as near_edited,
-  case when text = nxt then 1e0 else cast(len(list_intersect(la, ln)) as double) / cast(len(la) + len(ln) - len(list_intersect(la, ln)) as double) end as near_next
-from l
+t as (select *, {sections('text')} as sa, {sections('edited')} as sb from e),
+u as (select *, {whole.format('sa')} as fa, {whole.format('sb')} as fb from t),
+c as (select u.doc_id, 'edited' as kind, u.fa as a, u.fb as b from u union all select u.doc_id, 'next', u.fa, x.fa from u join u x on x.doc_id = u.next_id),
+s as (select doc_id, kind, side, unnest(string_split(f[66:], ';')) as entry, unnest(range(len(string_split(f[66:], ';')))) as i from (select doc_id, kind, unnest(['a', 'b']) as side, unnest([a, b]) as f from c where left(a, 64) <> left(b, 64))),
+k as (select *, entry || '#' || (row_number() over (partition by doc_id, kind, side, entry order by i)) as key from s),
+q as (select k.*, p.i is not null as paired from k left join k p on p.doc_id = k.doc_id and p.kind = k.kind and p.side <> k.side and p.key = k.key),
+w as (select *, lag(key) over g as before, lead(key) over g as after from q where paired window g as (partition by doc_id, kind, side order by i)),
+m as (select b.doc_id, b.kind, b.i, b.entry from w a join w b on a.doc_id = b.doc_id and a.kind = b.kind and a.key = b.key and a.side = 'a' and b.side = 'b' where a.before is distinct from b.before and a.after is distinct from b.after),
+l as (select doc_id, kind, side, unnest(flatten(list_transform(string_split(entry[18:], ','), lambda p: string_split(p[18:], '.')))) as leaf from s),
+y as (select doc_id, kind, leaf, count(*) filter (side = 'a') as na, count(*) filter (side = 'b') as nb from l group by all),
+z as (select doc_id, kind, sum(least(na, nb)) as same, sum(na + nb) as n from y group by all),
+v as (select doc_id, kind, sum(length(entry) - length(translate(entry, '.=', ''))) as moved from m group by all),
+r as (select doc_id, kind, cast(n as double) as n, cast(same as double) - 0.5e0 * coalesce(moved, 0) as same from z left join v using (doc_id, kind)),
+h as (select doc_id, kind, least(same / (n - same), 1e0 - 1e0 / n) as likeness from r),
+x as (select doc_id, string_agg(i, ',' order by i) filter (side = 'a' and not paired) as deleted, string_agg(i, ',' order by i) filter (side = 'b' and not paired) as inserted from q where kind = 'edited' group by doc_id),
+j as (select doc_id, string_agg(i, ',' order by i) as moved from m where kind = 'edited' group by doc_id)
+select u.doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, fa as fingerprint, fb as edited_fingerprint, coalesce(he.likeness, 1e0) as near_edited, coalesce(hn.likeness, 1e0) as near_next,
+  'deleted:' || coalesce(deleted, '') || ';inserted:' || coalesce(inserted, '') || ';moved:' || coalesce(j.moved, '') as edits
+from u left join h he on he.doc_id = u.doc_id and he.kind = 'edited' left join h hn on hn.doc_id = u.doc_id and hn.kind = 'next' left join x on x.doc_id = u.doc_id left join j on j.doc_id = u.doc_id
 """
 
 
@@ -274,4 +296,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_sharding": _op2_sql(), "op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_license_scan": _op6_sql(), "op7_fingerprint": OP7_SQL, "op8_secret_scan": _op8_sql(), "op10_mixing": _op10_sql()}
+    return {"op1_chat_format": OP1_SQL, "op2_sharding": _op2_sql(), "op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_license_scan": _op6_sql(), "op7_fingerprint": _op7_sql(), "op8_secret_scan": _op8_sql(), "op10_mixing": _op10_sql()}

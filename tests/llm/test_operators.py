@@ -225,13 +225,14 @@ def brute_contamination(texts, items, n):
     return out
 
 
-@pytest.mark.parametrize("block", [16 << 20, 400])
-def test_contamination(spark, block):
+@pytest.mark.parametrize(("block", "piece", "shard"), [(1 << 17, 4096, 1 << 19), (60, 7, 300), (9, 3, 1 << 19)])
+def test_contamination(spark, block, piece, shard):
+    """In one block; in several blocks of one pass, small pieces and shards; in several passes."""
     texts = corpus(5)
     items = [(1, " ".join(alnum(texts[30])[:25])), (12, "ONE two"), (3, None), (4, "!!"), (5, texts[40]), (None, " ".join(alnum(texts[31])[2:17])), (1, "zz yy")]
     bench = spark.createDataFrame([(i, t, "w") for i, t in items], "item_id long, text string, row string")
     texts.append(texts[40])
-    got = decontaminate.contamination(docs(spark, texts), bench, n=6, block_bytes=block).collect()
+    got = decontaminate.contamination(docs(spark, texts), bench, n=6, block_words=block, piece_words=piece, shard_words=shard).collect()
     brief = sorted((r["doc_id"], r["n_words"], sum(b - a for a, b in zip(r["starts"], r["ends"], strict=True)), sorted(r["items"])) for r in got)
     assert brief == brute_contamination(texts, items, 6)
     assert all(a < b for r in got for a, b in zip(r["starts"], r["ends"], strict=True))
@@ -243,6 +244,18 @@ def test_contamination_edges(spark):
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
 
 
+def test_contamination_of_a_large_benchmark():
+    """A block of many words is small arrays; long texts are whole."""
+    rng = random.Random(1)
+    pieces = [(f"item{i}", " ".join(rng.choices([f"w{j}" for j in range(50)], k=2000) + [f"x{i}"])) for i in range(60)]
+    block = decontaminate.block_of(pieces, 10)
+    assert sum(x.nbytes for group in block.by_length for x in group) < 100 * 60 * 2001
+    shard = decontaminate._Shard()
+    shard.add(1, 0, ("zz " * 200_000 + pieces[3][1] + " yy" * 200_000).encode().split())
+    (got,) = shard.search([block]).to_pylist()
+    assert (got["n_words"], got["starts"], got["ends"], got["items"]) == (402_001, [200_000], [202_001], ["item3"])
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     runs = [rng.integers(1, 4, rng.integers(1, 60)) for _ in range(20)]

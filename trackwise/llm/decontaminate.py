@@ -1,36 +1,45 @@
 """Benchmark decontamination with one FM-index for each shard of the training texts.
 
-Words outside the vocabulary of the test phrases can't be part of an occurrence,
-so a shard's index holds only the maximal runs of vocabulary words that are long
-enough for the shortest phrase. Each shard's suffix order is built by prefix
-doubling; phrases are searched backwards, all at once, through the ranks of a
-wavelet matrix over the Burrows-Wheeler transform; occurrences are located by
-walking to sampled suffix positions; their word spans are merged per document.
+A shard is about ``SHARD_WORDS`` words of documents. Words that no phrase with all
+its words in the shard has can't be part of an occurrence, so the shard's index
+holds only the maximal runs of the other words that are long enough for the
+shortest such phrase. The suffix order is built by prefix doubling; phrases are
+searched backwards, all at once, through the ranks of a wavelet matrix over the
+Burrows-Wheeler transform; occurrences are located by walking to sampled suffix
+positions; their word spans are merged per document.
 
-The phrases are read in blocks of at most ``block_bytes`` of benchmark text: a
-block is what one pass broadcasts, and a larger benchmark takes more passes whose
-spans are merged afterwards.
+The benchmark is cut into pieces of at most ``PIECE`` words (which share all but
+one of a phrase's words with the next piece of the item), and pieces are dealt to
+blocks of about ``block_words`` words by a hash. A block is arrays of word numbers,
+some 100 bytes for each word. One pass over the texts ships at most ``BLOCKS``
+blocks and searches each shard's one index for all of them; a larger benchmark
+takes more passes, whose spans are merged afterwards.
 
 Defined cases: null or empty text has no words; an item without words has no
 phrase; an item shorter than ``n`` words is one phrase; a null item_id counts as
-an item with an empty name; repeated rows are judged row by row; empty tables
-give empty results or no hits.
+an item with an empty name; rows are judged row by row, repeated ones and those
+without a doc_id too; empty tables give empty results or no hits; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Scratch
 from .textkernel import alnum_words
 
-#: words in a shard's index
-SHARD_WORDS = 1 << 19
+#: words of texts in a shard's index, and documents at most
+SHARD_WORDS, SHARD_ROWS = 1 << 19, 20_000
 SAMPLE = 8
+#: benchmark words in a piece, and blocks in a pass
+PIECE, BLOCKS = 4096, 8
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -114,25 +123,62 @@ class FMIndex:
         return self.sample[at] + steps
 
 
-class Phrases:
-    """Windows of n words of each item, once each, by length, with the items they come from."""
+@dataclass
+class Block:
+    """Windows of pieces, once each, by length: rows of numbers into ``words``, and the numbers of their items in ``names``."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.names = sorted({name for name, _ in items})
-        place = {name: i for i, name in enumerate(self.names)}
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)]
-            width = min(n, len(ids))
-            for i in range(len(ids) - width + 1 if ids else 0):
-                windows.setdefault(tuple(ids[i : i + width]), set()).add(place[name])
-        self.by_length = []
-        for width in sorted({len(w) for w in windows}):
-            own = [w for w in windows if len(w) == width]
-            flat = [sorted(windows[w]) for w in own]
-            self.by_length.append((np.array(own, np.int64), np.cumsum([0, *map(len, flat)]), np.array([x for f in flat for x in f], np.int64)))
-        self.shortest = min((len(w) for w in windows), default=0)
+    names: list[str]
+    words: list[bytes]
+    by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def block_of(pieces: list[tuple[str, str]], n: int) -> Block:
+    """pieces: (item, words joined by blanks)."""
+    names = sorted({name for name, _ in pieces})
+    place, vocabulary = {name: i for i, name in enumerate(names)}, _Numbers(0)
+    windows: dict[int, list[np.ndarray]] = {}
+    items: dict[int, list[np.ndarray]] = {}
+    for name, joined in pieces:
+        ids = vocabulary.of(joined.encode("utf-8", "surrogatepass").split(b" "))
+        width = min(n, len(ids))
+        windows.setdefault(width, []).append(np.lib.stride_tricks.sliding_window_view(ids, width))
+        items.setdefault(width, []).append(np.full(len(ids) - width + 1, place[name], np.int32))
+    by_length = []
+    for width in sorted(windows):
+        rows, which = np.unique(np.concatenate(windows[width]), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel().astype(np.int32), np.concatenate(items[width])], 1), axis=0)
+        by_length.append((rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1]))
+    return Block(names, list(vocabulary), by_length)
+
+
+class _Numbers(dict):
+    """word -> number, in the order of appearance."""
+
+    def __init__(self, first: int):
+        super().__init__()
+        self.first = first
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + self.first
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def _pieces(n: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = alnum_words(text)
+                for at in range(0, max(len(words) - n + 1, min(1, len(words))), most):
+                    part = words[at : at + most + n - 1]
+                    out.append((item, at, b" ".join(part).decode("utf-8", "surrogatepass"), len(part)))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["item", "at", "words", "n"])
+
+    return run
 
 
 def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -140,98 +186,140 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(total)
 
 
-def _search(phrases: Phrases, docs: list[tuple[int, int, int]], runs: list[np.ndarray], owner: list[int], offset: list[int]) -> pa.RecordBatch:
-    """docs: (row, tag, n_words) of a shard; runs: its symbol runs with their document and first word."""
-    spans: list[np.ndarray] = []
-    items: list[np.ndarray] = []
-    if runs:
-        lengths = np.array([len(r) + 1 for r in runs])
-        begin = np.append(0, np.cumsum(lengths)[:-1])
-        text = np.zeros(int(lengths.sum()), np.int64)
-        for b, r in zip(begin, runs, strict=True):
-            text[b : b + len(r)] = r
-        index, own, off = FMIndex(text), np.array(owner), np.array(offset)
-        for windows, item_at, item in phrases.by_length:
-            low, high = index.ranges(windows)
-            hit = np.flatnonzero(high > low)
-            counts = (high - low)[hit]
-            position = index.locate(_expand(low[hit], counts))
-            which = np.repeat(hit, counts)
-            run = np.searchsorted(begin, position, side="right") - 1
-            start = position - begin[run] + off[run]
-            spans.append(np.stack([own[run], start, start + windows.shape[1]], 1))
-            sizes = item_at[which + 1] - item_at[which]
-            items.append(np.stack([np.repeat(own[run], sizes), item[_expand(item_at[which], sizes)]], 1))
-    none = np.zeros((0, 3), np.int64)
-    span = np.concatenate([none, *spans])
-    pair = np.unique(np.concatenate([none[:, :2], *items]), axis=0)
-    span = span[np.lexsort((span[:, 1], span[:, 0]))]
-    starts: list[list[int]] = [[] for _ in docs]
-    ends: list[list[int]] = [[] for _ in docs]
-    names: list[list[str]] = [[] for _ in docs]
-    for d, a, b in span.tolist():
-        if ends[d] and a <= ends[d][-1]:
-            ends[d][-1] = max(ends[d][-1], b)
-        else:
-            starts[d].append(a)
-            ends[d].append(b)
-    for d, i in pair.tolist():
-        names[d].append(phrases.names[i])
-    return pa.RecordBatch.from_arrays(
-        [*(pa.array([x[i] for x in docs], pa.int64()) for i in range(3)), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
-        ["row", "tag", "n_words", "starts", "ends", "items"],
-    )
-
-
-def _scan(shipped):
+class _Shard:
+    """Documents (row, tag, n_words) and their words as numbers from 1; 0 stands between documents."""
+
+    def __init__(self):
+        self.docs: list[tuple] = []
+        self.ids: list[np.ndarray] = []
+        self.numbers, self.size = _Numbers(1), 0
+
+    def add(self, row, tag: int, words: list[bytes]) -> None:
+        self.docs.append((row, tag, len(words)))
+        self.ids += [self.numbers.of(words), np.zeros(1, np.int32)]
+        self.size += len(words)
+
+    def _known(self, blocks: list[Block]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """For each block and length: windows whose words all are in the shard, as its numbers, and their places."""
+        out = []
+        for block in blocks:
+            get = self.numbers.get
+            own = np.fromiter((get(w, 0) for w in block.words), np.int32, len(block.words))
+            known = []
+            for windows, _, _ in block.by_length:
+                at = np.flatnonzero((own[windows] > 0).all(axis=1))
+                known.append((own[windows[at]], at))
+            out.append(known)
+        return out
+
+    def search(self, blocks: list[Block]) -> pa.RecordBatch:
+        known = self._known(blocks)
+        used = np.zeros(len(self.numbers) + 1, bool)
+        for block in known:
+            for windows, _ in block:
+                used[windows.ravel()] = True
+        widths = [windows.shape[1] for block in known for windows, _ in block if len(windows)]
+        spans, items = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
+        if widths:
+            flat = np.concatenate(self.ids)
+            begins = np.cumsum([0, *(len(x) for x in self.ids)])[:-1:2]
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], used[flat], [False]])))
+            low, high = edge[::2], edge[1::2]
+            keep = high - low >= min(widths)
+            low, lengths = low[keep], (high - low)[keep] + 1
+            if len(low):
+                symbol = np.cumsum(used).astype(np.int64) * used
+                # each run with the 0, or unused word, that follows it
+                text = symbol[flat[_expand(low, lengths)]]
+                begin = np.append(0, np.cumsum(lengths)[:-1])
+                text[begin + lengths - 1] = 0
+                own = np.searchsorted(begins, low, side="right") - 1
+                off = low - begins[own]
+                index = FMIndex(text)
+                for b, block in enumerate(known):
+                    for (windows, at), (_, item_at, item) in zip(block, blocks[b].by_length, strict=True):
+                        if not len(windows):
+                            continue
+                        first, last = index.ranges(symbol[windows])
+                        hit = np.flatnonzero(last > first)
+                        counts = (last - first)[hit]
+                        position = index.locate(_expand(first[hit], counts))
+                        which = np.repeat(at[hit], counts)
+                        run = np.searchsorted(begin, position, side="right") - 1
+                        start = position - begin[run] + off[run]
+                        spans.append(np.stack([own[run], start, start + windows.shape[1]], 1))
+                        sizes = item_at[which + 1] - item_at[which]
+                        items.append(np.stack([np.repeat(own[run], sizes), np.full(int(sizes.sum()), b), item[_expand(item_at[which], sizes)]], 1))
+        return self._merged(np.concatenate(spans), np.unique(np.concatenate(items), axis=0), blocks)
+
+    def _merged(self, span: np.ndarray, found: np.ndarray, blocks: list[Block]) -> pa.RecordBatch:
+        span = span[np.lexsort((span[:, 1], span[:, 0]))]
+        starts: list[list[int]] = [[] for _ in self.docs]
+        ends: list[list[int]] = [[] for _ in self.docs]
+        names: list[set[str]] = [set() for _ in self.docs]
+        for d, a, b in span.tolist():
+            if ends[d] and a <= ends[d][-1]:
+                ends[d][-1] = max(ends[d][-1], b)
+            else:
+                starts[d].append(a)
+                ends[d].append(b)
+        for d, block, item in found.tolist():
+            names[d].add(blocks[block].names[item])
+        ints = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in self.docs]), pa.array([x[1] for x in self.docs], pa.int64()), pa.array([x[2] for x in self.docs], pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
+            ["row", "tag", "n_words", "starts", "ends", "items"],
+        )
+
+
+def _scan(shipped, kind: pa.DataType, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shipped.value
-        symbol, shortest = phrases.vocabulary.get, phrases.shortest
-        docs, runs, owner, offset, held = [], [], [], [], 0
+        blocks, shard = [s.value for s in shipped], _Shard()
+
+        def searched() -> pa.RecordBatch:
+            out = shard.search(blocks)
+            return out.set_column(0, "row", out["row"].cast(kind))
+
         for batch in batches:
-            for doc, text in zip(zip(batch["row"].to_pylist(), batch["tag"].to_pylist(), strict=True), batch["text"].to_pylist(), strict=True):
-                words = alnum_words(text)
-                n = len(words)
-                docs.append((*doc, n))
-                if shortest and n:
-                    ids = np.fromiter((symbol(w, 0) for w in words), np.int64, n)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], ids > 0, [0]])))
-                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        if b - a >= shortest:
-                            runs.append(ids[a:b])
-                            owner.append(len(docs) - 1)
-                            offset.append(a)
-                            held += b - a + 1
-                if held >= SHARD_WORDS or len(docs) >= 20_000:
-                    yield _search(phrases, docs, runs, owner, offset)
-                    docs, runs, owner, offset, held = [], [], [], [], 0
-        if docs:
-            yield _search(phrases, docs, runs, owner, offset)
+            for row, tag, text in zip(*(batch[c].to_pylist() for c in ("row", "tag", "text")), strict=True):
+                shard.add(row, tag, alnum_words(text))
+                if shard.size >= shard_words or len(shard.docs) >= SHARD_ROWS:
+                    yield searched()
+                    shard = _Shard()
+        if shard.docs:
+            yield searched()
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, merged word spans [starts, ends) of all occurrences, and the items (as strings, sorted)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = 1 << 17, id_type: str = "long", piece_words: int = PIECE, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, merged word spans [starts, ends) of all occurrences, and the items (as strings, sorted).
+
+    id_type: "long" or "string", to which doc_id is cast.
+    """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "benchmark")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("tag", F.xxhash64("text") if blocks > 1 else F.lit(0).cast("long"))
+    pieces = scratch.write(items.mapInArrow(_pieces(n, piece_words), "item string, at long, words string, n long"), "pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    number = F.pmod(F.xxhash64("item", "at"), F.lit(blocks))
+    passes = -(-blocks // BLOCKS)
+    rows = docs.select(F.col("doc_id").cast(id_type).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("tag", F.xxhash64("text") if passes > 1 else F.lit(0).cast("long")).select("row", "tag", "text")
+    kind = pa.int64() if id_type == "long" else pa.string()
     found = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        shipped = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], n))
-        hits = rows.mapInArrow(_scan(shipped), "row long, tag long, n_words long, starts array<int>, ends array<int>, items array<string>")
+    for first in range(0, blocks, BLOCKS):
+        shipped = [spark.sparkContext.broadcast(block_of([(r["item"], r["words"]) for r in pieces.where(number == b).collect()], n)) for b in range(first, min(blocks, first + BLOCKS))]
+        hits = rows.mapInArrow(_scan(shipped, kind, shard_words), f"row {id_type}, tag long, n_words long, starts array<int>, ends array<int>, items array<string>")
         found = hits if found is None else found.unionByName(hits)
-    if blocks > 1:
-        # several passes: merge the spans of a document again
+    if passes > 1:
+        # merge the spans of a document again
         spans = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
         found = found.groupBy("row", "tag", "n_words").agg(F.count("*").alias("times"), F.array_sort(spans).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merged = F.expr(
             "aggregate(s, cast(array() as array<struct<starts:int,ends:int>>), (acc, x) -> if(size(acc) > 0 and x.starts <= element_at(acc, -1).ends,"
             " concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).starts as starts, greatest(element_at(acc, -1).ends, x.ends) as ends))), concat(acc, array(x))))"
         )
-        found = found.withColumn("s", merged).withColumn("copy", F.explode(F.expr(f"sequence(1L, times div {blocks})"))).select("row", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
+        found = found.withColumn("s", merged).withColumn("copy", F.explode(F.expr(f"sequence(1L, times div {passes})"))).select("row", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
     return found.drop("tag").withColumnRenamed("row", "doc_id")

@@ -322,6 +322,37 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert rows_of(jaccard_join.jaccard_components(docs(spark, texts), 3, 80, 100)) == brute_components(list(enumerate(texts)), 3, 80, 100)
 
 
+def test_jaccard_frequent_keys(spark, monkeypatch):
+    """Keys that are grouped by aggregates give the same components."""
+    monkeypatch.setattr(jaccard_join._Join, "frequent", lambda join, rows, parts: rows.groupBy("gram").count().where("count > 2").select("gram"))
+    texts = corpus(8)
+    for k, num in ((3, 90), (2, 70)):
+        assert rows_of(jaccard_join.jaccard_components(docs(spark, texts), k, num, 100)) == brute_components(list(enumerate(texts)), k, num, 100)
+
+
+def test_jaccard_numbers(spark):
+    """Sets that share 64 bits keep apart, and frequent keys are found."""
+    join = jaccard_join._Join(docs(spark, ["a b c d"]), 3, 90, 100, "long")
+    join.clashes, join.renamed = spark.createDataFrame([(7, -5)], "node long, least long"), True
+    sets = spark.createDataFrame([(1, 7, -5), (2, 7, 3), (3, 8, 3), (4, 7, -5), (5, 7, 3)], "doc_id long, node long, check long")
+    got = {r["doc_id"]: r["node"] for r in join.numbered(sets).collect()}
+    assert got[1] == got[4] == 7 and got[2] == got[5] not in (7, 8) and got[3] == 8
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, 77, id) as gram", "id as node")
+    assert [r["gram"] for r in join.frequent(rows, 4).collect()] == [77] and join.frequent(rows.where("gram <> 77"), 4) is None
+
+
+@pytest.mark.parametrize(("k", "num"), [(1, 90), (1, 60)])
+def test_jaccard_of_a_dense_family(spark, k, num):
+    """Sets near the threshold that hubs don't join: chains, and pairs whose only common rare word is their own."""
+    rng = random.Random(k * num)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(150):
+        own = rng.sample(base, rng.randint(32, 40)) + [f"x{rng.randrange(60)}" for _ in range(rng.randint(0, 6))]
+        texts.append(" ".join(own))
+    assert rows_of(jaccard_join.jaccard_components(docs(spark, texts), k, num, 100)) == brute_components(list(enumerate(texts)), k, num, 100)
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
     got = jaccard_join.jaccard_components(docs(spark, ["a b c d", "A b c d", None, "", "a b c d", "q"], [5, 5, 6, 7, None, 2])).collect()

@@ -2,39 +2,53 @@
 
 Shingles are ordered globally: rare ones first, by 64-bit fingerprint, then the
 corpus's common ones by ascending frequency. (Any order gives the same result;
-this one keeps groups small. Counts cover all documents; the table of common
-shingles is bounded by ``COMMON``, and what it leaves out is merely ordered as
-rare.) Cutting an order into fragments cuts every document's set.
+this one keeps groups small. The counts that order the common ones are near enough
+for that, not exact: shingles that a task sees once in two million aren't counted,
+and the table of common ones is bounded by ``COMMON``; what they leave out is
+merely ordered as rare.) Cutting an order into fragments cuts every document's set.
 
-1. Documents with equal sets become one node.
+1. Documents with equal sets become one node, numbered by 64 bits; sets that share
+   a number but not 64 bits more get numbers of their own.
 2. Candidates. The symmetric difference of two linked sets has at most
    (1-t)/(1+t) * (|a|+|b|) shingles, so cut into one fragment more than that, one
    fragment at least is equal in both. Where that leaves fragments of
    ``LONG`` shingles or more (thresholds from 0.87 on), equal fragments of the
    fingerprint range are the keys; size classes a factor t apart fix the number of
-   fragments, and a node has keys for its own class and the next larger one. For
-   lower thresholds, keys are the shingles of the first fragment of the global
-   order, the first ``n - ceil(t*n) + 1``, of which linked sets share one. Nodes
-   with a key in common are a group, and are tied to its smallest node.
+   fragments, and a node has keys for its own class and the next larger one. They are
+   made with the nodes, in one reading of the texts. For lower thresholds, keys are
+   the shingles of the first fragment of the global order, the first
+   ``n - ceil(t*n) + 1``, of which linked sets share one. Nodes with a key in common
+   are a group, and are tied to its smallest node. Keys that a sketch of frequent
+   items finds to be frequent (a bounded list) are grouped by partial aggregates,
+   the others in sorted partitions, so no key is a task of its own.
 3. Each tied pair is tested by sizes and by a parity sketch of both sets, whose
    differing bits never exceed the sets' symmetric difference; for pairs that
    may link, partial overlaps are counted for each fragment of the fingerprint
    range separately, summed per pair and tested in integers.
-4. Groups whose nodes are not in one component yet are completed: pairs across
-   components are tested by size and sketch, in pairs of blocks of bounded size,
-   and the rest by step 3. Groups with equal members are completed once. A first
-   round sends only the most alike pairs, a forest over a block's components,
-   which joins what belongs together; the second sends all pairs that are left.
-5. Components are contracted in a distributed way.
-
-All ways give the same result. No link is lost: both ends of a link are in one group, and step 4 tests each pair
-of a group that isn't already connected.
+4. Groups of three and more nodes that aren't in one component yet are open. Twice,
+   the nodes outside the component of an open group's smallest node get a new hub,
+   and are tied to it as in 3.
+5. What is open then is narrowed: shingles are counted, exactly, over the nodes of
+   open groups, and a node is listed under the first ``n - ceil(t*n) + 1`` shingles
+   of its own in ascending order of these counts, those of no other node left out.
+   Nodes that could link share one, so near copies that differ too much have nothing
+   in common any more. Of the groups of that list which are open, the nodes outside
+   the largest component are compared with all, in pairs of blocks of bounded size,
+   by size and sketch, and the rest by step 3. A first round sends only the most
+   alike pairs, a forest over a block's components, which joins what belongs
+   together; the second sends all pairs that are left.
+6. Components are contracted in a distributed way.
+
+No link is lost: both ends of a link are in one group, and if they aren't in one
+component they are in one group of the list of step 5, where each such pair is
+tested. That step's work is the product of a group's size and of its nodes outside
+the largest component, which is no bound for a group of many small components.
 
 Defined cases: null, empty or blank text has an empty set and links with
 nothing; with fewer words than ``k`` the whole sequence is the one shingle;
 repeated doc_ids are judged as separate rows of one identifier; rows with a null
 doc_id don't take part and get a null component; an empty table gives an empty
-result.
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +57,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, connected_components
@@ -63,12 +77,18 @@ def _set_of(text: str | None, k: int, cache: WordHashes) -> np.ndarray:
     return shingle_hashes(cache.of(blank_words(text, lower=True)), k)
 
 
-def _node(s: np.ndarray) -> int | None:
-    """Identity of a set: an order-free sum of mixed fingerprints and its size."""
+_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+def _node(s: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """Identity of a set: two order-free sums of mixed fingerprints, with its size."""
     if len(s) == 0:
-        return None
+        return None, None
     with np.errstate(over="ignore"):
-        return int(signed(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)))[0])
+        mixed = mix(s)
+        sums = np.array([mixed.sum(dtype=np.uint64), mix(mixed ^ _SALT).sum(dtype=np.uint64)]) + np.uint64(len(s))
+        node, check = signed(mix(sums)).tolist()
+    return node, check
 
 
 def parity_sketch(s: np.ndarray) -> np.ndarray:
@@ -85,40 +105,49 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0) if len(sketch) > words else sketch
 
 
-def _identify(k: int, count: bool):
-    """A row for each document; the sketch with a node's first row in the task; and, to count, rows of shingles seen twice."""
+READ = ["doc_id", "n_shingles", "node", "check", "sketch", "keys", "gram", "times"]
+
+
+def _identify(k: int, keys_of):
+    """A row for each document; the sketch and keys with a node's first row in the task. Without keys_of, rows of shingles seen twice as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, held, size = WordHashes(), set(), [], 0
-        names = ["doc_id", "n_shingles", "node", "sketch", "gram", "times"]
 
-        def counted() -> pa.RecordBatch:
+        def counted(ids: pa.DataType) -> pa.RecordBatch:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
             grams, times = grams[times > 1], times[times > 1]
-            none = [pa.nulls(len(grams), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            return pa.RecordBatch.from_arrays([*none, pa.array(signed(grams)), pa.array(times.astype(np.int64))], names)
+            none = [pa.nulls(len(grams), t) for t in (ids, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*none, pa.array(signed(grams)), pa.array(times.astype(np.int64))], READ)
 
         for batch in batches:
-            sizes, nodes, sketches = [], [], []
+            sizes, nodes, checks, sketches, keys = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 s = _set_of(text, k, cache)
-                node, sketch = _node(s), None
-                if node is not None and node not in seen:
-                    seen.add(node)
+                node, check = _node(s)
+                sketch = own = None
+                if node is not None and (node, check) not in seen:
+                    seen.add((node, check))
                     sketch = parity_sketch(s).tobytes()
-                    if count:
+                    if keys_of is not None:
+                        own = keys_of(s)
+                    else:
                         held.append(s)
                         size += len(s)
                 sizes.append(len(s))
                 nodes.append(node)
+                checks.append(check)
                 sketches.append(sketch)
+                keys.append(own)
                 if size >= COUNTED:
-                    yield counted()
+                    yield counted(batch["doc_id"].type)
                     held, size = [], 0
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, READ)
+            ids = batch["doc_id"].type
         if held:
-            yield counted()
+            yield counted(ids)
 
     return run
 
@@ -135,46 +164,38 @@ def size_classes(num: int, den: int, most: int = 1 << 40) -> list[int]:
     return tops
 
 
-def _equal_fragments(k: int, num: int, den: int):
+def _equal_fragments(num: int, den: int):
+    """Keys of a set: hashes of its fragments, for its size class and the next one."""
     tops = np.array(size_classes(num, den), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
-        for batch in batches:
-            grams, nodes = [], []
-            for text in batch["text"].to_pylist():
-                s = _set_of(text, k, cache)
-                node = _node(s)
-                if node is None or node in seen:
-                    continue
-                seen.add(node)
-                mine = int(np.searchsorted(tops, len(s)))
-                with np.errstate(over="ignore"):
-                    sums = np.zeros(len(s) + 1, np.uint64)
-                    np.cumsum(mix(s), out=sums[1:])
-                    for c in (mine, mine + 1):
-                        parts = (den - num) * 2 * int(tops[c]) // (den + num) + 1
-                        width = np.uint64(min((1 << 64) // parts, (1 << 64) - 1))
-                        edge = np.append(np.searchsorted(s, np.arange(parts, dtype=np.uint64) * width), len(s))
-                        inside = sums[edge[1:]] - sums[edge[:-1]] + np.diff(edge).astype(np.uint64)
-                        grams.append(signed(mix(mix(np.arange(parts, dtype=np.uint64) + np.uint64(c << 40)) + inside)))
-                        nodes.append(np.full(parts, node, np.int64))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], ["gram", "node"])
+    def keys(s: np.ndarray) -> np.ndarray:
+        mine, out = int(np.searchsorted(tops, len(s))), []
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(s) + 1, np.uint64)
+            np.cumsum(mix(s), out=sums[1:])
+            for c in (mine, mine + 1):
+                parts = (den - num) * 2 * int(tops[c]) // (den + num) + 1
+                width = np.uint64(min((1 << 64) // parts, (1 << 64) - 1))
+                edge = np.append(np.searchsorted(s, np.arange(parts, dtype=np.uint64) * width), len(s))
+                inside = sums[edge[1:]] - sums[edge[:-1]] + np.diff(edge).astype(np.uint64)
+                out.append(signed(mix(mix(np.arange(parts, dtype=np.uint64) + np.uint64(c << 40)) + inside)))
+        return np.concatenate(out)
 
-    return run
+    return keys
 
 
 def _prefixes(k: int, num: int, den: int, shipped):
+    """(node, check, keys): the first fragment of the global order, with a node's first row in the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, place = shipped.value
         cache, seen = WordHashes(), set()
         for batch in batches:
-            grams, nodes = [], []
+            out = []
             for text in batch["text"].to_pylist():
                 s = _set_of(text, k, cache)
                 node = _node(s)
-                if node is None or node in seen:
+                if node[0] is None or node in seen:
                     continue
                 seen.add(node)
                 first = prefix_length(len(s), num, den)
@@ -186,10 +207,9 @@ def _prefixes(k: int, num: int, den: int, shipped):
                         own = where[frequent]
                         rare = np.concatenate([rare, s[frequent][np.argsort(place[own])]])
                     s = rare
-                grams.append(signed(s[:first]))
-                nodes.append(np.full(min(first, len(s)), node, np.int64))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], ["gram", "node"])
+                out.append((*node, signed(s[:first])))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["node", "check", "keys"])
 
     return run
 
@@ -263,13 +283,10 @@ def _forest(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray
 
 
 def _across(num: int, den: int, forest: bool):
-    """Pairs across components that may link, of groups (gram, x, y) that come one after another.
-
-    side 0 stands left, 1 right, 2 on both sides; forest: only those that join components.
-    """
+    """Pairs across components that may link, of left and right nodes of groups (gram, x, y) that come one after another; forest: only those that join components."""
 
     def pairs(node, comp, size, side, sketch) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         raw = [np.frombuffer(x, np.uint64) for x in sketch]
         out_a, out_b, out_d = [], [], []
         for words in sorted({len(x) for x in raw}):
@@ -342,19 +359,20 @@ def _across(num: int, den: int, forest: bool):
     return run
 
 
-def _fragments(k: int):
+def _sets(k: int, fragments: int):
     """The sets of nodes by fragment of the fingerprint range, from rows whose text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
+        starts = np.arange(fragments, dtype=np.uint64) * np.uint64((1 << 64) // fragments if fragments > 1 else 0)
         for batch in batches:
             nodes, frags, sets = [], [], []
-            for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for node, check, text in zip(batch["node"].to_pylist(), batch["check"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 s = _set_of(text, k, cache)
-                if _node(s) != node:  # another row of this doc_id
+                if _node(s)[1] != check:  # another row of this doc_id
                     continue
-                edge = np.append(np.searchsorted(s, np.arange(FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)), len(s))
-                for f in range(FRAGMENTS):
+                edge = np.append(np.searchsorted(s, starts), len(s))
+                for f in range(fragments):
                     nodes.append(node)
                     frags.append(f)
                     sets.append(signed(s[edge[f] : edge[f + 1]]))
@@ -364,42 +382,76 @@ def _fragments(k: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, k: int, num: int, den: int):
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_type: str):
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
         self.scratch = Scratch(self.spark, "jaccard-join")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.known = self.docs.where("doc_id is not null")
         self.equal = den + num >= 2 * LONG * (den - num)
-        read = self.scratch.write(self.docs.mapInArrow(_identify(k, not self.equal), "doc_id long, n_shingles long, node long, sketch binary, gram long, times long"), "read")
+        keys_of = _equal_fragments(num, den) if self.equal else None
+        shape = f"doc_id {id_type}, n_shingles long, node long, check long, sketch binary, keys array<long>, gram long, times long"
+        read = self.scratch.write(self.docs.mapInArrow(_identify(k, keys_of), shape), "read")
         self.common = read.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where("times > 7")
-        self.rows = read.where("gram is null").select("doc_id", "n_shingles", "node")
-        usable = read.where("node is not null and doc_id is not null")
-        self.owner = self.scratch.write(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owner")
-        self.sketches = read.where("sketch is not null").select("node", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["node"])
-        self.sketches = self.scratch.write(self.sketches, "sketches")
+        sets = read.where("node is not null")
+        clashes = sets.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least <> most")
+        self.clashes = self.scratch.write(clashes.select("node", "least"), "clashes")
+        self.renamed = not self.clashes.isEmpty()
+        sets = self.numbered(sets)
+        self.rows = sets.select("doc_id", "n_shingles", "node").unionByName(read.where("node is null and gram is null").select("doc_id", "n_shingles", "node"))
+        sets = sets.where("doc_id is not null")
+        self.owner = self.scratch.write(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("check")), "owner")
+        first = sets.where("sketch is not null").select("node", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["node"])
+        self.sketches = self.scratch.write(first, "sketches")
+        self.keys = sets.where("keys is not null").select("node", "keys") if self.equal else None
+
+    def numbered(self, sets: DataFrame) -> DataFrame:
+        """sets (node, check, ...) with other numbers for all but one of the sets that share one."""
+        if not self.renamed:
+            return sets
+        other = F.col("least").isNotNull() & (F.col("check") != F.col("least"))
+        return sets.join(self.clashes, "node", "left").withColumn("node", F.when(other, F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("least")
+
+    def frequent(self, rows: DataFrame, parts: int) -> DataFrame | None:
+        """Keys (at most a thousand) that have more rows than half of what is due to a partition."""
+        found = rows.agg(F.expr("approx_top_k(gram, 1000, 10000)").alias("top"), F.count("*").alias("n")).first()
+        least = max(1000, found["n"] // (2 * min(parts, 1000)))
+        top = [(x["item"],) for x in found["top"] or () if x["count"] > least]
+        return self.spark.createDataFrame(top, "gram long") if top else None
 
     def groups(self) -> DataFrame:
-        if self.equal:
-            keys = _equal_fragments(self.k, self.num, self.den)
-        else:
+        """(gram, hub, node) of keys of several nodes; hub is the smallest."""
+        keys = self.keys
+        if keys is None:
             top = self.common.orderBy(F.desc("times"), "gram").limit(COMMON).collect()
             grams = np.array([r["gram"] for r in top], np.int64).view(np.uint64)
             order = np.argsort(grams)
-            keys = _prefixes(self.k, self.num, self.den, self.spark.sparkContext.broadcast((grams[order], -order)))  # ascending frequency
-        rows = self.known.select("text").mapInArrow(keys, "gram long, node long")
+            shipped = self.spark.sparkContext.broadcast((grams[order], -order))  # ascending frequency
+            keys = self.scratch.write(self.known.select("text").mapInArrow(_prefixes(self.k, self.num, self.den, shipped), "node long, check long, keys array<long>"), "keys")
+            keys = self.numbered(keys).select("node", "keys")
+        rows = keys.select(F.explode("keys").alias("gram"), "node")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return self.scratch.write(rows.repartition(parts, "gram").sortWithinPartitions("gram", "node").mapInArrow(_groups, "gram long, hub long, node long"), "groups")
+        frequent = self.frequent(rows, parts)
+        others = rows if frequent is None else rows.join(F.broadcast(frequent), "gram", "left_anti")
+        found = others.repartition(parts, "gram").sortWithinPartitions("gram", "node").mapInArrow(_groups, "gram long, hub long, node long")
+        if frequent is not None:
+            many = rows.join(F.broadcast(frequent), "gram").select("gram", "node")
+            hubs = many.groupBy("gram").agg(F.min("node").alias("hub"))
+            found = found.unionByName(many.distinct().join(F.broadcast(hubs), "gram").select("gram", "hub", "node"))
+        return self.scratch.write(found, "groups")
 
     def possible(self, pairs: DataFrame, name: str) -> DataFrame:
         side = lambda c: self.sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return self.scratch.write(both.mapInArrow(_possible(self.num, self.den), "a long, b long"), name)
 
+    def sets_of(self, nodes: DataFrame, fragments: int, name: str) -> DataFrame:
+        texts = self.known.join(nodes.join(self.owner, "node"), "doc_id").select("node", "check", "text")
+        return self.scratch.write(texts.mapInArrow(_sets(self.k, fragments), "node long, frag int, part array<long>").dropDuplicates(["node", "frag"]), name)
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose partial overlaps, summed over the fragments, reach the threshold."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.owner, "node")
-        texts = self.known.join(wanted, "doc_id").select("node", "text")
-        sets = self.scratch.write(texts.mapInArrow(_fragments(self.k), "node long, frag int, part array<long>").dropDuplicates(["node", "frag"]), f"{name}-sets")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = self.sets_of(wanted, FRAGMENTS, f"{name}-sets")
         side = lambda c: sets.select(F.col("node").alias(c), "frag", F.col("part").alias(f"part_{c}"))
         size = lambda c: self.sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
         overlaps = pairs.join(side("a"), "a").join(side("b"), ["b", "frag"]).groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("part_a", "part_b"))).alias("same"))
@@ -408,18 +460,43 @@ class _Join:
         self.scratch.drop(f"{name}-sets")
         return out
 
-    def unfinished(self, groups: DataFrame, comps: DataFrame, name: str, forest: bool) -> DataFrame:
-        """Pairs across components of groups of three and more nodes."""
+    def open(self, groups: DataFrame, comps: DataFrame, name: str, least: int = 3) -> DataFrame:
+        """(gram, node, comp) of groups of at least so many nodes in several components; of groups with equal nodes one."""
         placed = groups.select("gram", "node").join(comps, "node", "left").select("gram", "node", F.coalesce("component", "node").alias("comp"))
         shape = placed.groupBy("gram").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("print"))
-        open_ = shape.where("n > 2 and low < high").groupBy("n", "least", "print").agg(F.min("gram").alias("gram"))
-        open_ = self.scratch.write(open_.select("gram", F.ceil(F.col("n") / BLOCK).alias("blocks")), f"{name}-open")
-        rows = placed.join(open_, "gram").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
-        deal = "concat(transform(sequence(mine, blocks - 1), y -> struct(mine as x, y as y, if(y = mine, 2L, 0L) as side)), transform(filter(sequence(0L, mine), z -> z < mine), z -> struct(z as x, mine as y, 1L as side)))"
-        rows = rows.withColumn("task", F.explode(F.expr(deal))).select("gram", "task.*", "node", "comp").join(self.sketches, "node")
+        chosen = self.scratch.write(shape.where(f"n >= {least} and low < high").groupBy("n", "least", "print").agg(F.min("gram").alias("gram")).select("gram"), f"{name}-grams")
+        return self.scratch.write(placed.join(chosen, "gram").select("gram", "node", "comp"), f"{name}-open")
+
+    def tied_again(self, open_: DataFrame) -> DataFrame:
+        """Pairs of each group's nodes outside the component of its smallest node with the smallest of them."""
+        base = open_.groupBy("gram").agg(F.min_by("comp", "node").alias("base"))
+        rest = open_.join(base, "gram").where("comp <> base")
+        hubs = rest.groupBy("gram").agg(F.min("node").alias("hub"), F.min_by("comp", "node").alias("hub_comp"))
+        pairs = open_.join(hubs, "gram").where("comp <> hub_comp")
+        return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+    def narrowed(self, open_: DataFrame) -> DataFrame:
+        """(gram, node): of the open nodes, the shingles of their first fragment in ascending order of their counts among these nodes."""
+        sets = self.sets_of(open_.select("node").distinct(), 1, "open-sets")
+        flat = sets.select("node", F.explode("part").alias("gram"))
+        shared = flat.join(flat.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "gram")
+        of = Window.partitionBy("node")
+        listed = shared.withColumns({"place": F.row_number().over(of.orderBy("times", "gram")), "shared": F.count("*").over(of)}).join(self.sketches.select("node", "size"), "node")
+        # shingles of no other node come first
+        first = F.expr(f"size - ({self.num} * size + {self.den} - 1) div {self.den} + 1 - (size - shared)")
+        return self.scratch.write(listed.where(F.col("place") <= first).select("gram", "node"), "narrowed")
+
+    def across(self, open_: DataFrame, name: str, forest: bool) -> DataFrame:
+        """Pairs, of each group's nodes outside its largest component with all, that sizes and sketches don't rule out."""
+        shape = open_.groupBy("gram", "comp").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("comp", F.struct("n", "comp")).alias("base"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        shape = shape.select("gram", "base", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights"))
+        rows = open_.join(shape, "gram").withColumns({"hash": F.xxhash64("node"), "rest": F.col("comp") != F.col("base")})
+        left = "if(rest, transform(sequence(0L, rights - 1), y -> struct(pmod(hash, lefts) as x, y as y, 0L as side)), array())"
+        right = "transform(sequence(0L, lefts - 1), x -> struct(x as x, pmod(hash, rights) as y, 1L as side))"
+        rows = rows.join(self.sketches, "node").select("gram", F.inline(F.expr(f"concat({left}, {right})")), "node", "comp", "size", "sketch")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.select("gram", "x", "y", "node", "comp", "size", "side", "sketch").repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
-        return self.scratch.write(dealt.mapInArrow(_across(self.num, self.den, forest), "a long, b long").distinct(), f"{name}-across")
+        dealt = rows.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
+        return dealt.mapInArrow(_across(self.num, self.den, forest), "a long, b long").distinct()
 
     def merged(self, comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Components after more links."""
@@ -431,22 +508,35 @@ class _Join:
         new = upper.join(comps.select("node"), "node", "left_anti").select("node", "component")
         return self.scratch.write(old.unionByName(new), f"{name}-merged")
 
-
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents link when den * |a & b| >= num * |a | b|."""
-    join = _Join(docs, k, num, den)
-    scratch, rows = join.scratch, join.rows
-    groups = join.groups()
-    ties = join.possible(groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ties")
-    comps, tested = connected_components(join.verified(ties, "tied"), scratch, "tied"), ties
-    for name, forest in (("alike", True), ("left", False)):
-        more = scratch.write(join.unfinished(groups, comps, name, forest).join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
-        comps = join.merged(comps, join.verified(more, name), name)
-        tested = tested.unionByName(more)
-
+    def components(self) -> DataFrame:
+        """(node, component) of all nodes with links."""
+        scratch, groups = self.scratch, self.groups()
+        ties = self.possible(groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ties")
+        comps, tested = connected_components(self.verified(ties, "tied"), scratch, "tied"), ties
+        least = 3  # the pairs of groups of two are ties
+        for step in ("second", "third", "alike", "left"):
+            open_ = self.open(groups, comps, step, least)
+            if open_.isEmpty():
+                break
+            if step == "alike":
+                groups, least = self.narrowed(open_), 2
+                open_ = self.open(groups, comps, "narrow", least)
+            pairs = self.possible(self.tied_again(open_), f"{step}-tied") if step in ("second", "third") else self.across(open_, step, step == "alike")
+            more = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"{step}-pairs")
+            comps = self.merged(comps, self.verified(more, step), step)
+            tested = tested.unionByName(more)
+        return comps
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_type: str = "long") -> DataFrame:
+    """doc_id, n_shingles, component_id: documents link when den * |a & b| >= num * |a | b|. id_type: "long" or "string", to which doc_id is cast."""
+    join = _Join(docs, k, num, den, id_type)
+    comps = join.components()
     placed = join.owner.join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    placed = scratch.write(placed, "placed")
+    placed = join.scratch.write(placed, "placed")
     named = placed.join(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
+    rows = join.rows
     linked = rows.where("node is not null").join(named, "node", "left")
     linked = linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    join.scratch.keep("read", "clashes", "placed")
     return linked.unionByName(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -16,9 +16,10 @@ class Scratch:
     """Written tables of one operator call; each write cuts the lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -27,6 +28,11 @@ class Scratch:
         """Remove tables that nothing reads any more."""
         for name in names:
             remove(self.spark, f"{self.root}/{name}")
+        self.names -= set(names)
+
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these."""
+        self.drop(*(self.names - set(names)))
 
     def close(self) -> None:
         """Remove all tables of the call."""

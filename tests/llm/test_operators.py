@@ -609,6 +609,38 @@ def test_quality(spark):
     assert again == scored
 
 
+def brute_score(model, text):
+    """One token after another, in plain floats."""
+    total, n = [0.0] * quality.WIDTH, 0
+    for token in quality.tokenize(text):
+        at = model.vocabulary.get(token, model.vocabulary.get(quality._shape(token), 0))
+        total = [a + float(b) for a, b in zip(total, model.vectors[at], strict=True)]
+        n += 1
+    x = [v / (n + quality.PULL) for v in total] + [math.log1p(n) / 10]
+    if model.layers is None:
+        return model.prior
+    w1, b1, w2, b2, mean, scale = (np.asarray(p, float).tolist() for p in model.layers)
+    z = [(v - m) / s for v, m, s in zip(x, mean, scale, strict=True)]
+    hidden = [math.tanh(sum(v * w1[i][j] for i, v in enumerate(z)) + b1[j]) for j in range(len(b1))]
+    return 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2) / model.temperature))
+
+
+def test_quality_by_hand(spark):
+    """Scores against plain arithmetic, over odd tokens and a long text; the sample against its rule."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["the", "of", "River", "STONE", "x1", "42", "!!", "é", "_a", "aaa" * 9], k=rng.randint(0, 60))) for _ in range(90)] + [None, "", "word " * 300_000]
+    d = docs(spark, texts, [*range(90), None, 91, 92])
+    labels = spark.createDataFrame([(i, int(len(texts[i]) % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    model = quality.train(d, labels)
+    got = [(r["text"], r["score"]) for r in quality.score_documents(d, model).collect()]
+    assert len(got) == 93 and all(s == pytest.approx(brute_score(model, t), abs=1e-4) for t, s in got)
+    learned = {t for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1 for t in quality.tokenize(texts[i])}
+    assert {w for w in model.vocabulary if w[0] != "\0"} <= learned
+    assert len([w for w in quality.train(d, labels, words=3).vocabulary if w[0] != "\0"]) <= 3
+    flags = dict(d.select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect())
+    assert flags[None] is False and all(flags[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(90))
+
+
 def test_quality_without_labels(spark):
     d = docs(spark, ["a", None])
     empty = spark.createDataFrame([], "doc_id long, quality int")
@@ -636,39 +668,51 @@ def brute_fill(budget, caps, weights):
     return given | {c: left * weights[c] // total for c in rest}
 
 
+def brute_copies(rows, share, weights, epochs, seed):
+    """rows: (doc_id, text, lang, source) -> for each, (leaf, budget of the leaf, copies)."""
+    known = [(i, (f"domain{int(m[1]) % 4 if (m := re.search('([0-9]+)$', s or '')) else 0}", lang, s), len(words(t))) for i, t, lang, s in rows]
+    tokens, budgets = Counter(), {}
+    for _, leaf, n in known:
+        tokens[leaf] += n
+    weight = lambda level, name: weights.get(level, {}).get(name, 1)
+
+    def share_out(budget, prefix):
+        level = mixing.LEVELS[len(prefix)]
+        names = {leaf[len(prefix)] for leaf in tokens if leaf[: len(prefix)] == prefix}
+        caps = {n or "": epochs * sum(v for leaf, v in tokens.items() if leaf[: len(prefix) + 1] == (*prefix, n)) for n in names}
+        given = brute_fill(budget, caps, {n or "": weight(level, n) for n in names})
+        for n in names:
+            if len(prefix) == 2:
+                budgets[(*prefix, n)] = given[n or ""]
+            else:
+                share_out(given[n or ""], (*prefix, n))
+
+    if known:
+        share_out(min(tokens.total() * epochs, tokens.total() * share // 100), ())
+    out = [None] * len(known)
+    for leaf, total in tokens.items():
+        whole, used, by_key = budgets[leaf] // total if total else 0, 0, {}
+        for at, (i, own, _) in enumerate(known):
+            if own == leaf:
+                by_key.setdefault(hashlib.md5(f"{seed}:{whole}:{'' if i is None else i}".encode()).hexdigest(), []).append(at)
+        for key in sorted(by_key):
+            used += sum(known[at][2] for at in by_key[key])
+            for at in by_key[key]:
+                out[at] = (leaf, budgets[leaf], whole + (used <= budgets[leaf] - whole * total))
+    return out
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, " ".join("w" * 3 for _ in range(rng.randint(0, 40))) or None, rng.choice(["en", "de", None]), rng.choice(["src1", "src2", "src5", "src1", "odd", None])) for i in range(400)]
     rows += [rows[3], (None, "a b", "en", "src1")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("domain", F.lit(1)).withColumn("leaf", F.lit(2))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in ("domain", "leaf", "whole", "cut", "budget")})
     weights = {"domain": {"domain1": 3}, "lang": {"en": 2}}
-    got = mixing.mix_sources(d, 60, weights, 2, 5).collect()
-    assert len(got) == len(rows)
-    tokens, leaf = {}, lambda r: (r["domain"], r["lang"], r["source"])
-    for r in got:
-        tokens[leaf(r)] = tokens.get(leaf(r), 0) + r["n_tokens"]
-    domains = sorted({k[0] for k in tokens})
-    top = brute_fill(sum(tokens.values()) * 60 // 100, {x: 2 * sum(v for k, v in tokens.items() if k[0] == x) for x in domains}, {x: 3 if x == "domain1" else 1 for x in domains})
-    budgets = {}
-    for x in domains:
-        langs = {k[1] for k in tokens if k[0] == x}
-        for y, b in ((lambda names, f: [(n, f[n or ""]) for n in names])(langs, brute_fill(top[x], {n or "": 2 * sum(v for k, v in tokens.items() if k[:2] == (x, n)) for n in langs}, {n or "": 2 if n == "en" else 1 for n in langs}))):
-            sources = {k[2] for k in tokens if k[:2] == (x, y)}
-            for z, c in brute_fill(b, {n or "": 2 * tokens[x, y, n] for n in sources}, {n or "": 1 for n in sources}).items():
-                budgets[x, y, z or None] = c
-    for k, total in tokens.items():
-        own = [r for r in got if leaf(r) == k]
-        assert {r["leaf_budget"] for r in own} == {budgets[k]}, k
-        whole = budgets[k] // total if total else 0
-        used, want = 0, {}
-        by_key = {}
-        for r in own:
-            text = f"5:{whole}:{'' if r['doc_id'] is None else r['doc_id']}"
-            by_key.setdefault(hashlib.md5(text.encode()).hexdigest(), []).append(r)
-        for key in sorted(by_key):
-            used += sum(r["n_tokens"] for r in by_key[key])
-            want |= {r["doc_id"]: whole + (used <= budgets[k] - whole * total) for r in by_key[key]}
-        assert {r["doc_id"]: r["copies"] for r in own} == want, k
+    for heavy in (1, 10**15):  # budgets times weights may need more than 64 bits
+        w = {level: {k: v * heavy for k, v in of.items()} for level, of in weights.items()}
+        got = mixing.mix_sources(d, 60, w, 2, 5).collect()
+        want = [(i, leaf, budget, copies) for (i, *_), (leaf, budget, copies) in zip(rows, brute_copies(rows, 60, w, 2, 5), strict=True)]
+        assert sorted(((r["doc_id"], (r["domain"], r["lang"], r["source"]), r["leaf_budget"], r["copies"]) for r in got), key=repr) == sorted(want, key=repr)
 
 
 def test_mixing_empty(spark):

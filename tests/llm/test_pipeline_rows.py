@@ -1,6 +1,7 @@
 """Pipeline stages on rows without an id, repeated ids and empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as cp  # noqa: E402
@@ -54,6 +55,25 @@ def test_quality_by_row(spark):
     assert set(got) == want
 
 
-@pytest.mark.parametrize("stage", [s for n, s in cp.STAGES if n != "quality classifier"])
-def test_empty(spark, stage):
+@pytest.mark.parametrize("stage", [s for _, s in cp.STAGES])
+def test_any_table(spark, stage):
+    """Empty tables; null, empty and long texts, ties, repeated rows, and columns with the names that stages use inside."""
     assert stage(spark, _docs(spark, []), SF).count() == 0
+    real = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = _docs(spark, [(None, None), (None, ""), (900, None), (900, ""), (901, _text("a")), (901, _text("a")), (902, " ".join(f"w{i % 9000}" for i in range(60_000)))])
+    rows = real.select(*odd.columns).unionByName(odd)
+    names = ("score", "key", "_key", "_text", "component_id", "node", "gram", "a.b", "we`ird", "_domain", "domain", "whole", "cut", "leaf", "slot", "shard", "row", "tag", "p", "d")
+    wide = rows.select("*", *[F.lit(f"v{i}").alias(n) for i, n in enumerate(names)])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.checkpoint.dir")}
+    plain, got = stage(spark, rows, SF).collect(), stage(spark, wide, SF)
+    last = stage is cp.STAGES[-1][1]
+    assert sorted(got.columns) == sorted(wide.columns) and (last or got.columns == wide.columns)
+    key = lambda r: repr((r["doc_id"], r["text"]))
+    kept = got.collect()
+    assert sorted(map(key, kept)) == sorted(map(key, plain)) and len(plain) > 0
+    assert all(r[n] == f"v{i}" for r in kept for i, n in enumerate(names) if n not in ("slot", "shard") or not last)
+    assert {k: spark.conf.get(k) for k in before} == before
+    if "near" in stage.__name__:
+        assert sum(r["doc_id"] == 901 for r in plain) == 1 and sum(not r["text"] for r in plain) == 4
+    if "shard" in stage.__name__ or "contaminated" in stage.__name__:
+        assert sum(r["doc_id"] == 901 for r in plain) == 2 and sum(r["doc_id"] is None for r in plain) == 2

@@ -11,7 +11,9 @@ Defined cases: null text is empty; null role is an empty name; rows of a
 conversation are ordered by turn (null first), then role, then text; repeated
 rows are turns of their own; a role the machine doesn't know makes the
 conversation invalid but it is formatted; a null conv_id is one conversation of
-its own; an empty table gives an empty result.
+its own; an empty table gives an empty result; other columns are ignored, whatever
+their names. A conversation is one row of the result, so its whole text must fit in
+one (2 GB), however its turns are spread.
 """
 
 from __future__ import annotations

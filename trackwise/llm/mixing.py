@@ -51,7 +51,9 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     nodes = nodes.withColumn("ratio", ratio).withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
     nodes = nodes.withColumn("weight_left", F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     nodes = nodes.withColumn("left", F.greatest(F.col("budget") - F.col("cap_before"), F.lit(0)))
-    nodes = nodes.withColumn("full", F.expr("if(weight > 0, left * weight >= cap * weight_left, false)"))
+    # products of token counts and weights may need more than 64 bits
+    wide = lambda c: f"cast({c} as decimal(19, 0))"
+    nodes = nodes.withColumn("full", F.expr(f"if(weight > 0, {wide('left')} * {wide('weight')} >= {wide('cap')} * {wide('weight_left')}, false)"))
     nodes = nodes.withColumn("n_full", F.sum(F.col("full").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
     # the full ones come first; what they leave is shared by those behind them
     nodes = nodes.withColumn("is_full", F.col("n_full") == F.col("place"))
@@ -60,7 +62,7 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     # children of weight 0 take what is left, in order, when all others are full
     nodes = nodes.withColumn("open_before", F.coalesce(F.sum(F.when(~F.col("is_full"), F.col("cap"))).over(before), F.lit(0)))
     given = F.expr(
-        "case when is_full then cap when open_weight > 0 then (budget - full_cap) * weight div open_weight "
+        f"case when is_full then cap when open_weight > 0 then {wide('budget - full_cap')} * {wide('weight')} div {wide('open_weight')} "
         "else greatest(0, least(cap, budget - full_cap - open_before)) end"
     )
     return nodes.withColumn("given", given)
@@ -128,7 +130,9 @@ def leaf_plan(rows: DataFrame, share_percent: int, weights: dict[str, dict[str,
     reach = F.sum("n_tokens").over(Window.partitionBy("leaf", "b1", "b2").orderBy("key").rangeBetween(Window.unboundedPreceding, 0))
     inner = inner.withColumn("reach", F.col("base") + reach).where("reach <= rest").groupBy("leaf").agg(F.max("key").alias("cut"))
     cuts = full.unionByName(inner).groupBy("leaf").agg(F.max("cut").alias("cut"))
-    return scratch.write(plan.join(cuts, "leaf", "left"), "plan")
+    plan = scratch.write(plan.join(cuts, "leaf", "left"), "plan")
+    scratch.drop("leaves", "budgets", "fine", "open")
+    return plan
 
 
 def mix_sources(docs: DataFrame, share_percent: int = 60, weights: dict[str, dict[str, int]] | None = None, epochs: int = 2, seed: int = 17) -> DataFrame:

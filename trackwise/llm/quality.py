@@ -8,15 +8,18 @@ is the mean of its tokens' vectors and the logarithm of their number. A network
 of one hidden layer is fitted in numpy; a held-back quarter of the sample
 calibrates the temperature of its probabilities.
 
-The sample is bounded: at most ``rows`` labelled documents, evenly from both
-classes in the order of a hash of the identifier, and of those as many as have
-``chars`` characters together (the bound that the driver's memory sets). Scores
-use whole texts of all documents and nothing but their text.
+The sample is bounded, as the driver's memory is: at most ``rows`` labelled
+documents, evenly from both classes in the order of a hash of the identifier, and
+of those as many as have ``chars`` characters together, texts of more than a
+fiftieth of that last. Of its words, the ``words`` most frequent ones have vectors
+of their own. Scores use whole texts of all documents and nothing but their text.
 
 Defined cases: null text is empty; an empty text has a score like any other; a
 document with several labels counts with its smallest; null labels are left out;
 without labels of both classes the score is the share of label 1, or 0.5 without
-any; repeated rows score alike; an empty table gives an empty result.
+any; rows without a doc_id are scored, never learned from and not held out;
+repeated rows score alike; an empty table gives an empty result; other columns are
+ignored, whatever their names, unless they are asked for.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .shared import quoted
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: stands for a token that equals one of the two before it
@@ -41,7 +47,7 @@ PULL = 4
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _shape(token: str) -> str:
@@ -113,7 +119,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -50, 50)))
 
 
-def word_vectors(tokens: list[list[str]], least: int = 3, most: int = 60_000) -> tuple[dict[str, int], np.ndarray]:
+def word_vectors(tokens: list[list[str]], most: int, least: int = 3) -> tuple[dict[str, int], np.ndarray]:
     """Vocabulary (shapes included) and vectors: own index vector plus the mean of the neighbours'."""
     counts = Counter(t for doc in tokens for t in doc)
     known = [t for t, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c >= least][:most]
@@ -163,7 +169,7 @@ def calibrate(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit_model(texts: list[str | None], labels: list[int], positives: int, negatives: int) -> QualityModel:
+def fit_model(texts: list[str | None], labels: list[int], positives: int, negatives: int, words: int = 60_000) -> QualityModel:
     """positives, negatives: labels of each class in all training rows, to which the sample is weighted."""
     prior = positives / (positives + negatives) if positives + negatives else 0.5
     y = np.array(labels, np.float64)
@@ -172,7 +178,7 @@ def fit_model(texts: list[str | None], labels: list[int], positives: int, negati
     fit = np.arange(len(y)) % 4 != 3
     fit |= len(set(y[fit])) < 2
     tokens = [tokenize(t) for t in texts]
-    vocabulary, vectors = word_vectors([t for t, f in zip(tokens, fit, strict=True) if f])
+    vocabulary, vectors = word_vectors([t for t, f in zip(tokens, fit, strict=True) if f], words)
     model = QualityModel(vocabulary, vectors, None, 1.0, prior)
     x = model.features(texts, {})
     share = np.where(y > 0.5, prior / max(1e-9, (y > 0.5).mean()), (1 - prior) / max(1e-9, (y < 0.5).mean()))
@@ -182,7 +188,7 @@ def fit_model(texts: list[str | None], labels: list[int], positives: int, negati
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 24_000_000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 24_000_000, words: int = 60_000) -> QualityModel:
     """Fit on labelled rows that aren't held out, at most ``rows`` of them and ``chars`` characters."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("quality"))
     known = known.where(~held_out(F.col("doc_id")))
@@ -205,22 +211,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 24_
     chosen = spark.createDataFrame(sorted(within.items()), "doc_id long, quality int")
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     found = sorted((xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["text"], r["quality"]) for r in got.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect())
-    return fit_model([t for _, t, _ in found], [q for _, _, q in found], counts.get(1, 0), counts.get(0, 0))
+    return fit_model([t for _, t, _ in found], [q for _, _, q in found], counts.get(1, 0), counts.get(0, 0), words)
 
 
 def _score(shipped):
+    """Scores of the last column, behind all columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, shapes = shipped.value, {}
         for batch in batches:
-            scores = model.scores(model.features(batch["text"].to_pylist(), shapes))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names), pa.array(np.asarray(scores, np.float64))], [*batch.schema.names, "score"])
+            scores = model.scores(model.features(batch[batch.num_columns - 1].to_pylist(), shapes))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.asarray(scores, np.float64))], [*batch.schema.names, "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``text`` of docs, with ``score``: the calibrated probability of label 1."""
+def score_documents(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``text`` of docs, with the calibrated probability of label 1 in a column of another name than these."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    cols = docs.select(*dict.fromkeys((*keep, "text")))
-    schema = ", ".join(f"`{n}` {t}" for n, t in cols.dtypes)
-    return cols.mapInArrow(_score(shipped), f"{schema}, score double")
+    kept = [c for c in dict.fromkeys(keep) if c != "text"] + ["text"]
+    # names that any engine part can read
+    cols = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)])
+    scored = cols.mapInArrow(_score(shipped), StructType([*cols.schema.fields, StructField("score", DoubleType())]))
+    order = [*dict.fromkeys(keep), *(["text"] if "text" not in keep else [])]
+    return scored.select(*[F.col(f"c{kept.index(c)}").alias(c) for c in order], F.col("score").alias(name))

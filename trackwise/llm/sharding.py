@@ -19,6 +19,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
+
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 #: a prime over 100 times the number of shards, which keeps their loads within about one percent
 SLOTS = 6553
@@ -61,4 +63,5 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", shards: tuple[str, ...]
     digest = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8)
     slot = F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(slots)).cast("int")
     kept = rows.drop("slot", "shard")
-    return kept.withColumn("slot", slot).join(F.broadcast(lookup), "slot").select(*[F.col(f"`{c}`") for c in kept.columns], "slot", "shard")
+    placed = kept.withColumn("slot", slot).alias("r").join(F.broadcast(lookup).alias("l"), F.col("r.slot") == F.col("l.slot"))
+    return placed.select(*[F.col(f"r.{quoted(c)}") for c in kept.columns], F.col("r.slot").alias("slot"), F.col("l.shard").alias("shard"))

@@ -28,15 +28,17 @@ merely ordered as rare.) Cutting an order into fragments cuts every document's s
 4. Groups of three and more nodes that aren't in one component yet are open. Twice,
    the nodes outside the component of an open group's smallest node get a new hub,
    and are tied to it as in 3.
-5. What is open then is narrowed: shingles are counted, exactly, over the nodes of
-   open groups, and a node is listed under the first ``n - ceil(t*n) + 1`` shingles
-   of its own in ascending order of these counts, those of no other node left out.
-   Nodes that could link share one, so near copies that differ too much have nothing
-   in common any more. Of the groups of that list which are open, the nodes outside
-   the largest component are compared with all, in pairs of blocks of bounded size,
-   by size and sketch, and the rest by step 3. A first round sends only the most
-   alike pairs, a forest over a block's components, which joins what belongs
-   together; the second sends all pairs that are left.
+5. What is open then is narrowed: shingles are counted over the nodes of open
+   groups, in ``BUCKETS`` buckets of a hash (a table of fixed size), and a node is
+   listed under the first ``n - ceil(t*n) + 1`` shingles of its own in ascending
+   order of these counts. Nodes that could link share one. Near copies that differ
+   too much come under words of their own, and have nothing in common any more; the
+   more shingles there are to a bucket, the larger a family must be for that. Of the
+   groups of that list which are open, the nodes outside the largest component are
+   compared with all, in pairs of blocks of bounded size, by size and sketch, and the
+   rest by step 3. A first round sends only the most alike pairs, a forest over a
+   block's components, which joins what belongs together; the second sends all pairs
+   that are left.
 6. Components are contracted in a distributed way.
 
 No link is lost: both ends of a link are in one group, and if they aren't in one
@@ -57,7 +59,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, connected_components
@@ -69,6 +71,8 @@ FRAGMENTS = 4
 LONG = 7
 #: nodes in a block of a large group
 BLOCK = 512
+#: buckets in which the shingles of open groups are counted
+BUCKETS = 1 << 20
 #: shingles counted at once in a task, and most entries of the table of common shingles
 COUNTED, COMMON = 1 << 21, 1 << 20
 
@@ -381,6 +385,38 @@ def _sets(k: int, fragments: int):
     return run
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(shingles.view(np.uint64) ^ _SALT) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    times = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        flat = batch["part"].flatten().to_numpy()
+        times += np.bincount(_bucket(flat), minlength=BUCKETS)
+    at = np.flatnonzero(times)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(times[at])], ["bucket", "times"])
+
+
+def _rarest(num: int, den: int, shipped):
+    """(gram, node): the first fragment of each set in ascending order of the buckets' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = shipped.value
+        for batch in batches:
+            grams, nodes = [], []
+            for node, part in zip(batch["node"].to_pylist(), batch["part"], strict=True):
+                s = part.values.to_numpy()
+                n = prefix_length(len(s), num, den)
+                grams.append(s[np.lexsort((s, times[_bucket(s)]))[:n]])
+                nodes.append(np.full(len(grams[-1]), node, np.int64))
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(nodes))], ["gram", "node"])
+
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_type: str):
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
@@ -478,13 +514,13 @@ class _Join:
     def narrowed(self, open_: DataFrame) -> DataFrame:
         """(gram, node): of the open nodes, the shingles of their first fragment in ascending order of their counts among these nodes."""
         sets = self.sets_of(open_.select("node").distinct(), 1, "open-sets")
-        flat = sets.select("node", F.explode("part").alias("gram"))
-        shared = flat.join(flat.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "gram")
-        of = Window.partitionBy("node")
-        listed = shared.withColumns({"place": F.row_number().over(of.orderBy("times", "gram")), "shared": F.count("*").over(of)}).join(self.sketches.select("node", "size"), "node")
-        # shingles of no other node come first
-        first = F.expr(f"size - ({self.num} * size + {self.den} - 1) div {self.den} + 1 - (size - shared)")
-        return self.scratch.write(listed.where(F.col("place") <= first).select("gram", "node"), "narrowed")
+        counts = sets.select("part").mapInArrow(_bucket_counts, "bucket int, times long").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
+        times = np.zeros(BUCKETS, np.int64)
+        times[counts["bucket"].to_numpy()] = counts["times"].to_numpy()
+        shipped = self.spark.sparkContext.broadcast(times)
+        out = self.scratch.write(sets.select("node", "part").mapInArrow(_rarest(self.num, self.den, shipped), "gram long, node long"), "narrowed")
+        self.scratch.drop("open-sets")
+        return out
 
     def across(self, open_: DataFrame, name: str, forest: bool) -> DataFrame:
         """Pairs, of each group's nodes outside its largest component with all, that sizes and sketches don't rule out."""
@@ -519,6 +555,7 @@ class _Join:
             if open_.isEmpty():
                 break
             if step == "alike":
+                scratch.drop("groups", *({"keys"} & scratch.names))
                 groups, least = self.narrowed(open_), 2
                 open_ = self.open(groups, comps, "narrow", least)
             pairs = self.possible(self.tied_again(open_), f"{step}-tied") if step in ("second", "third") else self.across(open_, step, step == "alike")

@@ -25,20 +25,20 @@ merely ordered as rare.) Cutting an order into fragments cuts every document's s
    differing bits never exceed the sets' symmetric difference; for pairs that
    may link, partial overlaps are counted for each fragment of the fingerprint
    range separately, summed per pair and tested in integers.
-4. Groups of three and more nodes that aren't in one component yet are open. Twice,
-   the nodes outside the component of an open group's smallest node get a new hub,
-   and are tied to it as in 3.
-5. What is open then is narrowed: shingles are counted over the nodes of open
-   groups, in ``BUCKETS`` buckets of a hash (a table of fixed size), and a node is
+4. Groups of three and more nodes that aren't in one component yet are open. In
+   those of up to ``BLOCK`` nodes, pairs across components are compared by size and
+   sketch, and the rest by step 3: first only the most alike pairs, a forest over the
+   group's components, which joins what belongs together, then all pairs that are
+   left. In larger ones, each time the nodes outside the component of the smallest
+   node get a hub of their own, and are tied to it as in 3.
+5. Large groups that are open then are narrowed: shingles are counted over their
+   nodes, in ``BUCKETS`` buckets of a hash (a table of fixed size), and a node is
    listed under the first ``n - ceil(t*n) + 1`` shingles of its own in ascending
    order of these counts. Nodes that could link share one. Near copies that differ
    too much come under words of their own, and have nothing in common any more; the
-   more shingles there are to a bucket, the larger a family must be for that. Of the
-   groups of that list which are open, the nodes outside the largest component are
-   compared with all, in pairs of blocks of bounded size, by size and sketch, and the
-   rest by step 3. A first round sends only the most alike pairs, a forest over a
-   block's components, which joins what belongs together; the second sends all pairs
-   that are left.
+   more shingles there are to a bucket, the larger a family must be for that. The
+   groups of that list are compared as in 4, the nodes outside the largest component
+   with all, in pairs of blocks of ``BLOCK`` nodes.
 6. Components are contracted in a distributed way.
 
 No link is lost: both ends of a link are in one group, and if they aren't in one
@@ -496,12 +496,13 @@ class _Join:
         self.scratch.drop(f"{name}-sets")
         return out
 
-    def open(self, groups: DataFrame, comps: DataFrame, name: str, least: int = 3) -> DataFrame:
-        """(gram, node, comp) of groups of at least so many nodes in several components; of groups with equal nodes one."""
+    def open(self, groups: DataFrame, comps: DataFrame, name: str, least: int) -> DataFrame:
+        """(gram, node, comp, n) of groups of n nodes, at least so many, in several components; of groups with equal nodes one."""
         placed = groups.select("gram", "node").join(comps, "node", "left").select("gram", "node", F.coalesce("component", "node").alias("comp"))
         shape = placed.groupBy("gram").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("print"))
-        chosen = self.scratch.write(shape.where(f"n >= {least} and low < high").groupBy("n", "least", "print").agg(F.min("gram").alias("gram")).select("gram"), f"{name}-grams")
-        return self.scratch.write(placed.join(chosen, "gram").select("gram", "node", "comp"), f"{name}-open")
+        chosen = shape.where(f"n >= {least} and low < high").groupBy("n", "least", "print").agg(F.min("gram").alias("gram"))
+        chosen = self.scratch.write(chosen.select("gram", "n"), f"{name}-grams")
+        return self.scratch.write(placed.join(chosen, "gram").select("gram", "node", "comp", "n"), f"{name}-open")
 
     def tied_again(self, open_: DataFrame) -> DataFrame:
         """Pairs of each group's nodes outside the component of its smallest node with the smallest of them."""
@@ -522,8 +523,9 @@ class _Join:
         self.scratch.drop("open-sets")
         return out
 
-    def across(self, open_: DataFrame, name: str, forest: bool) -> DataFrame:
+    def across(self, open_: DataFrame, forest: bool) -> DataFrame:
         """Pairs, of each group's nodes outside its largest component with all, that sizes and sketches don't rule out."""
+        open_ = open_.select("gram", "node", "comp")
         shape = open_.groupBy("gram", "comp").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("comp", F.struct("n", "comp")).alias("base"), F.sum("n").alias("n"), F.max("n").alias("most"))
         shape = shape.select("gram", "base", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights"))
         rows = open_.join(shape, "gram").withColumns({"hash": F.xxhash64("node"), "rest": F.col("comp") != F.col("base")})
@@ -549,19 +551,24 @@ class _Join:
         scratch, groups = self.scratch, self.groups()
         ties = self.possible(groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ties")
         comps, tested = connected_components(self.verified(ties, "tied"), scratch, "tied"), ties
-        least = 3  # the pairs of groups of two are ties
-        for step in ("second", "third", "alike", "left"):
-            open_ = self.open(groups, comps, step, least)
-            if open_.isEmpty():
-                break
-            if step == "alike":
-                scratch.drop("groups", *({"keys"} & scratch.names))
-                groups, least = self.narrowed(open_), 2
-                open_ = self.open(groups, comps, "narrow", least)
-            pairs = self.possible(self.tied_again(open_), f"{step}-tied") if step in ("second", "third") else self.across(open_, step, step == "alike")
-            more = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"{step}-pairs")
-            comps = self.merged(comps, self.verified(more, step), step)
+
+        def joined(pairs: DataFrame, name: str) -> None:
+            nonlocal comps, tested
+            more = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
+            comps = self.merged(comps, self.verified(more, name), name)
             tested = tested.unionByName(more)
+
+        for name, forest in (("second", True), ("third", False)):
+            open_ = self.open(groups, comps, name, 3)  # the pairs of groups of two are ties
+            if open_.isEmpty():
+                return comps
+            large = self.possible(self.tied_again(open_.where(F.col("n") > BLOCK)), f"{name}-tied")
+            joined(self.across(open_.where(F.col("n") <= BLOCK), forest).unionByName(large).distinct(), name)
+        large = self.open(groups, comps, "large", BLOCK + 1)
+        if not large.isEmpty():
+            groups = self.narrowed(large)
+            for name, forest in (("alike", True), ("left", False)):
+                joined(self.across(self.open(groups, comps, name, 2), forest), name)
         return comps
 
 

@@ -29,10 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have a score like others; without labels of both classes all or none are kept.
     """
     score = fresh(docs, "score")
-    with small_batches(spark):
-        model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-        kept = quality.score_documents(docs, model, tuple(docs.columns), score).where(F.col(score) >= 0.5).select(*_columns(docs))
-        return Scratch(spark, "quality").write(kept, "kept")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_documents(docs, model, tuple(docs.columns), score).where(F.col(score) >= 0.5).select(*_columns(docs))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

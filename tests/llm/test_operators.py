@@ -311,6 +311,7 @@ def test_jaccard_components(spark, k, num):
 def test_jaccard_blocks(spark, monkeypatch):
     """Groups larger than a block give the same components."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "LISTED", 20)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     texts = []

@@ -71,6 +71,8 @@ FRAGMENTS = 4
 LONG = 7
 #: nodes in a block of a large group
 BLOCK = 512
+#: most nodes whose documents are found by a shipped list (4 MB) instead of a join of the texts
+LISTED = 1 << 19
 #: buckets in which the shingles of open groups are counted
 BUCKETS = 1 << 20
 #: shingles counted at once in a task, and most entries of the table of common shingles
@@ -287,10 +289,13 @@ def _forest(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray
 
 
 def _across(num: int, den: int, forest: bool):
-    """Pairs across components that may link, of left and right nodes of groups (gram, x, y) that come one after another; forest: only those that join components."""
+    """Pairs across components that may link, of groups (gram, x, y) that come one after another; forest: only those that join components.
+
+    side 0 stands left, 1 right, 2 on both sides.
+    """
 
     def pairs(node, comp, size, side, sketch) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         raw = [np.frombuffer(x, np.uint64) for x in sketch]
         out_a, out_b, out_d = [], [], []
         for words in sorted({len(x) for x in raw}):
@@ -363,24 +368,30 @@ def _across(num: int, den: int, forest: bool):
     return run
 
 
-def _sets(k: int, fragments: int):
-    """The sets of nodes by fragment of the fingerprint range, from rows whose text has that set."""
+def _cut(s: np.ndarray, fragments: int) -> list[np.ndarray]:
+    """A set by fragment of the fingerprint range."""
+    starts = np.arange(fragments, dtype=np.uint64) * np.uint64((1 << 64) // fragments if fragments > 1 else 0)
+    edge = np.append(np.searchsorted(s, starts), len(s))
+    return [signed(s[edge[f] : edge[f + 1]]) for f in range(fragments)]
+
+
+def _sets(k: int, fragments: int, shipped=None):
+    """(doc_id, check, frag, part): the sets of rows (h, doc_id, text) by fragment; with a list, of the rows whose h is listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        starts = np.arange(fragments, dtype=np.uint64) * np.uint64((1 << 64) // fragments if fragments > 1 else 0)
         for batch in batches:
-            nodes, frags, sets = [], [], []
-            for node, check, text in zip(batch["node"].to_pylist(), batch["check"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            at = np.arange(batch.num_rows)
+            if shipped is not None:
+                listed, h = shipped.value, batch["h"].to_numpy()
+                at = np.flatnonzero(listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h) if len(listed) else at[:0]
+            checks, parts = [], []
+            for text in batch["text"].take(pa.array(at)).to_pylist():
                 s = _set_of(text, k, cache)
-                if _node(s)[1] != check:  # another row of this doc_id
-                    continue
-                edge = np.append(np.searchsorted(s, starts), len(s))
-                for f in range(fragments):
-                    nodes.append(node)
-                    frags.append(f)
-                    sets.append(signed(s[edge[f] : edge[f + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(frags, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["node", "frag", "part"])
+                checks += [_node(s)[1]] * fragments
+                parts += _cut(s, fragments)
+            rows = pa.array(np.repeat(at, fragments))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(rows), pa.array(checks, pa.int64()), pa.array(np.tile(np.arange(fragments), len(at)), pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "check", "frag", "part"])
 
     return run
 
@@ -419,7 +430,7 @@ def _rarest(num: int, den: int, shipped):
 
 class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_type: str):
-        self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
+        self.spark, self.k, self.num, self.den, self.id_type = docs.sparkSession, k, num, den, id_type
         self.scratch = Scratch(self.spark, "jaccard-join")
         self.docs = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.known = self.docs.where("doc_id is not null")
@@ -481,8 +492,17 @@ class _Join:
         return self.scratch.write(both.mapInArrow(_possible(self.num, self.den), "a long, b long"), name)
 
     def sets_of(self, nodes: DataFrame, fragments: int, name: str) -> DataFrame:
-        texts = self.known.join(nodes.join(self.owner, "node"), "doc_id").select("node", "check", "text")
-        return self.scratch.write(texts.mapInArrow(_sets(self.k, fragments), "node long, frag int, part array<long>").dropDuplicates(["node", "frag"]), name)
+        """(node, frag, part) of nodes, from the texts of their first documents; few of them are found by a list, without a shuffle of texts."""
+        wanted = self.scratch.write(nodes.join(self.owner, "node"), f"{name}-wanted")
+        texts, shape = self.known.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text"), f"doc_id {self.id_type}, check long, frag int, part array<long>"
+        if wanted.count() <= LISTED:
+            listed = np.unique(wanted.select(F.xxhash64("doc_id").alias("h")).toArrow()["h"].to_numpy())
+            sets, wanted = texts.mapInArrow(_sets(self.k, fragments, self.spark.sparkContext.broadcast(listed)), shape), F.broadcast(wanted)
+        else:
+            sets = texts.join(wanted.select("doc_id").distinct(), "doc_id").select("h", "doc_id", "text").mapInArrow(_sets(self.k, fragments), shape)
+        out = self.scratch.write(sets.join(wanted, ["doc_id", "check"]).select("node", "frag", "part").dropDuplicates(["node", "frag"]), name)
+        self.scratch.drop(f"{name}-wanted")
+        return out
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose partial overlaps, summed over the fragments, reach the threshold."""
@@ -531,7 +551,8 @@ class _Join:
         rows = open_.join(shape, "gram").withColumns({"hash": F.xxhash64("node"), "rest": F.col("comp") != F.col("base")})
         left = "if(rest, transform(sequence(0L, rights - 1), y -> struct(pmod(hash, lefts) as x, y as y, 0L as side)), array())"
         right = "transform(sequence(0L, lefts - 1), x -> struct(x as x, pmod(hash, rights) as y, 1L as side))"
-        rows = rows.join(self.sketches, "node").select("gram", F.inline(F.expr(f"concat({left}, {right})")), "node", "comp", "size", "sketch")
+        deal = f"if(lefts = 1 and rights = 1, array(struct(0L as x, 0L as y, if(rest, 2L, 1L) as side)), concat({left}, {right}))"
+        rows = rows.join(self.sketches, "node").select("gram", F.inline(F.expr(deal)), "node", "comp", "size", "sketch")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
         return dealt.mapInArrow(_across(self.num, self.den, forest), "a long, b long").distinct()

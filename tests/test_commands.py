@@ -5,8 +5,9 @@ import json
 import pytest
 from test_network import KM
 
+from trackwise.__main__ import typed
 from trackwise.functions import decode
-from trackwise.plans.commands import Folder, build_all
+from trackwise.plans.commands import Folder, build_all, load_rows_of_routes
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
@@ -71,3 +72,48 @@ def test_questions(folder):
     assert folder.check_locations().count() == 0
     assert folder.path_of_line("DEU", "100").collect()[-1].total_length == 30.0
     folder.write_multi_criteria_graph()
+
+
+def test_more_sets(spark, folder):
+    """Data sets besides the graph, and commands over them."""
+    assert folder.read("Tunnels").first().Length == 1500.0 and folder.read("Metadata").first().CountriesPrefLabel == ["Germany"]
+    arcs = sum(len(r.Edges) for r in folder.read("MoGraph").collect())
+    assert arcs == 12 + 2 * 10 and folder.pareto_gr(0, 0).count() == 1
+    assert [(r.path, r.src, r.dst) for r in folder.path_view("A", "E", 20.0).collect()] == [(2, "A", "C"), (2, "C", "E")]
+    assert [r.src for r in folder.line_view("DEU", "100").collect()] == ["A", "B"]
+    assert [r.total_length for r in folder.tunnels_of_line("DEU", "100").collect()] == [1.5]
+    assert "A" in folder.places_url("DEU", "100").first().url and folder.printed_route("A;E").count() == 3
+    assert [r.from_name for r in folder.route_elements("A;B").collect()] == ["nA"]
+    assert [(r.src, r.dst, r.speed) for r in folder.route("A;C", True).collect()] == [("A", "B", 160), ("B", "C", 200)]
+    assert folder.graph_stats().count() == 4 and folder.degrees().count() == 2
+
+
+def test_map_data(spark, tmp_path_factory):
+    """Raw results of countries, types, map stations and routes; a network of one country; the report."""
+    at = tmp_path_factory.mktemp("map")
+    country = lambda c: _uri(decode.COUNTRY_PREFIXES[0] + c)
+    point = lambda op, c, km: {"opName": _lit("n" + op), "uopid": _lit(op), "opType": _uri(decode.TYPE_PREFIXES[0] + "rinf/10"), "country": country(c), "lat": _num(50.0 + km / 100), "lon": _num(9.0), "lineId": _lit("100"), "kilometer": _num(km), "offset": _num(0.0)}
+    _save(at, "operationalPoints", [point("DE0000A", "DEU", 0.0), point("DE0000B", "DEU", 5.0), point("DE0000C", "DEU", 9.0), point("FR0000X", "FRA", 1.0)])
+    _save(at, "sectionsOfLine", [])
+    _save(at, "tracks", [])
+    _save(at, "tunnel", [])
+    _save(at, "countries", [{"country": country("DEU"), "label": _lit("Germany")}])
+    _save(at, "opTypes", [{"n": _lit("10"), "l": _lit("station"), "d": _lit("large")}])
+    osm = lambda v: _uri("https://www.openstreetmap.org/" + v)
+    _save(at, "osm", [{"id": osm("node/1"), "name": _lit("a"), "railway": _lit("station"), "railway_ref": _lit("A"), "lat": _num(50.0), "lng": _num(9.0), "type": osm("node")}])
+    _save(at, "osmWikidata", [{"id": _uri("r1"), "ref": _lit("100"), "wikipedia": _uri("https://de.wikipedia.org/wiki/Line 100")}])
+    (at / "rows.json").write_text(json.dumps({"query": "q", "res": [["u", "7", "de:x"]]}))
+    build_all(spark, str(at), "DEU")
+    f = Folder(spark, str(at))
+    assert [r.Wikipedia for r in f.read("LineInfos").collect()] == ["de:Line 100"] and f.ops().count() == 3
+    assert f.read("OsmRoutes").count() == f.read("Countries").count() == f.read("OpTypes").count() == f.read("OsmEntries").count() == 1
+    assert sorted((r.UOPID, r.OsmUrl) for r in f.osm_matchings().collect()) == [("DE0000A", "node/1"), ("DE0000B", None), ("DE0000C", None)]
+    assert [r.uopid for r in f.osm_report().collect()] == ["DE0000B", "DE0000C"] and f.check_sections().count() == 0
+    assert [tuple(r) for r in load_rows_of_routes(spark, str(at / "rows.json")).collect()] == [("u", "7", "de:x")]
+    with pytest.raises(ValueError, match="ABC"):
+        build_all(spark, str(at), "DEU;ABC")
+
+
+def test_arguments():
+    assert typed(Folder.route, ["A;B", "False"]) == ["A;B", False] and typed(Folder.pareto_routes, ["A", "B", "7"]) == ["A", "B", 7]
+    assert typed(Folder.path_view, ["A", "B", "20"]) == ["A", "B", 20.0] and typed(build_all, ["DEU", "false"]) == ["DEU", False]

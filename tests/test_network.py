@@ -52,6 +52,33 @@ def test_shortest_paths(spark, edges):
     assert far == {"A": 0, "B": 625, "C": 1625, "D": 1625, "E": 2041}
 
 
+def test_shortest_paths_by_rounds(spark, edges):
+    """The same routes from tables, on the small network and on random ones with ties."""
+    rng = random.Random(4)
+    rows = [(f"N{a}", f"N{b}", f"L{rng.randrange(3)}", "DEU", rng.randint(1, 4), 1.0) for a in range(14) for b in range(14) if a != b and rng.random() < 0.3]
+    for e, points in ((edges, "ABCDE"), (spark.createDataFrame(rows, "src string, dst string, line string, country string, cost long, length double"), [f"N{i}" for i in range(14)])):
+        asked = [(f"p{i}", rng.choices(points, k=rng.randint(1, 4))) for i in range(12)] + [("z", [points[0], "Z", points[1]])]
+        q = spark.createDataFrame(asked, "path string, waypoints array<string>")
+        key = lambda df: sorted((r.path, r.leg, r.seq, r.src, r.dst, r.cost) for r in df.collect())
+        got = key(search.shortest_paths(e, q))
+        assert got == key(search.shortest_paths(e, q, kernel_edges=0)) and len(got) > 5 and not [r for r in got if r[0] == "z"]
+
+
+def test_lower_bounds():
+    """With bounds a search for one target finds the front of the search for all, with fewer labels; costs so far add up."""
+    rng = random.Random(6)
+    graph = {a: [(b, tuple(rng.randint(0, 9) for _ in range(3))) for b in range(40) if b != a and rng.random() < 0.1] for a in range(40)}
+    every, few, many = search.pareto_fronts(graph, 0, list(range(40))), search.Counter(), search.Counter()
+    search.pareto_fronts(graph, 0, list(range(40)), counters=many)
+    for t in range(40):
+        found = search.pareto_fronts(graph, 0, [t], counters=few)[t]
+        assert [c for c, _ in found] == [c for c, _ in every[t]]
+        for cost, trail in found:
+            assert trail[0] == (0, (0, 0, 0)) and trail[-1] == (t, cost)
+            assert all(any(h == b and tuple(x + y for x, y in zip(c, d, strict=True)) == e for h, d in graph[a]) for (a, c), (b, e) in zip(trail[:-1], trail[1:], strict=True))
+    assert few["solutions"] == many["solutions"] and few["labels"] < 40 * many["labels"] and many["permanents"] <= many["iterations"] <= many["labels"]
+
+
 def test_pareto(spark, edges):
     want = [(20, 7000), (40, 2374), (60, 2041)]
     arcs = search.expand(edges).select("tail", "head", F.array("line_cost", "distance_cost").alias("costs"))
@@ -88,6 +115,8 @@ def test_compaction(spark):
     assert got == [("A", "C", "1", 20, 120), ("C", "D", "1", 20, 120), ("D", "E", "2", 10, 90)]
     fast = [(r.src, r.dst) for r in paths.compact(path, by_speed=True).orderBy("seq").collect()]
     assert fast == [("A", "B"), ("B", "A"), ("A", "D"), ("D", "E")]
+    ring = spark.createDataFrame([("q", i, s, d, "1", "DEU", 10, 1.0, 100, True, float(i), float(i + 1)) for i, (s, d) in enumerate(["AB", "BC", "CA", "AB", "BC"])], path.schema)
+    assert [(r.src, r.dst, r.cost, r.start_km, r.end_km) for r in paths.compact(ring).orderBy("seq").collect()] == [("A", "C", 20, 0.0, 2.0), ("C", "B", 20, 2.0, 4.0), ("B", "C", 10, 4.0, 5.0)]
     assert paths.running_totals(path).agg(F.max("total_cost")).first()[0] == 50
     walked = path.withColumn("line", F.when(F.col("seq") == 2, "991").otherwise(F.col("line")))
     assert sorted((r.seq, r.segment) for r in paths.split_walking(walked).collect()) == [(0, 0), (1, 0), (3, 1), (4, 1)]
@@ -117,7 +146,7 @@ def test_decoders(spark):
 def test_folds(spark):
     rows = spark.createDataFrame([(0, "U", "n", 10, "DEU", 1.0, 2.0, "1", 5.0), (1, "U", "other", 10, "DEU", 1.0, 2.0, "1", 5.0), (2, "U", "n", 10, "DEU", 1.0, 2.0, "1", 7.0)], "idx int, uopid string, name string, rinf_type int, country string, lat double, lon double, line string, km double")
     op = ingest.fold_operational_points(rows).first()
-    assert op.name == "n" and [tuple(x) for x in op.locations] == [("1", 5.0), ("1", 7.0)]
+    assert op.name == "n" and [tuple(x) for x in op.locations] == [("1", 7.0), ("1", 5.0)]
     assert ingest.kilometre_of_line(rows).first().km == 7.0
     tracks = spark.createDataFrame([(0, "s", "t", 80, None, None, 70), (1, "s", "t", 90, None, None, 50), (2, "s", "u", None, None, None, None)], "idx int, section string, track string, speed int, radius int, contact string, category int")
     got = ingest.fold_tracks(tracks).first().tracks
@@ -177,6 +206,52 @@ def test_section_checks(spark):
     assert [(r.section, r.changed_op) for r in changed] == [("s", "a")]  # the second sees the mended place
 
 
+def test_sequential_check_over_lines(spark):
+    """Against one pass over the whole network; points lie on several lines, and order decides."""
+    rng = random.Random(12)
+    ops = [(f"o{i}", 50 + rng.random() / 20, 7 + rng.random() / 20) for i in range(40)]
+    matches = [(o, lat + rng.choice([0, 0.02]) * rng.random(), lon + rng.choice([0, 0.03]) * rng.random()) for o, lat, lon in ops if rng.random() < 0.7] + [("o1x", None, None)]
+    rows = [(f"s{i:03}", f"L{rng.randrange(5)}", *(o[0] for o in rng.sample(ops, 2)), round(rng.uniform(0.3, 4.5), 2), [("t", 1, rng.choice([500, 2000, None]), None, [])]) for i in range(300)]
+    place, found, want = {o: (a, b) for o, a, b in ops}, {o: (a, b) for o, a, b in matches if a is not None}, []
+    for s, line, a, b, length, tracks in sorted(rows, key=lambda r: (r[1], r[4], r[0])):
+        radius = tracks[0][2] or 0
+        target = a if a in found else b if b in found else None
+        if target is None or matching._fits(length, matching._far(*place[a], *place[b]), radius):
+            continue
+        other = b if target == a else a
+        after = matching._far(*found[target], *place[other])
+        if matching._fits(length, after, radius) and abs(length - after) * 100 / length < 20 and matching._far(*place[target], *found[target]) > 0.2:
+            want.append((line, s, target))
+            place[target] = found[target]
+    got = matching.sequential_check(
+        spark.createDataFrame(rows, f"section string, line string, start_op string, end_op string, length double, tracks array<{TRACK}>"),
+        spark.createDataFrame(ops, "uopid string, lat double, lon double"), spark.createDataFrame(matches, "uopid string, lat double, lon double"),
+    )
+    assert sorted((r.line, r.section, r.changed_op) for r in got.collect()) == sorted(want) and len(want) > 3
+
+
+def test_kilometres_of_points(spark, sections):
+    """A point with two kilometres on a line doubles no section; the one seen last counts."""
+    places = spark.createDataFrame([("DEU", "100", "A", 0.0, 0), ("DEU", "100", "A", 7.0, 1), ("DEU", "100", "B", 10.0, 2)], "country string, line string, op string, km double, idx int")
+    got = network.graph_by_sections(sections, places).collect()
+    assert [(r.src, r.dst, r.start_km) for r in got] == [("A", "B", 7.0)]
+    assert network.sections_of_line(sections.where("section = 's1'"), places, "DEU", "100").first().start_km == 7.0
+
+
+def test_pages(spark, tmp_path):
+    for page in (10, 2, 1):
+        (tmp_path / f"sparql-{page}.json").write_text('{"head":{"vars":[]},"results":{"bindings":[{"a":{"type":"literal","value":"%d"}},{"a":{"type":"literal","value":"x"}}]}}' % page)
+    got = files.read_bindings(spark, f"{tmp_path}/sparql-*.json").orderBy("page", "file", "binding_idx").select(F.col("b")["a"]["value"].alias("v")).collect()
+    assert [r.v for r in got] == ["1", "x", "2", "x", "10", "x"]
+    pages = [spark.createDataFrame([(i, f"{p}{i}") for i in range(n)], "binding_idx int, v string") for p, n in (("a", 2), ("b", 3), ("c", 1))]
+    assert [(r.binding_idx, r.v) for r in files.union_pages(pages).orderBy("binding_idx").collect()] == list(enumerate(["a0", "a1", "b0", "b1", "b2", "c0"]))
+    one = spark.range(1).select(decode.wkt_point(F.lit("POINT(9.7  \t52.3)")).alias("p"), decode.wkt_line(F.lit("LINESTRING (1  2,  3   4)")).alias("l")).first()
+    assert tuple(one.p) == (9.7, 52.3) and tuple(one.l) == (1, 2, 3, 4)
+    assert files.checked_countries("DEU;FRA") == ["DEU", "FRA"] and files.countries(spark).count() == 26
+    with pytest.raises(ValueError, match="XXX"):
+        files.checked_countries("DEU;XXX")
+
+
 def test_statistics(spark, edges):
     pairs = network.undirected(edges.where("start_km < end_km"))
     assert {r.degree: r.nodes for r in network.degree_histogram(pairs).collect()} == {2: 3, 3: 2}

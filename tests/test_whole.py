@@ -2,12 +2,11 @@
 
 import random
 from collections import defaultdict
-from pathlib import Path
 
-import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from trackwise.operators import network
 from trackwise.plans import derive, search
 
 SF = "/root/testdata/sf0.001"
@@ -112,17 +111,33 @@ def test_components_of_all_lines(spark, derived, monkeypatch):
     assert len(up) > 3 and len(got) == len(up) and {r.node: r.component for r in got} == {n: root(n) for n in up}
 
 
-@pytest.mark.parametrize("name", ["wkt_line", "tunnel_infos", "line_tunnels"])
-def test_tunnels_of_all_orders(spark, name):
-    """Against the query's SQL without its filter of every twentieth order."""
-    con = duckdb.connect()
-    for p in Path(SF).glob("*.parquet"):
-        con.execute(f"create view {p.stem} as select * from '{p}'")
-    few = " from orders where o_orderkey % 20 = 0"
-    want = con.execute(entry.oracle_sql()[name].replace(few, " from orders"))
-    columns = [c[0] for c in want.description]
-    plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
-    got = [tuple(r) for r in entry.queries()[name](spark, SF).select(*columns).collect()]
-    assert plain(got) == plain(want.fetchall())
-    orders = con.execute("select count(*) from orders").fetchone()[0]
-    assert name != "wkt_line" or len(got) == orders
+def _own_graphs(edges):
+    """Edges of each line by themselves."""
+    out = defaultdict(lambda: defaultdict(list))
+    for e in edges:
+        out[e.line][e.src].append((e.dst, (e.cost,)))
+    return out
+
+
+def test_paths_of_all_lines(spark, derived):
+    """The routes through the points of every line, one pair after another on the line's own edges."""
+    edges = derived.edges().collect()
+    graphs, cheapest = _own_graphs(edges), {}
+    for e in edges:
+        cheapest[e.line, e.src, e.dst] = min(e.cost, cheapest.get((e.line, e.src, e.dst), e.cost))
+    want = []
+    for line in network.line_infos(derived.edges(), derived.ops()).collect():
+        hops = [h for a, b in zip(line.uopids[:-1], line.uopids[1:], strict=True) for h in (lambda n: zip(n[:-1], n[1:], strict=True))(search.dijkstra(graphs[line.line], a, b))]
+        want += [(line.line, i, a, b, cheapest[line.line, a, b]) for i, (a, b) in enumerate(hops, 1)]
+    got = entry.queries()["paths_of_lines"](spark, SF).collect()
+    assert sorted((r.path, r.seq, r.src, r.dst, r.cost) for r in got) == sorted(want) and len(want) > 300
+
+
+def test_speed_profile(spark):
+    """A compacted route is searched again on its line, and cut where the speed changes."""
+    edge = "src string, dst string, country string, line string, cost long, length double, speed int, electrified boolean, start_km double, end_km double"
+    rows = [("A", "B", "DEU", "1", 5, 1.0, 100, True, 0.0, 1.0), ("B", "C", "DEU", "1", 5, 1.0, 100, True, 1.0, 2.0), ("C", "D", "DEU", "1", 5, 1.0, 80, True, 2.0, 3.0), ("D", "E", "DEU", "2", 5, 1.0, 80, True, 0.0, 1.0), ("A", "C", "DEU", "1", 7, 1.5, 60, False, 0.0, 2.0)]
+    edges = spark.createDataFrame(rows, edge)
+    path = edges.where("dst <> 'C' or src = 'B'").selectExpr("'p' as path", "ascii(src) as seq", "*")
+    got = [(r.seq, r.src, r.dst, r.line, r.cost, r.speed, r.electrified) for r in search.speed_profile(path, edges).orderBy("seq").collect()]
+    assert got == [(1, "A", "C", "1", 7, 60, False), (2, "C", "D", "1", 5, 80, True), (3, "D", "E", "2", 5, 80, True)]

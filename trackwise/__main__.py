@@ -1,12 +1,30 @@
-"""python -m trackwise COMMAND FOLDER [ARGUMENT...]: shows a command's result; see ``plans/commands.py``."""
+"""python -m trackwise COMMAND FOLDER [ARGUMENT...]: prints a command's whole result as tab-separated lines; see ``plans/commands.py``."""
 
+import inspect
 import sys
 
 from pyspark.sql import SparkSession
 
 from .plans import commands
 
-QUESTIONS = ("ops_of_line", "sections_of_line", "electrified", "check_locations", "path_of_line", "route", "route_urls", "pareto_routes", "osm_compare", "search", "write_multi_criteria_graph")
+HIDDEN = ("read", "ops", "places", "sections", "edges", "lines", "tunnels")
+QUESTIONS = tuple(n for n, f in vars(commands.Folder).items() if inspect.isfunction(f) and not n.startswith("_") and n not in HIDDEN)
+
+
+def typed(function, arguments: list[str]) -> list:
+    """Arguments as the parameters' types say."""
+    kinds = [p.annotation for p in inspect.signature(function).parameters.values()][1:]
+    if "build_all" in function.__name__:
+        kinds = kinds[1:]
+
+    def one(kind: str, value: str):
+        if "bool" in kind:
+            return value.lower() in ("true", "yes", "1", "--maxspeed")
+        if "int" in kind:
+            return None if value.lower() == "none" else int(value)
+        return float(value) if "float" in kind else value
+
+    return [one(str(k), v) for k, v in zip(kinds, arguments, strict=False)]
 
 
 def main(argv: list[str]) -> int:
@@ -16,11 +34,14 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("trackwise").getOrCreate()
     command, folder, *rest = argv
     if command == "build":
-        commands.build_all(spark, folder)
-    else:
-        shown = getattr(commands.Folder(spark, folder), command)(*rest)
-        if shown is not None:
-            shown.show(1000, truncate=False)
+        commands.build_all(spark, folder, *typed(commands.build_all, rest))
+        return 0
+    asked = getattr(commands.Folder, command)
+    shown = asked(commands.Folder(spark, folder), *typed(asked, rest))
+    if shown is not None:
+        print(*shown.columns, sep="\t")
+        for row in shown.toLocalIterator():
+            print(*row, sep="\t")
     return 0
 
 

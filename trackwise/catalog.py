@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import decode
 from .functions import measures as m
 from .operators import ingest, matching, network, paths
-from .plans import derive, search
+from .plans import commands, derive, search
 from .sources import files
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,10 +135,9 @@ def graph_stats(d):
     return network.graph_counts(d.forward())
 
 
-@_query("select src as node, count(*) as n_edges, min(cost) as least from eg group by src")
+@_query("select src as node, dst, line, country, cost, length, speed, electrified, start_km, end_km from eg")
 def adjacency(d):
-    a = network.adjacency(d.edges())
-    return a.select("node", F.size("edges").cast("long").alias("n_edges"), F.array_min(F.transform("edges", lambda e: e["cost"])).alias("least"))
+    return network.adjacency(d.edges()).select("node", F.inline("edges"))
 
 
 @_query("select o_orderkey, greatest(cast(floor(10000e0 * (round_even(o_totalprice / 1000e0, 2) / case when o_orderkey % 7 = 0 then 80 else o_orderkey % 7 * 40 end)) as bigint), 1) as cost from orders")
@@ -151,14 +151,15 @@ def track_rules(d):
     return d.sections().select("section", m.max_speed(t).alias("speed"), m.min_radius(t).alias("radius"), m.is_electrified(t).alias("electrified"), m.is_electrified(t, "tool").alias("electrified_tool"))
 
 
-@_query("select electrified, round(sum(length), 3) as length, count(*) as n from ed group by electrified")
+@_query("select e as electrified, round(sum(length), 3) as length, count(*) as n from (select section, length, bool_and(coalesce(contact, '') not like '%not electrified%') as e from sol join tr using (section) group by section, length) group by e")
 def electrified_length(d):
-    return d.forward().groupBy("electrified").agg(F.round(F.sum("length"), 3).alias("length"), F.count("*").alias("n"))
+    return network.electrified_length(d.sections()).withColumn("length", F.round("length", 3))
 
 
 @_query("select uopid, name, rinf_type, lat, lon from op")
 def op_infos(d):
-    return d.ops().select("uopid", "name", "rinf_type", "lat", "lon")
+    text = d.ops().withColumn("rinf_type", F.concat(F.lit("rinf/"), "rinf_type"))
+    return text.select("uopid", "name", decode.type_number(F.col("rinf_type")).alias("rinf_type"), "lat", "lon")
 
 
 _LINE_SQL = """, sp as (select country, line, op, min(km) as km from (select country, line, src as op, start_km as km from eg where start_km < end_km union all select country, line, dst, end_km from eg where start_km < end_km) group by all),
@@ -176,9 +177,15 @@ def line_tunnels(d):
     return network.line_tunnels(lines, d.tunnels()).select("country", "line", F.array_join("tunnels", ",").alias("tunnels"))
 
 
-@_query("select l.country, l.line, (select arg_min(wikipedia, idx) from rt where ref = l.line and wikipedia like 'de:%') as wikipedia from (select distinct country, line from rl) l")
+_WL = "wl as (select distinct country, line from rl union select 'FRA', lpad(cast(n_nationkey as varchar), 3, '0') || '000-1' from nation), wr as (select * from rt union all select -n_nationkey - 1, lpad(cast(n_nationkey as varchar), 3, '0') || ' 000', case when n_nationkey % 2 = 0 then 'fr:' else 'de:' end || n_name from nation)"
+
+
+@_query(f"select * from (with {_WL} select l.country, l.line, (select arg_min(wikipedia, idx) from wr where (ref = l.line or (country = 'FRA' and l.line like '%-1' and length(ref) = 7 and ref[:3] = l.line[:3])) and wikipedia like case country when 'DEU' then 'de:%' else 'fr:%' end) as wikipedia from wl l)")
 def line_wikipedia(d):
-    return network.line_wikipedia(d.locations().select("country", "line").distinct(), d.routes())
+    n, key = d.table("nation"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")
+    lines = d.locations().select("country", "line").union(n.select(F.lit("FRA"), F.concat(key, F.lit("000-1")))).distinct()
+    routes = n.select((-F.col("n_nationkey") - 1).cast("long").alias("idx"), F.concat(key, F.lit(" 000")).alias("ref"), F.concat(F.when(F.col("n_nationkey") % 2 == 0, "fr:").otherwise("de:"), "n_name").alias("wikipedia"))
+    return network.line_wikipedia(lines, d.routes().unionByName(routes))
 
 
 @_query("select op, km, name, lat, lon from rl join op on uopid = op where line = 'L07'")
@@ -219,9 +226,24 @@ def _routes(d, edges=None):
     return search.shortest_paths(d.edges() if edges is None else edges, q)
 
 
-@_query()
+_RP = """ca as (select src, dst, min(cost) as cost, arg_min(line, {'c': cost, 'l': line, 'n': length}) as line from eg group by src, dst),
+sa(node, cost) using key (node) as (
+  select 'DE00001', cast(0 as bigint) union
+  select e.dst, min(sa.cost + e.cost) from sa join ca e on e.src = sa.node left join recurring.sa as old on old.node = e.dst where old.cost is null or sa.cost + e.cost < old.cost group by e.dst),
+ sb(node, cost) using key (node) as (
+  select 'DE00007', cast(0 as bigint) union
+  select e.dst, min(sb.cost + e.cost) from sb join ca e on e.src = sb.node left join recurring.sb as old on old.node = e.dst where old.cost is null or sb.cost + e.cost < old.cost group by e.dst),
+ pa as (select e.dst as node, min(e.src) as pred from sa x join ca e on e.src = x.node join sa y on y.node = e.dst where x.cost + e.cost = y.cost group by e.dst),
+ pb as (select e.dst as node, min(e.src) as pred from sb x join ca e on e.src = x.node join sb y on y.node = e.dst where x.cost + e.cost = y.cost group by e.dst),
+ wa(path, back, src, dst) as (select uopid, 0, pred, node from op, pa where k % 10 = 0 and node = 'DE00007' union all select path, back + 1, pred, src from wa join pa on node = src where src <> 'DE00001'),
+ wb(path, back, src, dst) as (select uopid, 0, pred, node from op join pb on node = uopid where k % 10 = 0 union all select path, back + 1, pred, src from wb join pb on node = src where src <> 'DE00007'),
+ wk as (select path, 0 as leg, back, src, dst from wa union all select path, 1, back, src, dst from wb),
+ rp as (select path, leg, cast(row_number() over (partition by path order by leg, back desc) as integer) as seq, wk.src, wk.dst, ca.line, ca.cost from wk join ca on ca.src = wk.src and ca.dst = wk.dst)"""
+
+
+@_query(_recursive(_RP + " select * from rp"))
 def shortest_path(d):
-    return _routes(d)
+    return _routes(d).select("path", "leg", "seq", "src", "dst", "line", "cost")
 
 
 @_query(_recursive("""sa(node, cost) using key (node) as (
@@ -249,15 +271,14 @@ def _line_paths(d):
 _LP = "lp as (select *, 'p' || (cast(substr(src, 3) as bigint) % 25) as path, row_number() over (partition by 'p' || (cast(substr(src, 3) as bigint) % 25) order by start_km, line, src) as seq from ed)"
 
 
-@_query(f"""select path, line, count(*) as edges, sum(cost) as cost from (with {_LP}, r as (select *, case when lag(line) over (partition by path order by seq) <> line then 1 else 0 end as ch from lp),
- g as (select *, sum(ch) over (partition by path order by seq) as run from r) select path, line, run, count(*) as n, sum(cost) as cost from g group by all) group by path, line""")
+_CP = """cp(path, seq, line, start, piece) as (select path, seq, line, src, 1 from lp where seq = 1 union all
+  select lp.path, lp.seq, lp.line, case when lp.line = cp.line and cp.start <> lp.dst then cp.start else lp.src end, cp.piece + case when lp.line = cp.line and cp.start <> lp.dst then 0 else 1 end from cp join lp on lp.path = cp.path and lp.seq = cp.seq + 1),
+ cc as (select lp.path, piece as seq, arg_min(src, lp.seq) as src, arg_max(dst, lp.seq) as dst, any_value(lp.line) as line, arg_min(country, lp.seq) as country, sum(cost) as cost, round(sum(length), 6) as length, max(speed) as speed, bool_and(electrified) as electrified, arg_min(start_km, lp.seq) as start_km, arg_max(end_km, lp.seq) as end_km from lp join cp on cp.path = lp.path and cp.seq = lp.seq group by lp.path, piece)"""
+
+
+@_query(_recursive(f"{_LP}, {_CP} select path, seq, src, dst, line, country, cast(cost as bigint) as cost, length, speed, electrified, start_km, end_km from cc"))
 def compact_path(d):
-    c = paths.compact(_line_paths(d))
-    runs = c.groupBy("path", "line").agg(F.sum("cost").alias("cost"))
-    flat = _line_paths(d)
-    change = (F.lag("line").over(Window.partitionBy("path").orderBy("seq")) != F.col("line")).cast("int")
-    n = flat.withColumn("ch", F.coalesce(change, F.lit(0))).withColumn("run", F.sum("ch").over(Window.partitionBy("path").orderBy("seq"))).groupBy("path", "line").agg(F.count_distinct("run").alias("edges"))
-    return runs.join(n, ["path", "line"]).select("path", "line", "edges", "cost")
+    return paths.compact(_line_paths(d)).withColumn("length", F.round("length", 6))
 
 
 @_query()
@@ -279,21 +300,24 @@ def split_walking(d):
     return paths.split_walking(_walks(d)).select("path", F.col("seq").cast("long").alias("seq"), F.col("segment").cast("long").alias("segment"))
 
 
-@_query(f"""select path, segment, count(*) as n from (with {_LP}, s as (select *, sum(case when line in ('L05', 'L09') then 1 else 0 end) over (partition by path order by seq) as segment from lp),
- k as (select * from s where line not in ('L05', 'L09')), z as (select path, segment, arg_max(dst, seq) as u from k group by all)
- select path, segment, src as u from k join op on uopid = src where rinf_type not in (130, 50) union all select path, segment, u from z join op on uopid = u) group by all""")
+@_query(f"""select path, segment, seq, uopid, rinf_type, lat, lon, last from (with {_LP}, s as (select *, sum(case when line in ('L05', 'L09') then 1 else 0 end) over (partition by path order by seq) as segment from lp),
+ k as (select * from s where line not in ('L05', 'L09')), z as (select path, segment, arg_max(dst, seq) as u, max(seq) + 1 as seq from k group by all)
+ select path, segment, seq, op.uopid, rinf_type, lat, lon, false as last from k join op on uopid = src where rinf_type not in (130, 50) union all select path, segment, seq, op.uopid, rinf_type, lat, lon, true from z join op on uopid = u)""")
 def path_locations(d):
-    return paths.locations(_walks(d), d.ops(), (130, 50)).groupBy("path", F.col("segment").cast("long").alias("segment")).agg(F.count("*").alias("n"))
+    return paths.locations(_walks(d), d.ops(), (130, 50)).select("path", F.col("segment").cast("long").alias("segment"), F.col("seq").cast("long").alias("seq"), "uopid", "rinf_type", "lat", "lon", "last")
 
 
-@_query()
+@_query(f"""select path, segment, 'https://brouter.de/brouter-web/#map=10/' || mid || '/osm-mapnik-german_style&lonlats=' || stops || '&profile=rail' as url from (with {_LP}, s as (select *, sum(case when line in ('L05', 'L09') then 1 else 0 end) over (partition by path order by seq) as segment from lp),
+ k as (select * from s where line not in ('L05', 'L09')), z as (select path, segment, arg_max(dst, seq) as u, max(seq) + 1 as seq from k group by all),
+ x as (select path, segment, seq, lat, lon from k join op on uopid = src where rinf_type not in (130, 50) union all select path, segment, seq, lat, lon from z join op on uopid = u)
+ select path, segment, string_agg(printf('%.6f,%.6f', lon, lat), ';' order by seq) as stops, list(printf('%.6f/%.6f', lat, lon) order by seq)[count(*) // 2 + 1] as mid from x group by all)""")
 def route_url(d):
-    return paths.route_urls(paths.locations(_routes(d), d.ops()))
+    return paths.route_urls(paths.locations(_walks(d), d.ops(), (130, 50))).withColumn("segment", F.col("segment").cast("long"))
 
 
-@_query(f"select path, count(*) as gaps from (with {_LP} select path, lag(dst) over (partition by path order by seq) as before, src from lp) where before <> src group by path")
+@_query(f"select path, seq - 0.5e0 as seq, before as src, src as dst, line, cast(0 as bigint) as cost, start_km - km as length, 0 as speed from (with {_LP} select *, lag(dst) over (partition by path order by seq) as before, lag(end_km) over (partition by path order by seq) as km from lp) where before <> src")
 def line_gaps(d):
-    return paths.gap_rows(_line_paths(d)).where("gap").groupBy("path").agg(F.count("*").alias("gaps"))
+    return paths.gap_rows(_line_paths(d)).where("gap").drop("gap")
 
 
 @_query("select src, dst, min(cost) as cost from eg group by src, dst")
@@ -310,18 +334,19 @@ def mo_expand(d):
     return search.expand(d.edges())
 
 
-@_query(f"select * from (with {_MO} select count(*) as arcs, (select count(distinct n) from (select tail as n from mo union all select head from mo)) as nodes, (select count(distinct n) - 1 from (select tail as n from mo union all select head from mo)) as top, cast(sum(line_cost) as bigint) as line_cost, cast(sum(distance_cost) as bigint) as distance_cost from mo)")
+_ARCS = f"with {_MO}, nm as (select n, row_number() over (order by n) - 1 as id from (select tail as n from mo union select head from mo)) select row_number() over (order by t.id, h.id, line_cost, distance_cost) - 1 as arc_id, t.id as tail, h.id as head, cast(line_cost as bigint) as line_cost, cast(distance_cost as bigint) as distance_cost from mo join nm t on t.n = tail join nm h on h.n = head"
+
+
+@_query(f"select * from ({_ARCS})")
 def mo_arcs(d):
-    arcs = search.dense_arcs(search.expand(d.edges()))
-    ends = arcs.select(F.col("tail").alias("n")).union(arcs.select("head")).distinct().agg(F.count("*").alias("nodes"), F.max("n").alias("top"))
-    return arcs.agg(F.count("*").alias("arcs"), F.sum(F.col("costs")[0]).alias("line_cost"), F.sum(F.col("costs")[1]).alias("distance_cost")).crossJoin(F.broadcast(ends))
+    return search.dense_arcs(search.expand(d.edges())).select("arc_id", "tail", "head", F.col("costs")[0].alias("line_cost"), F.col("costs")[1].alias("distance_cost"))
 
 
 @_query(_recursive("""pf(node, line, runs, cost) using key (node, line, runs) as (
   select 'DE00001', '', 0, cast(0 as bigint) union
   select e.dst, e.line, pf.runs + case when pf.line = e.line then 0 else 1 end, min(pf.cost + e.cost) from pf join (select src, dst, line, min(cost) as cost from eg group by all) e on e.src = pf.node
    left join recurring.pf as old on old.node = e.dst and old.line = e.line and old.runs = pf.runs + case when pf.line = e.line then 0 else 1 end
-   where pf.runs + case when pf.line = e.line then 0 else 1 end <= 4 and (old.cost is null or pf.cost + e.cost < old.cost) group by 1, 2, 3)
+   where pf.runs + case when pf.line = e.line then 0 else 1 end <= 30 and (old.cost is null or pf.cost + e.cost < old.cost) group by 1, 2, 3)
  select 'DE00001' as source, node, runs, cost from (select node, runs, min(cost) as cost, min(min(cost)) over (partition by node order by runs rows between unbounded preceding and 1 preceding) as fewer from pf group by node, runs) where fewer is null or cost < fewer"""))
 def pareto_front(d):
     start = d.spark.range(1).select(F.lit("DE00001").alias("source"))
@@ -335,13 +360,13 @@ def _questions(d):
 @_query()
 def pareto_solutions(d):
     arcs = search.expand(d.edges()).select("tail", "head", F.array("line_cost", "distance_cost").alias("costs"))
-    return search.pareto_solutions(arcs, _questions(d))
+    return search.pareto_solutions(arcs, _questions(d)).select("source", "target", "sol", "costs", "nodes")
 
 
 @_query()
 def pareto_dim3(d):
     arcs = d.edges().select(F.col("src").alias("tail"), F.col("dst").alias("head"), F.array(F.col("cost"), F.lit(1).cast("long"), F.col("speed").cast("long")).alias("costs")).distinct()
-    return search.pareto_solutions(arcs, _questions(d))
+    return search.pareto_solutions(arcs, _questions(d)).select("source", "target", "sol", "costs", "nodes")
 
 
 @_query("""select question, sol, cost from (select o_custkey as question, o_orderkey as sol, cast(round_even(o_totalprice, 0) as bigint) as cost, count(*) over w as n, min(o_orderkey) over w as one,
@@ -354,9 +379,18 @@ def tolerance_choice(d):
     return search.choose_solution(front, 20.0)
 
 
-@_query()
+@_query(f"select tail, head, line_cost, distance_cost from ({_ARCS})")
 def gr_roundtrip(d):
-    return files.parse_gr(files.gr_lines(search.dense_arcs(search.expand(d.edges()))))
+    """The graph text written to the shared folder and read back, with its checks."""
+    path = f"{files.shared_folder(d.spark)}/graph-{uuid.uuid4().hex}"
+    files.write_gr(search.dense_arcs(search.expand(d.edges())), path)
+    return files.read_gr(d.spark, path).select("tail", "head", F.col("costs")[0].alias("line_cost"), F.col("costs")[1].alias("distance_cost"))
+
+
+@_query(f"select arc_id, row_number() over (partition by head order by arc_id) - 1 as rev_index, row_number() over (partition by tail order by arc_id) - 1 as out_index, count(*) over (partition by head) as in_degree, count(*) over (partition by tail) as out_degree from ({_ARCS})")
+def reverse_arcs(d):
+    r = search.reverse_index(search.dense_arcs(search.expand(d.edges())))
+    return r.select("arc_id", F.col("rev_index").cast("long").alias("rev_index"), F.col("out_index").cast("long").alias("out_index"), "in_degree", "out_degree")
 
 
 _MS = f"""mx as (select uopid, rinf_type, url, railway, prefix, dist, lat, lon from (select op.uopid, op.rinf_type, st.url, st.railway, st.prefix, {_far('op.lat', 'op.lon', 'st.lat', 'st.lon')} as dist, st.lat, st.lon,
@@ -385,10 +419,17 @@ def counts_by_type(d):
     return matching.counts_by_type(matching.match_stations(d.ops(), d.stations()))
 
 
-@_query(f"""select section, length, round_even(dist, 3) as distance, (length > 4 or (length < 1.5 and abs(length - dist) * 100 / length < 16) or abs(length - dist) * 100 / length < 10) or not (radius > 1000 or length < 1) as valid
- from (select sol.section, sol.length, ts.radius, {_far('a.lat', 'a.lon', 'b.lat', 'b.lon')} as dist from sol join ts using (section) join op a on a.uopid = start_op join op b on b.uopid = end_op)""")
+_SC = f"""sq as (select sol.section, sol.length, ts.radius, start_op, end_op, a.lat as alat, a.lon as alon, b.lat as blat, b.lon as blon, p.lat as plat, p.lon as plon, q.lat as qlat, q.lon as qlon from sol join ts using (section) join op a on a.uopid = start_op join op b on b.uopid = end_op left join ma p on p.uopid = start_op left join ma q on q.uopid = end_op),
+ sd as (select *, {_far('alat', 'alon', 'blat', 'blon')} as dist, case when plat is not null then {_far('plat', 'plon', 'blat', 'blon')} when qlat is not null then {_far('alat', 'alon', 'qlat', 'qlon')} end as after,
+  case when plat is not null then {_far('alat', 'alon', 'plat', 'plon')} when qlat is not null then {_far('blat', 'blon', 'qlat', 'qlon')} end as moved, case when plat is not null then start_op when qlat is not null then end_op end as target from sq),
+ sv as (select *, (length > 4 or (length < 1.5 and abs(length - dist) * 100 / length < 16) or abs(length - dist) * 100 / length < 10) or not (radius > 1000 or length < 1) as valid,
+  (length > 4 or (length < 1.5 and abs(length - after) * 100 / length < 16) or abs(length - after) * 100 / length < 10) or not (radius > 1000 or length < 1) as fits from sd),
+ sw as (select *, not valid and fits and moved > 0.2 and abs(length - after) * 100 / length < 20 as change from sv)"""
+
+
+@_query(f"select section, length, round_even(dist, 3) as distance, valid, case when change then target end as changed_op, case when change then round_even(moved, 3) end as moved from (with {_MS}, {_SC} select * from sw)")
 def section_check(d):
-    return matching.section_check(d.sections(), d.ops(), matching.match_stations(d.ops(), d.stations())).select("section", "length", "distance", "valid")
+    return matching.section_check(d.sections(), d.ops(), matching.match_stations(d.ops(), d.stations()))
 
 
 @_query()
@@ -433,10 +474,11 @@ def snapshot_diff(d):
     return files.snapshot_diff(before, after)
 
 
-@_query("select o_orderkey, cast(o_orderkey % 2 as integer) as page from orders")
+@_query("select o_orderkey, cast(o_orderkey % 2 as integer) as page, row_number() over (order by o_orderkey % 2, o_orderkey) - 1 as binding_idx from orders")
 def union_pages(d):
     keys = d.table("orders").select("o_orderkey")
-    return files.union_pages([keys.where("o_orderkey % 2 = 0"), keys.where("o_orderkey % 2 = 1")])
+    page = lambda i: keys.where(f"o_orderkey % 2 = {i}").withColumn("binding_idx", F.row_number().over(Window.partitionBy(F.col("o_orderkey") % 2).orderBy("o_orderkey")) - 1)
+    return files.union_pages([page(0), page(1)])
 
 
 @_query("select l.uopid, l.lat as lat, abs(least(l.lat, r.lat) + (greatest(l.lat, r.lat) - least(l.lat, r.lat)) / 2) as mid, case when abs(l.lat - r.lat) * 10 < 5 then 12 when abs(l.lat - r.lat) * 10 < 20 then 11 else 10 end as zoom from op l join op r on r.k = l.k + 1")
@@ -446,6 +488,224 @@ def map_view(d):
     return o.join(r, "k").select("uopid", "lat", m.center(F.col("lat"), F.col("lat2")).alias("mid"), m.zoom(F.abs(F.col("lat") - F.col("lat2")) * 10).alias("zoom"))
 
 
+@_query()
+def paths_of_lines(d):
+    lines = network.line_infos(d.edges(), d.ops())
+    return search.paths_of_lines(d.edges(), lines).select(F.col("line").alias("path"), F.col("seq").cast("long").alias("seq"), "src", "dst", "line", "cost")
+
+
+@_query()
+def speed_profile(d):
+    return search.speed_profile(_line_paths(d), d.edges())
+
+
+@_query("select tail as node, head, line_cost, distance_cost, line, speed, electrified, start_km from (select distinct * from (select src as tail, src || '/' || country || '/' || line as head, 10 as line_cost, 0 as distance_cost, line, country, 0 as speed, false as electrified, 0e0 as start_km, 0e0 as end_km, 0e0 as length from eg union all select src || '/' || country || '/' || line, dst || '/' || country || '/' || line, 0, cost, line, country, speed, electrified, start_km, end_km, length from eg union all select dst || '/' || country || '/' || line, dst, 10, 0, line, country, 0, false, 0e0, 0e0, 0e0 from eg))")
+def mo_graph(d):
+    return search.mo_graph(d.edges()).select("node", F.inline("edges")).select("node", "head", "line_cost", "distance_cost", "line", "speed", "electrified", "start_km")
+
+
+@_query("select tunnel, line, length, start_km from tn where line = 'L07' and country = 'DEU'")
+def tunnels_of_line(d):
+    return network.tunnels_of_line(d.tunnels(), "DEU", "L07").select("tunnel", "line", "length", "start_km")
+
+
+@_query(f"select tunnel, estimated_km from (with xx as (select idx, tunnel, line, 6e0 + idx % 10 / 5e0 as tlon, 47e0 + idx % 50 / 10e0 as tlat from tn), near as (select xx.idx, xx.tunnel, km, uopid, {_far('tlat', 'tlon', 'lat', 'lon')} as away from xx join rl on rl.line = xx.line join op on uopid = rl.op where idx % 40 < 4) select idx || '' as tunnel, round(arg_min(km + away, {{'a': round(away, 9), 'o': uopid}}), 6) as estimated_km from near group by idx)")
+def tunnel_kilometres(d):
+    tunnels = d.tunnels().where("idx % 40 < 4").select(F.col("idx").cast("string").alias("tunnel"), "line", (6.0 + F.col("idx") % 10 / 5.0).alias("start_lon"), (47.0 + F.col("idx") % 50 / 10.0).alias("start_lat"))
+    stops = d.locations().select("line", "op", "km").join(d.ops().select(F.col("uopid").alias("op"), "lat", "lon"), "op")
+    return network.tunnel_kilometres(tunnels, stops).withColumn("estimated_km", F.round("estimated_km", 6))
+
+
+@_query("select o_orderkey, lpad(cast(o_orderkey % 10000 as varchar), 4, '0') as line, 'DE' || lpad(cast(o_orderkey % 97 as varchar), 5, '0') as start_op, 'DE' || lpad(cast(o_custkey % 89 as varchar), 5, '0') as end_op from orders")
+def tunnel_track(d):
+    o = d.table("orders")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    code = F.concat(pad(F.col("o_orderkey") % 10000, 4), F.lit("_DE"), pad(F.col("o_orderkey") % 97, 5), F.lit("_opposite track_DE"), pad(F.col("o_custkey") % 89, 5))
+    return o.select("o_orderkey", decode.tunnel_track(code).alias("t")).select("o_orderkey", "t.*")
+
+
+@_query("select s_suppkey, cast(s_suppkey % 90 as integer) as category, case when s_suppkey % 3 = 0 then null else cast(s_suppkey as integer) end as number, s_suppkey / 8e0 as real, s_name as text, 'POINT(1 2)' as wkt from supplier")
+def typed_terms(d):
+    k = F.col("s_suppkey")
+    term = lambda kind, of: F.when(F.lit(True), F.lit(kind)) if of is None else F.lit(of)
+    xsd = lambda t: F.lit(decode.XSD + t)
+    literal = term("literal", None)
+    return d.table("supplier").select(
+        "s_suppkey", decode.line_category(F.concat(F.lit(decode.CATEGORY_PREFIXES[0]), k % 90)).alias("category"), decode.typed_int(literal, F.when(k % 3 == 0, xsd("string")).otherwise(xsd("integer")), k.cast("string"), strict=False).alias("number"),
+        decode.typed_double(literal, xsd("decimal"), (k / 8.0).cast("string")).alias("real"), decode.literal(literal, F.col("s_name")).alias("text"), decode.wkt_literal(literal, F.lit(decode.WKT), F.lit("POINT(1 2)")).alias("wkt"),
+    )
+
+
+@_query("select uopid, 'x/' || uopid || '/' || country as name, case when k % 2 = 0 then uopid end as op from op")
+def mo_names(d):
+    o = d.ops()
+    name = m.mo_node_name(F.col("uopid"), F.col("country"), F.when(F.col("k") % 2 == 0, "L1").otherwise("L/1"))
+    return o.select("uopid", F.concat_ws("/", F.lit("x"), "uopid", "country").alias("name"), m.mo_node_parts(name)["op"].alias("op"))
+
+
+@_query("""select uopid, 'https://brouter.de/brouter-web/#map=13/' || k || '/' || (k + 1) || '/osm-mapnik-german_style&pois=' || (k + 1) || ',' || k || ',' || uopid as place, 'https://www.openstreetmap.org/#map=17/' || k || '/' || (k + 1) as map,
+ 'https://www.openrailwaymap.org/?lang=en&lat=' || k || '&lon=' || (k + 1) || '&zoom=14&style=standard' as railway, 'https://overpass-turbo.eu/?Q=nw[railway~"stop|halt|station|signal_box"](around:1000,' || k || ',' || (k + 1) || ');(._;>;);out;' as overpass,
+ 'https://graph.data.era.europa.eu/resource?uri=http%3A%2F%2Fdata.europa.eu%2F949%2FoperationalPoint%2F' || uopid || '&role=object' as graph, 'https://taginfo.openstreetmap.org/tags/railway=' || rinf_type as tag,
+ case when k % 120 < 1 then 14 when k % 120 < 5 then 12 when k % 120 < 20 then 11 when k % 120 < 50 then 10 when k % 120 < 100 then 9 else 8 end as zoom,
+ 'https://brouter.de/brouter-web/#map=' || (case when k % 120 < 5 then 12 when k % 120 < 20 then 11 when k % 120 < 50 then 10 when k % 120 < 100 then 9 else 8 end) || '/' || cast(k + 1.5e0 as varchar) || '/' || cast(k + 2.5e0 as varchar) || '/osm-mapnik-german_style&pois=' || (k + 1) || ',' || k || ';' || (k + 4) || ',' || (k + 3) || '&profile=rail' as stretch from op""")
+def map_urls(d):
+    k, at = F.col("k"), {"lat": F.col("k"), "lon": F.col("k") + 1}
+    return d.ops().select(
+        "uopid", m.filled(m.PLACE_URL, info=F.col("uopid"), **at).alias("place"), m.filled(m.MAP_URL, **at).alias("map"), m.filled(m.RAILWAY_MAP_URL, **at).alias("railway"), m.filled(m.OVERPASS_URL, **at).alias("overpass"),
+        m.graph_url(F.col("uopid")).alias("graph"), m.filled(m.TAG_URL, tag=F.lit("railway"), value=F.col("rinf_type")).alias("tag"), m.zoom(k % 120, near=True).alias("zoom"),
+        m.stretch(m.STRETCH_URL, k, k + 1, k + 3, k + 4, k % 120).alias("stretch"),
+    )
+
+
+@_query(f"select path, seq, src, dst, a.name as from_name, b.name as to_name from (with {_LP} select * from lp) p left join op a on a.uopid = src left join op b on b.uopid = dst")
+def path_elements(d):
+    lines = network.line_infos(d.edges(), d.ops())
+    return paths.path_elements(_line_paths(d), d.ops(), lines).select("path", F.col("seq").cast("long").alias("seq"), "src", "dst", "from_name", "to_name")
+
+
+@_query(f"select path, seq, printf('%s -> %s line %s length %.3f total %.3f cost %d', src, dst, line, length, total, cast(costs as bigint)) as text from (with {_LP} select *, sum(length) over (partition by path order by seq) as total, sum(cost) over (partition by path order by seq) as costs from lp)")
+def printed_paths(d):
+    return paths.printed(_line_paths(d)).select("path", F.col("seq").cast("long").alias("seq"), "text")
+
+
+@_query(f"select uopid, name, url, label from (with {_MS} select ma.uopid, op.name, url, case ma.rinf_type when 10 then 'station' when 70 then 'passenger stop' end as label from ma join op on op.uopid = ma.uopid)")
+def named_matches(d):
+    types = d.spark.createDataFrame([(10, "station"), (70, "passenger stop")], "rinf_type int, label string")
+    return matching.named_matches(matching.match_stations(d.ops(), d.stations()), d.ops(), types).select("uopid", "name", "url", "label")
+
+
+@_query("select osm_type, railway, n from (select case when c_custkey % 2 = 0 then 'node' else 'way' end as osm_type, railway, count(*) as n from (with " + _MS + " select cast(substr(url, 6) as bigint) as c_custkey, railway from ma where url is not null) group by rollup (1, 2)) where osm_type is not null")
+def counts_by_tag(d):
+    stations = d.stations().withColumn("osm_type", F.when(F.substring("url", 6, 20).cast("long") % 2 == 0, "node").otherwise("way"))
+    return matching.counts_by_tag(matching.match_stations(d.ops(), d.stations()), stations)
+
+
+@_query("select op.uopid, name from op where exists (select 1 from eg where src = uopid)")
+def points_with_edges(d):
+    return matching.with_edges(d.ops(), d.edges()).select("uopid", "name")
+
+
+@_query("select line, section, length from (select line, section, length, row_number() over (partition by line order by length desc, section) as r from sol) where r <= 3")
+def longest_sections(d):
+    return matching.top_ranked(d.sections().select("line", "section", "length"), ["line"], [F.desc("length"), "section"], 3)
+
+
+@_query("select uopid, name from op order by name, uopid limit 20 offset 10")
+def page_of_points(d):
+    return d.ops().select("uopid", "name").orderBy("name", "uopid").offset(10).limit(20)
+
+
+@_query("select country, line, src, dst, cost from eg where country = 'DEU' and line = 'L05'")
+def sub_graph(d):
+    return network.sub_graph(d.edges(), "DEU", "L05").select("country", "line", "src", "dst", "cost")
+
+
+def _raw(d, name: str, rows: DataFrame) -> str:
+    """Rows of variables (structs of terms, null where unbound) as query-result documents, one for each page of 500; the folder."""
+    path = f"{files.shared_folder(d.spark)}/raw-{name}-{uuid.uuid4().hex}"
+    bindings = rows.select("page", F.struct(*[c for c in rows.columns if c != "page"]).alias("b"))
+    docs = bindings.groupBy("page").agg(F.to_json(F.struct(F.struct(F.array().cast("array<string>").alias("vars")).alias("head"), F.struct(F.collect_list("b").alias("bindings")).alias("results"))).alias("value"))
+    docs.write.partitionBy("page").text(path)
+    return f"{path}/*"
+
+
+def _term(value, kind: str = "literal", datatype: str | None = None):
+    out = [F.lit(kind).alias("type"), value.cast("string").alias("value")]
+    return F.struct(*out, *([F.lit(datatype).alias("datatype")] if datatype else []))
+
+
+def _number(value):
+    return _term(value, datatype=decode.XSD + "double")
+
+
+def _uri(prefix: str, value):
+    return _term(F.concat(F.lit(prefix), value.cast("string")), "uri")
+
+
+@_query("select op as uopid, name, rinf_type, op.country, line, km from rl join op on uopid = op")
+def load_operational_points(d):
+    rows = d.ops().join(d.locations().select(F.col("op").alias("uopid"), "line", "km"), "uopid").withColumn("page", F.col("k") % 16)
+    raw = rows.select(
+        "page", _term(F.col("name")).alias("opName"), _term(F.col("uopid")).alias("uopid"), _uri(decode.TYPE_PREFIXES[0] + "rinf/", F.col("rinf_type")).alias("opType"), _uri(decode.COUNTRY_PREFIXES[0], F.col("country")).alias("country"),
+        _number(F.col("lat")).alias("lat"), _number(F.col("lon")).alias("lon"), _term(F.col("line")).alias("lineId"), _number(F.col("km")).alias("kilometer"), _number(F.lit(0.0)).alias("offset"),
+    )
+    ops, places = commands.load_operational_points(d.spark, _raw(d, "ops", raw), ["DEU"])
+    return ops.join(places.select(F.col("op").alias("uopid"), "line", "km"), "uopid").select("uopid", "name", "rinf_type", "country", "line", "km")
+
+
+@_query("select section, country, line, start_op, end_op, round(length, 6) as length, speed, radius from sol join ts using (section) where passenger")
+def load_sections(d):
+    t = d.track_rows()
+    page = F.pmod(F.xxhash64("section"), F.lit(16))
+    some = lambda c, term: F.when(F.col(c).isNotNull(), term)
+    whole = lambda c: _term(F.col(c), datatype=decode.XSD + "integer")
+    tracks = t.select(
+        page.alias("page"), _uri(decode.SECTION_PREFIXES[1], F.col("section")).alias("sectionOfLine"), _uri(decode.TRACK_PREFIXES[0], F.col("track")).alias("track"), some("speed", whole("speed")).alias("maximumPermittedSpeed"),
+        some("radius", whole("radius")).alias("minimumHorizontalRadius"), some("contact", _term(F.col("contact"))).alias("contactLineSystemTypeLabel"), some("category", _uri(decode.CATEGORY_PREFIXES[0], F.col("category"))).alias("lineCategory"),
+    )
+    sections = d.raw_sections().select(
+        page.alias("page"), _uri(decode.SECTION_PREFIXES[0], F.col("section")).alias("sectionOfLine"), _number(F.col("length")).alias("length"), _term(F.col("line")).alias("lineId"), _term(F.col("start_op")).alias("startUopid"),
+        _term(F.col("end_op")).alias("endUopid"), _uri(decode.COUNTRY_PREFIXES[0], F.col("country")).alias("country"),
+    )
+    s = commands.load_sections(d.spark, _raw(d, "sections", sections), commands.load_tracks(d.spark, _raw(d, "tracks", tracks)), ["DEU", "FRA"])
+    return s.select("section", "country", "line", "start_op", "end_op", F.round("length", 6).alias("length"), m.max_speed(F.col("tracks")).alias("speed"), m.min_radius(F.col("tracks")).alias("radius"))
+
+
+@_query("select idx || '' as tunnel, country, line, length, start_km, cast(idx % 20 as double) + 0.5e0 as start_lon from tn")
+def load_tunnels(d):
+    t = d.tunnels().withColumn("page", F.col("idx") % 16)
+    zero = _number(F.lit(0.0))
+    raw = t.select(
+        "page", _term(F.col("idx")).alias("tunnelIdentification"), _uri(decode.COUNTRY_PREFIXES[0], F.col("country")).alias("country"), _term(F.col("line")).alias("lineId"), _number(F.col("length")).alias("length"),
+        _number(F.col("start_km")).alias("startsAtKilometer"), zero.alias("startsAtOffset"), _number(F.col("start_km")).alias("endsAtKilometer"), zero.alias("endsAtOffset"), _term(F.col("wkt")).alias("wkt"),
+    )
+    return commands.load_tunnels(d.spark, _raw(d, "tunnels", raw), ["DEU"]).select("tunnel", "country", "line", "length", "start_km", "start_lon")
+
+
+@_query("select url as Url, railway as Railway, prefix as RailwayPrefix, code as RailwayRef, lat as Latitude, lon as Longitude, 'node' as OsmType from st")
+def load_osm_entries(d):
+    s = d.stations().withColumn("page", F.pmod(F.xxhash64("url"), F.lit(16)))
+    uri = lambda v: _uri(decode.OSM_PREFIXES[0], v)
+    raw = s.select("page", uri(F.col("url")).alias("id"), _term(F.col("url")).alias("name"), _term(F.col("railway")).alias("railway"), _term(F.col("prefix")).alias("railway_prefix"), _term(F.col("code")).alias("railway_ref"), _number(F.col("lat")).alias("lat"), _number(F.col("lon")).alias("lng"), uri(F.lit("node")).alias("type"))
+    return commands.load_osm_entries(d.spark, _raw(d, "osm", raw)).select("Url", "Railway", "RailwayPrefix", "RailwayRef", "Latitude", "Longitude", "OsmType")
+
+
+@_query("select 'r' || idx as Url, ref as Ref, wikipedia as Wikipedia from rt where idx % 2 = 0 union all select 'r' || idx, ref, wikipedia from rt where idx % 2 = 1")
+def load_osm_routes(d):
+    r = d.routes().withColumn("page", F.col("idx") % 16)
+    link = F.concat(F.lit("https://de.wikipedia.org/wiki/"), F.substring("wikipedia", 4, 999))
+    raw = r.select("page", "idx", _term(F.concat(F.lit("r"), "idx"), "uri").alias("id"), _term(F.col("ref")).alias("ref"), _term(F.when(F.col("wikipedia").startswith("de:"), link).otherwise(F.col("wikipedia")), "uri").alias("wikipedia"))
+    parts = [_raw(d, f"routes{i}", raw.where(f"idx % 2 = {i}").drop("idx")).removesuffix("/*") for i in (0, 1)]
+    return commands.load_osm_routes(d.spark, [*parts, f"{parts[0]}-missing"]).drop("idx")
+
+
+@_query("select 'C' || n_nationkey as code, n_name as label from nation")
+def load_countries(d):
+    n = d.table("nation").select(F.lit(0).alias("page"), _uri(decode.COUNTRY_PREFIXES[0], F.concat(F.lit("C"), "n_nationkey")).alias("country"), _term(F.col("n_name")).alias("label"))
+    return commands.load_countries(d.spark, _raw(d, "countries", n))
+
+
+@_query("select n_name as label, n_name || '!' as definition, n_nationkey as value from nation")
+def load_op_types(d):
+    n = d.table("nation").select(F.lit(0).alias("page"), _term(F.col("n_nationkey")).alias("n"), _term(F.col("n_name")).alias("l"), _term(F.concat("n_name", F.lit("!"))).alias("d"))
+    return commands.load_op_types(d.spark, _raw(d, "types", n))
+
+
+@_query("select uopid as UOPID, name as Name, rinf_type as RinfType, lat as Latitude, lon as Longitude from op")
+def json_datasets(d):
+    """A data set written as JSON, read back with its schema, and by way of a cached table."""
+    folder = f"{files.shared_folder(d.spark)}/sets-{uuid.uuid4().hex}"
+    files.write_dataset(d.ops().selectExpr("uopid as UOPID", "name as Name", "rinf_type as RinfType", "lat as Latitude", "lon as Longitude"), folder, "OpInfos")
+    load = lambda: files.read_dataset(d.spark, folder, "OpInfos")
+    files.cached(d.spark, f"{folder}/cache", load)
+    return files.cached(d.spark, f"{folder}/cache", lambda: d.spark.range(0), True)
+
+
+@_query("select n_nationkey, case when n_nationkey % 2 = 0 then 'r' || n_nationkey else 'none' end as text from nation")
+def null_defaults(d):
+    return d.table("nation").select("n_nationkey", F.coalesce(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("r"), "n_nationkey")), F.lit("none")).alias("text"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compact form of the shortest routes from the first operational point."""
     d = derive.Derived(spark, sf_dir)

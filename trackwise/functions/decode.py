@@ -12,6 +12,7 @@ COUNTRY_PREFIXES = ("http://publications.europa.eu/resource/authority/country/",
 SECTION_PREFIXES = ("http://data.europa.eu/949/sectionOfLine/", "http://data.europa.eu/949/functionalInfrastructure/sectionsOfLine/")
 TRACK_PREFIXES = ("http://data.europa.eu/949/track/", "http://data.europa.eu/949/functionalInfrastructure/tracks/")
 CATEGORY_PREFIXES = ("http://data.europa.eu/949/concepts/line-category/",)
+OSM_PREFIXES = ("https://www.openstreetmap.org/",)
 # Datatypes.
 XSD = "http://www.w3.org/2001/XMLSchema#"
 WKT = "http://www.opengis.net/ont/geosparql#wktLiteral"
@@ -70,7 +71,7 @@ def _number(strict: bool) -> str:
 def wkt_point(value: Column, strict: bool = False) -> Column:
     """struct(lon, lat) of POINT(lon lat), null if it doesn't match; strict takes no minus sign."""
     n = _number(strict)
-    pattern = rf"POINT\s*\({n} {n}\)"
+    pattern = rf"POINT\s*\({n}\s+{n}\)"
     part = lambda i: F.regexp_extract(value, pattern, i).try_cast("double")
     return F.when(value.rlike(pattern), F.struct(part(1).alias("lon"), part(2).alias("lat")))
 
@@ -78,15 +79,18 @@ def wkt_point(value: Column, strict: bool = False) -> Column:
 def wkt_line(value: Column, strict: bool = False) -> Column:
     """struct of both ends of a LINESTRING of exactly two points, else null."""
     n = _number(strict)
-    pattern = rf"LINESTRING\s*\({n} {n},\s*{n} {n}\)"
+    pattern = rf"LINESTRING\s*\({n}\s+{n},\s*{n}\s+{n}\)"
     part = lambda i, name: F.regexp_extract(value, pattern, i).try_cast("double").alias(name)
     return F.when(value.rlike(pattern), F.struct(part(1, "start_lon"), part(2, "start_lat"), part(3, "end_lon"), part(4, "end_lat")))
 
 
+# Fixed value: pattern of a track code.
+TRACK_CODE = "([0-9]{4})_([0-9A-Z]{7})_.*_([0-9A-Z]{7})"
+
+
 def tunnel_track(value: Column) -> Column:
     """struct(line, start_op, end_op) of a track code."""
-    pattern = "([0-9]{4})_([0-9A-Z]{7})_.*_([0-9A-Z]{7})"
-    return F.when(value.rlike(pattern), F.struct(*[F.regexp_extract(value, pattern, i).alias(n) for i, n in enumerate(("line", "start_op", "end_op"), 1)]))
+    return F.when(value.rlike(TRACK_CODE), F.struct(*[F.regexp_extract(value, TRACK_CODE, i).alias(n) for i, n in enumerate(("line", "start_op", "end_op"), 1)]))
 
 
 def station_uopids(code: Column, prefix: str = "DE") -> Column:

@@ -107,11 +107,41 @@ def poi_url(points: Column) -> Column:
     return F.when(F.size(points) > 0, link).otherwise("")
 
 
-def zoom(length_km: Column) -> Column:
-    """Map zoom for the length of a stretch."""
-    return F.when(length_km < 5, 12).when(length_km < 20, 11).when(length_km < 50, 10).when(length_km < 100, 9).otherwise(8)
+def zoom(length_km: Column, near: bool = False) -> Column:
+    """Map zoom for the length of a stretch; near: closer below 1 km."""
+    wide = F.when(length_km < 5, 12).when(length_km < 20, 11).when(length_km < 50, 10).when(length_km < 100, 9).otherwise(8)
+    return F.when(length_km < 1, 14).otherwise(wide) if near else wide
 
 
 def center(low: Column, high: Column) -> Column:
     least = F.least(low, high)
     return F.abs(least + (F.greatest(low, high) - least) / 2)
+
+
+# Addresses of map services, with {places} for numbers and texts.
+PLACE_URL = "https://brouter.de/brouter-web/#map=13/{lat}/{lon}/osm-mapnik-german_style&pois={lon},{lat},{info}"
+STRETCH_URL = "https://brouter.de/brouter-web/#map={zoom}/{mid_lat}/{mid_lon}/osm-mapnik-german_style&pois={lon},{lat};{lon2},{lat2}&profile=rail"
+STRETCH_POIS_URL = "https://brouter.de/brouter-web/#map={zoom}/{mid_lat}/{mid_lon}/osm-mapnik-german_style&pois={lon},{lat},{info};{lon2},{lat2},{info2}"
+RAILWAY_MAP_URL = "https://www.openrailwaymap.org/?lang=en&lat={lat}&lon={lon}&zoom=14&style=standard"
+OVERPASS_URL = 'https://overpass-turbo.eu/?Q=nw[railway~"stop|halt|station|signal_box"](around:1000,{lat},{lon});(._;>;);out;'
+MAP_URL = "https://www.openstreetmap.org/#map=17/{lat}/{lon}"
+GRAPH_URL = "https://graph.data.era.europa.eu/resource?uri={uri}&role=object"
+TAG_URL = "https://taginfo.openstreetmap.org/tags/{tag}={value}"
+
+
+def filled(address: str, **places: Column) -> Column:
+    """An address with its places filled by columns."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", address)
+    return F.concat(*[places[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
+def stretch(address: str, lat: Column, lon: Column, lat2: Column, lon2: Column, length_km: Column, near: bool = False, **more: Column) -> Column:
+    """An address of a stretch between two places, centred between them."""
+    return filled(address, lat=lat, lon=lon, lat2=lat2, lon2=lon2, mid_lat=center(lat, lat2), mid_lon=center(lon, lon2), zoom=zoom(length_km, near), **more)
+
+
+def graph_url(uopid: Column) -> Column:
+    """Address of an operational point in the knowledge graph; blanks are %20."""
+    return filled(GRAPH_URL, uri=F.replace(F.url_encode(F.concat(F.lit("http://data.europa.eu/949/operationalPoint/"), uopid)), F.lit("+"), F.lit("%20")))

@@ -9,10 +9,11 @@ from ..functions import measures as m
 
 
 def fold_operational_points(rows: DataFrame) -> DataFrame:
-    """rows (idx, uopid, name, rinf_type, country, lat, lon, line, km): the first row's scalars, distinct locations."""
-    first = F.min_by(F.struct("name", "rinf_type", "country", "lat", "lon"), "idx").alias("first")
-    places = F.array_sort(F.collect_set(F.struct("line", "km"))).alias("locations")
-    return rows.groupBy("uopid").agg(first, places).select("uopid", "first.*", "locations")
+    """rows (idx, uopid, name, rinf_type, country, lat, lon, line, km): the first row's scalars; distinct locations, the one first seen last in front."""
+    first = rows.groupBy("uopid").agg(F.min_by(F.struct("name", "rinf_type", "country", "lat", "lon"), "idx").alias("first"))
+    seen = rows.groupBy("uopid", "line", "km").agg(F.min("idx").alias("idx"))
+    places = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("idx", "line", "km")))), lambda x: F.struct(x["line"].alias("line"), x["km"].alias("km")))
+    return first.join(seen.groupBy("uopid").agg(places.alias("locations")), "uopid").select("uopid", "first.*", "locations")
 
 
 def kilometre_of_line(rows: DataFrame) -> DataFrame:

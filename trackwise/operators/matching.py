@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import decode
 from ..functions import measures as m
+from ..sources.files import cut
+from .network import components
 
 MATCH_KM, VALID_KM, MOVED_KM = 4.0, 1.0, 0.2
 
@@ -41,11 +43,17 @@ def counts_by_type(matches: DataFrame) -> DataFrame:
     return matches.groupBy("rinf_type").agg(F.count("*").alias("n"), F.count_if(F.col("url").isNull()).alias("not_found"))
 
 
+def counts_by_tag(matches: DataFrame, stations: DataFrame) -> DataFrame:
+    """Matched points by kind of map element and railway tag, with subtotals (null tag)."""
+    kinds = stations.groupBy("url").agg(F.min("osm_type").alias("osm_type"))
+    return matches.where("url is not null").join(kinds, "url").rollup("osm_type", "railway").agg(F.count("*").alias("n")).where("osm_type is not null")
+
+
 def section_check(sections: DataFrame, ops: DataFrame, matches: DataFrame) -> DataFrame:
     """Sections whose ends lie too far apart or too close, and the change of an end to its match that would mend it.
 
-    The start is tried if it has a match, else the end; a change counts if the
-    point moves more than 0.2 km and the new distance is off by less than 20 percent.
+    The start is tried if it has a match, else the end; a change counts if the point
+    moves more than 0.2 km and the new distance fits, off by less than 20 percent.
     """
     side = lambda p: ops.select(F.col("uopid").alias(f"{p}_op"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
     new = lambda p: matches.where("lat is not null").select(F.col("uopid").alias(f"{p}_op"), F.col("lat").alias(f"{p}_mlat"), F.col("lon").alias(f"{p}_mlon"))
@@ -56,50 +64,65 @@ def section_check(sections: DataFrame, ops: DataFrame, matches: DataFrame) -> Da
     at_start = c("start_mlat").isNotNull()
     moved = F.when(at_start, m.haversine(c("start_lat"), c("start_lon"), c("start_mlat"), c("start_mlon"))).when(c("end_mlat").isNotNull(), m.haversine(c("end_lat"), c("end_lon"), c("end_mlat"), c("end_mlon")))
     after = F.when(at_start, m.haversine(c("start_mlat"), c("start_mlon"), c("end_lat"), c("end_lon"))).when(c("end_mlat").isNotNull(), m.haversine(c("start_lat"), c("start_lon"), c("end_mlat"), c("end_mlon")))
-    s = s.withColumns({"moved": moved, "percent": F.abs(c("length") - after) * 100 / c("length"), "changed_op": F.when(at_start, c("start_op")).when(c("end_mlat").isNotNull(), c("end_op"))})
-    change = ~c("valid") & (c("moved") > MOVED_KM) & m.valid_increase(c("percent"))
+    fits = m.distance_rule(c("length"), after, m.min_radius(c("tracks")))
+    s = s.withColumns({"moved": moved, "fits": fits, "percent": F.abs(c("length") - after) * 100 / c("length"), "changed_op": F.when(at_start, c("start_op")).when(c("end_mlat").isNotNull(), c("end_op"))})
+    change = ~c("valid") & c("fits") & (c("moved") > MOVED_KM) & m.valid_increase(c("percent"))
     return s.select("section", "length", m.half_even(c("distance"), 3).alias("distance"), "valid", F.when(change, c("changed_op")).alias("changed_op"), F.when(change, m.half_even(c("moved"), 3)).alias("moved"))
 
 
+def _far(a: float, b: float, c: float, d: float) -> float:
+    h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * m.EARTH_KM * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+def _fits(length: float, distance: float, radius: float) -> bool:
+    off = abs(length - distance) * 100 / length
+    return length > 4 or (length < 1.5 and off < 16) or off < 10 or not (radius > 1000 or length < 1)
+
+
+def _mended(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sections in order of line, length and name; a point that was moved stays where it was moved to."""
+    place: dict[str, tuple[float, float]] = {}
+    out = []
+    for r in pdf.sort_values(["line", "length", "section"]).itertuples():
+        ends = {p: place.get(getattr(r, f"{p}_op"), (getattr(r, f"{p}_lat"), getattr(r, f"{p}_lon"))) for p in ("start", "end")}
+        new, other = (r.new_lat, r.new_lon), ends["end" if r.side == "start" else "start"]
+        after, moved = _far(*new, *other), _far(*ends[r.side], *new)
+        percent = abs(r.length - after) * 100 / r.length
+        if not _fits(r.length, _far(*ends["start"], *ends["end"]), r.radius) and _fits(r.length, after, r.radius) and percent < 20 and moved > MOVED_KM:
+            place[r.target] = new
+            out.append((r.line, r.section, r.target, round(moved, 3)))
+    return pd.DataFrame(out, columns=["line", "section", "changed_op", "moved"])
+
+
 def sequential_check(sections: DataFrame, ops: DataFrame, matches: DataFrame) -> DataFrame:
-    """As section_check over whole lines, where a changed point keeps its new place for the sections that follow on its line.
+    """As section_check over the whole network in order of line, length and name, where a changed point keeps its new place for all that follow.
 
-    Lines are checked in parallel; inside a line the order is by length, then name.
+    A point can move once only, to its match. So only sections whose point to change (the start if it has a match, else the
+    end) has a match more than 0.2 km away can change anything, and such sections depend on each other only through points
+    that can move: each component of these is checked in order by one task.
     """
-    import math
-
-    def far(a, b, c, d):
-        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
-        return 2 * m.EARTH_KM * math.atan2(math.sqrt(h), math.sqrt(1 - h))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        place: dict[str, tuple[float, float]] = {}
-        out = []
-        for r in pdf.sort_values(["length", "section"]).itertuples():
-            ends = {p: place.get(getattr(r, f"{p}_op"), (getattr(r, f"{p}_lat"), getattr(r, f"{p}_lon"))) for p in ("start", "end")}
-            off = abs(r.length - far(*ends["start"], *ends["end"])) * 100 / r.length
-            valid = r.length > 4 or (r.length < 1.5 and off < 16) or off < 10 or not (r.radius > 1000 or r.length < 1)
-            side = "start" if pd.notna(r.start_mlat) else "end" if pd.notna(r.end_mlat) else None
-            if valid or side is None:
-                continue
-            new = (getattr(r, f"{side}_mlat"), getattr(r, f"{side}_mlon"))
-            other = ends["end" if side == "start" else "start"]
-            percent, moved = abs(r.length - far(*new, *other)) * 100 / r.length, far(*ends[side], *new)
-            if moved > MOVED_KM and percent < 20:
-                place[getattr(r, f"{side}_op")] = new
-                out.append((r.line, r.section, getattr(r, f"{side}_op"), moved))
-        return pd.DataFrame(out, columns=["line", "section", "changed_op", "moved"])
-
     side = lambda p: ops.select(F.col("uopid").alias(f"{p}_op"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
-    new = lambda p: matches.where("lat is not null").select(F.col("uopid").alias(f"{p}_op"), F.col("lat").alias(f"{p}_mlat"), F.col("lon").alias(f"{p}_mlon"))
-    rows = sections.withColumn("radius", m.min_radius(F.col("tracks"))).drop("tracks").join(side("start"), "start_op").join(side("end"), "end_op").join(new("start"), "start_op", "left").join(new("end"), "end_op", "left")
-    return rows.groupBy("line").applyInPandas(run, "line string, section string, changed_op string, moved double")
+    found = matches.where("lat is not null and lon is not null").select("uopid", F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon"))
+    new = lambda p: found.select(F.col("uopid").alias(f"{p}_op"), F.lit(True).alias(f"{p}_found"))
+    rows = sections.withColumn("radius", m.min_radius(F.col("tracks"))).select("line", "section", "length", "radius", "start_op", "end_op")
+    rows = rows.join(side("start"), "start_op").join(side("end"), "end_op").join(new("start"), "start_op", "left").join(new("end"), "end_op", "left")
+    rows = rows.withColumn("side", F.when(F.col("start_found"), "start").when(F.col("end_found"), "end")).where("side is not null").drop("start_found", "end_found")
+    rows = rows.withColumn("target", F.when(F.col("side") == "start", F.col("start_op")).otherwise(F.col("end_op"))).join(found.withColumnRenamed("uopid", "target"), "target")
+    at = lambda c: F.when(F.col("side") == "start", F.col(f"start_{c}")).otherwise(F.col(f"end_{c}"))
+    rows = cut(rows.where(m.haversine(at("lat"), at("lon"), F.col("new_lat"), F.col("new_lon")) > MOVED_KM))
+    movable = rows.select("target").distinct()
+    end = lambda p: movable.select(F.col("target").alias(f"{p}_op"))
+    together = rows.join(end("start"), "start_op", "left_semi").join(end("end"), "end_op", "left_semi").select(F.col("start_op").alias("a"), F.col("end_op").alias("b"))
+    groups = components(together).select(F.col("node").alias("target"), "component")
+    rows = rows.join(groups, "target", "left").withColumn("component", F.coalesce("component", "target"))
+    return rows.groupBy("component").applyInPandas(_mended, "line string, section string, changed_op string, moved double")
 
 
 def search_locations(ops: DataFrame, name: str = "", uopid: str = "") -> DataFrame:
     """By both (parts of each), by name (accent-tolerant pattern), by key (equal), or all."""
     if name and uopid:
-        return ops.where(F.lower("name").contains(name.lower()) & F.lower("uopid").contains(uopid.lower()))
+        return ops.where(F.col("name").contains(name) & F.col("uopid").contains(uopid))
     if name:
         return ops.where(F.col("name").rlike(m.search_pattern(name)))
     return ops.where(F.col("uopid") == uopid) if uopid else ops

@@ -43,10 +43,16 @@ def graph_by_locations(locations: DataFrame, sections: DataFrame) -> DataFrame:
     return pairs.withColumns(_edge(length, speed)).withColumns({"electrified": electrified, "country": F.coalesce(F.col("s.country"), F.col("country"))}).select(*EDGE)
 
 
+def one_place(locations: DataFrame) -> DataFrame:
+    """(line, op, km): of several kilometres of a point on a line the one first seen last, by idx if there is one, else the largest."""
+    last = F.max_by("km", "idx") if "idx" in locations.columns else F.max("km")
+    return locations.groupBy("line", "op").agg(last.alias("km"))
+
+
 def graph_by_sections(sections: DataFrame, locations: DataFrame) -> DataFrame:
     """Forward edges of sections whose ends both exist; missing kilometres are 0."""
-    ops = locations.select("op").distinct()
-    place = lambda op, km: locations.select("line", F.col("op").alias(op), F.col("km").alias(km))
+    ops, places = locations.select("op").distinct(), one_place(locations)
+    place = lambda op, km: places.select("line", F.col("op").alias(op), F.col("km").alias(km))
     out = sections.join(ops.withColumnRenamed("op", "start_op"), "start_op").join(ops.withColumnRenamed("op", "end_op"), "end_op")
     out = out.join(place("start_op", "start_km"), ["line", "start_op"], "left").join(place("end_op", "end_km"), ["line", "end_op"], "left")
     out = out.withColumns(_edge(m.half_even(F.col("length"), 2), m.max_speed(F.col("tracks")))).withColumns({"electrified": m.is_electrified(F.col("tracks")), "src": F.col("start_op"), "dst": F.col("end_op"), "start_km": F.coalesce("start_km", F.lit(0.0)), "end_km": F.coalesce("end_km", F.lit(0.0))})
@@ -98,6 +104,10 @@ def tunnel_infos(tunnels: DataFrame) -> DataFrame:
     return tunnels.withColumn("length", F.col("length") / 1000)
 
 
+def tunnels_of_line(tunnels: DataFrame, country: str, line: str) -> DataFrame:
+    return tunnels.where((F.col("country") == country) & (F.col("line") == line))
+
+
 def tunnel_kilometres(tunnels: DataFrame, stops: DataFrame) -> DataFrame:
     """Kilometre of a tunnel's start, estimated from the nearest operational point of its line."""
     near = tunnels.join(stops.select("line", "op", "km", F.col("lat").alias("op_lat"), F.col("lon").alias("op_lon")), "line")
@@ -121,7 +131,7 @@ def ops_of_line(locations: DataFrame, ops: DataFrame, country: str, line: str) -
 def sections_of_line(sections: DataFrame, locations: DataFrame, country: str, line: str) -> DataFrame:
     """Sections with the kilometres of their ends on the line; a missing kilometre sorts as 0."""
     own = sections.where((F.col("country") == country) & (F.col("line") == line))
-    place = locations.where(F.col("line") == line)
+    place = one_place(locations.where(F.col("line") == line))
     out = own.join(place.select(F.col("op").alias("start_op"), F.col("km").alias("start_km")), "start_op", "left").join(place.select(F.col("op").alias("end_op"), F.col("km").alias("end_km")), "end_op", "left")
     return out.select("section", "start_op", "end_op", "length", F.coalesce("start_km", F.lit(0.0)).alias("start_km"), "end_km", m.max_speed(F.col("tracks")).alias("speed"), (F.col("start_km").isNull() | F.col("end_km").isNull()).alias("op_missing"))
 

@@ -15,18 +15,21 @@ def cheapest_edges(edges: DataFrame) -> DataFrame:
 
 
 def compact(path: DataFrame, by_speed: bool = False) -> DataFrame:
-    """Runs of one line (and speed) become one edge; a run is cut where it would end at its own start."""
+    """Runs of one line (and speed) become one edge; an edge that ends where the piece before it began opens the next piece."""
     order = Window.partitionBy("path").orderBy("seq")
     change = F.lag("line").over(order) != F.col("line")
     if by_speed:
         change = change | (F.lag("speed").over(order) != F.col("speed"))
     runs = path.withColumn("run", F.sum(F.coalesce(change.cast("int"), F.lit(0))).over(order))
-    # inside a run, each return to the start node opens the next piece
-    start = F.first("src").over(Window.partitionBy("path", "run").orderBy("seq"))
-    runs = runs.withColumn("piece", F.sum((F.col("dst") == start).cast("int")).over(Window.partitionBy("path", "run").orderBy("seq")))
-    ends = F.struct("seq", "src", "start_km", "country"), F.struct("seq", "dst", "end_km")
-    out = runs.groupBy("path", "run", "piece", "line").agg(F.min(ends[0]).alias("a"), F.max(ends[1]).alias("z"), F.sum("cost").alias("cost"), F.sum("length").alias("length"), F.max("speed").alias("speed"), F.bool_and("electrified").alias("electrified"))
-    return out.select("path", F.row_number().over(Window.partitionBy("path").orderBy("a.seq")).alias("seq"), F.col("a.src").alias("src"), F.col("z.dst").alias("dst"), "line", F.col("a.country").alias("country"), "cost", "length", "speed", "electrified", F.col("a.start_km").alias("start_km"), F.col("z.end_km").alias("end_km"))
+    parts = ("seq", "src", "dst", "line", "country", "cost", "length", "speed", "electrified", "start_km", "end_km")
+    runs = runs.groupBy("path", "run").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("edges"))
+    joined = {"dst": "x.dst", "cost": "z.cost + x.cost", "length": "z.length + x.length", "speed": "greatest(z.speed, x.speed)", "electrified": "z.electrified and x.electrified", "end_km": "x.end_km"}
+    merged = ", ".join(f"{joined.get(c, f'z.{c}')} as {c}" for c in parts)
+    # the pieces of a run are few; only the last one grows
+    step = f"if(element_at(a, -1).src = x.dst, concat(a, array(x)), transform(a, (z, i) -> if(i < size(a) - 1, z, struct({merged}))))"
+    pieces = F.expr(f"aggregate(slice(edges, 2, size(edges)), array(edges[0]), (a, x) -> {step})")
+    out = runs.select("path", F.inline(pieces))
+    return out.withColumn("seq", F.row_number().over(order)).select("path", *parts)
 
 
 def running_totals(path: DataFrame) -> DataFrame:
@@ -58,9 +61,9 @@ def route_urls(points: DataFrame) -> DataFrame:
 
 
 def first_edge_fix(path: DataFrame) -> DataFrame:
-    """A first edge without length takes the difference of its kilometres."""
+    """A first edge without length that starts at kilometre 0 starts where it ends."""
     first = F.row_number().over(Window.partitionBy("path").orderBy("seq")) == 1
-    return path.withColumn("length", F.when(first & (F.col("length") == 0), F.abs(F.col("end_km") - F.col("start_km"))).otherwise(F.col("length")))
+    return path.withColumn("start_km", F.when(first & (F.col("length") == 0) & (F.col("start_km") == 0), F.col("end_km")).otherwise(F.col("start_km")))
 
 
 def gap_rows(path: DataFrame) -> DataFrame:

@@ -15,13 +15,15 @@ from ..operators import ingest, matching, network, paths
 from ..sources import files
 from . import search
 
+# Where the data come from.
+ENDPOINT, ONTOLOGY, REVISION = "https://data-interop.era.europa.eu/endpoint", "https://data-interop.era.europa.eu/era-vocabulary", "v3.2.0"
 #: types that listings of places leave out: private sidings and depots
 EXCLUDED = (130, 50)
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     """Bindings with idx, their place in the input."""
-    return files.read_bindings(spark, path).select(F.struct("file", "binding_idx").alias("idx"), "b")
+    return files.read_bindings(spark, path).select(F.struct("page", "file", "binding_idx").alias("idx"), "b")
 
 
 def _term(name: str, part: str = "value") -> Column:
@@ -45,16 +47,58 @@ def _country() -> Column:
     return decode.uri_tail(_term("country"), decode.COUNTRY_PREFIXES)
 
 
-def load_operational_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(operational points, their locations) of raw results; coordinates fall back to the point geometry and must exist."""
+def _in(rows: DataFrame, countries: list[str] | None) -> DataFrame:
+    """Rows of the countries; all without a list."""
+    return rows if countries is None else rows.where(F.col("country").isin(countries))
+
+
+def load_countries(spark: SparkSession, path: str) -> DataFrame:
+    """(code, label) of raw results."""
+    return _rows(spark, path).select(_country().alias("code"), _text("label").alias("label")).distinct()
+
+
+def load_op_types(spark: SparkSession, path: str) -> DataFrame:
+    """(label, definition, value) of raw results, in the order of the numbers as texts."""
+    rows = _rows(spark, path).select(_text("l").alias("label"), _text("d").alias("definition"), _text("n").alias("n")).distinct()
+    return rows.orderBy("n").select("label", "definition", F.col("n").cast("int").alias("value"))
+
+
+def load_osm_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Map stations of raw results, with the columns of OsmEntries."""
+    optional = lambda name: F.when(_term(name).isNotNull(), _text(name))
+    return _rows(spark, path).select(
+        decode.uri_tail(_term("id"), decode.OSM_PREFIXES).alias("Url"), _text("name").alias("Name"), _text("railway").alias("Railway"), optional("railway_prefix").alias("RailwayPrefix"), _text("railway_ref").alias("RailwayRef"),
+        optional("uic_ref").alias("UicRef"), optional("operator").alias("Operator"), _double("lat").alias("Latitude"), _double("lng").alias("Longitude"), decode.uri_tail(_term("type"), decode.OSM_PREFIXES).alias("OsmType"),
+    )
+
+
+def load_osm_routes(spark: SparkSession, paths_: list[str]) -> DataFrame:
+    """(idx, Url, Ref, Wikipedia) of the raw results that exist, one source after the other."""
+    out = spark.createDataFrame([], "idx struct<source: int, page: bigint, file: string, binding_idx: int>, Url string, Ref string, Wikipedia string")
+    for i, path in enumerate(paths_):
+        if files.exists(spark, path):
+            rows = files.read_bindings(spark, path)
+            out = out.union(rows.select(F.struct(F.lit(i), "page", "file", "binding_idx"), _term("id"), _term("ref"), decode.wikipedia_title(_term("wikipedia"))))
+    return out
+
+
+def load_rows_of_routes(spark: SparkSession, path: str) -> DataFrame:
+    """(Url, Ref, Wikipedia) of a document {"query": text, "res": [[url, ref, wikipedia], ...]}."""
+    raw = spark.read.schema("query string, res array<array<string>>").option("multiLine", True).json(path).select(F.explode("res").alias("r"))
+    return raw.select(F.col("r")[0].alias("Url"), F.col("r")[1].alias("Ref"), F.col("r")[2].alias("Wikipedia"))
+
+
+def load_operational_points(spark: SparkSession, path: str, countries: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(operational points, their locations with idx) of raw results; coordinates fall back to the point geometry and must exist."""
     point = decode.wkt_point(_term("wkt"))
     need = lambda c: F.coalesce(c, F.raise_error(F.lit("no coordinates")).cast("double"))
     rows = _rows(spark, path).select(
         "idx", _text("uopid").alias("uopid"), _text("opName").alias("name"), decode.type_number(decode.uri_tail(_term("opType"), decode.TYPE_PREFIXES)).alias("rinf_type"), _country().alias("country"),
         need(F.coalesce(_double("lat"), point["lat"])).alias("lat"), need(F.coalesce(_double("lon"), point["lon"])).alias("lon"), _text("lineId").alias("line"), decode.kilometre(_double("kilometer"), _double("offset")).alias("km"),
     )
-    ops = ingest.fold_operational_points(rows)
-    return ops.drop("locations"), ops.select("country", F.col("uopid").alias("op"), F.inline("locations")).select("country", "line", "op", "km")
+    ops = ingest.fold_operational_points(_in(rows, countries))
+    places = ops.select("country", F.col("uopid").alias("op"), F.posexplode("locations").alias("at", "l"))
+    return ops.drop("locations"), places.select("country", "l.line", "op", "l.km", (-F.col("at")).alias("idx"))
 
 
 def load_tracks(spark: SparkSession, path: str) -> DataFrame:
@@ -68,45 +112,62 @@ def load_tracks(spark: SparkSession, path: str) -> DataFrame:
     return ingest.fold_tracks(rows)
 
 
-def load_sections(spark: SparkSession, path: str, tracks: DataFrame) -> DataFrame:
+def load_sections(spark: SparkSession, path: str, tracks: DataFrame, countries: list[str] | None = None) -> DataFrame:
     """Sections of passenger lines with their tracks."""
     rows = _rows(spark, path).select(
         "idx", decode.uri_tail(_term("sectionOfLine"), decode.SECTION_PREFIXES).alias("section"), _country().alias("country"), _text("lineId").alias("line"),
         _text("startUopid").alias("start_op"), _text("endUopid").alias("end_op"), _double("length").alias("length"),
     )
-    return ingest.sections_with_tracks(rows, tracks)
+    return ingest.sections_with_tracks(_in(rows, countries), tracks)
 
 
-def load_tunnels(spark: SparkSession, path: str) -> DataFrame:
+def load_tunnels(spark: SparkSession, path: str, countries: list[str] | None = None) -> DataFrame:
     """Tunnels by name, lengths in m, of the first row whose geometry can be parsed."""
     rows = _rows(spark, path).select(
         "idx", _text("tunnelIdentification").alias("tunnel"), _country().alias("country"), _text("lineId").alias("line"), _double("length").alias("length"),
         decode.kilometre(_double("startsAtKilometer"), _double("startsAtOffset")).alias("start_km"), decode.kilometre(_double("endsAtKilometer"), _double("endsAtOffset")).alias("end_km"), _term("wkt").alias("wkt"),
     )
-    return ingest.fold_tunnels(rows, decode.wkt_line(F.col("wkt"))).drop("wkt").select("*", "geometry.*").drop("geometry")
+    return ingest.fold_tunnels(_in(rows, countries), decode.wkt_line(F.col("wkt"))).drop("wkt").select("*", "geometry.*").drop("geometry")
+
 
+def build_all(spark: SparkSession, folder: str, countries: str = "", by_locations: bool = True) -> None:
+    """All data sets of a folder, from its raw results sparql-{operationalPoints,tracks,sectionsOfLine,tunnel}.json.
 
-def build_all(spark: SparkSession, folder: str, by_locations: bool = True) -> None:
-    """All data sets of a folder, from its raw results sparql-{operationalPoints,tracks,sectionsOfLine,tunnel}.json."""
-    ops, places = load_operational_points(spark, f"{folder}/sparql-operationalPoints.json")
+    countries: codes joined by semicolons; all if empty. Where there are raw results of map routes
+    (sparql-osmWikipedia.json, sparql-osmWikidata.json), countries or types of points, their data sets are made as well.
+    """
+    codes = files.checked_countries(countries) if countries else None
+    ops, places = load_operational_points(spark, f"{folder}/sparql-operationalPoints.json", codes)
     ops, places = files.cut(ops), files.cut(places)
-    sections = files.cut(load_sections(spark, f"{folder}/sparql-sectionsOfLine.json", load_tracks(spark, f"{folder}/sparql-tracks.json")))
-    tunnels = files.cut(network.tunnel_infos(load_tunnels(spark, f"{folder}/sparql-tunnel.json")))
+    sections = files.cut(load_sections(spark, f"{folder}/sparql-sectionsOfLine.json", load_tracks(spark, f"{folder}/sparql-tracks.json"), codes))
+    raw_tunnels = files.cut(load_tunnels(spark, f"{folder}/sparql-tunnel.json", codes))
+    tunnels = network.tunnel_infos(raw_tunnels)
     edges = files.cut(graph(places, sections, by_locations))
     lines = network.line_tunnels(network.line_infos(edges, ops), tunnels)
-    routes = f"{folder}/OsmRoutes.json"
-    if files.exists(spark, routes):
-        known = files.read_dataset(spark, folder, "OsmRoutes").select(F.col("Url").alias("idx"), F.col("Ref").alias("ref"), F.col("Wikipedia").alias("wikipedia"))
-        lines = network.line_wikipedia(lines, known)
+    sources = [f"{folder}/sparql-osm{name}.json" for name in ("Wikipedia", "Wikidata")]
+    if any(files.exists(spark, path) for path in sources):
+        routes = files.cut(load_osm_routes(spark, sources))
+        known = routes.select("idx", F.col("Ref").alias("ref"), F.col("Wikipedia").alias("wikipedia"))
+    elif files.exists(spark, f"{folder}/OsmRoutes.json"):
+        routes = files.read_dataset(spark, folder, "OsmRoutes").withColumn("idx", F.lit(0))
+        known = routes.select(F.struct("Url", "Wikipedia").alias("idx"), F.col("Ref").alias("ref"), F.col("Wikipedia").alias("wikipedia"))
     else:
-        lines = lines.withColumn("wikipedia", F.lit(None).cast("string"))
-    near = places.groupBy(F.col("op").alias("uopid")).agg(F.array_sort(F.collect_set(F.struct(F.col("line").alias("NationalIdentNum"), F.col("km").alias("Kilometer")))).alias("RailwayLocations"))
+        routes, known = load_osm_routes(spark, []), None
+    lines = network.line_wikipedia(lines, known) if known is not None else lines.withColumn("wikipedia", F.lit(None).cast("string"))
+    listed = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("idx", "line", "km")))), lambda x: F.struct(x["line"].alias("NationalIdentNum"), x["km"].alias("Kilometer")))
+    near = places.groupBy(F.col("op").alias("uopid")).agg(listed.alias("RailwayLocations"))
+    seen = codes if codes is not None else sorted(r[0] for r in ops.select("country").distinct().collect())
     as_set = {
         "OperationalPoints": ops.join(near, "uopid", "left").selectExpr("name as Name", "cast(rinf_type as string) as Type", "country as Country", "uopid as UOPID", "lat as Latitude", "lon as Longitude", "RailwayLocations"),
         "SectionsOfLines": sections.selectExpr(
             "section as Name", "country as Country", "length as Length", "line as LineIdentification", "start_op as StartOP", "end_op as EndOP",
             "transform(tracks, t -> named_struct('id', t.id, 'sectionOfLine', section, 'maximumPermittedSpeed', t.speed, 'minimumHorizontalRadius', t.radius, 'contactLineSystem', t.contact, 'lineCategories', t.categories)) as Tracks",
         ),
+        "Tunnels": raw_tunnels.selectExpr("tunnel as Name", "country as Country", "length as Length", "line as LineIdentification", "start_lat as StartLatitude", "start_lon as StartLongitude", "start_km as StartKm", "end_lat as EndLatitude", "end_lon as EndLongitude", "end_km as EndKm"),
+        "Metadata": files.metadata(spark, ENDPOINT, ONTOLOGY, REVISION, seen),
+        "MoGraph": search.mo_graph(edges).selectExpr(
+            "node as Node", "transform(edges, e -> named_struct('Node', e.head, 'LineCost', e.line_cost, 'DistanceCost', e.distance_cost, 'Line', e.line, 'Country', e.country, 'MaxSpeed', e.speed, 'Electrified', e.electrified, 'StartKm', e.start_km, 'EndKm', e.end_km, 'Length', e.length)) as Edges"
+        ),
         "OpInfos": ops.selectExpr("uopid as UOPID", "name as Name", "rinf_type as RinfType", "lat as Latitude", "lon as Longitude"),
         "TunnelInfos": tunnels.selectExpr("tunnel as Tunnel", "length as Length", "start_lon as StartLong", "start_lat as StartLat", "start_km as StartKm", "end_lon as EndLong", "end_lat as EndLat", "end_km as EndKm", "line as Line", "country as Country"),
         "LineInfos": lines.selectExpr("line as Line", "country as Country", "name as Name", "length as Length", "start_km as StartKm", "end_km as EndKm", "uopids as UOPIDs", "tunnels as Tunnels", "wikipedia as Wikipedia"),
@@ -114,8 +175,15 @@ def build_all(spark: SparkSession, folder: str, by_locations: bool = True) -> No
             "node as Node", "transform(edges, e -> named_struct('Node', e.dst, 'Cost', e.cost, 'Line', e.line, 'Country', e.country, 'MaxSpeed', e.speed, 'Electrified', e.electrified, 'StartKm', e.start_km, 'EndKm', e.end_km, 'Length', e.length)) as Edges"
         ),
     }
+    if any(files.exists(spark, path) for path in sources):
+        as_set["OsmRoutes"] = routes.select("Url", "Ref", "Wikipedia")
+    for name, path, load in (("Countries", "sparql-countries.json", load_countries), ("OpTypes", "sparql-opTypes.json", load_op_types), ("OsmEntries", "sparql-osm.json", load_osm_entries)):
+        if files.exists(spark, f"{folder}/{path}"):
+            found = load(spark, f"{folder}/{path}")
+            as_set[name] = found.toDF(*[c[0].upper() + c[1:] for c in found.columns])
     for name, df in as_set.items():
         files.write_dataset(df, folder, name)
+    files.write_gr(search.dense_arcs(search.expand(edges)), f"{folder}/MoGraph.gr")
 
 
 def graph(places: DataFrame, sections: DataFrame, by_locations: bool = True) -> DataFrame:
@@ -136,7 +204,7 @@ class Folder:
         return self.read("OpInfos").selectExpr("UOPID as uopid", "Name as name", "RinfType as rinf_type", "Latitude as lat", "Longitude as lon")
 
     def places(self) -> DataFrame:
-        return self.read("OperationalPoints").selectExpr("Country as country", "UOPID as op", "inline(RailwayLocations)").selectExpr("country", "NationalIdentNum as line", "op", "Kilometer as km")
+        return self.read("OperationalPoints").selectExpr("Country as country", "UOPID as op", "posexplode(RailwayLocations) as (at, l)").selectExpr("country", "l.NationalIdentNum as line", "op", "l.Kilometer as km", "-at as idx")
 
     def sections(self) -> DataFrame:
         tracks = "transform(Tracks, t -> named_struct('id', t.id, 'speed', t.maximumPermittedSpeed, 'radius', t.minimumHorizontalRadius, 'contact', t.contactLineSystem, 'categories', t.lineCategories)) as tracks"
@@ -158,16 +226,60 @@ class Folder:
     def check_locations(self) -> DataFrame:
         return network.consistency(self.places(), self.edges())
 
+    def lines(self) -> DataFrame:
+        return self.read("LineInfos").selectExpr("Line as line", "Country as country", "Name as name", "StartKm as start_km", "EndKm as end_km", "UOPIDs as uopids", "Tunnels as tunnels", "Wikipedia as wikipedia")
+
+    def tunnels(self) -> DataFrame:
+        return self.read("TunnelInfos").selectExpr("Tunnel as tunnel", "Country as country", "Line as line", "Length as length", "StartKm as start_km", "EndKm as end_km")
+
     def path_of_line(self, country: str, line: str) -> DataFrame:
-        return paths.running_totals(search.path_of_line(self.edges(), country, line)).orderBy("seq")
+        """The route through the points of a line, on its own edges, with running totals."""
+        own = self.lines().where((F.col("country") == country) & (F.col("line") == line))
+        return paths.running_totals(search.paths_of_lines(network.sub_graph(self.edges(), country, line), own)).orderBy("seq")
+
+    def line_view(self, country: str, line: str) -> DataFrame:
+        """path_of_line with rows for gaps."""
+        own = self.lines().where((F.col("country") == country) & (F.col("line") == line))
+        return paths.gap_rows(search.paths_of_lines(network.sub_graph(self.edges(), country, line), own)).orderBy("seq")
+
+    def tunnels_of_line(self, country: str, line: str) -> DataFrame:
+        """Tunnels by start kilometre, with the running total of their lengths."""
+        return network.tunnels_of_line(self.tunnels(), country, line).withColumn("total_length", F.sum("length").over(Window.partitionBy("line").orderBy("start_km", "tunnel"))).orderBy("start_km", "tunnel")
+
+    def places_url(self, country: str, line: str) -> DataFrame:
+        """A planner link to the points of a line."""
+        points = F.transform(F.array_sort(F.collect_list(F.struct("km", "op", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), p["op"].alias("name")))
+        return network.ops_of_line(self.places(), self.ops(), country, line).agg(m.poi_url(points).alias("url"))
 
     def route(self, waypoints: str, max_speed: bool = False) -> DataFrame:
-        """The compacted route by way of the points A;B;C, with running totals; by speed, too, if asked."""
-        return paths.running_totals(paths.compact(self._route(waypoints), by_speed=max_speed)).orderBy("seq")
+        """The compacted route by way of the points A;B;C, with running totals; with the speeds on its lines, if asked."""
+        found = self._route(waypoints)
+        return paths.running_totals(search.speed_profile(found, self.edges()) if max_speed else paths.compact(found)).orderBy("seq")
+
+    def printed_route(self, waypoints: str) -> DataFrame:
+        return paths.printed(self._route(waypoints)).orderBy("seq")
+
+    def route_elements(self, waypoints: str) -> DataFrame:
+        """The route with the names of points and lines."""
+        return paths.path_elements(self._route(waypoints), self.ops(), self.lines()).orderBy("seq")
 
     def route_urls(self, waypoints: str) -> DataFrame:
         return paths.route_urls(paths.locations(self._route(waypoints), self.ops(), EXCLUDED))
 
+    def path_view(self, source: str, target: str, percent: float = 0.0) -> DataFrame:
+        """Of the routes that are best in changes of line or cost, the one for a tolerance, compacted with running totals."""
+        legs = files.cut(self.pareto_routes(source, target, None))
+        front = legs.select(F.lit("q").alias("question"), "sol", F.col("total_cost").alias("cost")).distinct()
+        chosen = search.choose_solution(front, percent).select("sol")
+        return paths.running_totals(legs.join(chosen, "sol").withColumn("path", F.col("sol"))).orderBy("seq")
+
+    def graph_stats(self) -> DataFrame:
+        """Edges, nodes, connection, form and highest degree of each line."""
+        return network.line_statistics(network.undirected(self.edges().where("start_km < end_km"))).orderBy("line")
+
+    def degrees(self) -> DataFrame:
+        return network.degree_histogram(network.undirected(self.edges().where("start_km < end_km"))).orderBy("degree")
+
     def _route(self, waypoints: str) -> DataFrame:
         ask = self.spark.range(1).select(F.lit("route").alias("path"), F.split(F.lit(waypoints), ";").alias("waypoints"))
         return search.shortest_paths(self.edges(), ask)
@@ -192,9 +304,34 @@ class Folder:
         stations = self.read("OsmEntries").selectExpr("Url as url", "Railway as railway", "RailwayPrefix as prefix", "RailwayRef as code", "Latitude as lat", "Longitude as lon")
         return matching.match_stations(ops, stations).orderBy("uopid")
 
+    def osm_matchings(self) -> DataFrame:
+        """osm_compare with the columns of RInfOsmMatchings; written to the folder."""
+        found = files.cut(self.osm_compare().selectExpr("uopid as UOPID", "url as OsmUrl", "railway as OsmRailwayTag", "prefix as OsmRailwayTagPrefix", "distance as Distance", "lat as Latitude", "lon as Longitude"))
+        files.write_dataset(found, self.folder, "RInfOsmMatchings")
+        return found
+
+    def osm_report(self) -> DataFrame:
+        """Points without a valid match, by name, with links and others in the same place."""
+        matches = self.osm_compare()
+        valid = matches.where(F.col("distance") < matching.VALID_KM).select("uopid")
+        lone = self.ops().join(matches.select("uopid"), "uopid", "left_semi").join(valid, "uopid", "left_anti")
+        same = matching.same_location(self.ops()).groupBy("uopid").agg(F.min("other").alias("same_location"))
+        lat, lon = F.col("lat"), F.col("lon")
+        urls = {"graph_url": m.graph_url(F.col("uopid")), "place_url": m.filled(m.PLACE_URL, lat=lat, lon=lon, info=F.col("uopid")), "railway_url": m.filled(m.RAILWAY_MAP_URL, lat=lat, lon=lon), "map_url": m.filled(m.MAP_URL, lat=lat, lon=lon), "overpass_url": m.filled(m.OVERPASS_URL, lat=lat, lon=lon)}
+        return lone.join(same, "uopid", "left").withColumns(urls).orderBy("name", "uopid")
+
+    def check_sections(self) -> DataFrame:
+        """Points whose place is moved to their match so that sections fit."""
+        matches = self.read("RInfOsmMatchings").selectExpr("UOPID as uopid", "Latitude as lat", "Longitude as lon")
+        return matching.sequential_check(self.sections(), self.ops(), matches).orderBy("line", "section")
+
     def search(self, name: str = "", uopid: str = "") -> DataFrame:
         return matching.search_locations(self.ops(), name, uopid).orderBy("name", "uopid")
 
     def write_multi_criteria_graph(self) -> None:
         """MoGraph.gr: the line-change arcs as a graph text."""
         files.write_gr(search.dense_arcs(search.expand(self.edges())), f"{self.folder}/MoGraph.gr")
+
+    def pareto_gr(self, source: int, target: int, most: int = 1000) -> DataFrame:
+        """Solutions between two nodes of MoGraph.gr."""
+        return search.search_gr(self.spark, f"{self.folder}/MoGraph.gr", source, target, most).orderBy("sol", "seq")

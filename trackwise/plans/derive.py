@@ -95,6 +95,6 @@ ed as (select p.src, p.dst, p.line, p.country, greatest(cast(floor(10000e0 * (le
 eg as (select * from ed union all select dst, src, line, country, cost, length, speed, electrified, end_km, start_km from ed),
 st as (select 'node/' || c_custkey as url, case c_custkey % 4 when 0 then 'station' when 1 then 'halt' when 2 then 'stop' else 'yard' end as railway, case when c_custkey % 3 = 0 then 'railway' else 'disused' end as prefix,
   case when c_custkey % 5 = 0 then 'X;' || (c_custkey % 50) else cast(c_custkey % 120 as varchar) end as code, 47e0 + (c_custkey % 50) * 0.1e0 + (c_custkey % 7) * 0.004e0 as lat, 6e0 + (c_custkey % 120 * 7 % 25) * 0.1e0 + (c_custkey % 11) * 0.003e0 as lon from customer),
-tn as (select 'T' || (o_orderkey % 500) as tunnel, 'DEU' as country, 'L' || lpad(cast(o_orderkey % 40 as varchar), 2, '0') as line, o_totalprice as length, cast(o_orderkey as double) / 10e0 as start_km, o_orderkey as idx, 'LINESTRING (' || (o_orderkey % 20) || '.5 48.25, ' || (o_orderkey % 20) || '.75 48.5)' as wkt from orders where o_orderkey % 20 = 0),
+tn as (select 'T' || (o_orderkey % 500) as tunnel, 'DEU' as country, 'L' || lpad(cast(o_orderkey % 40 as varchar), 2, '0') as line, o_totalprice as length, cast(o_orderkey as double) / 10e0 as start_km, o_orderkey as idx, 'LINESTRING (' || (o_orderkey % 20) || '.5 48.25, ' || (o_orderkey % 20) || '.75 48.5)' as wkt from orders),
 rt as (select p_partkey as idx, 'L' || lpad(cast(p_partkey % 60 as varchar), 2, '0') as ref, case when p_partkey % 3 = 0 then 'fr:' else 'de:' end || p_name as wikipedia from part)
 """

@@ -11,22 +11,22 @@ from __future__ import annotations
 import heapq
 import operator
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import paths
-from ..sources.files import cut
+from ..sources.files import cut, drop_cut, read_gr
 
 #: largest graph that is shipped to tasks
 KERNEL_EDGES = 2_000_000
 
 
 def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, cost, pred, hops): cheapest cost from each source to every node, by rounds of relaxation."""
+    """(source, node, cost, pred): cheapest cost from each source to every node and the smallest node before it on such a path, by rounds of relaxation (costs above 0)."""
     arcs = cut(edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")))
     best = cut(sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(None).cast("string").alias("pred")))
     front = best
@@ -35,8 +35,11 @@ def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
         step = step.groupBy("source", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("so_far") + F.col("cost")).alias("cost"), F.col("src").alias("pred"))).alias("n"))
         merged = best.join(step, ["source", "node"], "full").select("source", "node", "cost", "pred", "n")
         better = F.col("n").isNotNull() & (F.col("cost").isNull() | (F.col("n.cost") < F.col("cost")))
-        best = cut(merged.select("source", "node", F.when(better, F.col("n.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("n.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("moved")))
+        # as cheap by way of a smaller node
+        other = better | (F.col("n").isNotNull() & (F.col("n.cost") == F.col("cost")) & (F.col("n.pred") < F.col("pred")))
+        old, best = best, cut(merged.select("source", "node", F.when(better, F.col("n.cost")).otherwise(F.col("cost")).alias("cost"), F.when(other, F.col("n.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("moved")))
         front, best = best.where("moved"), best.drop("moved")
+        drop_cut(old)
     return best
 
 
@@ -51,20 +54,48 @@ def _shipped(edges: DataFrame):
 
 
 def dijkstra(graph: dict, source: str, target: str) -> list[str]:
-    """Nodes of a cheapest path, of equally cheap ones the smallest by nodes; empty if there is none."""
-    done, heap = set(), [(0, (source,))]
+    """Nodes of a cheapest path, going back by the smallest node each time; empty if there is none."""
+    best, before, done, heap = {source: 0}, {source: None}, set(), [(0, source)]
     while heap:
-        cost, path = heapq.heappop(heap)
-        node = path[-1]
+        cost, node = heapq.heappop(heap)
         if node in done:
             continue
         if node == target:
-            return list(path)
+            break
         done.add(node)
         for head, c in graph.get(node, ()):
-            if head not in done:
-                heapq.heappush(heap, (cost + c[0], (*path, head)))
-    return []
+            new, old = cost + c[0], best.get(head)
+            if old is None or new < old:
+                best[head], before[head] = new, node
+                heapq.heappush(heap, (new, head))
+            elif new == old and head not in done and before[head] is not None and node < before[head]:
+                before[head] = node
+    trail = [target] if target in before else []
+    while trail and (up := before[trail[-1]]) is not None:
+        trail.append(up)
+    return trail[::-1]
+
+
+def lower_bounds(graph: dict, target: str) -> dict[str, tuple[int, ...]]:
+    """Of each node that reaches the target, the least cost to it in each dimension by itself."""
+    back, dims = defaultdict(list), 0
+    for tail, arcs in graph.items():
+        for head, c in arcs:
+            back[head].append((tail, c))
+            dims = len(c)
+    found = []
+    for d in range(dims):
+        done, heap, serial = {}, [(0, 0, target)], 0
+        while heap:
+            cost, _, node = heapq.heappop(heap)
+            if node not in done:
+                done[node] = cost
+                for tail, c in back.get(node, ()):
+                    if tail not in done:
+                        serial += 1
+                        heapq.heappush(heap, (cost + c[d], serial, tail))
+        found.append(done)
+    return {node: tuple(f[node] for f in found) for node in found[0]} if found else {target: ()}
 
 
 def pareto_labels(graph: dict, source: str, target: str, most: int | None = None) -> list[tuple[tuple[int, ...], list[str]]]:
@@ -72,9 +103,11 @@ def pareto_labels(graph: dict, source: str, target: str, most: int | None = None
     return pareto_fronts(graph, source, [target], most)[target]
 
 
-def pareto_fronts(graph: dict, source: str, targets: list[str], most: int | None = None) -> dict[str, list[tuple[tuple[int, ...], list[str]]]]:
+def pareto_fronts(graph: dict, source: str, targets: list[str], most: int | None = None, counters: Counter | None = None) -> dict[str, list[tuple[tuple[int, ...], list]]]:
     """Of each target, all non-dominated cost vectors with a witness each, in lexicographic order; one search for all targets.
 
+    A witness is a list of (node, cost so far). With one target, labels whose cost and lower bound to it are beaten there lead nowhere.
+
     Labels leave the heap in lexicographic order and costs aren't negative, so a node's settled labels never have a larger
     first component than a new one: only the other components are compared. Of two dimensions only the least second one
     counts; of three, the settled labels are a staircase that is searched by halves.
@@ -83,8 +116,9 @@ def pareto_fronts(graph: dict, source: str, targets: list[str], most: int | None
     fronts: dict = {}
     heap, out, serial = [((0,) * dims, 0, source, None)], {t: [] for t in targets}, 0
     wanted = len(out) if most is None or most > 0 else 0
-    # with one target, labels that it beats lead nowhere
     only = targets[0] if len(out) == 1 else None
+    bounds = lower_bounds(graph, only) if only is not None else {}
+    counters = Counter() if counters is None else counters
 
     if dims == 2:
 
@@ -117,27 +151,35 @@ def pareto_fronts(graph: dict, source: str, targets: list[str], most: int | None
         def settle(node: str, cost: tuple[int, ...]) -> None:
             fronts.setdefault(node, []).append(cost[1:])
 
+    def hopeless(node: str, cost: tuple[int, ...]) -> bool:
+        return only is not None and ((bound := bounds.get(node)) is None or beaten(only, tuple(map(operator.add, cost, bound))))
+
     while heap and wanted:
         cost, _, node, before = heapq.heappop(heap)
-        if beaten(node, cost) or (only is not None and beaten(only, cost)):
+        counters["iterations"] += 1
+        if beaten(node, cost) or hopeless(node, cost):
             continue
         settle(node, cost)
-        label = (node, before)
+        counters["permanents"] += 1
+        label = (node, before, cost)
         found = out.get(node)
         if found is not None and (most is None or len(found) < most):
             trail, at = [], label
             while at:
-                trail.append(at[0])
+                trail.append((at[0], at[2]))
                 at = at[1]
             found.append((cost, trail[::-1]))
+            counters["solutions"] += 1
             wanted -= len(found) == most
         if node == only:
             continue
         for head, c in graph.get(node, ()):
             new = tuple(map(operator.add, cost, c))
-            if not (beaten(head, new) or (only is not None and beaten(only, new))):
+            if not (beaten(head, new) or hopeless(head, new)):
                 serial += 1
                 heapq.heappush(heap, (new, serial, head, label))
+                counters["largest heap"] = max(counters["largest heap"], len(heap))
+    counters["labels"] += serial + 1
     return out
 
 
@@ -153,24 +195,87 @@ def _ask(edges: DataFrame, questions: DataFrame, answer, schema: str) -> DataFra
     return questions.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 
-def shortest_paths(edges: DataFrame, questions: DataFrame) -> DataFrame:
+def _walked_back(edges: DataFrame, questions: DataFrame) -> DataFrame:
+    """Hops of the legs of questions by the nodes before, from tables: as many rounds as the longest leg has hops."""
+    nodes = edges.select(F.col("src").alias("w")).union(edges.select("dst")).distinct()
+    unknown = questions.select("path", F.explode("waypoints").alias("w")).join(nodes, "w", "left_anti").select("path").distinct()
+    known = questions.join(unknown, "path", "left_anti")
+    legs = known.select("path", F.posexplode(F.expr("transform(sequence(1, greatest(size(waypoints) - 1, 1)), i -> struct(waypoints[i - 1] as a, get(waypoints, i) as b))")).alias("leg", "w")).select("path", "leg", "w.*").where("b is not null")
+    legs = cut(legs)
+    reached = shortest_costs(edges, legs.select(F.col("a").alias("source")).distinct()).select(F.col("source").alias("a"), F.col("node").alias("b"), "pred")
+    at, hops, back = legs, None, 0
+    while True:
+        step = cut(at.join(reached, ["a", "b"]).where("pred is not null").select("path", "leg", F.lit(-back).alias("back"), F.col("pred").alias("src"), F.col("b").alias("dst"), "a"))
+        if step.isEmpty():
+            break
+        hops = step if hops is None else hops.unionByName(step)
+        at, back = step.select("path", "leg", "a", F.col("src").alias("b")), back + 1
+    hops = hops if hops is not None else step
+    return hops.select("path", "leg", F.row_number().over(Window.partitionBy("path").orderBy("leg", "back")).alias("seq"), "src", "dst")
+
+
+def shortest_paths(edges: DataFrame, questions: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """questions (path, waypoints array) -> edges of the routes (path, leg, seq, ...), each hop the cheapest parallel edge.
 
-    A leg that can't be travelled has no rows; fewer than two waypoints have no legs.
+    A leg that can't be travelled has no rows; fewer than two waypoints have no legs; a route by way of an unknown point is
+    empty. Graphs of more than ``kernel_edges`` edges are searched by rounds of joins.
     """
 
     def answer(graph, q):
         seq = 0
+        known = all(w in graph for w in q.waypoints)
         for leg, (a, b) in enumerate(zip(q.waypoints[:-1], q.waypoints[1:], strict=False)):
-            nodes = dijkstra(graph, a, b) if a in graph and b in graph else []
+            nodes = dijkstra(graph, a, b) if known else []
             for x, y in zip(nodes[:-1], nodes[1:], strict=False):
                 seq += 1
                 yield q.path, leg, seq, x, y
 
-    hops = _ask(edges.withColumn("costs", F.array("cost")), questions.select("path", "waypoints"), answer, "path string, leg int, seq int, src string, dst string")
+    asked = questions.select("path", "waypoints")
+    if edges.count() > kernel_edges:
+        hops = _walked_back(edges, asked)
+    else:
+        hops = _ask(edges.withColumn("costs", F.array("cost")), asked, answer, "path string, leg int, seq int, src string, dst string")
     return hops.join(paths.cheapest_edges(edges), ["src", "dst"])
 
 
+def on_lines(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (country, line, path, waypoints) -> edges of the routes that stay on a line; lines are searched in parallel, one at a time in memory."""
+
+    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        graph, out = defaultdict(list), []
+        for e in own.itertuples():
+            graph[e.src].append((e.dst, (e.cost,)))
+        for q in asked.itertuples():
+            seq = 0
+            for a, b in zip(q.waypoints[:-1], q.waypoints[1:], strict=False):
+                nodes = dijkstra(graph, a, b) if a in graph else []
+                for x, y in zip(nodes[:-1], nodes[1:], strict=False):
+                    seq += 1
+                    out.append((q.country, q.line, q.path, seq, x, y))
+        return pd.DataFrame(out, columns=["country", "line", "path", "seq", "src", "dst"])
+
+    own = edges.select("country", "line", "src", "dst", "cost").groupBy("country", "line")
+    hops = own.cogroup(asked.select("country", "line", "path", "waypoints").groupBy("country", "line")).applyInPandas(run, "country string, line string, path string, seq int, src string, dst string")
+    keys = ["country", "line", "src", "dst"]
+    cheapest = edges.groupBy(*keys).agg(F.min_by(F.struct("cost", "length", "speed", "electrified", "start_km", "end_km"), F.struct("cost", "length")).alias("e")).select(*keys, "e.*")
+    return hops.join(cheapest, keys)
+
+
+def paths_of_lines(edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """The route of each line (country, line, uopids) through its points in order, on its own edges."""
+    own = on_lines(edges, lines.select("country", "line", F.concat_ws("/", "country", "line").alias("path"), F.col("uopids").alias("waypoints")))
+    return paths.first_edge_fix(own)
+
+
+def speed_profile(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """Compacted paths, each piece replaced by the route on its line between its ends, compacted where the speed is the same."""
+    pieces = paths.compact(path).select("country", "line", F.struct("path", "seq").alias("piece"), F.array("src", "dst").alias("waypoints"))
+    own = on_lines(edges, pieces.withColumn("path", F.to_json("piece")))
+    fast = paths.compact(own, by_speed=True).withColumn("piece", F.from_json("path", "struct<path: string, seq: int>"))
+    seq = F.row_number().over(Window.partitionBy("piece.path").orderBy("piece.seq", "seq"))
+    return fast.select(F.col("piece.path").alias("path"), seq.alias("seq"), *[c for c in fast.columns if c not in ("path", "seq", "piece")])
+
+
 def expand(edges: DataFrame) -> DataFrame:
     """Line-change arcs: board (10, 0), ride (0, cost), alight (10, 0), each once, as (tail, head, costs, edge key)."""
     on, off = (F.concat_ws("/", F.col(c), F.col("country"), F.col("line")) for c in ("src", "dst"))
@@ -178,42 +283,67 @@ def expand(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(F.array(arc(F.col("src"), on, 10, F.lit(0)), arc(on, off, 0, F.col("cost")), arc(off, F.col("dst"), 10, F.lit(0))))).distinct()
 
 
+def mo_graph(edges: DataFrame) -> DataFrame:
+    """(node, edges) of the multi-criteria graph with all attributes of the edges, each edge once, for export."""
+    on, off = (F.concat_ws("/", F.col(c), F.col("country"), F.col("line")) for c in ("src", "dst"))
+
+    def arc(tail, head, line_cost, cost, own: bool):
+        zero = {"speed": F.lit(0), "electrified": F.lit(False), "start_km": F.lit(0.0), "end_km": F.lit(0.0), "length": F.lit(0.0)}
+        rest = [(F.col(k) if own else v).alias(k) for k, v in zero.items()]
+        return F.struct(tail.alias("tail"), head.alias("head"), F.lit(line_cost).cast("long").alias("line_cost"), cost.cast("long").alias("distance_cost"), "line", "country", *rest)
+
+    arcs = edges.select(F.inline(F.array(arc(F.col("src"), on, 10, F.lit(0), False), arc(on, off, 0, F.col("cost"), True), arc(off, F.col("dst"), 10, F.lit(0), False)))).distinct()
+    of = [c for c in arcs.columns if c != "tail"]
+    return arcs.groupBy(F.col("tail").alias("node")).agg(F.array_sort(F.collect_list(F.struct(*of))).alias("edges"))
+
+
 def dense_arcs(arcs: DataFrame) -> DataFrame:
-    """Arcs with dense node numbers, for graph texts: (arc_id, tail, head, costs). Numbers follow the order of names.
+    """Arcs with dense node numbers, for graph texts: (arc_id, tail, head, costs). Numbers follow the order of names and of (tail, head, costs).
 
-    Names are numbered inside ranges whose sizes are added up first, so no task sorts all of them.
+    Keys are numbered inside ranges whose sizes are added up first, so no task sorts all of them.
     """
     names = arcs.select(F.col("tail").alias("name")).union(arcs.select("head")).distinct()
-    number = lambda df, key, out: _dense(df, key).select(key, F.col("_n").alias(out))
-    nodes = cut(number(names, "name", "id"))
+    nodes = _dense(names, ["name"], "id")
     side = lambda c: nodes.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
-    keyed = arcs.join(side("tail"), "tail").join(side("head"), "head").withColumn("key", F.format_string("%019d %019d %019d %019d", "tail_id", "head_id", "line_cost", "distance_cost"))
-    keyed = cut(keyed.select("key", "tail_id", "head_id", F.array("line_cost", "distance_cost").alias("costs")))
-    return keyed.join(number(keyed.select("key"), "key", "arc_id"), "key").select("arc_id", F.col("tail_id").alias("tail"), F.col("head_id").alias("head"), "costs")
+    keyed = arcs.join(side("tail"), "tail").join(side("head"), "head").select("tail_id", "head_id", "line_cost", "distance_cost")
+    return _dense(keyed, keyed.columns, "arc_id").select("arc_id", F.col("tail_id").alias("tail"), F.col("head_id").alias("head"), F.array("line_cost", "distance_cost").alias("costs"))
+
+
+def _dense(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with numbers from 0 in the order of the keys: ranges of keys as found by Spark, their sizes added up (a row each), numbers inside."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
+    placed = ranged.withColumn("_at", number).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return cut(placed.withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before"))
 
 
-def _dense(df: DataFrame, key: str) -> DataFrame:
-    """Numbers from 0 in the order of a string key, by buckets of quantile-free hashed prefixes: first the bucket totals, then inside."""
-    placed = df.withColumn("_b", F.substring(key, 1, 6))
-    sizes = placed.groupBy("_b").agg(F.count("*").alias("_c"))
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_base")
-    return placed.join(base, "_b").withColumn("_n", F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1)
+def reverse_index(arcs: DataFrame) -> DataFrame:
+    """arcs (arc_id, tail, head, costs) with each arc's place among the arcs into its head and out of its tail, checked against the degrees."""
+    into, out = Window.partitionBy("head"), Window.partitionBy("tail")
+    placed = arcs.withColumns({"rev_index": F.row_number().over(into.orderBy("arc_id")) - 1, "out_index": F.row_number().over(out.orderBy("arc_id")) - 1, "in_degree": F.count("*").over(into), "out_degree": F.count("*").over(out)})
+    ok = (F.col("rev_index") < F.col("in_degree")) & (F.col("out_index") < F.col("out_degree")) & (F.col("tail") >= 0) & (F.col("head") >= 0)
+    return placed.where(F.when(ok, True).otherwise(F.raise_error(F.lit("an arc is out of range")).cast("boolean")))
 
 
 def pareto_solutions(arcs: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
-    """arcs (tail, head, costs) and questions (source, target) -> (source, target, sol, costs, nodes), all of the front, or its first ``most``.
+    """arcs (tail, head, costs) and questions (source, target) -> (source, target, sol, costs, nodes, trail), all of the front, or its first ``most``.
+
+    trail has the costs so far at each node.
 
     The targets of one source are answered by one search.
     """
 
     def answer(graph, q):
         for target, front in pareto_fronts(graph, q.source, list(q.targets), most).items():
-            for i, (cost, nodes) in enumerate(front, 1):
-                yield q.source, target, i, list(cost), nodes
+            for i, (cost, trail) in enumerate(front, 1):
+                yield q.source, target, i, list(cost), [n for n, _ in trail], [list(c) for _, c in trail]
 
     edges = arcs.select(F.col("tail").alias("src"), F.col("head").alias("dst"), "costs")
     asked = questions.groupBy("source").agg(F.collect_set("target").alias("targets"))
-    return _ask(edges, asked, answer, "source string, target string, sol int, costs array<long>, nodes array<string>")
+    return _ask(edges, asked, answer, "source string, target string, sol int, costs array<long>, nodes array<string>, trail array<array<long>>")
 
 
 def _ride(arcs, starts) -> dict[str, int]:
@@ -261,7 +391,7 @@ def pareto_front(edges: DataFrame, sources: DataFrame) -> DataFrame:
         step = dealt.mapInPandas(ride, "source string, node string, new long").groupBy("source", "node").agg(F.min("new").alias("new"))
         merged = best.join(step, ["source", "node"], "full")
         better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))
-        best = cut(merged.select("source", "node", F.when(better, F.lit(runs)).otherwise(F.col("runs")).alias("runs"), F.when(better, F.col("new")).otherwise(F.col("cost")).alias("cost")))
+        old, best = best, cut(merged.select("source", "node", F.when(better, F.lit(runs)).otherwise(F.col("runs")).alias("runs"), F.when(better, F.col("new")).otherwise(F.col("cost")).alias("cost")))
         front = best.where(F.col("runs") == runs)
         if front.isEmpty():
             return reduce(DataFrame.unionByName, found)
@@ -282,6 +412,14 @@ def choose_solution(front: DataFrame, percent: float) -> DataFrame:
     return s.where(F.col("sol") == pick).select("question", "sol", "cost")
 
 
+def search_gr(spark: SparkSession, path: str, source: int, target: int, most: int | None = 1000) -> DataFrame:
+    """(sol, seq, node, costs): the solutions between two nodes of a graph text, with the costs so far."""
+    arcs = read_gr(spark, path).select(F.col("tail").cast("string").alias("tail"), F.col("head").cast("string").alias("head"), "costs")
+    asked = spark.range(1).select(F.lit(str(source)).alias("source"), F.lit(str(target)).alias("target"))
+    found = pareto_solutions(arcs, asked, most).select("sol", F.posexplode(F.arrays_zip("nodes", "trail")).alias("seq", "x"))
+    return found.select("sol", "seq", F.col("x.nodes").cast("long").alias("node"), F.col("x.trail").alias("costs"))
+
+
 def path_of_line(edges: DataFrame, country: str, line: str) -> DataFrame:
     """Edges along a line in order of kilometre."""
     own = edges.where((F.col("country") == country) & (F.col("line") == line) & (F.col("start_km") < F.col("end_km")))

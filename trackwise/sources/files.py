@@ -9,9 +9,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Countries by code.
+COUNTRIES = {
+    "AUT": "Austria", "BEL": "Belgium", "BGR": "Bulgaria", "CHE": "Switzerland", "CZE": "Czechia", "DEU": "Germany", "DNK": "Denmark", "ESP": "Spain", "EST": "Estonia", "FIN": "Finland",
+    "FRA": "France", "GRC": "Greece", "HUN": "Hungary", "IRL": "Ireland", "ITA": "Italy", "LTU": "Lithuania", "LUX": "Luxembourg", "LVA": "Latvia", "NLD": "Netherlands", "NOR": "Norway",
+    "POL": "Poland", "PRT": "Portugal", "ROU": "Romania", "SVK": "Slovakia", "SVN": "Slovenia", "SWE": "Sweden",
+}
 # Schemas of the data sets.
 TERM = "struct<type: string, datatype: string, `xml:lang`: string, value: string>"
 RESULTS = f"head struct<vars: array<string>>, results struct<bindings: array<map<string, {TERM}>>>"
@@ -23,6 +29,9 @@ SCHEMAS = {
     "LineInfos": "Line string, Country string, Name string, Length double, StartKm double, EndKm double, UOPIDs array<string>, Tunnels array<string>, Wikipedia string",
     "TunnelInfos": "Tunnel string, Length double, StartLong double, StartLat double, StartKm double, EndLong double, EndLat double, EndKm double, Line string, Country string",
     "Graph": "Node string, Edges array<struct<Node: string, Cost: int, Line: string, Country: string, MaxSpeed: int, Electrified: boolean, StartKm: double, EndKm: double, Length: double>>",
+    "MoGraph": "Node string, Edges array<struct<Node: string, LineCost: int, DistanceCost: int, Line: string, Country: string, MaxSpeed: int, Electrified: boolean, StartKm: double, EndKm: double, Length: double>>",
+    "Countries": "Code string, Label string",
+    "OpInfoChanges": "UOPID string, Latitude double, Longitude double, NewLatitude double, NewLongitude double, Distance double, Percent double",
     "OsmRoutes": "Url string, Ref string, Wikipedia string",
     "OsmEntries": "Url string, Name string, Railway string, RailwayPrefix string, RailwayRef string, UicRef string, Operator string, Latitude double, Longitude double, OsmType string",
     "RInfOsmMatchings": "UOPID string, OsmUrl string, OsmRailwayTag string, OsmRailwayTagPrefix string, Distance double, Latitude double, Longitude double",
@@ -47,18 +56,22 @@ def write_dataset(df: DataFrame, folder: str, name: str) -> None:
 
 
 def read_bindings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, binding_idx, b) of query-result documents; all pages are read, in order of the file name."""
+    """(page, file, binding_idx, b) of query-result documents; pages are ordered by the last number in the file's name, then the name."""
     raw = spark.read.schema(RESULTS).option("multiLine", True).json(path).select(F.input_file_name().alias("file"), "results.bindings")
-    return raw.select("file", F.posexplode("bindings").alias("binding_idx", "b"))
+    page = F.coalesce(F.regexp_extract(F.regexp_extract("file", "[^/]*$", 0), "([0-9]+)[^0-9]*$", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    return raw.select(page.alias("page"), "file", F.posexplode("bindings").alias("binding_idx", "b"))
 
 
 def union_pages(pages: list[DataFrame]) -> DataFrame:
-    """Pages in order, with a running binding_idx that keeps the first-seen order of records."""
+    """Pages with a binding_idx each, in order, with a running binding_idx that keeps the first-seen order of records."""
     out = None
     for number, page in enumerate(pages):
         page = page.withColumn("page", F.lit(number))
         out = page if out is None else out.unionByName(page)
-    return out
+    # one row for each page
+    sizes = out.groupBy("page").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out.join(F.broadcast(sizes.select("page", before.alias("before"))), "page").withColumn("binding_idx", F.col("before") + F.col("binding_idx")).drop("before")
 
 
 def cached(spark: SparkSession, path: str, load: Callable[[], DataFrame], use_cache: bool = True) -> DataFrame:
@@ -105,8 +118,21 @@ def read_gr(spark: SparkSession, path: str) -> DataFrame:
     return arcs
 
 
+def countries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(COUNTRIES.items()), SCHEMAS["Countries"])
+
+
+def checked_countries(codes: str | list[str]) -> list[str]:
+    """Codes, as a list or joined by semicolons; an error if one isn't known."""
+    codes = codes.split(";") if isinstance(codes, str) else list(codes)
+    if unknown := [c for c in codes if c not in COUNTRIES]:
+        raise ValueError(f"unknown countries {unknown}, there are {sorted(COUNTRIES)}")
+    return codes
+
+
 def metadata(spark: SparkSession, endpoint: str, ontology: str, revision: str, countries: list[str]) -> DataFrame:
-    return spark.range(1).select(F.lit(endpoint).alias("Endpoint"), F.lit(ontology).alias("Ontology"), F.lit(revision).alias("Revision"), F.lit("trackwise").alias("Program"), F.array(*map(F.lit, countries)).cast("array<string>").alias("Countries"), F.current_timestamp().alias("Date"))
+    labels = F.array(*[F.lit(COUNTRIES[c]) for c in countries if c in COUNTRIES]).cast("array<string>")
+    return spark.range(1).select(labels.alias("CountriesPrefLabel"), F.lit(endpoint).alias("Endpoint"), F.lit(ontology).alias("Ontology"), F.lit(revision).alias("Revision"), F.lit("trackwise").alias("Program"), F.array(*map(F.lit, countries)).cast("array<string>").alias("Countries"), F.current_timestamp().alias("Date"))
 
 
 #: temporary folders of local sessions, by application

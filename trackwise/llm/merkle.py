@@ -115,7 +115,7 @@ def compare(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return out.withColumn(name, F.expr(made)).select(*rows.columns, name)
 
 
-def in_buckets(rows: DataFrame, scratch: Scratch, least_buckets: int = 128, bucket_bytes: int = 64 << 20, unit: int = 4096) -> DataFrame:
+def in_buckets(rows: DataFrame, scratch: Scratch, least_buckets: int = 512, bucket_bytes: int = 16 << 20, unit: int = 4096) -> DataFrame:
     """rows with a bucket of neighbouring doc_ids, and as guests the rows that come after each bucket's last.
 
     A row weighs one unit, and one more for each ``unit`` bytes of text. Ranges of doc_id with about as many units each are

@@ -48,8 +48,16 @@ def test_shortest_paths(spark, edges):
     assert [r.dst for r in sorted(got, key=lambda r: r.seq) if r.path == "p"] == ["B", "D", "E"]
     assert sum(r.cost for r in got if r.path == "q") == 4082 and {r.leg for r in got if r.path == "q"} == {0, 1}
     assert {r.path for r in got} == {"p", "q"}
-    far = {r.node: r.cost for r in search.shortest_costs(edges, spark.createDataFrame([("A",)], "source string")).collect()}
+    start = spark.createDataFrame([("A",)], "source string")
+    far = {r.node: r.cost for r in search.shortest_costs(edges, start).collect()}
     assert far == {"A": 0, "B": 625, "C": 1625, "D": 1625, "E": 2041}
+    # with and without the kernel, on random networks with ties, from points that repeat or are unknown
+    rng = random.Random(9)
+    rows = [(f"N{a}", f"N{b}", rng.randint(1, 4)) for a in range(30) for b in range(30) if a != b and rng.random() < 0.15]
+    some = spark.createDataFrame(rows, "src string, dst string, cost long")
+    start = spark.createDataFrame([("N0",), ("N0",), ("N7",), ("Z",)], "source string")
+    kernel, rounds = (sorted(map(repr, search.shortest_costs(some, start, most).collect())) for most in (len(rows), 0))
+    assert kernel == rounds and len(kernel) == len(set(kernel)) > 30
 
 
 def test_shortest_paths_by_rounds(spark, edges):

@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from trackwise.operators import network
 from trackwise.plans import derive, search
+from trackwise.sources import files
 
 SF = "/root/testdata/sf0.001"
 EDGE = "src string, dst string, country string, line string, cost long"
@@ -95,7 +96,7 @@ def test_pareto_dim3_of_all_edges(spark, derived):
 
 def test_components_of_all_lines(spark, derived, monkeypatch):
     """Against union-find over every line, on a network where some points are joined by other lines than L01 and L02 only."""
-    part = derived.locations().where("line not in ('L01', 'L02') or k <= 3").localCheckpoint()
+    part = files.cut(derived.locations().where("line not in ('L01', 'L02') or k <= 3"))
     monkeypatch.setattr(derive.Derived, "locations", lambda d: part)
     up = {}
 
@@ -108,6 +109,8 @@ def test_components_of_all_lines(spark, derived, monkeypatch):
         a, b = sorted((root(r.src), root(r.dst)))
         up[b] = a
     got = entry.queries()["components"](spark, SF).collect()
+    rounds = network.components(network.undirected(derived.forward()), kernel_edges=0).collect()
+    assert sorted((r.node, r.component) for r in rounds) == sorted((r.node, r.component) for r in got)
     assert len(up) > 3 and len(got) == len(up) and {r.node: r.component for r in got} == {n: root(n) for n in up}
 
 

@@ -281,9 +281,15 @@ def compact_path(d):
     return paths.compact(_line_paths(d)).withColumn("length", F.round("length", 6))
 
 
-@_query()
+@_query(_recursive(f"""{_RP},
+ rq as (select rp.path, rp.seq, e.* from rp join (select * from (select *, row_number() over (partition by src, dst order by cost, line, length) as r from eg) where r = 1) e on e.src = rp.src and e.dst = rp.dst),
+ cq(path, seq, line, speed, start, piece) as (select path, seq, line, speed, src, 1 from rq where seq = 1 union all
+  select n.path, n.seq, n.line, n.speed, case when n.line = cq.line and n.speed = cq.speed and cq.start <> n.dst then cq.start else n.src end,
+   cq.piece + case when n.line = cq.line and n.speed = cq.speed and cq.start <> n.dst then 0 else 1 end from cq join rq n on n.path = cq.path and n.seq = cq.seq + 1)
+ select rq.path, cast(piece as integer) as seq, arg_min(src, rq.seq) as src, arg_max(dst, rq.seq) as dst, any_value(rq.line) as line, arg_min(country, rq.seq) as country, cast(sum(cost) as bigint) as cost, round(sum(length), 6) as length,
+  max(rq.speed) as speed, bool_and(electrified) as electrified, arg_min(start_km, rq.seq) as start_km, arg_max(end_km, rq.seq) as end_km from rq join cq on cq.path = rq.path and cq.seq = rq.seq group by rq.path, piece"""))
 def compact_path_speed(d):
-    return paths.compact(_routes(d), by_speed=True)
+    return paths.compact(_routes(d), by_speed=True).withColumn("length", F.round("length", 6))
 
 
 @_query(f"select path, seq, cost, sum(cost) over (partition by path order by seq) as total_cost from (with {_LP} select * from lp)")
@@ -342,17 +348,26 @@ def mo_arcs(d):
     return search.dense_arcs(search.expand(d.edges())).select("arc_id", "tail", "head", F.col("costs")[0].alias("line_cost"), F.col("costs")[1].alias("distance_cost"))
 
 
-@_query(_recursive("""pf(node, line, runs, cost) using key (node, line, runs) as (
+_PF = """ce as (select src, dst, line, min(cost) as cost from eg group by all),
+ pf(node, line, runs, cost) using key (node, line, runs) as (
   select 'DE00001', '', 0, cast(0 as bigint) union
-  select e.dst, e.line, pf.runs + case when pf.line = e.line then 0 else 1 end, min(pf.cost + e.cost) from pf join (select src, dst, line, min(cost) as cost from eg group by all) e on e.src = pf.node
-   left join recurring.pf as old on old.node = e.dst and old.line = e.line and old.runs = pf.runs + case when pf.line = e.line then 0 else 1 end
-   where pf.runs + case when pf.line = e.line then 0 else 1 end <= 30 and (old.cost is null or pf.cost + e.cost < old.cost) group by 1, 2, 3)
- select 'DE00001' as source, node, runs, cost from (select node, runs, min(cost) as cost, min(min(cost)) over (partition by node order by runs rows between unbounded preceding and 1 preceding) as fewer from pf group by node, runs) where fewer is null or cost < fewer"""))
+  select n.node, n.line, n.runs, n.cost from (select e.dst as node, e.line, pf.runs + case when pf.line = e.line then 0 else 1 end as runs, min(pf.cost + e.cost) as cost from pf join ce e on e.src = pf.node group by 1, 2, 3) n
+   where not exists (select 1 from recurring.pf as old where old.node = n.node and old.line = n.line and old.runs <= n.runs and old.cost <= n.cost)),
+ fr as (select node, runs, cost from (select node, runs, min(cost) as cost, min(min(cost)) over (partition by node order by runs rows between unbounded preceding and 1 preceding) as fewer from pf group by node, runs) where fewer is null or cost < fewer)"""
+
+
+@_query(_recursive(f"{_PF} select 'DE00001' as source, node, runs, cost from fr"))
 def pareto_front(d):
     start = d.spark.range(1).select(F.lit("DE00001").alias("source"))
     return search.pareto_front(d.edges(), start)
 
 
+@_query(_recursive(f"{_PF} select 'DE00001' as source, node as target, cast(row_number() over (partition by node order by runs) as integer) as sol, cast(20 * runs as bigint) as line_cost, cost as distance_cost from fr"))
+def pareto_costs(d):
+    """The costs of pareto_solutions, whose witnesses may be any of equal ones."""
+    return pareto_solutions(d).select("source", "target", "sol", F.col("costs")[0].alias("line_cost"), F.col("costs")[1].alias("distance_cost"))
+
+
 def _questions(d):
     return d.ops().select(F.lit("DE00001").alias("source"), F.col("uopid").alias("target"))
 
@@ -455,14 +470,20 @@ def degree_histogram(d):
     return network.degree_histogram(network.undirected(d.forward()))
 
 
-@_query(f"""select * from (with {_UN}, e as (select line, n, count(*) as g from (select line, a as n from un union all select line, b from un) group by all)
- select x.line, x.edges, y.nodes, true as connected, y.ends = 2 and y.top <= 2 as is_path, y.top as max_degree from (select line, count(*) as edges from un group by line) x join (select line, count(*) as nodes, max(g) as top, count(*) filter (g = 1) as ends from e group by line) y on x.line = y.line)""")
+@_query(_recursive(f"""{_UN}, ue as (select distinct line, src as a, dst as b from eg),
+ rc(line, node, component) using key (line, node) as (select line, a, least(a, min(b)) from ue group by line, a union
+  select ue.line, ue.b, min(rc.component) from rc join ue on ue.line = rc.line and ue.a = rc.node join recurring.rc as old on old.line = ue.line and old.node = ue.b where rc.component < old.component group by 1, 2),
+ e as (select line, n, count(*) as g from (select line, a as n from un union all select line, b from un) group by all)
+ select x.line, x.edges, y.nodes, z.parts = 1 as connected, z.parts = 1 and y.ends = 2 and y.top <= 2 as is_path, y.top as max_degree from (select line, count(*) as edges from un group by line) x
+ join (select line, count(*) as nodes, max(g) as top, count(*) filter (g = 1) as ends from e group by line) y on x.line = y.line join (select line, count(distinct component) as parts from rc group by line) z on z.line = x.line"""))
 def line_graph_stats(d):
     return network.line_statistics(network.undirected(d.forward()))
 
 
-@_query(_recursive("""un as (select distinct least(src, dst) as a, greatest(src, dst) as b from ed where line in ('L01', 'L02')), ue as (select a, b from un union select b, a from un),
- rc(node, seen) as (select a, a from ue union select ue.b, rc.seen from rc join ue on ue.a = rc.node) select node, min(seen) as component from rc group by node"""))
+@_query(_recursive("""ue as (select distinct src as a, dst as b from eg),
+ rc(node, component) using key (node) as (select a, least(a, min(b)) from ue group by a union
+  select ue.b, min(rc.component) from rc join ue on ue.a = rc.node join recurring.rc as old on old.node = ue.b where rc.component < old.component group by ue.b)
+ select node, component from rc"""))
 def components(d):
     return network.components(network.undirected(d.forward())).select("node", "component")
 
@@ -488,15 +509,25 @@ def map_view(d):
     return o.join(r, "k").select("uopid", "lat", m.center(F.col("lat"), F.col("lat2")).alias("mid"), m.zoom(F.abs(F.col("lat") - F.col("lat2")) * 10).alias("zoom"))
 
 
-@_query()
+#: a derived line is a chain, so the route between two of its points is the part between them
+_POS = "ps as (select line, op, row_number() over (partition by line order by km, op) as r from rl)"
+
+
+@_query(f"""select * from (with {_POS}, lim as (select line, min(r) as lo, max(r) as hi from ps join (select line, src as op from ed where start_km < end_km union select line, dst from ed where start_km < end_km) using (line, op) group by line)
+ select ed.line as path, row_number() over (partition by ed.line order by r) as seq, src, dst, ed.line, cost from ed join ps on ps.line = ed.line and op = src join lim on lim.line = ed.line where r >= lo and r < hi)""")
 def paths_of_lines(d):
     lines = network.line_infos(d.edges(), d.ops())
     return search.paths_of_lines(d.edges(), lines).select(F.col("line").alias("path"), F.col("seq").cast("long").alias("seq"), "src", "dst", "line", "cost")
 
 
-@_query()
+@_query(_recursive(f"""{_LP}, {_CP}, {_POS},
+ sp as (select cc.path, cc.seq as piece, y.r, e.*, lag(e.speed) over (partition by cc.path, cc.seq order by y.r) as before from cc join ps x on x.line = cc.line and x.op = cc.src join ps z on z.line = cc.line and z.op = cc.dst
+  join ps y on y.line = cc.line and y.r >= x.r and y.r < z.r join ed e on e.line = y.line and e.src = y.op),
+ si as (select *, sum(case when before <> speed then 1 else 0 end) over (partition by path, piece order by r) as part from sp)
+ select path, row_number() over (partition by path order by piece, part) as seq, arg_min(src, r) as src, arg_max(dst, r) as dst, any_value(line) as line, arg_min(country, r) as country, cast(sum(cost) as bigint) as cost, round(sum(length), 6) as length,
+  max(speed) as speed, bool_and(electrified) as electrified, arg_min(start_km, r) as start_km, arg_max(end_km, r) as end_km from si group by path, piece, part"""))
 def speed_profile(d):
-    return search.speed_profile(_line_paths(d), d.edges())
+    return search.speed_profile(_line_paths(d), d.edges()).withColumn("length", F.round("length", 6))
 
 
 @_query("select tail as node, head, line_cost, distance_cost, line, speed, electrified, start_km from (select distinct * from (select src as tail, src || '/' || country || '/' || line as head, 10 as line_cost, 0 as distance_cost, line, country, 0 as speed, false as electrified, 0e0 as start_km, 0e0 as end_km, 0e0 as length from eg union all select src || '/' || country || '/' || line, dst || '/' || country || '/' || line, 0, cost, line, country, speed, electrified, start_km, end_km, length from eg union all select dst || '/' || country || '/' || line, dst, 10, 0, line, country, 0, false, 0e0, 0e0, 0e0 from eg))")
@@ -509,9 +540,9 @@ def tunnels_of_line(d):
     return network.tunnels_of_line(d.tunnels(), "DEU", "L07").select("tunnel", "line", "length", "start_km")
 
 
-@_query(f"select tunnel, estimated_km from (with xx as (select idx, tunnel, line, 6e0 + idx % 10 / 5e0 as tlon, 47e0 + idx % 50 / 10e0 as tlat from tn), near as (select xx.idx, xx.tunnel, km, uopid, {_far('tlat', 'tlon', 'lat', 'lon')} as away from xx join rl on rl.line = xx.line join op on uopid = rl.op where idx % 40 < 4) select idx || '' as tunnel, round(arg_min(km + away, {{'a': round(away, 9), 'o': uopid}}), 6) as estimated_km from near group by idx)")
+@_query(f"select tunnel, estimated_km from (with xx as (select idx, tunnel, line, 6e0 + idx % 10 / 5e0 as tlon, 47e0 + idx % 50 / 10e0 as tlat from tn), near as (select xx.idx, xx.tunnel, km, uopid, {_far('tlat', 'tlon', 'lat', 'lon')} as away from xx join rl on rl.line = xx.line join op on uopid = rl.op) select idx || '' as tunnel, round(arg_min(km + away, {{'a': round(away, 9), 'o': uopid}}), 6) as estimated_km from near group by idx)")
 def tunnel_kilometres(d):
-    tunnels = d.tunnels().where("idx % 40 < 4").select(F.col("idx").cast("string").alias("tunnel"), "line", (6.0 + F.col("idx") % 10 / 5.0).alias("start_lon"), (47.0 + F.col("idx") % 50 / 10.0).alias("start_lat"))
+    tunnels = d.tunnels().select(F.col("idx").cast("string").alias("tunnel"), "line", (6.0 + F.col("idx") % 10 / 5.0).alias("start_lon"), (47.0 + F.col("idx") % 50 / 10.0).alias("start_lat"))
     stops = d.locations().select("line", "op", "km").join(d.ops().select(F.col("uopid").alias("op"), "lat", "lon"), "op")
     return network.tunnel_kilometres(tunnels, stops).withColumn("estimated_km", F.round("estimated_km", 6))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from ..functions import decode
 from ..functions import measures as m
 from ..sources.files import cut
 
+#: edges that one task can hold as pairs of Python strings
+KERNEL_EDGES = 500_000
+
 EDGE = ("src", "dst", "line", "country", "cost", "length", "speed", "electrified", "start_km", "end_km")
 
 
@@ -158,14 +162,32 @@ def degree_histogram(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("nodes"))
 
 
-def components(pairs: DataFrame, scope: str | None = None) -> DataFrame:
+def _united(batches):
+    """(scope, a, b) -> (scope, node, root) by union-find, the smallest node as root."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for pdf in batches:
+        for scope, a, b in zip(pdf["scope"], pdf["a"], pdf["b"], strict=True):
+            x, y = sorted((root((scope, a)), root((scope, b))))
+            up[y] = x
+    if up:
+        yield pd.DataFrame([(x[0], x[1], root(x)[1]) for x in up], columns=["scope", "node", "root"])
+
+
+def components(pairs: DataFrame, scope: str | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """(scope, node, component): smallest node reachable; with a scope column, inside each of its values.
 
-    Each round hooks nodes to their smallest neighbour, follows the hooks by pointer doubling, and contracts.
+    Each round hooks nodes to their smallest neighbour, follows the hooks by pointer doubling, and contracts, until at most
+    ``kernel_edges`` edges are left, which one task unites.
     """
-    edges = pairs.select((F.col(scope) if scope else F.lit("")).alias("scope"), "a", "b")
+    edges = cut(pairs.select((F.col(scope) if scope else F.lit("")).alias("scope"), "a", "b").distinct())
     names = None
-    while True:
+    while edges.count() > kernel_edges:
         both = edges.unionByName(edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = cut(both.groupBy("scope", F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
         while True:
@@ -175,16 +197,24 @@ def components(pairs: DataFrame, scope: str | None = None) -> DataFrame:
             hooks = hooks.drop("moved")
             if done:
                 break
-        up = hooks.select("scope", F.col("node").alias("root"), F.col("root").alias("up"))
-        names = hooks if names is None else cut(names.join(up, ["scope", "root"], "left").select("scope", "node", F.coalesce("up", "root").alias("root")))
+        names = hooks if names is None else _renamed(names, hooks)
         side = lambda c: hooks.select("scope", F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         edges = cut(edges.join(side("a"), ["scope", "a"]).join(side("b"), ["scope", "b"]).where("ra <> rb").select("scope", F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        if edges.isEmpty():
-            return names.select("scope", "node", F.col("root").alias("component"))
+    node = edges.schema["a"].dataType.simpleString()
+    rest = edges.coalesce(1).mapInPandas(_united, f"scope {edges.schema['scope'].dataType.simpleString()}, node {node}, root {node}")
+    names = rest if names is None else _renamed(names, rest)
+    return cut(names.select("scope", "node", F.col("root").alias("component")))
+
+
+def _renamed(names: DataFrame, hooks: DataFrame) -> DataFrame:
+    """names whose roots are nodes of hooks take the roots of these."""
+    up = hooks.select("scope", F.col("node").alias("root"), F.col("root").alias("up"))
+    return cut(names.join(up, ["scope", "root"], "left").select("scope", "node", F.coalesce("up", "root").alias("root")))
 
 
 def line_statistics(pairs: DataFrame) -> DataFrame:
     """Of each line: edges, nodes, whether it is connected, whether it is a path, its highest degree."""
+    pairs = cut(pairs.select("a", "b", "line"))
     ends = pairs.select("line", F.col("a").alias("node")).unionAll(pairs.select("line", "b")).groupBy("line", "node").agg(F.count("*").alias("degree"))
     shape = ends.groupBy("line").agg(F.count("*").alias("nodes"), F.max("degree").alias("max_degree"), F.count_if(F.col("degree") == 1).alias("ends"))
     comps = components(pairs, "line").groupBy(F.col("scope").alias("line")).agg(F.count_distinct("component").alias("components"))

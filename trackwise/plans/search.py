@@ -25,9 +25,15 @@ from ..sources.files import cut, drop_cut, read_gr
 KERNEL_EDGES = 2_000_000
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, cost, pred): cheapest cost from each source to every node and the smallest node before it on such a path, by rounds of relaxation (costs above 0)."""
+def shortest_costs(edges: DataFrame, sources: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """(source, node, cost, pred): cheapest cost from each source to every node and the smallest node before it on such a path (costs above 0).
+
+    Each source is one task's heap search on a graph of at most ``kernel_edges`` arcs, else all are searched by rounds of relaxation.
+    """
     arcs = cut(edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    sources = sources.select("source").distinct()
+    if arcs.count() <= kernel_edges:
+        return _ask(arcs.withColumn("costs", F.array("cost")), sources, _reached, "source string, node string, cost long, pred string")
     best = cut(sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(None).cast("string").alias("pred")))
     front = best
     while not front.isEmpty():
@@ -43,6 +49,24 @@ def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return best
 
 
+def _reached(graph: dict, q):
+    """Rows of shortest_costs of one source."""
+    best, before, done, heap = {q.source: 0}, {q.source: None}, set(), [(0, q.source)]
+    while heap:
+        cost, node = heapq.heappop(heap)
+        if node in done:
+            continue
+        done.add(node)
+        yield q.source, node, cost, before[node]
+        for head, (c,) in graph.get(node, ()):
+            new, old = cost + c, best.get(head)
+            if old is None or new < old:
+                best[head], before[head] = new, node
+                heapq.heappush(heap, (new, head))
+            elif new == old and before[head] is not None and node < before[head]:
+                before[head] = node
+
+
 def _shipped(edges: DataFrame):
     n = edges.count()
     if n > KERNEL_EDGES:
@@ -202,7 +226,7 @@ def _walked_back(edges: DataFrame, questions: DataFrame) -> DataFrame:
     known = questions.join(unknown, "path", "left_anti")
     legs = known.select("path", F.posexplode(F.expr("transform(sequence(1, greatest(size(waypoints) - 1, 1)), i -> struct(waypoints[i - 1] as a, get(waypoints, i) as b))")).alias("leg", "w")).select("path", "leg", "w.*").where("b is not null")
     legs = cut(legs)
-    reached = shortest_costs(edges, legs.select(F.col("a").alias("source")).distinct()).select(F.col("source").alias("a"), F.col("node").alias("b"), "pred")
+    reached = shortest_costs(edges, legs.select(F.col("a").alias("source")), 0).select(F.col("source").alias("a"), F.col("node").alias("b"), "pred")
     at, hops, back = legs, None, 0
     while True:
         step = cut(at.join(reached, ["a", "b"]).where("pred is not null").select("path", "leg", F.lit(-back).alias("back"), F.col("pred").alias("src"), F.col("b").alias("dst"), "a"))

@@ -45,9 +45,10 @@ def let(name: str, value: str, body: str) -> str:
 
 def fingerprint(text: str) -> Column:
     """Of a text column that isn't null."""
-    leaves = "array_join(transform(split(p, '(?<=[.!?] )'), x -> sha2(x, 256)), '.')"
+    leaves = "transform(split(p, '(?<=[.!?] )'), x -> sha2(x, 256))"
     end = f"if(p rlike '^[\\\\x09-\\\\x0D ]+$' or right(h, 1) in ({', '.join(map(repr, ENDS))}), ';', ',')"
-    paragraph = let("l", leaves, let("h", "sha2(l, 256)", f"concat(h, '=', l, {end})"))
+    cut = "array_join(transform(l, x -> left(x, 16)), '.')"
+    paragraph = let("l", leaves, let("h", "sha2(array_join(l, '.'), 256)", f"concat(h, '=', {cut}, {end})"))
     body = f"regexp_replace(array_join(transform(split({text}, '(?<=\\n)'), p -> {paragraph}), ''), '[,;]$', '')"
     section = "concat(sha2(regexp_replace(s, '=[0-9a-f.]*', ''), 256), ':', s)"
     sections = f"transform(split({body}, ';'), s -> {section})"
@@ -57,23 +58,28 @@ def fingerprint(text: str) -> Column:
 
 def counted(values: str) -> str:
     """SQL: each value with the number of equal ones before it, in the same order, so that set operations respect repetition."""
-    sorted_ = f"array_sort(transform({values}, (v, i) -> struct(v, i)))"
+    sorted_ = "sort_array(transform(v0, (v, i) -> struct(v, i)))"
     starts = "filter(sequence(0, size(s) - 1), j -> j = 0 or s[j].v <> s[j - 1].v)"
     ranks = "flatten(transform(zip_with(b, concat(slice(b, 2, size(b)), array(size(s))), (x, y) -> y - x), n -> sequence(0, n - 1)))"
-    out = "transform(array_sort(zip_with(s, r, (x, k) -> struct(x.i as i, concat(x.v, '#', k) as v))), x -> x.v)"
-    return f"if(size({values}) = 0, cast(array() as array<string>), {let('s', sorted_, let('b', starts, let('r', ranks, out)))})"
+    repeated = "transform(sort_array(zip_with(s, r, (x, k) -> struct(x.i as i, concat(x.v, '#', k) as v))), x -> x.v)"
+    repeated = let("s", sorted_, let("b", starts, let("r", ranks, repeated)))
+    # without repetition there is nothing to sort
+    return let("v0", values, f"if(size(array_distinct(v0)) = size(v0), transform(v0, v -> concat(v, '#0')), {repeated})")
 
 
 def numbers_in(keys: str, chosen: str) -> str:
-    """SQL: numbers from 0 of the keys (all distinct) that are among the chosen, ascending."""
-    marked = f"array_sort(concat(transform({keys}, (k, i) -> struct(k, 0 as c, i)), transform({chosen}, k -> struct(k, 1 as c, -1 as i))))"
-    pairs = "zip_with(slice(m, 1, greatest(size(m) - 1, 0)), slice(m, 2, greatest(size(m) - 1, 0)), (x, y) -> if(x.c = 0 and y.c = 1 and x.k = y.k, x.i, -1))"
-    return f"array_sort(filter({let('m', marked, pairs)}, i -> i >= 0))"
+    """SQL: numbers from 0 of the keys (all distinct) that are among the chosen (some of them), ascending."""
+    marked = "sort_array(concat(transform(k0, (k, i) -> struct(k, 0 as c, i)), transform(c0, k -> struct(k, 1 as c, -1 as i))))"
+    pairs = "zip_with(slice(m, 1, size(m) - 1), slice(m, 2, size(m) - 1), (x, y) -> if(x.c = 0 and y.c = 1 and x.k = y.k, x.i, -1))"
+    some = f"sort_array(filter({let('m', marked, pairs)}, i -> i >= 0))"
+    # none and all are the usual cases
+    numbers = f"if(size(c0) = 0, cast(array() as array<int>), if(size(c0) = size(k0), transform(k0, (k, i) -> i), {some}))"
+    return let("k0", keys, let("c0", chosen, numbers))
 
 
 def leaves_in(branches: str) -> str:
     """SQL: number of leaves below sections or paragraphs."""
-    return f"aggregate({branches}, 0, (n, b) -> n + length(b) - length(translate(b, '.=', '')))"
+    return f"aggregate({branches}, 0, (n, b) -> n + 2 * length(b) - length(replace(b, '.', '')) - length(replace(b, '=', '')))"
 
 
 def _pairs(keys: str) -> str:
@@ -88,7 +94,7 @@ def compare(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     likeness, and the numbers of deleted sections (in a), of inserted and of moved ones (in b).
     """
     c = lambda part: f"_{name}_{part}"
-    strip = lambda keys: f"transform({keys}, k -> regexp_replace(k, '#[0-9]+$', ''))"
+    strip = lambda keys: f"transform({keys}, k -> substring_index(k, '#', 1))"
     differ = f"left({a}, 64) <> left({b}, 64)"
     out = rows
     for side, of in (("a", a), ("b", b)):
@@ -102,7 +108,7 @@ def compare(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     out = out.withColumn(c("paragraphs"), F.expr(f"array_intersect({c('pa')}, {c('pb')})"))
     for side in "ab":
         rest = strip(f"array_except({c('p' + side)}, {c('paragraphs')})")
-        out = out.withColumn(c(f"l{side}"), F.expr(counted(f"flatten(transform({rest}, p -> split(substring(p, 18), '[.]')))")))
+        out = out.withColumn(c(f"l{side}"), F.expr(counted(f"flatten(transform({rest}, p -> split(substring(p, 18), '\\\\.')))")))
     matched = f"({leaves_in(c('both'))} - 0.5D * {leaves_in(c('moved'))} + {leaves_in(c('paragraphs'))} + size(array_intersect({c('la')}, {c('lb')})))"
     leaves = f"({leaves_in(c('a'))} + {leaves_in(c('b'))})"
     out = out.withColumns({c("m"): F.expr(matched), c("n"): F.expr(leaves)})

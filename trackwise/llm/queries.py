@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, merkle, mixing, quality, secret_scan, sharding, substring_dedup
+from . import chat_format, collocations, decontaminate, jaccard_join, license_scan, merkle, mixing, quality, secret_scan, sharding, substring_dedup, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -291,9 +291,69 @@ select doc_id, domain, lang, source, n_tokens, leaf_budget,
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language by their weakest cut."""
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+g as (select lang, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') as phrase
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from p, (values (1), (2), (3), (4)) s(size) where len(w) >= size)),
+f as materialized (select lang, size, phrase, count(*) as f from g group by all),
+total as (select lang, sum(f) as n from f where size = 1 group by lang),
+c as materialized (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from f where size > 1 and f >= 30),
+cuts as (select lang, phrase, a, k, list_aggregate(w[1:k], 'string_agg', ' ') as x, list_aggregate(w[k + 1:], 'string_agg', ' ') as y from (select *, unnest(range(1, size)) as k from c)),
+scored as (select cuts.lang, cuts.phrase, cuts.a, cuts.k, l.f as l, r.f as r, 2000000::hugeint * cuts.a // (l.f + r.f) as score
+  from cuts join f l on l.lang = cuts.lang and l.phrase = x join f r on r.lang = cuts.lang and r.phrase = y),
+weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (select lang, list_aggregate(w[i:i + m - 1], 'string_agg', ' ') as phrase, max(a) as longer
+  from (select lang, w, a, m, unnest(range(1, size - m + 2)) as i from c, (values (2), (3)) s(m) where m < size) group by all),
+kept as (select weakest.* from weakest left join held using (lang, phrase) where longer is null or 100::hugeint * longer < 80::hugeint * a),
+best as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from best join total using (lang) where rank <= 2000
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents from a model that never saw the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors after four rounds."""
+    return vector_codes.code_table(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    away = "list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [f"""
+kept as (select vec_id, label, list_transform(embedding, lambda v: cast(floor({vector_codes.SCALE} * cast(v as double)) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+v as materialized (select vec_id, label, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] as x from kept, range({parts}) s(p)),
+b0 as materialized (select p, x, row_number() over (partition by p order by vec_id) - 1 as entry from v qualify entry < {entries})"""]
+    for turn in range(5):
+        steps.append(f"""
+a{turn} as materialized (select vec_id, label, p, x, (least_of).d as d, (least_of).e as entry from
+  (select v.vec_id, v.label, v.p, any_value(v.x) as x, min({{'d': {away}, 'e': b.entry}}) as least_of from v join b{turn} b using (p) group by v.vec_id, v.label, v.p))""")
+        if turn < 4:
+            steps.append(f"""
+m{turn} as (select p, entry, list(m order by i) as x from (select p, entry, i, cast(sum(c) // count(*) - case when sum(c) % count(*) < 0 then 1 else 0 end as bigint) as m
+  from (select p, entry, unnest(x) as c, generate_subscripts(x, 1) as i from a{turn}) group by p, entry, i) group by p, entry),
+b{turn + 1} as materialized (select p, entry, coalesce(m.x, b.x) as x from b{turn} b left join m{turn} m using (p, entry))""")
+    return f"""with {','.join(steps)},
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, entry)) as codebooks_sha256 from b4),
+e as (select vec_id, label, string_agg(printf('%02x', entry), '' order by p) as code, cast(sum(d) as bigint) as error from a4 group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from e cross join h"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_substring_dedup, op4_decontaminate, op5_jaccard_join, op6_license_scan, op7_fingerprint, op8_secret_scan, op9_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_substring_dedup, op4_decontaminate, op5_jaccard_join, op6_license_scan, op7_fingerprint, op8_secret_scan, op9_quality, op10_mixing, op11_collocations, op12_toxicity, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_sharding": _op2_sql(), "op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_license_scan": _op6_sql(), "op7_fingerprint": _op7_sql(), "op8_secret_scan": _op8_sql(), "op10_mixing": _op10_sql()}
+    return {"op1_chat_format": OP1_SQL, "op2_sharding": _op2_sql(), "op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_license_scan": _op6_sql(), "op7_fingerprint": _op7_sql(), "op8_secret_scan": _op8_sql(), "op10_mixing": _op10_sql(), "op11_collocations": OP11_SQL, "op13_vector_codes": _op13_sql()}

@@ -39,6 +39,27 @@ class Scratch:
         remove(self.spark, self.root)
 
 
+def labelled_sample(texts: DataFrame, known: DataFrame, scratch: Scratch, rows: int, chars: int) -> tuple[list[tuple[str, int]], tuple[int, int]]:
+    """(text, label) of at most ``rows`` labelled documents with ``chars`` characters together, and how many have either label.
+
+    texts (doc_id, text), known (doc_id, label 0 or 1), a row each. Both classes have a half, in the order of a hash of the
+    doc_id, texts of more than a fiftieth of ``chars`` last. All texts are read once: those of the first ``rows`` ids are written.
+    """
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    order = F.xxhash64("doc_id")
+    halves = [known.where(F.col("label") == label).orderBy(order, "doc_id").limit(rows // 2) for label in (0, 1)]
+    picked = [(r["doc_id"], r["label"]) for r in halves[0].unionByName(halves[1]).collect()]
+    chosen = texts.sparkSession.createDataFrame(picked, "doc_id long, label int")
+    held = scratch.write(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
+    within, total = [], [0, 0]
+    for r in held.select("doc_id", "label", F.length("text").alias("n"), order.alias("at")).orderBy(F.col("n") > chars // 50, "at", "doc_id").collect():
+        if total[r["label"]] + r["n"] <= chars // 2:
+            total[r["label"]] += r["n"]
+            within.append((r["doc_id"],))
+    kept = held.join(F.broadcast(texts.sparkSession.createDataFrame(within, "doc_id long")), "doc_id").orderBy(order, "doc_id").collect()
+    return [(r["text"], r["label"]) for r in kept], (counts.get(0, 0), counts.get(1, 0))
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Texts go to Python in batches of about 8 MB and at most 1000 rows, which bounds buffers on both sides; for what runs inside only."""

@@ -8,18 +8,20 @@ per fourteen windows.
 The index is a log in a folder that outlives a call. ``add`` takes a batch of
 documents, which come after all documents added before:
 
-1. Its (fingerprint, doc_id) postings become a sorted run, not yet committed.
-2. The run's keys are merge-joined with those of the earlier runs; a key that an
-   earlier run or another document of the batch has is repeated.
+1. Its (fingerprint, doc_id) postings become a sorted run, not yet committed, dealt
+   to buckets by fingerprint.
+2. The run's keys are merge-joined with those of the earlier runs, bucket by bucket:
+   only the batch's keys are shuffled. A key that an earlier run or another document
+   of the batch has is repeated.
 3. Windows with a repeated fingerprint are verified: by 128 bits of the hash of
    their whole word sequence, against those of the batch and of the earlier
    documents that share a fingerprint, whose texts the caller's corpus has.
 4. The verified result is written, then the run is committed by one renaming.
 
 So a call that is lost leaves the log as it was. ``compact`` merges the runs into
-one, split by ranges of (fingerprint, doc_id), so that a frequent fingerprint is
-no task of its own, and leaves out documents that only copy an earlier one; it is
-called by ``add`` when there are more than ``max_runs``. What it replaces counts
+one and leaves out documents that only copy an earlier one; it is called by ``add``
+when there are more than ``max_runs``. A batch whose doc_ids don't come after all
+earlier ones, and a corpus without a text that is needed, are errors. What it replaces counts
 as removed from the moment of its commit, and is deleted then or by the next call.
 
 A document whose whole word sequence an earlier one has (128-bit hash of its
@@ -38,6 +40,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -186,8 +189,11 @@ def _remove(window: int):
 class FingerprintLog:
     """Sorted immutable runs ``run-<first batch>-<last batch>`` in a folder, each with its postings and the doc_ids of mere copies."""
 
-    def __init__(self, spark: SparkSession, root: str, window: int = 50, max_runs: int = 4):
+    def __init__(self, spark: SparkSession, root: str, window: int = 50, max_runs: int = 4, buckets: int | None = None):
+        """buckets: of the runs to be written, as many as the session has shuffle partitions unless given."""
         self.spark, self.root, self.window, self.max_runs = spark, root.rstrip("/"), window, max_runs
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables: set[str] = set()
 
     def runs(self) -> list[tuple[int, int]]:
         """Committed runs, without those that a larger one replaces (which are deleted)."""
@@ -202,6 +208,36 @@ class FingerprintLog:
     def _path(self, run: tuple[int, int]) -> str:
         return f"{self.root}/run-{run[0]:08d}-{run[1]:08d}"
 
+    def _write_postings(self, postings: DataFrame, path: str) -> None:
+        """Postings dealt to buckets by fingerprint and sorted inside them; the number of buckets is in the folder's name."""
+        name = f"trackwise_{uuid.uuid4().hex}"
+        dealt = postings.repartition(self.buckets, *KEY).write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY, "doc_id")
+        dealt.option("path", f"{path}/postings-{self.buckets}").saveAsTable(name)
+        self.spark.sql(f"drop table {name}")
+
+    def _postings_path(self, run: tuple[int, int]) -> str:
+        system, at = file_system(self.spark, self._path(run))
+        return next(f"{self._path(run)}/{n}" for f in system.listStatus(at) if (n := f.getPath().getName()).startswith("postings-"))
+
+    def _postings_of(self, run: tuple[int, int]) -> DataFrame:
+        """A run as a bucketed table, which joins by fingerprint without a shuffle of its rows."""
+        path = self._postings_path(run)
+        name = f"trackwise_{hashlib.md5(path.encode()).hexdigest()}"
+        columns = ", ".join(f"{c.split()[0]} {c.split()[1]}" for c in POSTING.replace("long", "bigint").split(", "))
+        self.spark.sql(f"create table if not exists {name} ({columns}) using parquet clustered by ({', '.join(KEY)}) sorted by ({', '.join(KEY)}, doc_id) into {path.rpartition('-')[2]} buckets location '{path}'")
+        self.tables.add(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Forget the tables of runs; the log itself stays."""
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
+        self.tables.clear()
+
+    def last(self, runs: list[tuple[int, int]]) -> int | None:
+        """The largest doc_id so far."""
+        return self._read(runs, "last", "last long").agg(F.max("last")).first()[0]
+
     def _read(self, runs: list[tuple[int, int]], table: str, schema: str) -> DataFrame:
         paths = [f"{self._path(r)}/{table}" for r in runs]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -217,11 +253,10 @@ class FingerprintLog:
         if len(runs) < 2:
             return
         pending, run = f"{self.root}/pending-{uuid.uuid4().hex}", (runs[0][0], runs[-1][1])
-        postings, copies = self._read(runs, "postings", POSTING), self._read(runs, "copies", "doc_id long")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        merged = postings.join(copies, "doc_id", "left_anti").select("h", "g", "doc_id", "whole")
-        merged.repartitionByRange(parts, "h", "g", "doc_id").sortWithinPartitions("h", "g", "doc_id").write.parquet(f"{pending}/postings")
+        postings, copies = self.spark.read.schema(POSTING).parquet(*map(self._postings_path, runs)), self._read(runs, "copies", "doc_id long")
+        self._write_postings(postings.join(copies, "doc_id", "left_anti").select("h", "g", "doc_id", "whole"), pending)
         copies.limit(0).write.parquet(f"{pending}/copies")
+        self._read(runs, "last", "last long").agg(F.max("last").alias("last")).write.parquet(f"{pending}/last")
         self._commit(pending, run)
         self.runs()
 
@@ -239,13 +274,20 @@ class FingerprintLog:
         serial = runs[-1][1] + 1 if runs else 0
         pending, scratch = f"{self.root}/pending-{uuid.uuid4().hex}", Scratch(self.spark, "substring-dedup")
         docs = _slim(docs)
-        docs.mapInArrow(_postings(self.window), POSTING).sortWithinPartitions("h", "g", "doc_id").write.parquet(f"{pending}/postings")
-        own, before = self.spark.read.schema(POSTING).parquet(f"{pending}/postings"), self._read(runs, "postings", POSTING)
-
-        keys = own.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        old = before.select(*KEY).distinct().withColumn("old", F.lit(True))
-        keys = keys.join(old.hint("merge"), KEY, "left").where("old or first < last")
-        keys = scratch.write(keys.select(*KEY, F.coalesce("old", F.lit(False)).alias("old"), "first"), "keys")
+        edge = docs.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        first, known = edge.first()["first"], self.last(runs) if runs else None
+        if None not in (first, known) and first <= known:
+            raise ValueError(f"doc_id {first} doesn't come after {known}, the last one added")
+        edge.select("last").write.parquet(f"{pending}/last")
+        self._write_postings(docs.mapInArrow(_postings(self.window), POSTING), pending)
+        own = self.spark.read.schema(POSTING).parquet(f"{pending}/postings-{self.buckets}")
+
+        keys = own.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("old", F.lit(False))
+        for run in runs:  # the rows of a run stay where they are, the batch's keys go to them
+            there = self._postings_of(run).select(*KEY).distinct().withColumn("there", F.lit(True))
+            keys = keys.join(there.hint("merge"), KEY, "left").withColumn("old", F.col("old") | F.coalesce("there", F.lit(False))).drop("there")
+        keys = keys.where("old or first < last")
+        keys = scratch.write(keys.select(*KEY, "old", "first"), "keys")
 
         hits = own.join(keys, KEY)
         copies = hits.where("whole and (old or doc_id > first)").select("doc_id", "h", "g")
@@ -261,11 +303,19 @@ class FingerprintLog:
         shape = "k1 long, k2 long, doc_id long, seq long, pos int"
         windows = prepared.where("text is not null").select("doc_id", "seq", "text", "shared").mapInArrow(_windows(self.window), shape).withColumn("old", F.lit(False))
         if runs:
-            earlier = before.where("not whole").join(keys.where("old and not whole").select("h"), "h").join(self._read(runs, "copies", "doc_id long"), "doc_id", "left_anti")
-            earlier = earlier.groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
+            shared = keys.where("old and not whole").select(*KEY)
+            parts = [self._postings_of(run).join(shared, KEY) for run in runs]
+            earlier = reduce(DataFrame.unionByName, parts).join(self._read(runs, "copies", "doc_id long"), "doc_id", "left_anti")
+            earlier = scratch.write(earlier.groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "earlier")
             texts = _slim(corpus).join(earlier, "doc_id").select("doc_id", F.lit(0).cast("long").alias("seq"), "text", "shared")
             windows = windows.unionByName(texts.mapInArrow(_windows(self.window), shape).withColumn("old", F.lit(True)))
         windows = scratch.write(windows, "windows")
+        if runs:
+            # an earlier document that shares a fingerprint has a window of it
+            wanted, found = earlier.count(), windows.where("old").select("doc_id").distinct().count()
+            if found < wanted:
+                raise ValueError(f"the corpus lacks the texts of {wanted - found} earlier documents that are needed")
+            scratch.drop("earlier")
         new = F.when(~F.col("old"), F.col("doc_id"))
         first = windows.groupBy("k1", "k2").agg(F.max("old").alias("before"), F.min(new).alias("first"), F.max(new).alias("last"))
         first = scratch.write(first.where("first < last or before and first is not null").select("k1", "k2", "before", "first"), "first")
@@ -297,5 +347,6 @@ def substring_dedup(docs: DataFrame, window: int = 50, cuts: tuple[float, ...] =
         part = part if high is None else part.where((F.col("doc_id") < high) if low is not None else (F.col("doc_id").isNull() | (F.col("doc_id") < high)))
         got = log.add(part, None if low is None else docs.where(F.col("doc_id") < low))
         out = got if out is None else out.unionByName(got)
+    log.close()
     remove(spark, log.root)
     return out

@@ -2,6 +2,7 @@
 
 import random
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,40 +52,70 @@ def test_shortest_paths(spark, edges):
     start = spark.createDataFrame([("A",)], "source string")
     far = {r.node: r.cost for r in search.shortest_costs(edges, start).collect()}
     assert far == {"A": 0, "B": 625, "C": 1625, "D": 1625, "E": 2041}
-    # with and without the kernel, on random networks with ties, from points that repeat or are unknown
+    # on random networks with ties and free arcs, from points that repeat or are unknown
     rng = random.Random(9)
-    rows = [(f"N{a}", f"N{b}", rng.randint(1, 4)) for a in range(30) for b in range(30) if a != b and rng.random() < 0.15]
+    rows = [(f"N{a}", f"N{b}", rng.randint(0, 3)) for a in range(30) for b in range(30) if a != b and rng.random() < 0.15]
     some = spark.createDataFrame(rows, "src string, dst string, cost long")
     start = spark.createDataFrame([("N0",), ("N0",), ("N7",), ("Z",)], "source string")
-    kernel, rounds = (sorted(map(repr, search.shortest_costs(some, start, most).collect())) for most in (len(rows), 0))
-    assert kernel == rounds and len(kernel) == len(set(kernel)) > 30
+    want = set()
+    for source in ("N0", "N7", "Z"):
+        best, before = brute.cheapest(rows, source)
+        want |= {(source, n, c, before.get(n)) for n, (c, _) in best.items()}
+    assert {tuple(r) for r in search.shortest_costs(some, start).collect()} == want and len(want) > 30
+    with pytest.raises(Exception, match="negative"):
+        search.shortest_costs(some.withColumn("cost", -F.col("cost")), start).collect()
 
 
-def test_shortest_paths_by_rounds(spark, edges):
-    """The same routes from tables, on the small network and on random ones with ties."""
+def test_free_circle(spark):
+    """An arc of cost 5 into a circle of cost 0: pointers don't go round."""
+    rows = [("S", "A", "L", "DEU", 5, 1.0), ("A", "B", "L", "DEU", 0, 1.0), ("B", "A", "L", "DEU", 0, 1.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, line string, country string, cost long, length double")
+    q = spark.createDataFrame([("p", ["S", "B", "A"])], "path string, waypoints array<string>")
+    assert [(r.leg, r.src, r.dst) for r in sorted(search.shortest_paths(edges, q).collect(), key=lambda r: r.seq)] == [(0, "S", "A"), (0, "A", "B"), (1, "B", "A")]
+
+
+def test_routes_of_random_networks(spark, edges):
+    """Routes with ties, free arcs and many waypoints, against pointers followed one by one."""
     rng = random.Random(4)
-    rows = [(f"N{a}", f"N{b}", f"L{rng.randrange(3)}", "DEU", rng.randint(1, 4), 1.0) for a in range(14) for b in range(14) if a != b and rng.random() < 0.3]
-    for e, points in ((edges, "ABCDE"), (spark.createDataFrame(rows, "src string, dst string, line string, country string, cost long, length double"), [f"N{i}" for i in range(14)])):
-        asked = [(f"p{i}", rng.choices(points, k=rng.randint(1, 4))) for i in range(12)] + [("z", [points[0], "Z", points[1]])]
-        q = spark.createDataFrame(asked, "path string, waypoints array<string>")
-        key = lambda df: sorted((r.path, r.leg, r.seq, r.src, r.dst, r.cost) for r in df.collect())
-        got = key(search.shortest_paths(e, q))
-        assert got == key(search.shortest_paths(e, q, kernel_edges=0)) and len(got) > 5 and not [r for r in got if r[0] == "z"]
-
-
-def test_lower_bounds():
-    """With bounds a search for one target finds the front of the search for all, with fewer labels; costs so far add up."""
-    rng = random.Random(6)
-    graph = {a: [(b, tuple(rng.randint(0, 9) for _ in range(3))) for b in range(40) if b != a and rng.random() < 0.1] for a in range(40)}
-    every, few, many = search.pareto_fronts(graph, 0, list(range(40))), search.Counter(), search.Counter()
-    search.pareto_fronts(graph, 0, list(range(40)), counters=many)
-    for t in range(40):
-        found = search.pareto_fronts(graph, 0, [t], counters=few)[t]
-        assert [c for c, _ in found] == [c for c, _ in every[t]]
-        for cost, trail in found:
-            assert trail[0] == (0, (0, 0, 0)) and trail[-1] == (t, cost)
-            assert all(any(h == b and tuple(x + y for x, y in zip(c, d, strict=True)) == e for h, d in graph[a]) for (a, c), (b, e) in zip(trail[:-1], trail[1:], strict=True))
-    assert few["solutions"] == many["solutions"] and few["labels"] < 40 * many["labels"] and many["permanents"] <= many["iterations"] <= many["labels"]
+    rows = [(f"N{a}", f"N{b}", f"L{rng.randrange(3)}", "DEU", rng.randint(0, 3), 1.0) for a in range(14) for b in range(14) if a != b and rng.random() < 0.3]
+    rows += [(f"C{i}", f"C{i + 1}", "L", "DEU", 1, 1.0) for i in range(40)]
+    e, points = spark.createDataFrame(rows, "src string, dst string, line string, country string, cost long, length double"), [f"N{i}" for i in range(14)]
+    asked = [(f"p{i}", rng.choices(points, k=rng.randint(1, 4))) for i in range(12)] + [("z", [points[0], "Z", points[1]]), ("c", ["C0", "C40"])]
+    got = sorted((r.path, r.leg, r.seq, r.src, r.dst, r.cost) for r in search.shortest_paths(e, spark.createDataFrame(asked, "path string, waypoints array<string>")).collect())
+    arcs, want = [(a, b, c) for a, b, _, _, c, _ in rows], []
+    graph = {a: [(h, (c,)) for t, h, c in arcs if t == a] for a, _, _ in arcs}
+    for path, stops in asked:
+        seq = 0
+        for leg, (a, b) in enumerate(zip(stops, stops[1:], strict=False)):
+            best, before = brute.cheapest(arcs, a)
+            hops = []
+            while path != "z" and b in best and b != a:
+                hops.append((before[b], b, best[b][0] - best[before[b]][0]))
+                b = before[b]
+            assert path == "z" or search.dijkstra(graph, a, stops[leg + 1]) == ([a, *(h[1] for h in hops[::-1])] if stops[leg + 1] in best else [])
+            for hop in hops[::-1]:
+                seq += 1
+                want.append((path, leg, seq, *hop))
+    assert got == sorted(want) and sum(r[0] == "c" for r in got) == 40
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_pareto_labels(spark, width):
+    """Fronts of all nodes and, with bounds and fewer labels, of two targets; free and parallel arcs; trails add up."""
+    rng = random.Random(width)
+    graph = {a: [(b, tuple(rng.randint(0, 9) for _ in range(width))) for b in range(14) if b != a and rng.random() < 0.25 for _ in range(rng.randint(1, 2))] for a in range(14)}
+    arcs = spark.createDataFrame([(f"{a}", f"{b}", list(c)) for a, heads in graph.items() for b, c in heads], "tail string, head string, costs array<int>")
+    want, every, few = brute.fronts(graph, 0), {}, {}
+    asked = spark.createDataFrame([("0", str(t)) for t in range(14)] + [("0", "Z")], "source string, target string")
+    got = search.pareto_solutions(arcs, asked, counters=every).collect()
+    assert sorted((int(r.target), r.sol, tuple(r.costs)) for r in got) == sorted((t, i, c) for t, f in want.items() for i, c in enumerate(sorted(f), 1))
+    for r in got:
+        assert r.nodes[0] == "0" and r.nodes[-1] == r.target and not any(r.trail[0]) and r.trail[-1] == r.costs
+        steps = zip(r.nodes, r.nodes[1:], r.trail, r.trail[1:], strict=False)
+        assert all((int(b), tuple(y - x for x, y in zip(c, d, strict=True))) in graph[int(a)] for a, b, c, d in steps)
+    two = search.pareto_solutions(arcs, asked.where("target in ('5', '9')"), most=2, counters=few).collect()
+    assert sorted((int(r.target), r.sol, tuple(r.costs)) for r in two) == sorted((t, i, c) for t in (5, 9) for i, c in enumerate(sorted(want.get(t, []))[:2], 1))
+    assert few["kept"] <= every["kept"] == sum(map(len, want.values())) and few["labels"] <= every["labels"] and few["beyond bounds"] > 0 == every["beyond bounds"]
 
 
 def test_pareto(spark, edges):
@@ -94,28 +125,18 @@ def test_pareto(spark, edges):
     got = search.pareto_solutions(arcs, q).collect()
     assert [tuple(r.costs) for r in sorted((r for r in got if r.target == "E"), key=lambda r: r.sol)] == want
     assert [tuple(r.costs) for r in got if r.target == "A"] == [(0, 0)] and not [r for r in got if r.target == "Z"]
+    by_runs = search.pareto_routes(edges, q).collect()
+    assert sorted((r.target, r.sol, tuple(r.costs)) for r in by_runs) == sorted((r.target, r.sol, tuple(r.costs)) for r in got)
+    legal = {(r.tail, r.head, tuple(r.costs)) for r in arcs.collect()}
+    for r in by_runs:
+        assert (r.nodes[0], r.nodes[-1], r.trail[-1]) == (r.source, r.target, r.costs)
+        assert all((a, b, tuple(y - x for x, y in zip(c, d, strict=True))) in legal for a, b, c, d in zip(r.nodes, r.nodes[1:], r.trail, r.trail[1:], strict=False))
     front = search.pareto_front(edges, spark.createDataFrame([("A",)], "source string")).where("node = 'E'").collect()
     assert sorted((20 * r.runs, r.cost) for r in front) == want
     s = spark.createDataFrame([("q", i + 1, c) for i, (_, c) in enumerate(want)], "question string, sol int, cost long")
     assert {p: search.choose_solution(s, p).first().cost for p in (0, 20, 100)} == {0: 2041, 20: 2374, 100: 7000}
 
 
-def test_pareto_three_criteria():
-    """Against enumeration of simple paths on random graphs."""
-    rng = random.Random(3)
-    for _ in range(20):
-        graph = {a: [(b, tuple(rng.randint(1, 9) for _ in range(3))) for b in range(6) if b != a and rng.random() < 0.5] for a in range(6)}
-        costs, stack = set(), [(0, (0, 0, 0), {0})]
-        while stack:
-            node, cost, seen = stack.pop()
-            if node == 5:
-                costs.add(cost)
-                continue
-            stack += [(h, tuple(x + y for x, y in zip(cost, c, strict=True)), seen | {h}) for h, c in graph[node] if h not in seen]
-        front = sorted(c for c in costs if not any(o != c and all(x <= y for x, y in zip(o, c, strict=True)) for o in costs))
-        assert [c for c, _ in search.pareto_labels(graph, 0, 5)] == front
-
-
 def test_compaction(spark):
     rows = [("p", i, s, d, line, "DEU", 10, 1.0, v, True, float(i), float(i + 1)) for i, (s, d, line, v) in enumerate([("A", "B", "1", 100), ("B", "C", "1", 120), ("C", "A", "1", 120), ("A", "D", "1", 90), ("D", "E", "2", 90)])]
     path = spark.createDataFrame(rows, "path string, seq int, src string, dst string, line string, country string, cost long, length double, speed int, electrified boolean, start_km double, end_km double")

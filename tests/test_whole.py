@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import brute
 import pytest
 
 import __spark_entry__ as entry
@@ -32,7 +33,7 @@ def test_pareto_front_of_many_runs(spark):
     for src, dst, _, line, cost in rows:
         for tail, head, c in ((src, (src, line), (10, 0)), ((src, line), (dst, line), (0, cost)), ((dst, line), dst, (10, 0))):
             graph[tail].add((head, c))
-    want = {(s, f"N{n}", c[0] // 20, c[1]) for s in sources for n in range(12) for c, _ in search.pareto_labels(graph, s, f"N{n}")}
+    want = {(s, f"N{n}", c[0] // 20, c[1]) for s in sources for n in range(12) for c in brute.fronts(graph, s).get(f"N{n}", ())}
     assert len(got) == len(want) and {(r.source, r.node, r.runs, r.cost) for r in got} == want
 
 
@@ -45,26 +46,6 @@ def test_pareto_front_ends_at_the_cheapest(spark):
     assert {n: max(f)[1] for n, f in got.items()} == cheapest and all(min(f)[1] >= max(f)[1] for f in got.values())
 
 
-def _front(vectors):
-    return sorted(c for c in vectors if not any(o != c and all(x <= y for x, y in zip(o, c, strict=True)) for o in vectors))
-
-
-@pytest.mark.parametrize("dims", [1, 2, 3, 4])
-def test_fronts_of_all_targets(dims):
-    """One search for all targets, parallel arcs included, against enumeration of simple paths."""
-    rng = random.Random(dims)
-    for _ in range(10):
-        graph = {a: [(b, tuple(rng.randint(0, 9) for _ in range(dims))) for b in range(6) if b != a for _ in range(rng.randrange(3))] for a in range(6)}
-        costs, stack = defaultdict(set), [(0, (0,) * dims, {0})]
-        while stack:
-            node, cost, seen = stack.pop()
-            costs[node].add(cost)
-            stack += [(h, tuple(x + y for x, y in zip(cost, c, strict=True)), seen | {h}) for h, c in graph[node] if h not in seen]
-        got = search.pareto_fronts(graph, 0, list(range(6)))
-        assert {t: [c for c, _ in f] for t, f in got.items()} == {t: _front(costs[t]) for t in range(6)}
-        assert {t: f[:2] for t, f in got.items()} == search.pareto_fronts(graph, 0, list(range(6)), 2)
-
-
 def test_pareto_solutions_of_all_targets(spark, derived):
     """Each operational point is asked, over all lines, and has its whole front."""
     points = {r.uopid for r in derived.ops().collect()}
@@ -84,7 +65,7 @@ def test_pareto_dim3_of_all_edges(spark, derived):
         more = {n: set(f) for n, f in want.items()}
         for src, dst, cost, speed in edges:
             more.setdefault(dst, set()).update((a + cost, b + 1, c + speed) for a, b, c in want.get(src, ()))
-        more = {n: _front(f) for n, f in more.items() if f}
+        more = {n: brute.front(f) for n, f in more.items() if f}
         if more == want:
             break
         want = more
@@ -109,7 +90,7 @@ def test_components_of_all_lines(spark, derived, monkeypatch):
         a, b = sorted((root(r.src), root(r.dst)))
         up[b] = a
     got = entry.queries()["components"](spark, SF).collect()
-    rounds = network.components(network.undirected(derived.forward()), kernel_edges=0).collect()
+    rounds = network.components(network.undirected(derived.forward()), task_nodes=1).collect()
     assert sorted((r.node, r.component) for r in rounds) == sorted((r.node, r.component) for r in got)
     assert len(up) > 3 and len(got) == len(up) and {r.node: r.component for r in got} == {n: root(n) for n in up}
 

@@ -374,8 +374,7 @@ def _questions(d):
 
 @_query()
 def pareto_solutions(d):
-    arcs = search.expand(d.edges()).select("tail", "head", F.array("line_cost", "distance_cost").alias("costs"))
-    return search.pareto_solutions(arcs, _questions(d)).select("source", "target", "sol", "costs", "nodes")
+    return search.pareto_routes(d.edges(), _questions(d)).select("source", "target", "sol", "costs", "nodes")
 
 
 @_query()
@@ -540,11 +539,20 @@ def tunnels_of_line(d):
     return network.tunnels_of_line(d.tunnels(), "DEU", "L07").select("tunnel", "line", "length", "start_km")
 
 
-@_query(f"select tunnel, estimated_km from (with xx as (select idx, tunnel, line, 6e0 + idx % 10 / 5e0 as tlon, 47e0 + idx % 50 / 10e0 as tlat from tn), near as (select xx.idx, xx.tunnel, km, uopid, {_far('tlat', 'tlon', 'lat', 'lon')} as away from xx join rl on rl.line = xx.line join op on uopid = rl.op) select idx || '' as tunnel, round(arg_min(km + away, {{'a': round(away, 9), 'o': uopid}}), 6) as estimated_km from near group by idx)")
+@_query(f"""select idx || '' as tunnel, round_even(start, 3) as start_km, round_even(start + length * 0.001e0, 3) as end_km from (
+ select x.idx, x.length, e.km + {_far('lat', 'lon', 'tlat', 'tlon')} as start from (
+  select tn.idx, tn.length, case when tn.idx % 7 = 0 then '0000XXX' else p.src end as start_op, p.dst as end_op, 6e0 + tn.idx % 10 / 5e0 as tlon, 47e0 + tn.idx % 50 / 10e0 as tlat
+  from tn left join (select line, src, dst, row_number() over (partition by line order by start_km, src) - 1 as at from ed) p on p.line = tn.line and p.at = tn.idx % 50) x
+ left join (select src, dst, arg_min(start_km, {{'l': line, 'c': country, 'k': start_km}}) as km from eg group by src, dst) e on e.src = x.start_op and e.dst = x.end_op
+ left join op on uopid = x.start_op)""")
 def tunnel_kilometres(d):
-    tunnels = d.tunnels().select(F.col("idx").cast("string").alias("tunnel"), "line", (6.0 + F.col("idx") % 10 / 5.0).alias("start_lon"), (47.0 + F.col("idx") % 50 / 10.0).alias("start_lat"))
-    stops = d.locations().select("line", "op", "km").join(d.ops().select(F.col("uopid").alias("op"), "lat", "lon"), "op")
-    return network.tunnel_kilometres(tunnels, stops).withColumn("estimated_km", F.round("estimated_km", 6))
+    """Each tunnel lies on the edge that its track's code names; some codes name no edge, or a point that doesn't exist."""
+    at = F.row_number().over(Window.partitionBy("line").orderBy("start_km", "src")) - 1
+    edges = d.forward().select("line", "src", "dst", at.alias("at"))
+    code = F.concat(F.lit("0000_"), F.when(F.col("idx") % 7 == 0, "0000XXX").otherwise(F.col("src")), F.lit("_opposite track_"), F.col("dst"))
+    tunnels = d.tunnels().withColumn("at", F.col("idx") % 50).join(edges, ["line", "at"], "left").withColumn("code", decode.tunnel_track(code))
+    tunnels = tunnels.select(F.col("idx").cast("string").alias("tunnel"), "length", F.col("code.start_op").alias("start_op"), F.col("code.end_op").alias("end_op"), (6.0 + F.col("idx") % 10 / 5.0).alias("start_lon"), (47.0 + F.col("idx") % 50 / 10.0).alias("start_lat"))
+    return network.tunnel_kilometres(tunnels, d.edges(), d.ops())
 
 
 @_query("select o_orderkey, lpad(cast(o_orderkey % 10000 as varchar), 4, '0') as line, 'DE' || lpad(cast(o_orderkey % 97 as varchar), 5, '0') as start_op, 'DE' || lpad(cast(o_custkey % 89 as varchar), 5, '0') as end_op from orders")

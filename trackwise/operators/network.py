@@ -10,8 +10,8 @@ from ..functions import decode
 from ..functions import measures as m
 from ..sources.files import cut
 
-#: edges that one task can hold as pairs of Python strings
-KERNEL_EDGES = 500_000
+#: nodes that a task holds at a time while it unites its own edges
+TASK_NODES = 200_000
 
 EDGE = ("src", "dst", "line", "country", "cost", "length", "speed", "electrified", "start_km", "end_km")
 
@@ -112,11 +112,17 @@ def tunnels_of_line(tunnels: DataFrame, country: str, line: str) -> DataFrame:
     return tunnels.where((F.col("country") == country) & (F.col("line") == line))
 
 
-def tunnel_kilometres(tunnels: DataFrame, stops: DataFrame) -> DataFrame:
-    """Kilometre of a tunnel's start, estimated from the nearest operational point of its line."""
-    near = tunnels.join(stops.select("line", "op", "km", F.col("lat").alias("op_lat"), F.col("lon").alias("op_lon")), "line")
-    near = near.withColumn("away", m.haversine(F.col("start_lat"), F.col("start_lon"), F.col("op_lat"), F.col("op_lon")))
-    return near.groupBy("tunnel").agg(F.min_by(F.col("km") + F.col("away"), F.struct("away", "op")).alias("estimated_km"))
+def tunnel_kilometres(tunnels: DataFrame, edges: DataFrame, ops: DataFrame) -> DataFrame:
+    """(tunnel, start_km, end_km): tunnels (tunnel, start_op, end_op, start_lat, start_lon, length in m) on the edge between two points.
+
+    The start is the edge's kilometre at its first point and the distance from there, the end a tunnel's length further; both
+    are rounded to metres, and null where the edge or the point is missing. Of parallel edges the first by line and kilometre counts.
+    """
+    first = edges.groupBy(F.col("src").alias("start_op"), F.col("dst").alias("end_op")).agg(F.min_by("start_km", F.struct("line", "country", "start_km")).alias("edge_km"))
+    places = ops.select(F.col("uopid").alias("start_op"), "lat", "lon")
+    on = tunnels.join(first, ["start_op", "end_op"], "left").join(places, "start_op", "left")
+    start = F.col("edge_km") + m.haversine(F.col("lat"), F.col("lon"), F.col("start_lat"), F.col("start_lon"))
+    return on.select("tunnel", m.half_even(start, 3).alias("start_km"), m.half_even(start + F.col("length") * F.lit(0.001), 3).alias("end_km"))
 
 
 def consistency(locations: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,32 +168,44 @@ def degree_histogram(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("nodes"))
 
 
-def _united(batches):
-    """(scope, a, b) -> (scope, node, root) by union-find, the smallest node as root."""
-    up: dict = {}
+def _own_forest(most: int):
+    """(scope, a, b) -> edges (scope, a, b) from nodes to the smallest of their tree, with the same components; ``most`` nodes at a time."""
+
+    def run(batches):
+        up: dict = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def edges():
+            return pd.DataFrame([(x[0], root(x)[1], x[1]) for x in up], columns=["scope", "a", "b"])
 
-    def root(x):
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
-        return x
+        for pdf in batches:
+            for scope, a, b in zip(pdf["scope"], pdf["a"], pdf["b"], strict=True):
+                x, y = sorted((root((scope, a)), root((scope, b))))
+                up[y] = x
+                if len(up) > most:
+                    yield edges()
+                    up.clear()
+        if up:
+            yield edges()
 
-    for pdf in batches:
-        for scope, a, b in zip(pdf["scope"], pdf["a"], pdf["b"], strict=True):
-            x, y = sorted((root((scope, a)), root((scope, b))))
-            up[y] = x
-    if up:
-        yield pd.DataFrame([(x[0], x[1], root(x)[1]) for x in up], columns=["scope", "node", "root"])
+    return run
 
 
-def components(pairs: DataFrame, scope: str | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def components(pairs: DataFrame, scope: str | None = None, task_nodes: int = TASK_NODES) -> DataFrame:
     """(scope, node, component): smallest node reachable; with a scope column, inside each of its values.
 
-    Each round hooks nodes to their smallest neighbour, follows the hooks by pointer doubling, and contracts, until at most
-    ``kernel_edges`` edges are left, which one task unites.
+    Each task first unites the edges it holds to trees. Then rounds hook nodes to their smallest neighbour, follow the hooks by
+    pointer doubling, and contract, until no edge is left; the nodes at least halve each time, so there are about log2 of them.
     """
-    edges = cut(pairs.select((F.col(scope) if scope else F.lit("")).alias("scope"), "a", "b").distinct())
+    edges = pairs.select((F.col(scope) if scope else F.lit("")).alias("scope"), "a", "b")
+    shape = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in edges.columns)
+    edges = cut(edges.mapInPandas(_own_forest(task_nodes), shape).distinct())
     names = None
-    while edges.count() > kernel_edges:
+    while names is None or not edges.isEmpty():
         both = edges.unionByName(edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = cut(both.groupBy("scope", F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
         while True:
@@ -200,10 +218,7 @@ def components(pairs: DataFrame, scope: str | None = None, kernel_edges: int = K
         names = hooks if names is None else _renamed(names, hooks)
         side = lambda c: hooks.select("scope", F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         edges = cut(edges.join(side("a"), ["scope", "a"]).join(side("b"), ["scope", "b"]).where("ra <> rb").select("scope", F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    node = edges.schema["a"].dataType.simpleString()
-    rest = edges.coalesce(1).mapInPandas(_united, f"scope {edges.schema['scope'].dataType.simpleString()}, node {node}, root {node}")
-    names = rest if names is None else _renamed(names, rest)
-    return cut(names.select("scope", "node", F.col("root").alias("component")))
+    return names.select("scope", "node", F.col("root").alias("component"))
 
 
 def _renamed(names: DataFrame, hooks: DataFrame) -> DataFrame:

@@ -285,10 +285,9 @@ class Folder:
         return search.shortest_paths(self.edges(), ask)
 
     def pareto_routes(self, source: str, target: str, most: int | None = 5) -> DataFrame:
-        """(sol, line_cost, cost, seq, ...): compacted routes, none worse than another in changes of line and in cost."""
+        """(sol, line_cost, cost, seq, ...): compacted routes, none worse than another in changes of line and in cost; the first ``most`` of them, or all (None)."""
         edges = self.edges()
-        arcs = search.expand(edges).select("tail", "head", F.array("line_cost", "distance_cost").alias("costs"))
-        found = files.cut(search.pareto_solutions(arcs, self.spark.range(1).select(F.lit(source).alias("source"), F.lit(target).alias("target")), most))
+        found = files.cut(search.pareto_routes(edges, self.spark.range(1).select(F.lit(source).alias("source"), F.lit(target).alias("target")), most))
         steps = found.select("sol", F.posexplode("nodes").alias("at", "node")).withColumn("next", F.lead("node").over(Window.partitionBy("sol").orderBy("at")))
         a, b = m.mo_node_parts(F.col("node")), m.mo_node_parts(F.col("next"))
         rides = steps.where(a.isNotNull() & b.isNotNull()).select("sol", F.col("at").alias("seq"), F.split("node", "/").alias("a"), F.split("next", "/")[0].alias("dst"))
@@ -332,6 +331,6 @@ class Folder:
         """MoGraph.gr: the line-change arcs as a graph text."""
         files.write_gr(search.dense_arcs(search.expand(self.edges())), f"{self.folder}/MoGraph.gr")
 
-    def pareto_gr(self, source: int, target: int, most: int = 1000) -> DataFrame:
-        """Solutions between two nodes of MoGraph.gr."""
+    def pareto_gr(self, source: int, target: int, most: int | None = 1000) -> DataFrame:
+        """The first ``most`` solutions (None: all) between two nodes of MoGraph.gr."""
         return search.search_gr(self.spark, f"{self.folder}/MoGraph.gr", source, target, most).orderBy("sol", "seq")

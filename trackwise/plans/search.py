@@ -1,265 +1,276 @@
-"""Shortest and Pareto-optimal paths.
+"""Shortest and Pareto-optimal paths, as rounds of joins over tables.
 
-Two strategies with one result. ``frontier`` relaxes edges in rounds of joins
-and is for one-to-all questions and large graphs. ``kernel`` ships a graph of a
-checked size to the tasks and answers many (source, target) questions in
-parallel with a heap.
+Costs go out from the sources along the arcs. A round joins the rows that the last
+one changed with the arcs, keeps what is better than before, and writes only that.
+Every ``LAYERS`` rounds what was written is merged. Routes are read from the pointers
+that searches leave by doubling: each round doubles the hops that are known, so a
+route of h hops takes about 2 log2 h joins. Nothing of a graph comes to the driver.
 """
 
 from __future__ import annotations
 
 import heapq
-import operator
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import paths
 from ..sources.files import cut, drop_cut, read_gr
 
-#: largest graph that is shipped to tasks
-KERNEL_EDGES = 2_000_000
+#: rounds after which the rows of rounds are merged to one table
+LAYERS = 6
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """(source, node, cost, pred): cheapest cost from each source to every node and the smallest node before it on such a path (costs above 0).
+def _least_costs(arcs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, cost, hops): the cheapest cost and the fewest hops of a route of that cost; arcs (src, dst, cost of 0 or more)."""
+    best = lambda layers: reduce(DataFrame.unionByName, layers).groupBy("source", "node").agg(F.min(F.struct("cost", "hops")).alias("b"))
+    layers = [cut(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops")))]
+    while True:
+        step = layers[-1].withColumnRenamed("node", "src").join(arcs.withColumnRenamed("cost", "more"), "src")
+        step = step.groupBy("source", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), (F.col("hops") + 1).alias("hops"))).alias("n"))
+        better = step.join(best(layers), ["source", "node"], "left").where(F.col("b").isNull() | (F.col("n") < F.col("b")))
+        front = cut(better.select("source", "node", "n.cost", "n.hops"))
+        if front.isEmpty():
+            return best(layers).select("source", "node", "b.cost", "b.hops")
+        layers.append(front)
+        if len(layers) > LAYERS:
+            merged = cut(best(layers[:-1]).select("source", "node", "b.cost", "b.hops"))
+            for layer in layers[:-1]:
+                drop_cut(layer)
+            layers = [merged, front]
+
+
+def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, cost, pred): cheapest cost from each source to every node and the smallest node before it on such a path.
 
-    Each source is one task's heap search on a graph of at most ``kernel_edges`` arcs, else all are searched by rounds of relaxation.
+    Costs are 0 or more, else it is an error. A node before another is cheaper or, behind an arc of cost 0, fewer hops away:
+    so circles of cost 0 don't make pointers go round.
     """
-    arcs = cut(edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")))
-    sources = sources.select("source").distinct()
-    if arcs.count() <= kernel_edges:
-        return _ask(arcs.withColumn("costs", F.array("cost")), sources, _reached, "source string, node string, cost long, pred string")
-    best = cut(sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(None).cast("string").alias("pred")))
-    front = best
-    while not front.isEmpty():
-        step = front.select("source", F.col("node").alias("src"), F.col("cost").alias("so_far")).join(arcs, "src")
-        step = step.groupBy("source", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("so_far") + F.col("cost")).alias("cost"), F.col("src").alias("pred"))).alias("n"))
-        merged = best.join(step, ["source", "node"], "full").select("source", "node", "cost", "pred", "n")
-        better = F.col("n").isNotNull() & (F.col("cost").isNull() | (F.col("n.cost") < F.col("cost")))
-        # as cheap by way of a smaller node
-        other = better | (F.col("n").isNotNull() & (F.col("n.cost") == F.col("cost")) & (F.col("n.pred") < F.col("pred")))
-        old, best = best, cut(merged.select("source", "node", F.when(better, F.col("n.cost")).otherwise(F.col("cost")).alias("cost"), F.when(other, F.col("n.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("moved")))
-        front, best = best.where("moved"), best.drop("moved")
-        drop_cut(old)
-    return best
-
-
-def _reached(graph: dict, q):
-    """Rows of shortest_costs of one source."""
-    best, before, done, heap = {q.source: 0}, {q.source: None}, set(), [(0, q.source)]
-    while heap:
-        cost, node = heapq.heappop(heap)
-        if node in done:
-            continue
-        done.add(node)
-        yield q.source, node, cost, before[node]
-        for head, (c,) in graph.get(node, ()):
-            new, old = cost + c, best.get(head)
-            if old is None or new < old:
-                best[head], before[head] = new, node
-                heapq.heappush(heap, (new, head))
-            elif new == old and before[head] is not None and node < before[head]:
-                before[head] = node
+    cost = F.min("cost").cast("long")
+    arcs = cut(edges.groupBy("src", "dst").agg(F.when(cost < 0, F.raise_error(F.lit("a cost is negative")).cast("long")).otherwise(cost).alias("cost")))
+    best = cut(_least_costs(arcs, sources.select("source").where("source is not null").distinct()))
+    up = best.select("source", F.col("node").alias("src"), F.col("cost").alias("so_far"), F.col("hops").alias("before"))
+    into = arcs.withColumnRenamed("cost", "more").join(up, "src").join(best.withColumnRenamed("node", "dst"), ["source", "dst"])
+    into = into.where("so_far + more = cost and (more > 0 or before < hops)").groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
+    root = F.when(F.col("node") != F.col("source"), F.col("pred"))
+    return cut(best.join(into, ["source", "node"], "left").select("source", "node", "cost", root.alias("pred")))
+
+
+def trace(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (id, key) and pointers (key, up) -> (id, key, back): all keys from each start to the end of its pointers, by doubling."""
+    levels = [cut(pointers.select("key", "up"))]
+    while True:
+        one = levels[-1]
+        two = cut(one.select("key", F.col("up").alias("via")).join(one.select(F.col("key").alias("via"), "up"), "via").select("key", "up"))
+        if two.isEmpty():
+            break
+        levels.append(two)
+    found = cut(starts.select("id", "key", F.lit(0).cast("long").alias("back")))
+    for k, level in reversed(list(enumerate(levels))):
+        further = found.join(level, "key").select("id", F.col("up").alias("key"), (F.col("back") + (1 << k)).alias("back"))
+        found = cut(found.unionByName(further))
+    for level in levels:
+        drop_cut(level)
+    return found
 
 
-def _shipped(edges: DataFrame):
-    n = edges.count()
-    if n > KERNEL_EDGES:
-        raise ValueError(f"{n} edges are too many for the kernel ({KERNEL_EDGES}); use shortest_costs")
-    out = defaultdict(list)
-    for r in edges.select("src", "dst", "costs").collect():
-        out[r["src"]].append((r["dst"], tuple(r["costs"])))
-    return edges.sparkSession.sparkContext.broadcast(dict(out))
+def shortest_paths(edges: DataFrame, questions: DataFrame) -> DataFrame:
+    """questions (path, waypoints array) -> edges of the routes (path, leg, seq, ...), each hop the cheapest parallel edge.
+
+    A leg that can't be travelled has no rows; fewer than two waypoints have no legs; a route by way of an unknown point is
+    empty. One search goes out from each distinct start of a leg.
+    """
+    edges = cut(edges)
+    nodes = edges.select(F.col("src").alias("w")).union(edges.select("dst")).distinct()
+    asked = questions.select("path", "waypoints")
+    unknown = asked.select("path", F.explode("waypoints").alias("w")).join(nodes, "w", "left_anti").select("path").distinct()
+    legs = asked.join(unknown, "path", "left_anti").select("path", F.posexplode(F.expr("transform(sequence(1, greatest(size(waypoints) - 1, 1)), i -> struct(waypoints[i - 1] as a, get(waypoints, i) as b))")).alias("leg", "w"))
+    legs = cut(legs.select("path", "leg", "w.*").where("b is not null"))
+    reached = shortest_costs(edges, legs.select(F.col("a").alias("source")))
+    key = lambda source, node: F.struct(source.alias("source"), node.alias("node"))
+    pointers = reached.where("pred is not null").select(key(F.col("source"), F.col("node")).alias("key"), key(F.col("source"), F.col("pred")).alias("up"))
+    # legs with the same ends are one chain
+    starts = legs.select(key(F.col("a"), F.col("b")).alias("key")).distinct().select("key", F.col("key").alias("id"))
+    chain = trace(pointers, starts)
+    hops = chain.join(pointers, "key").select("id", "back", F.col("up.node").alias("src"), F.col("key.node").alias("dst"))
+    hops = legs.withColumn("id", key(F.col("a"), F.col("b"))).join(hops, "id")
+    hops = hops.select("path", "leg", F.row_number().over(Window.partitionBy("path").orderBy("leg", F.desc("back"))).alias("seq"), "src", "dst")
+    return hops.join(paths.cheapest_edges(edges), ["src", "dst"])
 
 
 def dijkstra(graph: dict, source: str, target: str) -> list[str]:
-    """Nodes of a cheapest path, going back by the smallest node each time; empty if there is none."""
-    best, before, done, heap = {source: 0}, {source: None}, set(), [(0, source)]
+    """Nodes of a cheapest path in a small graph, going back by the smallest node each time; empty if there is none."""
+    best, ways, before, heap = {source: (0, 0)}, defaultdict(list), {}, [(0, 0, source)]
     while heap:
-        cost, node = heapq.heappop(heap)
-        if node in done:
+        cost, hops, node = heapq.heappop(heap)
+        if node in before:
             continue
+        before[node] = min((n for n, c, h in ways[node] if c > 0 or h < hops), default=None)
         if node == target:
             break
-        done.add(node)
-        for head, c in graph.get(node, ()):
-            new, old = cost + c[0], best.get(head)
+        for head, (c, *_) in graph.get(node, ()):
+            new, old = (cost + c, hops + 1), best.get(head)
+            if head in before:
+                continue
+            if old is None or new[0] < old[0]:
+                ways[head].clear()
             if old is None or new < old:
-                best[head], before[head] = new, node
-                heapq.heappush(heap, (new, head))
-            elif new == old and head not in done and before[head] is not None and node < before[head]:
-                before[head] = node
+                best[head] = new
+                heapq.heappush(heap, (*new, head))
+            if new[0] == best[head][0]:
+                ways[head].append((node, c, hops))
     trail = [target] if target in before else []
     while trail and (up := before[trail[-1]]) is not None:
         trail.append(up)
     return trail[::-1]
 
 
-def lower_bounds(graph: dict, target: str) -> dict[str, tuple[int, ...]]:
-    """Of each node that reaches the target, the least cost to it in each dimension by itself."""
-    back, dims = defaultdict(list), 0
-    for tail, arcs in graph.items():
-        for head, c in arcs:
-            back[head].append((tail, c))
-            dims = len(c)
-    found = []
-    for d in range(dims):
-        done, heap, serial = {}, [(0, 0, target)], 0
-        while heap:
-            cost, _, node = heapq.heappop(heap)
-            if node not in done:
-                done[node] = cost
-                for tail, c in back.get(node, ()):
-                    if tail not in done:
-                        serial += 1
-                        heapq.heappush(heap, (cost + c[d], serial, tail))
-        found.append(done)
-    return {node: tuple(f[node] for f in found) for node in found[0]} if found else {target: ()}
-
-
-def pareto_labels(graph: dict, source: str, target: str, most: int | None = None) -> list[tuple[tuple[int, ...], list[str]]]:
-    """All non-dominated cost vectors with a witness each, in lexicographic order."""
-    return pareto_fronts(graph, source, [target], most)[target]
-
-
-def pareto_fronts(graph: dict, source: str, targets: list[str], most: int | None = None, counters: Counter | None = None) -> dict[str, list[tuple[tuple[int, ...], list]]]:
-    """Of each target, all non-dominated cost vectors with a witness each, in lexicographic order; one search for all targets.
-
-    A witness is a list of (node, cost so far). With one target, labels whose cost and lower bound to it are beaten there lead nowhere.
-
-    Labels leave the heap in lexicographic order and costs aren't negative, so a node's settled labels never have a larger
-    first component than a new one: only the other components are compared. Of two dimensions only the least second one
-    counts; of three, the settled labels are a staircase that is searched by halves.
-    """
-    dims = len(next((c for arcs in graph.values() for _, c in arcs), (0,)))
-    fronts: dict = {}
-    heap, out, serial = [((0,) * dims, 0, source, None)], {t: [] for t in targets}, 0
-    wanted = len(out) if most is None or most > 0 else 0
-    only = targets[0] if len(out) == 1 else None
-    bounds = lower_bounds(graph, only) if only is not None else {}
-    counters = Counter() if counters is None else counters
-
-    if dims == 2:
-
-        def beaten(node: str, cost: tuple[int, ...]) -> bool:
-            least = fronts.get(node)
-            return least is not None and least <= cost[1]
-
-        def settle(node: str, cost: tuple[int, ...]) -> None:
-            fronts[node] = cost[1]
-    elif dims == 3:
-
-        def beaten(node: str, cost: tuple[int, ...]) -> bool:
-            steps = fronts.get(node)
-            if steps is None:
-                return False
-            i = bisect_right(steps[0], cost[1])
-            return i > 0 and steps[1][i - 1] <= cost[2]
-
-        def settle(node: str, cost: tuple[int, ...]) -> None:
-            second, third = fronts.setdefault(node, ([], []))
-            i = j = bisect_left(second, cost[1])
-            while j < len(second) and third[j] >= cost[2]:
-                j += 1
-            second[i:j], third[i:j] = [cost[1]], [cost[2]]
-    else:
-
-        def beaten(node: str, cost: tuple[int, ...]) -> bool:
-            return any(all(a <= b for a, b in zip(f, cost[1:], strict=True)) for f in fronts.get(node, ()))
-
-        def settle(node: str, cost: tuple[int, ...]) -> None:
-            fronts.setdefault(node, []).append(cost[1:])
-
-    def hopeless(node: str, cost: tuple[int, ...]) -> bool:
-        return only is not None and ((bound := bounds.get(node)) is None or beaten(only, tuple(map(operator.add, cost, bound))))
-
-    while heap and wanted:
-        cost, _, node, before = heapq.heappop(heap)
-        counters["iterations"] += 1
-        if beaten(node, cost) or hopeless(node, cost):
-            continue
-        settle(node, cost)
-        counters["permanents"] += 1
-        label = (node, before, cost)
-        found = out.get(node)
-        if found is not None and (most is None or len(found) < most):
-            trail, at = [], label
-            while at:
-                trail.append((at[0], at[2]))
-                at = at[1]
-            found.append((cost, trail[::-1]))
-            counters["solutions"] += 1
-            wanted -= len(found) == most
-        if node == only:
-            continue
-        for head, c in graph.get(node, ()):
-            new = tuple(map(operator.add, cost, c))
-            if not (beaten(head, new) or hopeless(head, new)):
-                serial += 1
-                heapq.heappush(heap, (new, serial, head, label))
-                counters["largest heap"] = max(counters["largest heap"], len(heap))
-    counters["labels"] += serial + 1
-    return out
-
-
-def _ask(edges: DataFrame, questions: DataFrame, answer, schema: str) -> DataFrame:
-    shipped = _shipped(edges)
-
-    def run(batches):
-        for pdf in batches:
-            rows = [row for q in pdf.itertuples(index=False) for row in answer(shipped.value, q)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+def _fronts(width: int, among: bool):
+    """Of rows sorted by (key, costs, fresh), the fresh ones that no row before them beats; if not ``among``, only the others beat.
 
-    # questions are few and dear: deal them out over all cores
-    return questions.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
+    Rows before have no larger first cost, so of two costs the least second one so far decides, of three a staircase of the
+    second and third, which is searched by halves; a task holds the staircase of one key.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, steps = None, ([], [])
+
+        def beaten(c: list[int]) -> bool:
+            if width == 1:
+                return bool(steps[0])
+            if width > 3:
+                return any(all(a <= b for a, b in zip(s, c[1:], strict=True)) for s in steps[0])
+            i = bisect_right(steps[0], c[1])
+            return i > 0 and (width == 2 or steps[1][i - 1] <= c[2])
+
+        def settle(c: list[int]) -> None:
+            second, third = steps
+            if width in (1, 2):
+                second[:] = [c[-1]]
+            elif width > 3:
+                second.append(c[1:])
+            else:
+                i = j = bisect_left(second, c[1])
+                while j < len(second) and third[j] >= c[2]:
+                    j += 1
+                second[i:j], third[i:j] = [c[1]], [c[2]]
+
+        for batch in batches:
+            keep = []
+            for at, (k, c, fresh) in enumerate(zip(batch["key"].to_pylist(), batch["costs"].to_pylist(), batch["fresh"].to_pylist(), strict=True)):
+                if k != key:
+                    key, steps = k, ([], [])
+                if beaten(c):
+                    continue
+                if fresh:
+                    keep.append(at)
+                if among or not fresh:
+                    settle(c)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def _unbeaten(rows: DataFrame, width: int, among: bool = True) -> DataFrame:
+    """rows (key, costs, fresh, ...) -> the fresh ones on the front of their key."""
+    ordered = rows.repartition("key").sortWithinPartitions("key", "costs", "fresh")
+    return ordered.mapInArrow(_fronts(width, among), ordered.schema)
+
+
+def _bounds(arcs: DataFrame, targets: DataFrame, width: int) -> DataFrame:
+    """(target, node, bound): least costs from each node to each target in every dimension by itself; one backward search for each."""
+    found = None
+    for d in range(width):
+        back = cut(arcs.groupBy(F.col("head").alias("src"), F.col("tail").alias("dst")).agg(F.min(F.col("costs")[d]).alias("cost")))
+        one = _least_costs(back, targets.select(F.col("target").alias("source"))).select(F.col("source").alias("target"), "node", F.col("cost").alias(f"b{d}"))
+        found = one if found is None else found.join(one, ["target", "node"])
+    return cut(found.select("target", "node", F.array(*[f"b{d}" for d in range(width)]).alias("bound")))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def pareto_labels(arcs: DataFrame, questions: DataFrame, counters: dict[str, int] | None = None, bounded: int = 8) -> DataFrame:
+    """(source, node, costs, before, so_far): all cost vectors that no other beats, at each node reached, with the label before.
+
+    With at most ``bounded`` distinct targets, labels are dropped whose cost and lower bound are beaten at every target asked
+    for, which changes no target's front. Costs are 0 or more. counters takes rounds, labels made and labels kept.
+    """
+    first = arcs.select(F.size("costs").alias("n")).first()
+    width = first["n"] if first else 1
+    arcs = cut(arcs.select("tail", "head", F.col("costs").cast("array<long>").alias("costs")).distinct())
+    asked = cut(questions.select("source", "target").where("source is not null and target is not null").distinct())
+    targets = asked.select("target").distinct()
+    bounds = cut(asked.join(_bounds(arcs, targets, width), "target")) if first and targets.limit(bounded + 1).count() <= bounded else None
+    tally = {"rounds": 0, "labels": 0, "beyond bounds": 0}
+    start = F.array(*[F.lit(0).cast("long")] * width)
+    none = [F.lit(None).cast("string").alias("before"), F.lit(None).cast("array<long>").alias("so_far")]
+    layers = [cut(asked.select("source").distinct().select("source", F.col("source").alias("node"), start.alias("costs"), *none))]
+    key = F.struct("source", "node").alias("key")
+
+    def settled() -> DataFrame:
+        every = reduce(DataFrame.unionByName, layers)
+        return _unbeaten(every.select(key, "costs", F.lit(True).alias("fresh"), "before", "so_far"), width).select("key.*", "costs", "before", "so_far")
 
-def _walked_back(edges: DataFrame, questions: DataFrame) -> DataFrame:
-    """Hops of the legs of questions by the nodes before, from tables: as many rounds as the longest leg has hops."""
-    nodes = edges.select(F.col("src").alias("w")).union(edges.select("dst")).distinct()
-    unknown = questions.select("path", F.explode("waypoints").alias("w")).join(nodes, "w", "left_anti").select("path").distinct()
-    known = questions.join(unknown, "path", "left_anti")
-    legs = known.select("path", F.posexplode(F.expr("transform(sequence(1, greatest(size(waypoints) - 1, 1)), i -> struct(waypoints[i - 1] as a, get(waypoints, i) as b))")).alias("leg", "w")).select("path", "leg", "w.*").where("b is not null")
-    legs = cut(legs)
-    reached = shortest_costs(edges, legs.select(F.col("a").alias("source")), 0).select(F.col("source").alias("a"), F.col("node").alias("b"), "pred")
-    at, hops, back = legs, None, 0
     while True:
-        step = cut(at.join(reached, ["a", "b"]).where("pred is not null").select("path", "leg", F.lit(-back).alias("back"), F.col("pred").alias("src"), F.col("b").alias("dst"), "a"))
-        if step.isEmpty():
+        front = layers[-1]
+        step = front.select("source", F.col("node").alias("tail"), F.col("costs").alias("so_far")).join(arcs, "tail")
+        step = step.groupBy("source", F.col("head").alias("node"), _plus(F.col("so_far"), F.col("costs")).alias("costs")).agg(F.min(F.struct(F.col("tail").alias("before"), "so_far")).alias("way"))
+        step = cut(step.select("source", "node", "costs", "way.*"))
+        tally["labels"] += (made := step.count())
+        if bounds is not None and made:
+            # the cost to expect at a target is compared with what is known there
+            ahead = step.join(bounds, ["source", "node"]).select(F.struct("source", F.col("target").alias("node")).alias("key"), _plus(F.col("costs"), F.col("bound")).alias("costs"), F.lit(True).alias("fresh"), F.struct("node", "costs").alias("label"))
+            known = reduce(DataFrame.unionByName, layers).join(asked.select("source", F.col("target").alias("node")), ["source", "node"], "left_semi")
+            # a label at its target is as good as what it will be: equal ones are compared by the front there
+            known = known.select(key, "costs", F.lit(False).alias("fresh"), F.struct(F.lit(None).cast("string").alias("node"), F.lit(None).cast("array<long>").alias("costs")).alias("label"))
+            hopeful = _unbeaten(known.unionByName(ahead), width, among=False).select("key.source", "label.node", "label.costs").distinct()
+            step = cut(step.join(hopeful, ["source", "node", "costs"], "left_semi"))
+            tally["beyond bounds"] += made - step.count()
+        there = reduce(DataFrame.unionByName, layers).join(step.select("source", "node").distinct(), ["source", "node"], "left_semi")
+        rows = there.select(key, "costs", F.lit(False).alias("fresh"), *none).unionByName(step.select(key, "costs", F.lit(True).alias("fresh"), "before", "so_far"))
+        fresh = cut(_unbeaten(rows, width).select("key.*", "costs", "before", "so_far"))
+        tally["rounds"] += 1
+        if fresh.isEmpty():
             break
-        hops = step if hops is None else hops.unionByName(step)
-        at, back = step.select("path", "leg", "a", F.col("src").alias("b")), back + 1
-    hops = hops if hops is not None else step
-    return hops.select("path", "leg", F.row_number().over(Window.partitionBy("path").orderBy("leg", "back")).alias("seq"), "src", "dst")
+        layers.append(fresh)
+        if len(layers) > LAYERS:
+            # the last round's labels go on from here, if nothing beats them meanwhile
+            merged = cut(settled())
+            going = cut(fresh.join(merged.select("source", "node", "costs"), ["source", "node", "costs"], "left_semi"))
+            rest = cut(merged.join(going.select("source", "node", "costs"), ["source", "node", "costs"], "left_anti"))
+            layers = [rest, going]
+    out = cut(settled())
+    if counters is not None:
+        counters.update(tally, kept=out.count())
+    return out
 
 
-def shortest_paths(edges: DataFrame, questions: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """questions (path, waypoints array) -> edges of the routes (path, leg, seq, ...), each hop the cheapest parallel edge.
+def pareto_solutions(arcs: DataFrame, questions: DataFrame, most: int | None = None, counters: dict[str, int] | None = None) -> DataFrame:
+    """arcs (tail, head, costs) and questions (source, target) -> (source, target, sol, costs, nodes, trail), all of the front, or its first ``most``.
 
-    A leg that can't be travelled has no rows; fewer than two waypoints have no legs; a route by way of an unknown point is
-    empty. Graphs of more than ``kernel_edges`` edges are searched by rounds of joins.
+    trail has the costs so far at each node; counters takes rounds, labels, kept and solutions.
     """
-
-    def answer(graph, q):
-        seq = 0
-        known = all(w in graph for w in q.waypoints)
-        for leg, (a, b) in enumerate(zip(q.waypoints[:-1], q.waypoints[1:], strict=False)):
-            nodes = dijkstra(graph, a, b) if known else []
-            for x, y in zip(nodes[:-1], nodes[1:], strict=False):
-                seq += 1
-                yield q.path, leg, seq, x, y
-
-    asked = questions.select("path", "waypoints")
-    if edges.count() > kernel_edges:
-        hops = _walked_back(edges, asked)
-    else:
-        hops = _ask(edges.withColumn("costs", F.array("cost")), asked, answer, "path string, leg int, seq int, src string, dst string")
-    return hops.join(paths.cheapest_edges(edges), ["src", "dst"])
+    labels = pareto_labels(arcs, questions, counters)
+    asked = questions.select("source", "target").distinct()
+    front = labels.withColumnRenamed("node", "target").join(asked, ["source", "target"])
+    front = front.withColumn("sol", F.row_number().over(Window.partitionBy("source", "target").orderBy("costs")))
+    front = cut((front if most is None else front.where(F.col("sol") <= most)).select("source", "target", "sol", "costs"))
+    if counters is not None:
+        counters["solutions"] = front.count()
+    here, up = F.struct("source", "node", "costs"), F.struct("source", F.col("before").alias("node"), F.col("so_far").alias("costs"))
+    ends = front.select(F.struct("source", "target", "sol").alias("id"), F.struct("source", F.col("target").alias("node"), "costs").alias("key"))
+    chain = trace(labels.where("before is not null").select(here.alias("key"), up.alias("up")), ends)
+    way = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), F.col("key.node").alias("node"), F.col("key.costs").alias("costs"))))
+    chain = chain.groupBy("id").agg(way.alias("w"))
+    return chain.select("id.*", F.element_at("w", -1)["costs"].alias("costs"), F.transform("w", lambda x: x["node"]).alias("nodes"), F.transform("w", lambda x: x["costs"]).alias("trail"))
 
 
 def on_lines(edges: DataFrame, asked: DataFrame) -> DataFrame:
@@ -352,44 +363,26 @@ def reverse_index(arcs: DataFrame) -> DataFrame:
     return placed.where(F.when(ok, True).otherwise(F.raise_error(F.lit("an arc is out of range")).cast("boolean")))
 
 
-def pareto_solutions(arcs: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
-    """arcs (tail, head, costs) and questions (source, target) -> (source, target, sol, costs, nodes, trail), all of the front, or its first ``most``.
-
-    trail has the costs so far at each node.
-
-    The targets of one source are answered by one search.
-    """
-
-    def answer(graph, q):
-        for target, front in pareto_fronts(graph, q.source, list(q.targets), most).items():
-            for i, (cost, trail) in enumerate(front, 1):
-                yield q.source, target, i, list(cost), [n for n, _ in trail], [list(c) for _, c in trail]
-
-    edges = arcs.select(F.col("tail").alias("src"), F.col("head").alias("dst"), "costs")
-    asked = questions.groupBy("source").agg(F.collect_set("target").alias("targets"))
-    return _ask(edges, asked, answer, "source string, target string, sol int, costs array<long>, nodes array<string>, trail array<array<long>>")
-
-
-def _ride(arcs, starts) -> dict[str, int]:
-    """Cheapest cost to each node along one line's arcs (src, dst, cost), boarding it at any of the starts (cost, node)."""
+def _ride(arcs, starts) -> dict[str, tuple[int, str]]:
+    """Cheapest cost to each node along one line's arcs (src, dst, cost), boarding it at any of the starts (cost, node), and where."""
     out = defaultdict(list)
     for a in arcs:
         out[a["src"]].append((a["dst"], a["cost"]))
-    done, heap = {}, [(s["cost"], s["node"]) for s in starts]
+    done, heap = {}, [(s["cost"], s["node"], s["node"]) for s in starts]
     heapq.heapify(heap)
     while heap:
-        cost, node = heapq.heappop(heap)
+        cost, boarded, node = heapq.heappop(heap)
         if node in done:
             continue
-        done[node] = cost
+        done[node] = cost, boarded
         for head, c in out.get(node, ()):
             if head not in done:
-                heapq.heappush(heap, (cost + c, head))
+                heapq.heappush(heap, (cost + c, boarded, head))
     return done
 
 
-def pareto_front(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, runs, cost): cheapest cost with at most each number of line runs, where one more run is cheaper; one round for each run.
+def pareto_rides(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, runs, cost, country, line, boarded): the front of line runs and cost, each with its last ride.
 
     A run costs twice 10 on boarding and alighting, so the front of the expanded graph is (20 * runs, cost). A round boards
     every line at the nodes that the round before made cheaper; one line's arcs are in memory at a time. It ends when no
@@ -403,25 +396,61 @@ def pareto_front(edges: DataFrame, sources: DataFrame) -> DataFrame:
         for pdf in batches:
             for q in pdf.itertuples(index=False):
                 reached = _ride(q.arcs, q.starts)
-                yield pd.DataFrame({"source": q.source, "node": list(reached), "new": list(reached.values())})
+                yield pd.DataFrame({"source": q.source, "country": q.country, "line": q.line, "node": list(reached), "new": [c for c, _ in reached.values()], "boarded": [b for _, b in reached.values()]})
 
-    best = front = cut(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("runs"), F.lit(0).cast("long").alias("cost")).distinct())
+    way = [F.lit(None).cast("string").alias(c) for c in ("country", "line", "boarded")]
+    best = front = cut(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("runs"), F.lit(0).cast("long").alias("cost"), *way).distinct())
     found, runs = [front], 0
     while True:
         runs += 1
-        boarded = front.join(stops, "node").groupBy("source", "country", "line").agg(F.collect_list(F.struct("cost", "node")).alias("starts"))
+        boarded = front.select("source", "node", "cost").join(stops, "node").groupBy("source", "country", "line").agg(F.collect_list(F.struct("cost", "node")).alias("starts"))
         # lines are few and dear: deal them out over all cores
-        dealt = boarded.join(lines, ["country", "line"]).select("source", "starts", "arcs").repartition(edges.sparkSession.sparkContext.defaultParallelism)
-        step = dealt.mapInPandas(ride, "source string, node string, new long").groupBy("source", "node").agg(F.min("new").alias("new"))
-        merged = best.join(step, ["source", "node"], "full")
-        better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))
-        old, best = best, cut(merged.select("source", "node", F.when(better, F.lit(runs)).otherwise(F.col("runs")).alias("runs"), F.when(better, F.col("new")).otherwise(F.col("cost")).alias("cost")))
-        front = best.where(F.col("runs") == runs)
+        dealt = boarded.join(lines, ["country", "line"]).select("source", "country", "line", "starts", "arcs").repartition(edges.sparkSession.sparkContext.defaultParallelism)
+        step = dealt.mapInPandas(ride, "source string, country string, line string, node string, new long, boarded string")
+        step = step.groupBy("source", "node").agg(F.min(F.struct("new", "country", "line", "boarded")).alias("n"))
+        known = reduce(DataFrame.unionByName, found).groupBy("source", "node").agg(F.min("cost").alias("cost"))
+        better = step.join(known, ["source", "node"], "left").where(F.col("cost").isNull() | (F.col("n.new") < F.col("cost")))
+        front = cut(better.select("source", "node", F.lit(runs).alias("runs"), F.col("n.new").alias("cost"), "n.country", "n.line", "n.boarded"))
         if front.isEmpty():
             return reduce(DataFrame.unionByName, found)
         found.append(front)
 
 
+def pareto_front(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, runs, cost): cheapest cost with at most each number of line runs, where one more run is cheaper."""
+    return pareto_rides(edges, sources).select("source", "node", "runs", "cost")
+
+
+def pareto_routes(edges: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
+    """questions (source, target) -> (source, target, sol, costs, nodes, trail) in the line-change graph of ``expand``, without building it.
+
+    The solutions are those of ``pareto_rides``; a solution's rides are followed back run by run, and each distinct ride is
+    a route on its own line.
+    """
+    rides = cut(pareto_rides(edges, questions.select("source").distinct()))
+    asked = questions.select("source", "target").distinct()
+    sol = F.row_number().over(Window.partitionBy("source", "target").orderBy("runs"))
+    front = rides.withColumnRenamed("node", "target").join(asked, ["source", "target"]).withColumn("sol", sol)
+    front = cut((front if most is None else front.where(F.col("sol") <= most)).select("source", "target", "sol", "runs", "cost"))
+    here, up = F.struct("source", "node", "runs"), F.struct("source", F.col("boarded").alias("node"), (F.col("runs") - 1).alias("runs"))
+    ends = front.select(F.struct("source", "target", "sol").alias("id"), F.struct("source", F.col("target").alias("node"), "runs").alias("key"))
+    chain = trace(rides.where("runs > 0").select(here.alias("key"), up.alias("up")), ends)
+    legs = chain.select("id", "key.*").where("runs > 0").join(rides.drop("cost"), ["source", "node", "runs"]).select("id", "runs", "country", "line", "boarded", "node")
+    legs = cut(legs)
+    asked = legs.select("country", "line", "boarded", "node").distinct().select("country", "line", F.concat_ws("/", "boarded", "node").alias("path"), F.array("boarded", "node").alias("waypoints"))
+    hops = on_lines(edges, asked).groupBy("country", "line", "path").agg(F.array_sort(F.collect_list(F.struct("seq", "dst", "cost"))).alias("hops"))
+    legs = legs.withColumn("path", F.concat_ws("/", "boarded", "node")).join(hops, ["country", "line", "path"])
+    at = lambda node: F.concat_ws("/", node, F.col("country"), F.col("line"))
+    stop = lambda node, change, cost: F.struct(node.alias("node"), F.lit(change).cast("long").alias("change"), cost.cast("long").alias("cost"))
+    stops = F.concat(F.array(stop(at(F.col("boarded")), 10, F.lit(0))), F.transform("hops", lambda h: stop(at(h["dst"]), 0, h["cost"])), F.array(stop(F.col("node"), 10, F.lit(0))))
+    start = front.select(F.struct("source", "target", "sol").alias("id"), F.lit(0).alias("runs"), F.lit(0).alias("at"), stop(F.col("source"), 0, F.lit(0)).alias("s"))
+    steps = start.unionByName(legs.select("id", "runs", F.posexplode(stops).alias("at", "s")))
+    so_far = lambda c: F.sum(f"s.{c}").over(Window.partitionBy("id").orderBy("runs", "at"))
+    steps = steps.select("id", "runs", "at", "s.node", F.array(so_far("change"), so_far("cost")).alias("costs"))
+    ways = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("runs", "at", "node", "costs"))).alias("w"))
+    return ways.select("id.*", F.element_at("w", -1)["costs"].alias("costs"), F.transform("w", lambda x: x["node"]).alias("nodes"), F.transform("w", lambda x: x["costs"]).alias("trail"))
+
+
 def choose_solution(front: DataFrame, percent: float) -> DataFrame:
     """Of each question's solutions (question, sol, cost): the one for a tolerance. Solutions are in ascending line cost."""
     by = Window.partitionBy("question")
@@ -436,11 +465,11 @@ def choose_solution(front: DataFrame, percent: float) -> DataFrame:
     return s.where(F.col("sol") == pick).select("question", "sol", "cost")
 
 
-def search_gr(spark: SparkSession, path: str, source: int, target: int, most: int | None = 1000) -> DataFrame:
-    """(sol, seq, node, costs): the solutions between two nodes of a graph text, with the costs so far."""
+def search_gr(spark: SparkSession, path: str, source: int, target: int, most: int | None = 1000, counters: dict[str, int] | None = None) -> DataFrame:
+    """(sol, seq, node, costs): the first ``most`` solutions (None: all) between two nodes of a graph text, with the costs so far."""
     arcs = read_gr(spark, path).select(F.col("tail").cast("string").alias("tail"), F.col("head").cast("string").alias("head"), "costs")
     asked = spark.range(1).select(F.lit(str(source)).alias("source"), F.lit(str(target)).alias("target"))
-    found = pareto_solutions(arcs, asked, most).select("sol", F.posexplode(F.arrays_zip("nodes", "trail")).alias("seq", "x"))
+    found = pareto_solutions(arcs, asked, most, counters).select("sol", F.posexplode(F.arrays_zip("nodes", "trail")).alias("seq", "x"))
     return found.select("sol", "seq", F.col("x.nodes").cast("long").alias("node"), F.col("x.trail").alias("costs"))
 
 

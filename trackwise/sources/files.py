@@ -7,7 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -164,10 +165,23 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(at, True)
 
 
+@contextmanager
+def sized_partitions(spark: SparkSession) -> Iterator[None]:
+    """Shuffles are merged to partitions of the advisory size rather than to one for each core, for what runs inside: rounds over few rows are few tasks."""
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with sized_partitions(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

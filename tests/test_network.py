@@ -259,6 +259,19 @@ def test_sequential_check_over_lines(spark):
     assert sorted((r.line, r.section, r.changed_op) for r in got.collect()) == sorted(want) and len(want) > 3
 
 
+def test_points_settle(spark):
+    """Points move to their matches, round after round, until a further check moves none; each change has its distance and percent."""
+    ops = spark.createDataFrame([("DE0000A", "a", 50.0, 7.0), ("DE0000B", "b", 50.0, 7.02), ("DE0000C", "c", 50.0, 7.04)], "uopid string, name string, lat double, lon double").withColumn("rinf_type", F.lit(10))
+    rows = [("s1", "1", "DE0000A", "DE0000B", 2.2, [("t", 1, 3000, None, [])]), ("s2", "1", "DE0000B", "DE0000C", 1.43, [("t", 1, 3000, None, [])])]
+    sections = spark.createDataFrame(rows, f"section string, line string, start_op string, end_op string, length double, tracks array<{TRACK}>")
+    stations = spark.createDataFrame([("node/1", "station", "railway", "A", 50.0, 6.99)], "url string, railway string, prefix string, code string, lat double, lon double")
+    changes = matching.op_info_changes(sections, ops, matching.match_stations(ops, stations)).collect()
+    assert [(r.uopid, r.new_lon, r.percent) for r in changes] == [("DE0000A", 6.99, 35.0)] and abs(changes[0].distance - 0.715) < 0.001
+    settled, log = matching.settled_points(sections, ops, stations)
+    assert log == [1, 0] and {r.uopid: r.lon for r in settled.collect()} == {"DE0000A": 6.99, "DE0000B": 7.02, "DE0000C": 7.04}
+    assert settled.columns == ops.columns
+
+
 def test_kilometres_of_points(spark, sections):
     """A point with two kilometres on a line doubles no section; the one seen last counts."""
     places = spark.createDataFrame([("DEU", "100", "A", 0.0, 0), ("DEU", "100", "A", 7.0, 1), ("DEU", "100", "B", 10.0, 2)], "country string, line string, op string, km double, idx int")

@@ -368,6 +368,15 @@ def pareto_costs(d):
     return pareto_solutions(d).select("source", "target", "sol", F.col("costs")[0].alias("line_cost"), F.col("costs")[1].alias("distance_cost"))
 
 
+@_query(_recursive(f"""{_PF}, so as (select node as target, cast(row_number() over (partition by node order by runs) as integer) as sol, cast(20 * runs as bigint) as line_cost, cost as distance_cost from fr)
+ select target, sol, line_cost, distance_cost, true as adds_up from so where sol <= 2"""))
+def pareto_first_two(d):
+    """The first two solutions to each point, and whether the costs along their nodes end at the solution's."""
+    found = search.pareto_routes(d.edges(), _questions(d), most=2)
+    adds_up = (F.size("nodes") == F.size("trail")) & (F.element_at("trail", -1) == F.col("costs")) & (F.element_at("nodes", -1) == F.col("target")) & (F.array_sort("trail") == F.col("trail"))
+    return found.select("target", "sol", F.col("costs")[0].alias("line_cost"), F.col("costs")[1].alias("distance_cost"), adds_up.alias("adds_up"))
+
+
 def _questions(d):
     return d.ops().select(F.lit("DE00001").alias("source"), F.col("uopid").alias("target"))
 
@@ -448,7 +457,15 @@ def section_check(d):
 
 @_query()
 def sequential_check(d):
-    return matching.sequential_check(d.sections(), d.ops(), matching.match_stations(d.ops(), d.stations()))
+    return matching.sequential_check(d.sections(), d.ops(), matching.match_stations(d.ops(), d.stations())).drop("percent")
+
+
+@_query()
+def settled_points(d):
+    """The points that moved, once no point moves any more."""
+    ops, _ = matching.settled_points(d.sections(), d.ops(), d.stations())
+    before = d.ops().select("uopid", F.col("lat").alias("old_lat"), F.col("lon").alias("old_lon"))
+    return ops.select("uopid", "lat", "lon").join(before, "uopid").where("lat <> old_lat or lon <> old_lon")
 
 
 @_query("select * from op where regexp_matches(name, 'supp[lł]ier.*[oó]*7', 'i')")

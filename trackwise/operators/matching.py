@@ -88,11 +88,11 @@ def _mended(pdf: pd.DataFrame) -> pd.DataFrame:
         ends = {p: place.get(getattr(r, f"{p}_op"), (getattr(r, f"{p}_lat"), getattr(r, f"{p}_lon"))) for p in ("start", "end")}
         new, other = (r.new_lat, r.new_lon), ends["end" if r.side == "start" else "start"]
         after, moved = _far(*new, *other), _far(*ends[r.side], *new)
-        percent = abs(r.length - after) * 100 / r.length
-        if not _fits(r.length, _far(*ends["start"], *ends["end"]), r.radius) and _fits(r.length, after, r.radius) and percent < 20 and moved > MOVED_KM:
+        percent, before = abs(r.length - after) * 100 / r.length, _far(*ends["start"], *ends["end"])
+        if not _fits(r.length, before, r.radius) and _fits(r.length, after, r.radius) and percent < 20 and moved > MOVED_KM:
             place[r.target] = new
-            out.append((r.line, r.section, r.target, round(moved, 3)))
-    return pd.DataFrame(out, columns=["line", "section", "changed_op", "moved"])
+            out.append((r.line, r.section, r.target, round(moved, 3), float(round(abs(r.length - before) * 100 / r.length))))
+    return pd.DataFrame(out, columns=["line", "section", "changed_op", "moved", "percent"])
 
 
 def sequential_check(sections: DataFrame, ops: DataFrame, matches: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def sequential_check(sections: DataFrame, ops: DataFrame, matches: DataFrame) ->
 
     A point can move once only, to its match. So only sections whose point to change (the start if it has a match, else the
     end) has a match more than 0.2 km away can change anything, and such sections depend on each other only through points
-    that can move: each component of these is checked in order by one task.
+    that can move: each component of these is checked in order by one task. percent: how far the section was off before.
     """
     side = lambda p: ops.select(F.col("uopid").alias(f"{p}_op"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
     found = matches.where("lat is not null and lon is not null").select("uopid", F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon"))
@@ -116,7 +116,36 @@ def sequential_check(sections: DataFrame, ops: DataFrame, matches: DataFrame) ->
     together = rows.join(end("start"), "start_op", "left_semi").join(end("end"), "end_op", "left_semi").select(F.col("start_op").alias("a"), F.col("end_op").alias("b"))
     groups = components(together).select(F.col("node").alias("target"), "component")
     rows = rows.join(groups, "target", "left").withColumn("component", F.coalesce("component", "target"))
-    return rows.groupBy("component").applyInPandas(_mended, "line string, section string, changed_op string, moved double")
+    return rows.groupBy("component").applyInPandas(_mended, "line string, section string, changed_op string, moved double, percent double")
+
+
+def op_info_changes(sections: DataFrame, ops: DataFrame, matches: DataFrame) -> DataFrame:
+    """(uopid, name, lat, lon, new_lat, new_lon, distance, percent) of the points that sequential_check moves to their match; each moves once."""
+    moved = sequential_check(sections, ops, matches).select(F.col("changed_op").alias("uopid"), F.col("moved").alias("distance"), "percent")
+    place = matches.select("uopid", F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon"))
+    return ops.select("uopid", "name", "lat", "lon").join(moved, "uopid").join(place, "uopid").select("uopid", "name", "lat", "lon", "new_lat", "new_lon", "distance", "percent")
+
+
+def with_changes(ops: DataFrame, changes: DataFrame) -> DataFrame:
+    """ops with the new places of changed points."""
+    out = ops.join(changes.select("uopid", "new_lat", "new_lon"), "uopid", "left")
+    return out.withColumns({"lat": F.coalesce("new_lat", "lat"), "lon": F.coalesce("new_lon", "lon")}).select(*ops.columns)
+
+
+def settled_points(sections: DataFrame, ops: DataFrame, stations: DataFrame, most_rounds: int = 20) -> tuple[DataFrame, list[int]]:
+    """ops after rounds of matching, checking and moving points until none moves, and how many moved in each round.
+
+    It is an error if points still move after ``most_rounds``.
+    """
+    ops, log = cut(ops), []
+    while True:
+        changes = cut(op_info_changes(sections, ops, match_stations(ops, stations)))
+        log.append(changes.count())
+        if not log[-1]:
+            return ops, log
+        if len(log) > most_rounds:
+            raise RuntimeError(f"points still move after {most_rounds} rounds: {log}")
+        ops = cut(with_changes(ops, changes))
 
 
 def search_locations(ops: DataFrame, name: str = "", uopid: str = "") -> DataFrame:

@@ -324,6 +324,19 @@ class Folder:
         matches = self.read("RInfOsmMatchings").selectExpr("UOPID as uopid", "Latitude as lat", "Longitude as lon")
         return matching.sequential_check(self.sections(), self.ops(), matches).orderBy("line", "section")
 
+    def op_info_changes(self, line: str = "", change: bool = False) -> DataFrame:
+        """Moved points of all sections, or of a line's, by name; written to OpInfoChanges. With ``change`` OpInfos takes them and stations are matched again."""
+        sections = self.sections().where(F.col("line") == line) if line else self.sections()
+        ops, matches = self.ops(), self.read("RInfOsmMatchings").selectExpr("UOPID as uopid", "Latitude as lat", "Longitude as lon")
+        found = files.cut(matching.op_info_changes(sections, ops, matches))
+        renamed = found.orderBy("name", "uopid").selectExpr("uopid as UOPID", "lat as Latitude", "lon as Longitude", "new_lat as NewLatitude", "new_lon as NewLongitude", "distance as Distance", "percent as Percent")
+        files.write_dataset(renamed, self.folder, "OpInfoChanges")
+        if change and not found.isEmpty():
+            moved = files.cut(matching.with_changes(ops, found))
+            files.write_dataset(moved.selectExpr("uopid as UOPID", "name as Name", "rinf_type as RinfType", "lat as Latitude", "lon as Longitude"), self.folder, "OpInfos")
+            self.osm_matchings()
+        return renamed
+
     def search(self, name: str = "", uopid: str = "") -> DataFrame:
         return matching.search_locations(self.ops(), name, uopid).orderBy("name", "uopid")
 

@@ -109,6 +109,7 @@ def test_map_data(spark, tmp_path_factory):
     assert f.read("OsmRoutes").count() == f.read("Countries").count() == f.read("OpTypes").count() == f.read("OsmEntries").count() == 1
     assert sorted((r.UOPID, r.OsmUrl) for r in f.osm_matchings().collect()) == [("DE0000A", "node/1"), ("DE0000B", None), ("DE0000C", None)]
     assert [r.uopid for r in f.osm_report().collect()] == ["DE0000B", "DE0000C"] and f.check_sections().count() == 0
+    assert f.op_info_changes("", True).count() == 0 and f.read("OpInfoChanges").count() == 0 and f.op_info_changes("none").columns == f.read("OpInfoChanges").columns
     assert [tuple(r) for r in load_rows_of_routes(spark, str(at / "rows.json")).collect()] == [("u", "7", "de:x")]
     with pytest.raises(ValueError, match="ABC"):
         build_all(spark, str(at), "DEU;ABC")

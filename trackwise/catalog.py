@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .functions import decode
 from .functions import measures as m
 from .operators import ingest, matching, network, paths
-from .plans import commands, derive, search
-from .sources import files
+from .functions.geometry import centroid
+from .plans import commands, derive, mapdata, search
+from .sources import files, paged
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -757,6 +758,46 @@ def json_datasets(d):
     return files.cached(d.spark, f"{folder}/cache", lambda: d.spark.range(0), True)
 
 
+_CENTRE = """case c_custkey % 4 when 0 then 0e0 when 1 then 1.875e0 when 2 then 15.25e0 / 7.5e0 else 3.3e0 end + 6e0 + c_custkey % 20 * 0.5e0 as lon,
+ case c_custkey % 4 when 0 then 0e0 when 1 then 0.125e0 when 2 then 7.625e0 / 7.5e0 else 0.9e0 end + 47e0 + c_custkey % 10 * 0.25e0 as lat"""
+
+
+@_query(f"select k, round(lon, 9) as lon, round(lat, 9) as lat from (select c_custkey as k, {_CENTRE} from customer)")
+def osm_centroids(d):
+    return d.shapes().select("k", centroid(F.col("wkt")).alias("c")).select("k", F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"))
+
+
+@_query(f"""select 'node/' || k as Url, Name, Railway, RailwayPrefix, RailwayRef, UicRef, Operator, round(lat, 9) as Latitude, round(lon, 9) as Longitude, 'node' as OsmType from
+ (select c_custkey as k, {_CENTRE}, case when c_custkey % 8 = 0 then cast(c_custkey as varchar) end as UicRef, case when c_custkey % 9 = 0 then 'x' end as Operator from customer where c_custkey % 4 <> 3)
+ join (select c_custkey as k, 'n' || c_custkey as Name from customer where c_custkey % 2 = 0 union select c_custkey, 'd' || c_custkey from customer where c_custkey % 2 = 1 or c_custkey % 6 = 0) using (k)
+ join (select c_custkey as k, 'station' as Railway, case c_custkey % 7 when 1 then 'disused' when 2 then 'proposed' when 3 then 'historic' when 4 then 'abandoned' end as RailwayPrefix from customer where c_custkey % 7 < 5
+  union select c_custkey, 'halt', null from customer where c_custkey % 7 = 4 union select c_custkey, 'stop_area', null from customer where c_custkey % 14 = 5) using (k)
+ join (select c_custkey as k, 'R' || c_custkey as RailwayRef from customer where c_custkey % 3 = 0 union select c_custkey, 'B' || c_custkey from customer where c_custkey % 3 = 1 union select c_custkey, 'O' || c_custkey from customer where c_custkey % 5 = 0) using (k)""")
+def osm_stations(d):
+    found = mapdata.stations(*d.map_facts())
+    return found.withColumns({c: F.round(c, 9) for c in ("Latitude", "Longitude")})
+
+
+_TRACK_ROUTES = "select p_partkey as k, 'r' || p_partkey as Url, 'L' || (p_partkey % 60) as Ref, p_name from part where p_partkey % 11 <> 0 and (p_partkey % 2 = 0 or p_partkey % 7 <> 0) and p_partkey % 13 <> 0"
+
+
+@_query(f"""select 0 as source, Url, Ref, 'de:' || p_name as Wikipedia from ({_TRACK_ROUTES}) where k % 3 = 0 and k % 4 <> 3
+ union all select distinct 1, Url, Ref, 'de:' || s_name from ({_TRACK_ROUTES}) join supplier on s_suppkey % 500 = k % 500 where k % 3 <> 0 and k % 5 <> 0 and s_suppkey % 4 <> 0""")
+def osm_routes(d):
+    """Routes with an article, and those that have one by way of their item and a second source."""
+    return mapdata.routes(*d.map_facts(), mapdata.articles_of(d.articles())).select("idx.source", "Url", "Ref", "Wikipedia")
+
+
+@_query("select k % 16 as page, case when k % 3 = 0 then 'FRA' else 'DEU' end as country, count(*) as n, sum(k) as keys from op where k % 3 <> 2 group by all")
+def result_pages(d):
+    """Pages of three countries read by the data source, of which two are asked for."""
+    k = F.col("k")
+    code = F.when(k % 3 == 0, "FRA").when(k % 3 == 1, "DEU").otherwise("AUT")
+    raw = d.ops().select((k % 16).alias("page"), _uri(decode.COUNTRY_PREFIXES[0], code).alias("country"), _term(k).alias("k"))
+    rows = paged.read_pages(d.spark, _raw(d, "pages", raw).removesuffix("/*"), ["DEU", "FRA"])
+    return rows.groupBy("page", "country").agg(F.count("*").alias("n"), F.sum(F.col("b")["k"]["value"].cast("long")).alias("keys"))
+
+
 @_query("select n_nationkey, case when n_nationkey % 2 = 0 then 'r' || n_nationkey else 'none' end as text from nation")
 def null_defaults(d):
     return d.table("nation").select("n_nationkey", F.coalesce(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("r"), "n_nationkey")), F.lit("none")).alias("text"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import decode
 from ..operators import ingest, network
+from . import mapdata
 
 
 class Derived:
@@ -75,6 +77,51 @@ class Derived:
         k = F.col("p_partkey")
         return self.table("part").select(k.alias("idx"), F.concat(F.lit("L"), F.lpad((k % 60).cast("string"), 2, "0")).alias("ref"), F.concat(F.when(k % 3 == 0, "fr:").otherwise("de:"), F.col("p_name")).alias("wikipedia"))
 
+    def shapes(self) -> DataFrame:
+        """(k, wkt): a geometry for each customer - a point, a bent line, a rectangle with a hole, two squares."""
+        k = F.col("c_custkey")
+        x, y = F.lit(6.0) + k % 20 * F.lit(0.5), F.lit(47.0) + k % 10 * F.lit(0.25)
+        at = lambda dx, dy: F.concat((x + dx).cast("string"), F.lit(" "), (y + dy).cast("string"))
+        ring = lambda *p: F.concat(F.lit("("), F.concat_ws(", ", *[at(*q) for q in (*p, p[0])]), F.lit(")"))
+        box = lambda dx, dy, w, h: ring((dx, dy), (dx + w, dy), (dx + w, dy + h), (dx, dy + h))
+        line = F.concat(F.lit("LINESTRING("), F.concat_ws(", ", at(0, 0), at(3, 0), at(3, 1)), F.lit(")"))
+        holed = F.concat(F.lit("POLYGON("), box(0, 0, 4, 2), F.lit(","), box(1, 0.5, 1, 0.5), F.lit(")"))
+        squares = F.concat(F.lit("MULTIPOLYGON(("), box(0, 0, 1, 1), F.lit("), ("), box(3, 0, 2, 2), F.lit("))"))
+        point = F.concat(F.lit("POINT("), at(0, 0), F.lit(")"))
+        return self.table("customer").select(k.alias("k"), F.when(k % 4 == 0, point).when(k % 4 == 1, line).when(k % 4 == 2, holed).otherwise(squares).alias("wkt"))
+
+    def map_facts(self) -> tuple[DataFrame, DataFrame]:
+        """Statements about customers as map stations and parts as map routes, and what the areas contain."""
+        k, n = F.col("c_custkey"), F.col("p_partkey")
+        fact = lambda s, p, o, when: F.when(when, F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o")))
+        node, shape, key = F.concat(F.lit(decode.OSM_PREFIXES[0] + "node/"), k), F.concat(F.lit("shape"), k), mapdata.KEY
+        railways = ("railway", "disused:railway", "proposed:railway", "historic:railway", "abandoned:railway")
+        of_station = [
+            fact(node, mapdata.TYPE, F.lit(decode.OSM_PREFIXES[0] + "node"), k >= 0), fact(node, mapdata.HAS_GEOMETRY, shape, k >= 0), fact(shape, mapdata.AS_WKT, F.col("wkt"), k >= 0),
+            fact(node, key + "name", F.concat(F.lit("n"), k), k % 2 == 0), fact(node, key + "disused:name", F.concat(F.lit("d"), k), (k % 2 == 1) | (k % 6 == 0)),
+            *[fact(node, key + r, F.lit("station"), k % 7 == i) for i, r in enumerate(railways)], fact(node, key + "railway", F.lit("halt"), k % 7 == 4),
+            fact(node, key + "public_transport", F.when(k % 14 == 5, "stop_area").otherwise("platform"), k % 7 == 5),
+            fact(node, key + "railway:ref", F.concat(F.lit("R"), k), k % 3 == 0), fact(node, key + "railway:ref:DBAG", F.concat(F.lit("B"), k), k % 3 == 1), fact(node, key + "disused:railway:ref", F.concat(F.lit("O"), k), k % 5 == 0),
+            fact(node, key + "uic_ref", k, k % 8 == 0), fact(node, key + "operator", F.lit("x"), k % 9 == 0),
+        ]
+        relation = F.concat(F.lit("r"), n)
+        of_route = [
+            fact(relation, key + "type", F.when(n % 11 == 0, "site").otherwise("route"), n >= 0), fact(relation, key + "route", F.when(n % 2 == 0, "tracks").when(n % 7 == 0, "bus").otherwise("railway"), n >= 0),
+            fact(relation, key + "ref", F.concat(F.lit("L"), n % 60), n % 13 != 0), fact(relation, key + "wikipedia", F.concat(F.lit("de:"), F.col("p_name")), n % 3 == 0), fact(relation, mapdata.WIKIDATA, F.concat(F.lit("Q"), n % 500), n % 5 != 0),
+        ]
+        stations = self.table("customer").join(self.shapes(), k == F.col("k")).select(F.inline(F.array_compact(F.array(*of_station))))
+        triples = stations.unionByName(self.table("part").select(F.inline(F.array_compact(F.array(*of_route)))))
+        areas = lambda s, i: F.inline(F.array_compact(F.array(F.when(i % 4 != 3, F.struct(F.lit(mapdata.GERMANY).alias("area"), s.alias("s"))), F.when(i % 4 == 2, F.struct(F.lit(mapdata.SWITZERLAND).alias("area"), s.alias("s"))), F.struct(F.lit("elsewhere").alias("area"), s.alias("s")))))
+        return triples, self.table("customer").select(areas(node, k)).unionByName(self.table("part").select(areas(relation, n)))
+
+    def articles(self) -> DataFrame:
+        """Statements of a second source: suppliers as articles about items, on two sites."""
+        k = F.col("s_suppkey")
+        site = F.when(k % 4 == 0, "https://fr.wikipedia.org/").otherwise(mapdata.SITE)
+        article = F.concat(site, F.lit("wiki/"), "s_name")
+        one = lambda p, o: F.struct(article.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+        return self.table("supplier").select(F.inline(F.array(one(mapdata.ABOUT, F.concat(F.lit("Q"), k % 500)), one(mapdata.PART_OF, site))))
+
 
 def _op(key: Column) -> Column:
     return F.concat(F.lit("DE"), F.when(F.length(key.cast("string")) < 5, F.lpad(key.cast("string"), 5, "0")).otherwise(key.cast("string")))

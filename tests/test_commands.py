@@ -1,13 +1,15 @@
 """Commands from raw query results to routes, on the hand-made network of test_network."""
 
 import json
+import shutil
 
 import pytest
 from test_network import KM
 
 from trackwise.__main__ import typed
 from trackwise.functions import decode
-from trackwise.plans.commands import Folder, build_all, load_rows_of_routes
+from trackwise.plans.build import STAGES, build_all, version
+from trackwise.plans.commands import Folder, load_rows_of_routes
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
@@ -118,3 +120,30 @@ def test_map_data(spark, tmp_path_factory):
 def test_arguments():
     assert typed(Folder.route, ["A;B", "False"]) == ["A;B", False] and typed(Folder.pareto_routes, ["A", "B", "7"]) == ["A", "B", 7]
     assert typed(Folder.path_view, ["A", "B", "20"]) == ["A", "B", 20.0] and typed(build_all, ["DEU", "false"]) == ["DEU", False]
+
+
+def test_stages(spark, folder, tmp_path):
+    """A second build keeps what is unchanged; changed inputs, options and lost stages are made again, and what reads them."""
+    at = str(tmp_path)
+    for name in ("operationalPoints", "sectionsOfLine", "tracks", "tunnel"):
+        shutil.copy(f"{folder.folder}/sparql-{name}.json", at)
+    first = build_all(spark, at, use_cache=True)
+    absent = {"Countries", "OpTypes", "OsmEntries", "OsmRoutes"}
+    assert first == {n: "absent" if n in absent else "built" for n in STAGES}
+    graph, before = Folder(spark, at).edges().count(), version(spark, f"{at}/Graph.json")
+    assert set(build_all(spark, at, use_cache=True).values()) == {"absent", "kept"} and version(spark, f"{at}/Graph.json") == before
+    # another tunnel: nothing but tunnels and lines
+    tunnels = json.loads((tmp_path / "sparql-tunnel.json").read_text())
+    tunnels["results"]["bindings"].append(tunnels["results"]["bindings"][-1] | {"tunnelIdentification": _lit("U")})
+    (tmp_path / "sparql-tunnel.json").write_text(json.dumps(tunnels))
+    assert {n for n, what in build_all(spark, at, use_cache=True).items() if what == "built"} == {"Tunnels", "TunnelInfos", "LineInfos"}
+    assert [r.Tunnels for r in Folder(spark, at).read("LineInfos").where("Line = '100'").collect()] == [["T", "U"]]
+    # a stage that was lost before its note, then another form of the graph
+    (tmp_path / "stages" / "MoGraph.json").unlink()
+    assert build_all(spark, at, use_cache=True, only="MoGraph;Graph") == {"Graph": "kept", "MoGraph": "built"}
+    assert build_all(spark, at, "", False, True, only="Graph") == {"Graph": "built"} and Folder(spark, at).edges().count() < graph
+    _save(tmp_path, "osmWikidata", [{"id": _uri("r1"), "ref": _lit("100"), "wikipedia": _uri("https://de.wikipedia.org/wiki/Line 100")}])
+    assert build_all(spark, at, skip_osm=True, only="OsmRoutes") == {"OsmRoutes": "skipped"}
+    assert build_all(spark, at, only="OsmRoutes") == {"OsmRoutes": "built"}
+    with pytest.raises(ValueError, match="Grph"):
+        build_all(spark, at, only="Grph")

@@ -1,11 +1,15 @@
-"""python -m trackwise COMMAND FOLDER [ARGUMENT...]: prints a command's whole result as tab-separated lines; see ``plans/commands.py``."""
+"""python -m trackwise COMMAND FOLDER [ARGUMENT...]: prints a command's result as tab-separated lines; see ``plans/commands.py``.
+
+Results are whole, but pareto_routes gives the first 5 and pareto_gr the first 1000 solutions unless told otherwise (none: all).
+build FOLDER [COUNTRIES [BY_LOCATIONS [USE_CACHE [SKIP_OSM [STAGES]]]]]: lists are joined by semicolons, STAGES as in ``plans/build.py``.
+"""
 
 import inspect
 import sys
 
 from pyspark.sql import SparkSession
 
-from .plans import commands
+from .plans import build, commands
 
 HIDDEN = ("read", "ops", "places", "sections", "edges", "lines", "tunnels")
 QUESTIONS = tuple(n for n, f in vars(commands.Folder).items() if inspect.isfunction(f) and not n.startswith("_") and n not in HIDDEN)
@@ -34,7 +38,8 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("trackwise").getOrCreate()
     command, folder, *rest = argv
     if command == "build":
-        commands.build_all(spark, folder, *typed(commands.build_all, rest))
+        for name, what in build.build_all(spark, folder, *typed(build.build_all, rest)).items():
+            print(name, what, sep="\t")
         return 0
     asked = getattr(commands.Folder, command)
     shown = asked(commands.Folder(spark, folder), *typed(asked, rest))

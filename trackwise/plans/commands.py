@@ -130,62 +130,6 @@ def load_tunnels(spark: SparkSession, path: str, countries: list[str] | None = N
     return ingest.fold_tunnels(_in(rows, countries), decode.wkt_line(F.col("wkt"))).drop("wkt").select("*", "geometry.*").drop("geometry")
 
 
-def build_all(spark: SparkSession, folder: str, countries: str = "", by_locations: bool = True) -> None:
-    """All data sets of a folder, from its raw results sparql-{operationalPoints,tracks,sectionsOfLine,tunnel}.json.
-
-    countries: codes joined by semicolons; all if empty. Where there are raw results of map routes
-    (sparql-osmWikipedia.json, sparql-osmWikidata.json), countries or types of points, their data sets are made as well.
-    """
-    codes = files.checked_countries(countries) if countries else None
-    ops, places = load_operational_points(spark, f"{folder}/sparql-operationalPoints.json", codes)
-    ops, places = files.cut(ops), files.cut(places)
-    sections = files.cut(load_sections(spark, f"{folder}/sparql-sectionsOfLine.json", load_tracks(spark, f"{folder}/sparql-tracks.json"), codes))
-    raw_tunnels = files.cut(load_tunnels(spark, f"{folder}/sparql-tunnel.json", codes))
-    tunnels = network.tunnel_infos(raw_tunnels)
-    edges = files.cut(graph(places, sections, by_locations))
-    lines = network.line_tunnels(network.line_infos(edges, ops), tunnels)
-    sources = [f"{folder}/sparql-osm{name}.json" for name in ("Wikipedia", "Wikidata")]
-    if any(files.exists(spark, path) for path in sources):
-        routes = files.cut(load_osm_routes(spark, sources))
-        known = routes.select("idx", F.col("Ref").alias("ref"), F.col("Wikipedia").alias("wikipedia"))
-    elif files.exists(spark, f"{folder}/OsmRoutes.json"):
-        routes = files.read_dataset(spark, folder, "OsmRoutes").withColumn("idx", F.lit(0))
-        known = routes.select(F.struct("Url", "Wikipedia").alias("idx"), F.col("Ref").alias("ref"), F.col("Wikipedia").alias("wikipedia"))
-    else:
-        routes, known = load_osm_routes(spark, []), None
-    lines = network.line_wikipedia(lines, known) if known is not None else lines.withColumn("wikipedia", F.lit(None).cast("string"))
-    listed = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("idx", "line", "km")))), lambda x: F.struct(x["line"].alias("NationalIdentNum"), x["km"].alias("Kilometer")))
-    near = places.groupBy(F.col("op").alias("uopid")).agg(listed.alias("RailwayLocations"))
-    seen = codes if codes is not None else sorted(r[0] for r in ops.select("country").distinct().collect())
-    as_set = {
-        "OperationalPoints": ops.join(near, "uopid", "left").selectExpr("name as Name", "cast(rinf_type as string) as Type", "country as Country", "uopid as UOPID", "lat as Latitude", "lon as Longitude", "RailwayLocations"),
-        "SectionsOfLines": sections.selectExpr(
-            "section as Name", "country as Country", "length as Length", "line as LineIdentification", "start_op as StartOP", "end_op as EndOP",
-            "transform(tracks, t -> named_struct('id', t.id, 'sectionOfLine', section, 'maximumPermittedSpeed', t.speed, 'minimumHorizontalRadius', t.radius, 'contactLineSystem', t.contact, 'lineCategories', t.categories)) as Tracks",
-        ),
-        "Tunnels": raw_tunnels.selectExpr("tunnel as Name", "country as Country", "length as Length", "line as LineIdentification", "start_lat as StartLatitude", "start_lon as StartLongitude", "start_km as StartKm", "end_lat as EndLatitude", "end_lon as EndLongitude", "end_km as EndKm"),
-        "Metadata": files.metadata(spark, ENDPOINT, ONTOLOGY, REVISION, seen),
-        "MoGraph": search.mo_graph(edges).selectExpr(
-            "node as Node", "transform(edges, e -> named_struct('Node', e.head, 'LineCost', e.line_cost, 'DistanceCost', e.distance_cost, 'Line', e.line, 'Country', e.country, 'MaxSpeed', e.speed, 'Electrified', e.electrified, 'StartKm', e.start_km, 'EndKm', e.end_km, 'Length', e.length)) as Edges"
-        ),
-        "OpInfos": ops.selectExpr("uopid as UOPID", "name as Name", "rinf_type as RinfType", "lat as Latitude", "lon as Longitude"),
-        "TunnelInfos": tunnels.selectExpr("tunnel as Tunnel", "length as Length", "start_lon as StartLong", "start_lat as StartLat", "start_km as StartKm", "end_lon as EndLong", "end_lat as EndLat", "end_km as EndKm", "line as Line", "country as Country"),
-        "LineInfos": lines.selectExpr("line as Line", "country as Country", "name as Name", "length as Length", "start_km as StartKm", "end_km as EndKm", "uopids as UOPIDs", "tunnels as Tunnels", "wikipedia as Wikipedia"),
-        "Graph": network.adjacency(edges).selectExpr(
-            "node as Node", "transform(edges, e -> named_struct('Node', e.dst, 'Cost', e.cost, 'Line', e.line, 'Country', e.country, 'MaxSpeed', e.speed, 'Electrified', e.electrified, 'StartKm', e.start_km, 'EndKm', e.end_km, 'Length', e.length)) as Edges"
-        ),
-    }
-    if any(files.exists(spark, path) for path in sources):
-        as_set["OsmRoutes"] = routes.select("Url", "Ref", "Wikipedia")
-    for name, path, load in (("Countries", "sparql-countries.json", load_countries), ("OpTypes", "sparql-opTypes.json", load_op_types), ("OsmEntries", "sparql-osm.json", load_osm_entries)):
-        if files.exists(spark, f"{folder}/{path}"):
-            found = load(spark, f"{folder}/{path}")
-            as_set[name] = found.toDF(*[c[0].upper() + c[1:] for c in found.columns])
-    for name, df in as_set.items():
-        files.write_dataset(df, folder, name)
-    files.write_gr(search.dense_arcs(search.expand(edges)), f"{folder}/MoGraph.gr")
-
-
 def graph(places: DataFrame, sections: DataFrame, by_locations: bool = True) -> DataFrame:
     """Edges in both directions, by neighbours on lines or by sections."""
     return network.both_directions(network.graph_by_locations(places, sections) if by_locations else network.graph_by_sections(sections, places))

@@ -244,6 +244,24 @@ def test_contamination_edges(spark):
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
 
 
+def test_merged_spans():
+    """Against a plain merge; many spans of one document take no more than linear time."""
+    rng = random.Random(3)
+    for n in (0, 1, 2, 40, 200):
+        spans = sorted((a, a + rng.randint(1, 9)) for a in rng.choices(range(300), k=n))
+        want = []
+        for a, b in spans:
+            if want and a <= want[-1][1]:
+                want[-1][1] = max(want[-1][1], b)
+            else:
+                want.append([a, b])
+        starts, ends = decontaminate.merged(np.array([a for a, _ in spans], np.int32), np.array([b for _, b in spans], np.int32))
+        assert [list(x) for x in zip(starts, ends, strict=True)] == want
+    many = np.arange(2_000_000, dtype=np.int32) * 3
+    starts, ends = decontaminate.merged(many, many + 2)
+    assert len(starts) == len(many) and (ends == many + 2).all()
+
+
 def test_contamination_of_a_large_benchmark():
     """A block of many words is small arrays; long texts are whole."""
     rng = random.Random(1)

@@ -292,6 +292,25 @@ def _scan(shipped, kind: pa.DataType, shard_words: int):
     return run
 
 
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans [starts, ends) by start, those that overlap or touch made one."""
+    if not len(starts):
+        return starts, ends
+    reach = np.maximum.accumulate(ends)
+    first = np.append(True, starts[1:] > reach[:-1])
+    return starts[first], reach[np.append(first[1:], True)]
+
+
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted spans of each row merged, in one pass over them."""
+    for batch in batches:
+        pairs = [merged(np.asarray(a.values), np.asarray(b.values)) if len(a.values) else ((), ()) for a, b in zip(batch["starts"], batch["ends"], strict=True)]
+        for name, side in (("starts", 0), ("ends", 1)):
+            at = batch.schema.get_field_index(name)
+            batch = batch.set_column(at, name, pa.array([pair[side] for pair in pairs], pa.list_(pa.int32())))
+        yield batch
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = 1 << 17, id_type: str = "long", piece_words: int = PIECE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, merged word spans [starts, ends) of all occurrences, and the items (as strings, sorted).
 
@@ -308,18 +327,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_word
     rows = docs.select(F.col("doc_id").cast(id_type).alias("row"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text") if passes > 1 else F.lit(0).cast("long")).select("row", "tag", "text")
     kind = pa.int64() if id_type == "long" else pa.string()
+    schema = f"row {id_type}, tag long, n_words long, starts array<int>, ends array<int>, items array<string>"
     found = None
     for first in range(0, blocks, BLOCKS):
         shipped = [spark.sparkContext.broadcast(block_of([(r["item"], r["words"]) for r in pieces.where(number == b).collect()], n)) for b in range(first, min(blocks, first + BLOCKS))]
-        hits = rows.mapInArrow(_scan(shipped, kind, shard_words), f"row {id_type}, tag long, n_words long, starts array<int>, ends array<int>, items array<string>")
+        hits = rows.mapInArrow(_scan(shipped, kind, shard_words), schema)
+        if passes > 1:
+            # a pass ends before the next one's blocks are made
+            hits = scratch.write(hits, f"pass-{first}")
+            for block in shipped:
+                block.unpersist()
         found = hits if found is None else found.unionByName(hits)
     if passes > 1:
         # merge the spans of a document again
         spans = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
         found = found.groupBy("row", "tag", "n_words").agg(F.count("*").alias("times"), F.array_sort(spans).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merged = F.expr(
-            "aggregate(s, cast(array() as array<struct<starts:int,ends:int>>), (acc, x) -> if(size(acc) > 0 and x.starts <= element_at(acc, -1).ends,"
-            " concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).starts as starts, greatest(element_at(acc, -1).ends, x.ends) as ends))), concat(acc, array(x))))"
-        )
-        found = found.withColumn("s", merged).withColumn("copy", F.explode(F.expr(f"sequence(1L, times div {passes})"))).select("row", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
+        found = found.withColumn("copy", F.explode(F.expr(f"sequence(1L, times div {passes})")))
+        found = found.select("row", "tag", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items").mapInArrow(_merge_spans, schema)
     return found.drop("tag").withColumnRenamed("row", "doc_id")

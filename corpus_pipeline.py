@@ -23,6 +23,21 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in docs.columns]
 
 
+def _one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """Of the rows of each key, which agree in doc_id and text, the one whose other columns come first; without the key."""
+    names = [c for c in rows.columns if c != key]
+
+    def ordered(name: str) -> Column:
+        column = F.col(quoted(name))
+        # maps have no order, their texts do
+        return F.to_json(F.struct(column)) if "map<" in rows.schema[name].dataType.simpleString() else column
+
+    others = [ordered(c) for c in names if c not in ("doc_id", "text")] or [F.lit(0)]
+    whole = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
+    first = rows.groupBy(key).agg(F.min_by(whole, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(others)])).alias("first"))
+    return first.select(*[F.col(f"first.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (a score of 0.5 or more).
 
@@ -36,7 +51,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked at 0.8 on five-word shingles, the one with the smallest doc_id.
 
-    Of rows that agree in doc_id and text one is kept, rows of one doc_id with other texts are documents of their own,
+    Of rows that agree in doc_id and text the first by its other columns is kept, rows of one doc_id with other texts are documents of their own,
     and rows without a doc_id take part and come last in a component. Texts without words are linked with nothing.
     """
     key = fresh(docs, "key")
@@ -45,7 +60,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
         found = jaccard_join.jaccard_components(rows.select(F.col("key").alias("doc_id"), "text"), k=5, num=80, den=100, id_type="string")
     named = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(rows.select("key", "doc_id"), "key")
     first = named.groupBy("component_id").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias(key)).select(key)
-    return docs.withColumn(key, _key()).join(first, key, "left_semi").dropDuplicates([key]).select(*_columns(docs))
+    return _one_of_each(docs.withColumn(key, _key()).join(first, key, "left_semi"), key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,12 @@ def test_any_table(spark, stage):
         assert sum(r["doc_id"] == 901 for r in plain) == 1 and sum(not r["text"] for r in plain) == 4
     if "shard" in stage.__name__ or "contaminated" in stage.__name__:
         assert sum(r["doc_id"] == 901 for r in plain) == 2 and sum(r["doc_id"] is None for r in plain) == 2
+
+
+def test_one_of_equal_rows(spark):
+    """Rows that agree in doc_id and text: the first by their other columns, in whatever order they come."""
+    rows = [(1, _text("a"), "fr", {"z": 1}), (1, _text("a"), "de", {"y": 2}), (1, _text("a"), "de", {"x": 3}), (2, _text("b"), None, None), (2, _text("b"), "en", None)]
+    for order in (rows, rows[::-1]):
+        found = spark.createDataFrame(order, "doc_id long, text string, lang string, `odd.name` map<string,int>").repartition(3)
+        kept = cp.keep_one_of_near_copies(spark, found, SF)
+        assert kept.columns == found.columns and sorted(tuple(r) for r in kept.collect()) == [rows[2], rows[3]]

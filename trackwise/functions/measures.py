@@ -121,7 +121,6 @@ def center(low: Column, high: Column) -> Column:
 # Addresses of map services, with {places} for numbers and texts.
 PLACE_URL = "https://brouter.de/brouter-web/#map=13/{lat}/{lon}/osm-mapnik-german_style&pois={lon},{lat},{info}"
 STRETCH_URL = "https://brouter.de/brouter-web/#map={zoom}/{mid_lat}/{mid_lon}/osm-mapnik-german_style&pois={lon},{lat};{lon2},{lat2}&profile=rail"
-STRETCH_POIS_URL = "https://brouter.de/brouter-web/#map={zoom}/{mid_lat}/{mid_lon}/osm-mapnik-german_style&pois={lon},{lat},{info};{lon2},{lat2},{info2}"
 RAILWAY_MAP_URL = "https://www.openrailwaymap.org/?lang=en&lat={lat}&lon={lon}&zoom=14&style=standard"
 OVERPASS_URL = 'https://overpass-turbo.eu/?Q=nw[railway~"stop|halt|station|signal_box"](around:1000,{lat},{lon});(._;>;);out;'
 MAP_URL = "https://www.openstreetmap.org/#map=17/{lat}/{lon}"

@@ -18,7 +18,7 @@ from . import search
 # Where the data come from.
 ENDPOINT, ONTOLOGY, REVISION = "https://data-interop.era.europa.eu/endpoint", "https://data-interop.era.europa.eu/era-vocabulary", "v3.2.0"
 #: types that listings of places leave out: private sidings and depots
-EXCLUDED = (130, 50)
+EXCLUDED = (m.OP_TYPES["private siding"], m.OP_TYPES["depot or workshop"])
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -241,7 +241,7 @@ class Folder:
         legs = paths.compact(rides.join(cheapest, keys)).withColumnRenamed("path", "sol")
         return legs.join(found.select("sol", F.col("costs")[0].alias("total_line_cost"), F.col("costs")[1].alias("total_cost")), "sol").orderBy("sol", "seq")
 
-    def osm_compare(self, country_prefix: str = "DE", types: tuple[int, ...] = (10, 70)) -> DataFrame:
+    def osm_compare(self, country_prefix: str = "DE", types: tuple[int, ...] = (m.OP_TYPES["station"], m.OP_TYPES["passenger stop"])) -> DataFrame:
         """Stations and stops of a country that have edges, with the map stations that match them."""
         ops = matching.with_edges(self.ops().where(F.col("uopid").startswith(country_prefix) & F.col("rinf_type").isin(*types)), self.edges())
         stations = self.read("OsmEntries").selectExpr("Url as url", "Railway as railway", "RailwayPrefix as prefix", "RailwayRef as code", "Latitude as lat", "Longitude as lon")

@@ -12,7 +12,7 @@ from .functions import decode
 from .functions import measures as m
 from .operators import ingest, matching, network, paths
 from .functions.geometry import centroid
-from .plans import commands, derive, mapdata, search
+from .plans import commands, derive, mapdata, rawdata, search
 from .sources import files, paged
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -658,93 +658,54 @@ def sub_graph(d):
 
 
 def _raw(d, name: str, rows: DataFrame) -> str:
-    """Rows of variables (structs of terms, null where unbound) as query-result documents, one for each page of 500; the folder."""
-    path = f"{files.shared_folder(d.spark)}/raw-{name}-{uuid.uuid4().hex}"
-    bindings = rows.select("page", F.struct(*[c for c in rows.columns if c != "page"]).alias("b"))
-    docs = bindings.groupBy("page").agg(F.to_json(F.struct(F.struct(F.array().cast("array<string>").alias("vars")).alias("head"), F.struct(F.collect_list("b").alias("bindings")).alias("results"))).alias("value"))
-    docs.write.partitionBy("page").text(path)
+    """Rows of variables as query-result documents; the folder's documents."""
+    path = rawdata.new_folder(d.spark, f"raw-{name}")
+    rawdata.write(rows, path)
     return f"{path}/*"
 
 
-def _term(value, kind: str = "literal", datatype: str | None = None):
-    out = [F.lit(kind).alias("type"), value.cast("string").alias("value")]
-    return F.struct(*out, *([F.lit(datatype).alias("datatype")] if datatype else []))
-
-
-def _number(value):
-    return _term(value, datatype=decode.XSD + "double")
-
-
-def _uri(prefix: str, value):
-    return _term(F.concat(F.lit(prefix), value.cast("string")), "uri")
-
-
 @_query("select op as uopid, name, rinf_type, op.country, line, km from rl join op on uopid = op")
 def load_operational_points(d):
-    rows = d.ops().join(d.locations().select(F.col("op").alias("uopid"), "line", "km"), "uopid").withColumn("page", F.col("k") % 16)
-    raw = rows.select(
-        "page", _term(F.col("name")).alias("opName"), _term(F.col("uopid")).alias("uopid"), _uri(decode.TYPE_PREFIXES[0] + "rinf/", F.col("rinf_type")).alias("opType"), _uri(decode.COUNTRY_PREFIXES[0], F.col("country")).alias("country"),
-        _number(F.col("lat")).alias("lat"), _number(F.col("lon")).alias("lon"), _term(F.col("line")).alias("lineId"), _number(F.col("km")).alias("kilometer"), _number(F.lit(0.0)).alias("offset"),
-    )
+    raw = rawdata.operational_points(d)
     ops, places = commands.load_operational_points(d.spark, _raw(d, "ops", raw), ["DEU"])
     return ops.join(places.select(F.col("op").alias("uopid"), "line", "km"), "uopid").select("uopid", "name", "rinf_type", "country", "line", "km")
 
 
 @_query("select section, country, line, start_op, end_op, round(length, 6) as length, speed, radius from sol join ts using (section) where passenger")
 def load_sections(d):
-    t = d.track_rows()
-    page = F.pmod(F.xxhash64("section"), F.lit(16))
-    some = lambda c, term: F.when(F.col(c).isNotNull(), term)
-    whole = lambda c: _term(F.col(c), datatype=decode.XSD + "integer")
-    tracks = t.select(
-        page.alias("page"), _uri(decode.SECTION_PREFIXES[1], F.col("section")).alias("sectionOfLine"), _uri(decode.TRACK_PREFIXES[0], F.col("track")).alias("track"), some("speed", whole("speed")).alias("maximumPermittedSpeed"),
-        some("radius", whole("radius")).alias("minimumHorizontalRadius"), some("contact", _term(F.col("contact"))).alias("contactLineSystemTypeLabel"), some("category", _uri(decode.CATEGORY_PREFIXES[0], F.col("category"))).alias("lineCategory"),
-    )
-    sections = d.raw_sections().select(
-        page.alias("page"), _uri(decode.SECTION_PREFIXES[0], F.col("section")).alias("sectionOfLine"), _number(F.col("length")).alias("length"), _term(F.col("line")).alias("lineId"), _term(F.col("start_op")).alias("startUopid"),
-        _term(F.col("end_op")).alias("endUopid"), _uri(decode.COUNTRY_PREFIXES[0], F.col("country")).alias("country"),
-    )
-    s = commands.load_sections(d.spark, _raw(d, "sections", sections), commands.load_tracks(d.spark, _raw(d, "tracks", tracks)), ["DEU", "FRA"])
+    tracks = commands.load_tracks(d.spark, _raw(d, "tracks", rawdata.tracks(d)))
+    s = commands.load_sections(d.spark, _raw(d, "sections", rawdata.sections_of_line(d)), tracks, ["DEU"])
     return s.select("section", "country", "line", "start_op", "end_op", F.round("length", 6).alias("length"), m.max_speed(F.col("tracks")).alias("speed"), m.min_radius(F.col("tracks")).alias("radius"))
 
 
 @_query("select idx || '' as tunnel, country, line, length, start_km, cast(idx % 20 as double) + 0.5e0 as start_lon from tn")
 def load_tunnels(d):
-    t = d.tunnels().withColumn("page", F.col("idx") % 16)
-    zero = _number(F.lit(0.0))
-    raw = t.select(
-        "page", _term(F.col("idx")).alias("tunnelIdentification"), _uri(decode.COUNTRY_PREFIXES[0], F.col("country")).alias("country"), _term(F.col("line")).alias("lineId"), _number(F.col("length")).alias("length"),
-        _number(F.col("start_km")).alias("startsAtKilometer"), zero.alias("startsAtOffset"), _number(F.col("start_km")).alias("endsAtKilometer"), zero.alias("endsAtOffset"), _term(F.col("wkt")).alias("wkt"),
-    )
-    return commands.load_tunnels(d.spark, _raw(d, "tunnels", raw), ["DEU"]).select("tunnel", "country", "line", "length", "start_km", "start_lon")
+    return commands.load_tunnels(d.spark, _raw(d, "tunnels", rawdata.tunnel(d)), ["DEU"]).select("tunnel", "country", "line", "length", "start_km", "start_lon")
 
 
 @_query("select url as Url, railway as Railway, prefix as RailwayPrefix, code as RailwayRef, lat as Latitude, lon as Longitude, 'node' as OsmType from st")
 def load_osm_entries(d):
-    s = d.stations().withColumn("page", F.pmod(F.xxhash64("url"), F.lit(16)))
-    uri = lambda v: _uri(decode.OSM_PREFIXES[0], v)
-    raw = s.select("page", uri(F.col("url")).alias("id"), _term(F.col("url")).alias("name"), _term(F.col("railway")).alias("railway"), _term(F.col("prefix")).alias("railway_prefix"), _term(F.col("code")).alias("railway_ref"), _number(F.col("lat")).alias("lat"), _number(F.col("lon")).alias("lng"), uri(F.lit("node")).alias("type"))
-    return commands.load_osm_entries(d.spark, _raw(d, "osm", raw)).select("Url", "Railway", "RailwayPrefix", "RailwayRef", "Latitude", "Longitude", "OsmType")
+    return commands.load_osm_entries(d.spark, _raw(d, "osm", rawdata.osm(d))).select("Url", "Railway", "RailwayPrefix", "RailwayRef", "Latitude", "Longitude", "OsmType")
 
 
 @_query("select 'r' || idx as Url, ref as Ref, wikipedia as Wikipedia from rt where idx % 2 = 0 union all select 'r' || idx, ref, wikipedia from rt where idx % 2 = 1")
 def load_osm_routes(d):
     r = d.routes().withColumn("page", F.col("idx") % 16)
     link = F.concat(F.lit("https://de.wikipedia.org/wiki/"), F.substring("wikipedia", 4, 999))
-    raw = r.select("page", "idx", _term(F.concat(F.lit("r"), "idx"), "uri").alias("id"), _term(F.col("ref")).alias("ref"), _term(F.when(F.col("wikipedia").startswith("de:"), link).otherwise(F.col("wikipedia")), "uri").alias("wikipedia"))
+    raw = r.select("page", "idx", rawdata.term(F.concat(F.lit("r"), "idx"), "uri").alias("id"), rawdata.term(F.col("ref")).alias("ref"), rawdata.term(F.when(F.col("wikipedia").startswith("de:"), link).otherwise(F.col("wikipedia")), "uri").alias("wikipedia"))
     parts = [_raw(d, f"routes{i}", raw.where(f"idx % 2 = {i}").drop("idx")).removesuffix("/*") for i in (0, 1)]
     return commands.load_osm_routes(d.spark, [*parts, f"{parts[0]}-missing"]).drop("idx")
 
 
 @_query("select 'C' || n_nationkey as code, n_name as label from nation")
 def load_countries(d):
-    n = d.table("nation").select(F.lit(0).alias("page"), _uri(decode.COUNTRY_PREFIXES[0], F.concat(F.lit("C"), "n_nationkey")).alias("country"), _term(F.col("n_name")).alias("label"))
+    n = d.table("nation").select(F.lit(0).alias("page"), rawdata.uri(decode.COUNTRY_PREFIXES[0], F.concat(F.lit("C"), "n_nationkey")).alias("country"), rawdata.term(F.col("n_name")).alias("label"))
     return commands.load_countries(d.spark, _raw(d, "countries", n))
 
 
 @_query("select n_name as label, n_name || '!' as definition, n_nationkey as value from nation")
 def load_op_types(d):
-    n = d.table("nation").select(F.lit(0).alias("page"), _term(F.col("n_nationkey")).alias("n"), _term(F.col("n_name")).alias("l"), _term(F.concat("n_name", F.lit("!"))).alias("d"))
+    n = d.table("nation").select(F.lit(0).alias("page"), rawdata.term(F.col("n_nationkey")).alias("n"), rawdata.term(F.col("n_name")).alias("l"), rawdata.term(F.concat("n_name", F.lit("!"))).alias("d"))
     return commands.load_op_types(d.spark, _raw(d, "types", n))
 
 
@@ -793,7 +754,7 @@ def result_pages(d):
     """Pages of three countries read by the data source, of which two are asked for."""
     k = F.col("k")
     code = F.when(k % 3 == 0, "FRA").when(k % 3 == 1, "DEU").otherwise("AUT")
-    raw = d.ops().select((k % 16).alias("page"), _uri(decode.COUNTRY_PREFIXES[0], code).alias("country"), _term(k).alias("k"))
+    raw = d.ops().select((k % 16).alias("page"), rawdata.uri(decode.COUNTRY_PREFIXES[0], code).alias("country"), rawdata.term(k).alias("k"))
     rows = paged.read_pages(d.spark, _raw(d, "pages", raw).removesuffix("/*"), ["DEU", "FRA"])
     return rows.groupBy("page", "country").agg(F.count("*").alias("n"), F.sum(F.col("b")["k"]["value"].cast("long")).alias("keys"))
 
@@ -803,6 +764,127 @@ def null_defaults(d):
     return d.table("nation").select("n_nationkey", F.coalesce(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("r"), "n_nationkey")), F.lit("none")).alias("text"))
 
 
+#: as the derived tables, of passenger sections alone: what a build keeps
+_PASSENGER = derive.SQL.replace("left join sol on sol.line", "left join (select sol.* from sol join ts using (section) where passenger) sol on sol.line")
+
+
+def _whole_build(sql: str) -> str:
+    return f"with {_PASSENGER} {sql}"
+
+
+def _built_query(sql: str):
+    """A query over a folder that is built from raw results, with SQL over passenger sections."""
+
+    def add(f):
+        Q[f.__name__] = lambda spark, sf_dir: f(derive.Derived(spark, sf_dir))
+        SQL[f.__name__] = sql if sql.startswith("with recursive") else _whole_build(sql)
+        return f
+
+    return add
+
+
+_NETWORK = "OperationalPoints;SectionsOfLines;OpInfos;Graph"
+
+
+@_built_query("select src, dst, line, country, cost, length, speed, electrified, start_km, end_km from eg")
+def built_graph(d):
+    """The graph of one country of two, from raw results by way of the data sets."""
+    return rawdata.built(d, _NETWORK).edges()
+
+
+@_built_query("""select src, dst, line, country, cost, speed, electrified, start_km, end_km from (
+  select start_op as src, end_op as dst, line, country, greatest(cast(floor(10000e0 * (round_even(length, 2) / ts.speed)) as bigint), 1) as cost, ts.speed as speed, ts.electrified as electrified, start_km, end_km from sol join ts using (section) where passenger
+  union all select end_op, start_op, line, country, greatest(cast(floor(10000e0 * (round_even(length, 2) / ts.speed)) as bigint), 1), ts.speed, ts.electrified, end_km, start_km from sol join ts using (section) where passenger)""")
+def built_graph_by_sections(d):
+    """The other form of the graph."""
+    return rawdata.built(d, _NETWORK, by_locations=False).edges().drop("length")
+
+
+@_built_query("select * from (with x as (select 1)" + _LINE_SQL + """ select country, line, lq.name, lq.length, lq.start_km, lq.end_km, n_ops, coalesce(t.tunnels, '') as tunnels, coalesce(t.total, 0) as tunnel_length from lq
+  left join (select line, string_agg(idx, ',' order by start_km, idx || '') as tunnels, round(sum(length / 1000), 6) as total from tn group by line) t using (line))""")
+def built_lines(d):
+    """Lines with their points and tunnels, and the length of these."""
+    f = rawdata.built(d, _NETWORK + ";Tunnels;TunnelInfos;LineInfos")
+    total = f.tunnels().groupBy("country", "line").agg(F.round(F.sum("length"), 6).alias("tunnel_length"))
+    lines = f.lines().join(total, ["country", "line"], "left")
+    length = f.read("LineInfos").selectExpr("Country as country", "Line as line", "Length as length")
+    return lines.join(length, ["country", "line"]).select("country", "line", "name", "length", "start_km", "end_km", F.size("uopids").cast("long").alias("n_ops"), F.array_join("tunnels", ",").alias("tunnels"), F.coalesce("tunnel_length", F.lit(0.0)).alias("tunnel_length"))
+
+
+@_built_query("select distinct country as code, case country when 'DEU' then 'Germany' else 'France' end as label, n from (select country, count(*) as n from (select k, country from op where k in (select k from rl) union all select k, 'FRA' from op where k in (select k from rl) and k % 4 = 0) group by country)")
+def built_metadata(d):
+    """The countries that a build without a choice has found, by name, with their points."""
+    f = rawdata.built(d, "OperationalPoints;Metadata", countries="")
+    said = f.read("Metadata").select(F.explode("CountriesPrefLabel").alias("label")).join(files.countries(d.spark).withColumnsRenamed({"Code": "code", "Label": "label"}), "label")
+    counts = f.read("OperationalPoints").groupBy(F.col("Country").alias("code")).agg(F.count("*").alias("n"))
+    return said.join(counts, "code").select("code", "label", "n")
+
+
+_STOPS = f"select op.uopid, op.name, op.lat as op_lat, op.lon as op_lon, ma.url, ma.railway, ma.prefix, ma.distance, ma.lat, ma.lon from op join ma using (uopid) where op.rinf_type in (10, 70) and exists (select 1 from eg where src = op.uopid)"
+
+
+@_built_query(f"select uopid, url, railway, prefix, distance, lat, lon from (with {_MS} {_STOPS})")
+def built_matchings(d):
+    """Stations and stops with their map stations, written to the folder and read from there."""
+    f = rawdata.built(d, _NETWORK + ";OsmEntries")
+    f.osm_matchings()
+    return f.read("RInfOsmMatchings").selectExpr("UOPID as uopid", "OsmUrl as url", "OsmRailwayTag as railway", "OsmRailwayTagPrefix as prefix", "Distance as distance", "Latitude as lat", "Longitude as lon")
+
+
+@_built_query(f"""select s.uopid, s.name, (select min(b.uopid) from op b where b.lat = s.op_lat and b.lon = s.op_lon and b.uopid <> s.uopid) as same_location, 'https://www.openstreetmap.org/#map=17/' || s.op_lat || '/' || s.op_lon as map_url
+ from (with {_MS} {_STOPS} and (ma.distance is null or ma.distance >= 1)) s""")
+def built_report(d):
+    """Stations and stops without a valid match."""
+    return rawdata.built(d, _NETWORK + ";OsmEntries").osm_report().select("uopid", "name", "same_location", "map_url")
+
+
+@_built_query(f"""with recursive {_PASSENGER}, {_RP}{_LINE_SQL}, lt as (select line, min(name) as text from lq group by line)
+ select leg, seq, rp.src, rp.dst, rp.line, cost, a.name as from_name, b.name as to_name, lt.text as line_text from rp join op a on a.uopid = rp.src join op b on b.uopid = rp.dst left join lt on lt.line = rp.line where path = 'DE00000'""")
+def built_route(d):
+    """A route by way of a point, with the names of points and lines."""
+    f = rawdata.built(d, _NETWORK + ";Tunnels;TunnelInfos;LineInfos")
+    return f.route_elements("DE00001;DE00007;DE00000").select("leg", "seq", "src", "dst", "line", "cost", "from_name", "to_name", "line_text")
+
+
+@_query("select 'r' || idx as Url, ref as Ref, wikipedia as Wikipedia from rt")
+def rows_of_routes(d):
+    """Documents of rows without names."""
+    r = d.routes().groupBy((F.col("idx") % rawdata.PAGES).alias("page")).agg(F.collect_list(F.array(F.concat(F.lit("r"), "idx"), "ref", "wikipedia")).alias("res"))
+    path = rawdata.new_folder(d.spark, "rows")
+    r.select("page", F.to_json(F.struct(F.lit("routes").alias("query"), "res")).alias("value")).write.partitionBy("page").text(path)
+    return commands.load_rows_of_routes(d.spark, path)
+
+
+@_query(_recursive(f"{_PF}, so as (select node, runs, cost, row_number() over (partition by node order by runs) as sol from fr) select node as target, cast(sol as integer) as sol, cast(runs as bigint) as legs, cost from so where runs > 0"))
+def pareto_legs(d):
+    """The rides of all Pareto-optimal routes: one for each boarding, their costs added up."""
+    edges = d.edges()
+    legs = search.route_legs(search.pareto_routes(edges, _questions(d)), edges)
+    return legs.groupBy("target", "sol").agg(F.count("*").alias("legs"), F.sum("cost").cast("long").alias("cost"))
+
+
+@_query(_recursive(f"""{_PF}, so as (select node as question, cost, row_number() over w as sol, count(*) over (partition by node) as n, last_value(cost) over (partition by node order by runs rows between unbounded preceding and unbounded following) as z from fr window w as (partition by node order by runs))
+ select question, cast(sol as integer) as sol, cost from so where sol = case when n <= 2 then 1 else (select min(i.sol) from so i where i.question = so.question and i.cost <= so.z * 1.2e0) end"""))
+def pareto_tolerance(d):
+    """Of the Pareto-optimal routes to each point the one for a tolerance of 20 percent."""
+    front = search.pareto_routes(d.edges(), _questions(d)).select(F.col("target").alias("question"), "sol", F.col("costs")[1].alias("cost"))
+    return search.choose_solution(front, 20.0)
+
+
+@_query(_recursive(f"{_PF} select cast(row_number() over (order by runs) - 1 as integer) as sol, cast(20 * runs as bigint) as line_cost, cost as distance_cost from fr where node = 'DE00007'"))
+def pareto_gr(d):
+    """All solutions between two nodes of the graph text, found by the general search."""
+    arcs = search.expand(d.edges())
+    path = rawdata.new_folder(d.spark, "gr")
+    files.write_gr(search.dense_arcs(arcs), path)
+    names = arcs.select(F.col("tail").alias("n")).union(arcs.select("head")).distinct()
+    ids = names.agg(F.count_if(F.col("n") < "DE00001").alias("a"), F.count_if(F.col("n") < "DE00007").alias("b")).first()
+    found = search.search_gr(d.spark, path, ids["a"], ids["b"], None)
+    ends = found.groupBy("sol").agg(F.max_by("costs", "seq").alias("c"))
+    return ends.select((F.col("sol") - 1).cast("int").alias("sol"), F.col("c")[0].alias("line_cost"), F.col("c")[1].alias("distance_cost"))
+
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compact form of the shortest routes from the first operational point."""
     d = derive.Derived(spark, sf_dir)

@@ -232,13 +232,7 @@ class Folder:
         """(sol, line_cost, cost, seq, ...): compacted routes, none worse than another in changes of line and in cost; the first ``most`` of them, or all (None)."""
         edges = self.edges()
         found = files.cut(search.pareto_routes(edges, self.spark.range(1).select(F.lit(source).alias("source"), F.lit(target).alias("target")), most))
-        steps = found.select("sol", F.posexplode("nodes").alias("at", "node")).withColumn("next", F.lead("node").over(Window.partitionBy("sol").orderBy("at")))
-        a, b = m.mo_node_parts(F.col("node")), m.mo_node_parts(F.col("next"))
-        rides = steps.where(a.isNotNull() & b.isNotNull()).select("sol", F.col("at").alias("seq"), F.split("node", "/").alias("a"), F.split("next", "/")[0].alias("dst"))
-        rides = rides.select(F.col("sol").alias("path"), "seq", F.col("a")[0].alias("src"), "dst", F.col("a")[1].alias("country"), F.col("a")[2].alias("line"))
-        keys = ["src", "dst", "country", "line"]
-        cheapest = edges.groupBy(*keys).agg(F.min_by(F.struct("cost", "length", "speed", "electrified", "start_km", "end_km"), F.struct("cost", "length")).alias("e")).select(*keys, "e.*")
-        legs = paths.compact(rides.join(cheapest, keys)).withColumnRenamed("path", "sol")
+        legs = search.route_legs(found, edges).drop("source", "target")
         return legs.join(found.select("sol", F.col("costs")[0].alias("total_line_cost"), F.col("costs")[1].alias("total_cost")), "sol").orderBy("sol", "seq")
 
     def osm_compare(self, country_prefix: str = "DE", types: tuple[int, ...] = (m.OP_TYPES["station"], m.OP_TYPES["passenger stop"])) -> DataFrame:

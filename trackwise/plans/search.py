@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import measures as m
 from ..operators import paths
 from ..sources.files import cut, drop_cut, read_gr
 
@@ -451,6 +452,21 @@ def pareto_routes(edges: DataFrame, questions: DataFrame, most: int | None = Non
     return ways.select("id.*", F.element_at("w", -1)["costs"].alias("costs"), F.transform("w", lambda x: x["node"]).alias("nodes"), F.transform("w", lambda x: x["costs"]).alias("trail"))
 
 
+def route_legs(solutions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Solutions of ``pareto_routes`` -> (source, target, sol, seq, src, dst, line, ...): what is ridden, runs of one line as one edge.
+
+    Boarding and alighting are no rows, so a solution from a point to itself has none; a hop is the cheapest edge of its line.
+    """
+    hop = F.expr("transform(sequence(2, greatest(size(nodes), 2)), i -> struct(i - 1 as at, nodes[i - 2] as a, get(nodes, i - 1) as b))")
+    steps = solutions.select(F.struct("source", "target", "sol").alias("path"), F.inline(hop))
+    a, b = m.mo_node_parts(F.col("a")), m.mo_node_parts(F.col("b"))
+    rides = steps.where(a.isNotNull() & b.isNotNull()).select("path", F.col("at").alias("seq"), a["op"].alias("src"), b["op"].alias("dst"), a["country"].alias("country"), a["line"].alias("line"))
+    keys = ["src", "dst", "country", "line"]
+    cheapest = edges.groupBy(*keys).agg(F.min_by(F.struct("cost", "length", "speed", "electrified", "start_km", "end_km"), F.struct("cost", "length")).alias("e")).select(*keys, "e.*")
+    legs = paths.compact(rides.join(cheapest, keys))
+    return legs.select("path.*", *[c for c in legs.columns if c != "path"])
+
+
 def choose_solution(front: DataFrame, percent: float) -> DataFrame:
     """Of each question's solutions (question, sol, cost): the one for a tolerance. Solutions are in ascending line cost."""
     by = Window.partitionBy("question")

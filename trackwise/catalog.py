@@ -820,7 +820,7 @@ def built_metadata(d):
     return said.join(counts, "code").select("code", "label", "n")
 
 
-_STOPS = f"select op.uopid, op.name, op.lat as op_lat, op.lon as op_lon, ma.url, ma.railway, ma.prefix, ma.distance, ma.lat, ma.lon from op join ma using (uopid) where op.rinf_type in (10, 70) and exists (select 1 from eg where src = op.uopid)"
+_STOPS = "select op.uopid, op.name, op.lat as op_lat, op.lon as op_lon, ma.url, ma.railway, ma.prefix, ma.distance, ma.lat, ma.lon from op join ma using (uopid) where op.rinf_type in (10, 70) and exists (select 1 from eg where src = op.uopid)"
 
 
 @_built_query(f"select uopid, url, railway, prefix, distance, lat, lon from (with {_MS} {_STOPS})")
@@ -871,17 +871,14 @@ def pareto_tolerance(d):
     return search.choose_solution(front, 20.0)
 
 
-@_query(_recursive(f"{_PF} select cast(row_number() over (order by runs) - 1 as integer) as sol, cast(20 * runs as bigint) as line_cost, cost as distance_cost from fr where node = 'DE00007'"))
-def pareto_gr(d):
-    """All solutions between two nodes of the graph text, found by the general search."""
-    arcs = search.expand(d.edges())
-    path = rawdata.new_folder(d.spark, "gr")
-    files.write_gr(search.dense_arcs(arcs), path)
-    names = arcs.select(F.col("tail").alias("n")).union(arcs.select("head")).distinct()
-    ids = names.agg(F.count_if(F.col("n") < "DE00001").alias("a"), F.count_if(F.col("n") < "DE00007").alias("b")).first()
-    found = search.search_gr(d.spark, path, ids["a"], ids["b"], None)
-    ends = found.groupBy("sol").agg(F.max_by("costs", "seq").alias("c"))
-    return ends.select((F.col("sol") - 1).cast("int").alias("sol"), F.col("c")[0].alias("line_cost"), F.col("c")[1].alias("distance_cost"))
+@_query(f"""select 'out' as way, tail as node, row_number() over (partition by tail order by arc_id) - 1 as place, head as other, arc_id as arc, line_cost, distance_cost from ({_ARCS})
+ union all select 'in', head, row_number() over (partition by head order by arc_id) - 1, tail, arc_id, line_cost, distance_cost from ({_ARCS})""")
+def packed_arcs(d):
+    """The arcs out of all nodes and into them, read from packed arrays."""
+    arcs = search.dense_arcs(search.expand(d.edges()))
+    both = {"out": search.pack(arcs), "in": search.pack(search.turned(arcs))}
+    read = [p.arcs_of(p.numbers()).withColumn("way", F.lit(way)) for way, p in both.items()]
+    return read[0].unionByName(read[1]).select("way", "node", "place", "other", "arc", F.col("costs")[0].alias("line_cost"), F.col("costs")[1].alias("distance_cost"))
 
 
 

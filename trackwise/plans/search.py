@@ -13,6 +13,7 @@ import heapq
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -364,6 +365,67 @@ def reverse_index(arcs: DataFrame) -> DataFrame:
     return placed.where(F.when(ok, True).otherwise(F.raise_error(F.lit("an arc is out of range")).cast("boolean")))
 
 
+@dataclass(frozen=True)
+class Packed:
+    """Arcs as arrays, to be read by node without a search through all arcs.
+
+    nodes (chunk, first, degree): of ``size`` consecutive nodes where the arcs of each begin and how many there are; arcs
+    (chunk, other, arc, costs): of ``size`` consecutive arcs the node at the other end, the number, the costs. No row holds
+    more than ``size`` of them, however many arcs a node has: these go on in the next rows.
+    """
+
+    nodes: DataFrame
+    arcs: DataFrame
+    size: int
+
+    def numbers(self) -> DataFrame:
+        """(node): all nodes."""
+        return self.nodes.select(F.posexplode("first").alias("i", "first"), "chunk").select((F.col("chunk") * self.size + F.col("i")).alias("node"))
+
+    def arcs_of(self, asked: DataFrame) -> DataFrame:
+        """asked (node) -> (node, place, other, arc, costs): the arcs of each, counted from 0; unknown and null nodes have none."""
+        size, c = F.lit(self.size).cast("long"), F.col
+        asked = asked.select(c("node").cast("long").alias("node")).distinct().withColumn("chunk", F.floor(c("node") / size))
+        i = (c("node") - c("chunk") * size).cast("int")
+        found = asked.join(self.nodes, "chunk").select("node", F.get("first", i).alias("first"), F.get("degree", i).alias("degree")).where("degree > 0")
+        rows = found.withColumn("chunk", F.explode(F.sequence(F.floor(c("first") / size), F.floor((c("first") + c("degree") - 1) / size))))
+        begin = F.greatest(c("first") - c("chunk") * size, F.lit(0).cast("long"))
+        end = F.least(c("first") + c("degree") - c("chunk") * size, size)
+        part = F.slice(F.arrays_zip("other", "arc", "costs"), (begin + 1).cast("int"), (end - begin).cast("int"))
+        read = rows.join(self.arcs, "chunk").select("node", (c("chunk") * size + begin - c("first")).alias("before"), F.posexplode(part).alias("at", "x"))
+        return read.select("node", (c("before") + c("at")).alias("place"), "x.other", "x.arc", "x.costs")
+
+
+def turned(arcs: DataFrame) -> DataFrame:
+    """arcs (arc_id, tail, head, costs) from head to tail, in the order of heads, with the number they had as ``arc``."""
+    back = _dense(arcs.select("head", "arc_id", "tail", "costs"), ["head", "arc_id"], "id")
+    return back.select(F.col("id").alias("arc_id"), F.col("head").alias("tail"), F.col("tail").alias("head"), "costs", F.col("arc_id").alias("arc"))
+
+
+def pack(arcs: DataFrame, size: int = 1024) -> Packed:
+    """arcs (arc_id, tail, head, costs) as of ``dense_arcs`` or ``turned``: numbers from 0 without gaps, arcs in the order of tails, else it is an error."""
+    arcs = arcs if "arc" in arcs.columns else arcs.withColumn("arc", F.col("arc_id"))
+    chunk = lambda number: F.floor(F.col(number) / F.lit(size))
+
+    def whole(number: str) -> Column:
+        """Whether a chunk's rows begin where it does and have all numbers to the last."""
+        r = F.col("r")
+        return (r[0][number] == F.col("chunk") * size) & (F.element_at(r, -1)[number] - r[0][number] == F.size(r) - 1)
+
+    def checked(rows: DataFrame, ok: Column, *columns: Column) -> DataFrame:
+        return cut(rows.where(F.when(ok, True).otherwise(F.raise_error(F.lit("numbers of nodes or arcs have gaps, or arcs aren't in the order of tails")).cast("boolean"))).select("chunk", *columns))
+
+    ends = arcs.select(F.col("tail").alias("node")).union(arcs.select("head")).distinct()
+    spans = arcs.groupBy(F.col("tail").alias("node")).agg(F.min("arc_id").alias("first"), F.max("arc_id").alias("last"), F.count("*").alias("degree"))
+    zero = F.lit(0).cast("long")
+    known = ends.join(spans, "node", "left").select("node", F.coalesce("first", zero).alias("first"), F.coalesce("degree", zero).alias("degree"), F.coalesce(F.col("last") - F.col("first") + 1, zero).alias("width"))
+    nodes = known.groupBy(chunk("node").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("node", "first", "degree", "width"))).alias("r"))
+    rows = arcs.groupBy(chunk("arc_id").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("arc_id", "head", "arc", "costs"))).alias("r"))
+    together = F.forall("r", lambda x: x["width"] == x["degree"])
+    of = lambda name: F.col(f"r.{name}")
+    return Packed(checked(nodes, whole("node") & together, of("first"), of("degree")), checked(rows, whole("arc_id"), of("head").alias("other"), of("arc"), of("costs")), size)
+
+
 def _ride(arcs, starts) -> dict[str, tuple[int, str]]:
     """Cheapest cost to each node along one line's arcs (src, dst, cost), boarding it at any of the starts (cost, node), and where."""
     out = defaultdict(list)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackwise.functions.decode import COUNTRY_PREFIXES
+from trackwise.plans import rawdata
 from trackwise.sources import files, paged
 
 
@@ -80,3 +81,19 @@ def test_many_documents_in_a_page(spark, tmp_path):
     (tmp_path / "p4.json").write_text(f"{doc}\n{doc}\n")
     got = paged.read_pages(spark, str(tmp_path))
     assert got.agg(F.count("*"), F.count_distinct("binding_idx"), F.max("binding_idx"), F.max("page")).first() == (3000, 3000, 2999, 4)
+
+
+def test_documents_are_bounded(spark, tmp_path):
+    """A page of many rows is several documents, a reader of which holds one at a time; none is lost, and both readers find the page."""
+    path = f"file://{tmp_path}/raw"
+    text = F.when(F.col("id") % 3 > 0, rawdata.term(F.concat(F.lit('a "quoted"\nline '), F.col("id").cast("string"))))
+    rows = spark.range(0, 5000, 1, 3).select((F.col("id") % 2).alias("page"), rawdata.term(F.col("id")).alias("k"), text.alias("t"))
+    rows = rows.unionByName(rows.where("k.value = '7'"))
+    texts = rows.select("page", F.to_json(F.struct("k", "t")).alias("value"))
+    rawdata.write_documents(texts, path, '{"results":{"bindings":[', "]}}", rows=200)
+    sizes = files.read_bindings(spark, path).groupBy("file").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    assert 20 <= sizes.n <= 28 and sizes.most < 400
+    got = files.read_bindings(spark, path).select(F.col("b")["k"]["value"].cast("long").alias("k"), F.try_element_at("b", F.lit("t"))["value"].alias("t")).collect()
+    assert sorted((r.k, r.t) for r in got) == sorted((n, f'a "quoted"\nline {n}' if n % 3 else None) for n in [*range(5000), 7])
+    paged_rows = paged.read_pages(spark, path).groupBy("page").agg(F.count("*").alias("n")).collect()
+    assert sorted((r.page, r.n) for r in paged_rows) == [(0, 2500), (1, 2501)]

@@ -25,8 +25,7 @@ ignored, whatever their names, unless they are asked for.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,19 +118,29 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -50, 50)))
 
 
-def word_vectors(tokens: list[list[str]], most: int, least: int = 3) -> tuple[dict[str, int], np.ndarray]:
+def numbered(texts: Iterable[str | None]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """All tokens of the texts by number, in the order they are met, and each text as numbers: no text's tokens are kept as words."""
+    numbers: dict[str, int] = {}
+    return numbers, [np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokenize(text)), np.int32) for text in texts]
+
+
+def word_vectors(texts: Iterable[str | None], most: int, least: int = 3) -> tuple[dict[str, int], np.ndarray]:
     """Vocabulary (shapes included) and vectors: own index vector plus the mean of the neighbours'."""
-    counts = Counter(t for doc in tokens for t in doc)
-    known = [t for t, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c >= least][:most]
+    numbers, docs = numbered(texts)
+    counts = np.zeros(len(numbers), np.int64)
+    for doc in docs:
+        np.add.at(counts, doc, 1)
+    known = [t for t, c in sorted(zip(numbers, counts.tolist(), strict=True), key=lambda x: (-x[1], x[0])) if c >= least][:most]
     vocabulary = {"\0": 0, AGAIN: 1}
     for t in known:
         vocabulary.setdefault(t, len(vocabulary))
-    for t in sorted({_shape(t) for t in counts}):
+    for t in sorted({_shape(t) for t in numbers}):
         vocabulary.setdefault(t, len(vocabulary))
+    place = np.array([i if (i := vocabulary.get(t)) is not None else vocabulary[_shape(t)] for t in numbers], np.int64)
     index = np.stack([index_vector(t) for t in vocabulary])
     context, seen = np.zeros_like(index), np.zeros(len(vocabulary), np.float32)
-    for doc in tokens:
-        ids = np.array([i if (i := vocabulary.get(t)) is not None else vocabulary[_shape(t)] for t in doc], np.int64)
+    for doc in docs:
+        ids = place[doc]
         for gap in (1, 2):
             for a, b in ((ids[:-gap], ids[gap:]), (ids[gap:], ids[:-gap])):
                 np.add.at(context, a, index[b] / gap)
@@ -177,8 +186,7 @@ def fit_model(texts: list[str | None], labels: list[int], positives: int, negati
         return QualityModel({"\0": 0}, np.zeros((1, WIDTH), np.float32), None, 1.0, prior)
     fit = np.arange(len(y)) % 4 != 3
     fit |= len(set(y[fit])) < 2
-    tokens = [tokenize(t) for t in texts]
-    vocabulary, vectors = word_vectors([t for t, f in zip(tokens, fit, strict=True) if f], words)
+    vocabulary, vectors = word_vectors((t for t, f in zip(texts, fit, strict=True) if f), words)
     model = QualityModel(vocabulary, vectors, None, 1.0, prior)
     x = model.features(texts, {})
     share = np.where(y > 0.5, prior / max(1e-9, (y > 0.5).mean()), (1 - prior) / max(1e-9, (y < 0.5).mean()))

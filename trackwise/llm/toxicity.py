@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +51,10 @@ LEXICONS = (
 MINED, PATTERNS = 8, 4
 VOTERS = len(LEXICONS) + MINED + PATTERNS
 _WRITTEN = {word: 1 << i for i, line in enumerate(LEXICONS) for word in line.split()}
-SHOUT, RUN, LONG, ADDRESS = re.compile(r"\b[A-ZÄÖÜÉÈÀÑ]{4,}\b"), re.compile(r"[!?]{2,}"), re.compile(r"([^\W\d_])\1\1\1"), re.compile(r"\b(?:you|your|du|dein|tu|ton|eres|tú)\s+(?:are\s+|bist\s+|es\s+)?(?:a\s+|an\s+|ein\s+|une?\s+)?([^\W\d_]+)", re.IGNORECASE)
+# Expressions begin with a set of characters, which the engine looks for first.
+SHOUT, RUN, LONG, ADDRESS = re.compile(r"[A-ZÄÖÜÉÈÀÑ](?<!\w.)[A-ZÄÖÜÉÈÀÑ]{3,}\b"), re.compile(r"[!?][!?]+"), re.compile(r"([^\W\d_])\1\1\1"), re.compile(r"\b(?:you|your|du|dein|tu|ton|eres|tú)\s+(?:are\s+|bist\s+|es\s+)?(?:a\s+|an\s+|ein\s+|une?\s+)?([^\W\d_]+)", re.IGNORECASE)
+
+_LOG1P = np.log1p(np.arange(1000)).tolist()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,11 +70,16 @@ def words_of(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def patterns(text: str | None, words: Counter) -> list[int]:
-    """How often: shouted words, runs of marks, drawn-out letters, someone addressed with a word of a written lexicon."""
+def drawn_out(text: str | None, words: bool) -> bool:
+    """Whether a text may have a drawn-out letter; words: whether a lower-case word of it has one, which but for two letters says it."""
+    return words or "İ" in (text or "") or "Σ" in (text or "")
+
+
+def patterns(text: str | None, words: Iterable[str], drawn: bool = True) -> list[int]:
+    """How often: shouted words, runs of marks, drawn-out letters (if there may be any), someone addressed with a word of a written lexicon."""
     text = text or ""
-    addressed = sum(m[1].lower() in _WRITTEN for m in ADDRESS.finditer(text)) if any(w in words for w in _WRITTEN) else 0
-    return [len(SHOUT.findall(text)), len(RUN.findall(text)), len(LONG.findall(text)), addressed]
+    addressed = sum(m[1].lower() in _WRITTEN for m in ADDRESS.finditer(text)) if not _WRITTEN.keys().isdisjoint(words) else 0
+    return [len(SHOUT.findall(text)), len(RUN.findall(text)), len(LONG.findall(text)) if drawn else 0, addressed]
 
 
 @dataclass
@@ -87,15 +95,17 @@ class Voters:
         return bits
 
     def mask(self, text: str | None, seen: dict[str, int]) -> int:
-        words, out = words_of(text), 0
+        words, out = set(WORD.findall((text or "").lower())), 0
         for word in words:
             bits = seen.get(word)
             if bits is None:
                 if len(seen) > 200_000:
                     seen.clear()
-                bits = seen[word] = self.of_word(word)
+                # a bit behind the voters says that the word has a drawn-out letter
+                bits = seen[word] = self.of_word(word) | (LONG.search(word) is not None) << VOTERS
             out |= bits
-        for i, n in enumerate(patterns(text, words)):
+        out, drawn = out & ((1 << VOTERS) - 1), drawn_out(text, out >> VOTERS > 0)
+        for i, n in enumerate(patterns(text, words, drawn)):
             out |= (n > 0) << (len(LEXICONS) + MINED + i)
         return out
 
@@ -273,12 +283,14 @@ class ToxicityModel:
             if known is None:
                 if len(seen) > 200_000:
                     seen.clear()
-                known = seen[word] = tuple(s for s in stems(word) if s in self.weights)
+                # no stem is empty: that is for a drawn-out letter
+                known = seen[word] = (*(s for s in stems(word) if s in self.weights), *([""] if LONG.search(word) else []))
             for s in known:
                 counts[s] += n
+        drawn = drawn_out(text, counts.pop("", 0) > 0)
         for s in sorted(counts):
-            total += self.weights[s] * np.log1p(counts[s])
-        total += float(self.pattern @ np.log1p(patterns(text, words))) if self.weights or self.bias else 0.0
+            total += self.weights[s] * (_LOG1P[counts[s]] if counts[s] < len(_LOG1P) else float(np.log1p(counts[s])))
+        total += float(self.pattern @ np.log1p(patterns(text, words, drawn))) if self.weights or self.bias else 0.0
         return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
 

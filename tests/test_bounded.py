@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from trackwise import catalog
+from trackwise.functions.geometry import centroid
 from trackwise.plans import mapdata as md
 from trackwise.plans import search
 
@@ -81,3 +83,11 @@ def test_routes_of_one_item_are_not_compared(spark):
     assert sorted(map(tuple, found.collect())) == sorted((s, r, f"de:{t}") for s, t in (("r1", "X"), ("r2", "X"), ("r2", "Y")) for r in "AB")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find("Union") < plan.find("Aggregate")
+
+
+def test_centroids_are_dealt_to_tasks(spark):
+    """One small file isn't one task, and the first point of a text isn't looked for at each of its points."""
+    found = catalog.queries()["osm_centroids"](spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+    looked_for = spark.range(1).select(centroid(F.concat(F.lit("POINT(1 "), "id", F.lit(")"))))._jdf.queryExecution().analyzed().toString()
+    assert looked_for.count("flatten(namedlambda") <= 1 < looked_for.count("namedlambda")

@@ -62,14 +62,15 @@ def centroid(wkt: Column) -> Column:
     lists = F.transform(parts, lambda part: F.transform(F.regexp_extract_all(part, F.lit(r"[^()]*[0-9][^()]*"), F.lit(0)), _points))
 
     def centre(shape: Column) -> Column:
-        origin = F.try_element_at(F.flatten(shape["lists"]), F.lit(1))[0]
-        rings = F.flatten(F.transform(shape["lists"], lambda part: F.transform(part, lambda ring, i: _ring(ring, shape["d"] == 2, i > 0, origin))))
+        rings = F.flatten(F.transform(shape["lists"], lambda part: F.transform(part, lambda ring, i: _ring(ring, shape["d"] == 2, i > 0, shape["origin"]))))
 
         def at(m: Column) -> Column:
-            by = lambda w: F.struct((origin["x"] + m[w + "x"] / m[w]).alias("lon"), (origin["y"] + m[w + "y"] / m[w]).alias("lat"))
+            by = lambda w: F.struct((shape["origin"]["x"] + m[w + "x"] / m[w]).alias("lon"), (shape["origin"]["y"] + m[w + "y"] / m[w]).alias("lat"))
             found = F.when((shape["d"] == 2) & (m["a"] > 0), by("a")).when((shape["d"] >= 1) & (m["l"] > 0), by("l")).when(m["n"] > 0, by("n"))
-            return F.when(found["lon"].isNotNull() & found["lat"].isNotNull(), found)
+            return _let(found, lambda f: F.when(f["lon"].isNotNull() & f["lat"].isNotNull(), f))
 
         return _let(_sum(rings), at)
 
-    return F.when(dimension.isNotNull(), _let(F.struct(lists.alias("lists"), dimension.alias("d")), centre))
+    # the first point is found once for a text, not again for each of its points
+    first = lambda of: F.struct(of.alias("lists"), F.try_element_at(F.flatten(of), F.lit(1))[0].alias("origin"), dimension.alias("d"))
+    return F.when(dimension.isNotNull(), _let(_let(lists, first), centre))

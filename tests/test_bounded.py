@@ -11,6 +11,7 @@ from trackwise import catalog
 from trackwise.functions.geometry import centroid
 from trackwise.plans import mapdata as md
 from trackwise.plans import search
+from trackwise.sources import files
 
 EDGE = "src string, dst string, country string, line string, cost long"
 
@@ -91,3 +92,12 @@ def test_centroids_are_dealt_to_tasks(spark):
     assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
     looked_for = spark.range(1).select(centroid(F.concat(F.lit("POINT(1 "), "id", F.lit(")"))))._jdf.queryExecution().analyzed().toString()
     assert looked_for.count("flatten(namedlambda") <= 1 < looked_for.count("namedlambda")
+
+
+def test_written_tables_are_dealt_to_tasks_by_size(spark):
+    """A shuffle of some tens of MB isn't sorted and written by one task; settings are as before afterwards."""
+    keys = ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    rows = files.cut(spark.range(4_000_000).select(F.xxhash64("id").alias("h")).repartition("h"))
+    assert len(rows.inputFiles()) > 1 and [spark.conf.get(k) for k in keys] == before
+    files.drop_cut(rows)

@@ -1,5 +1,6 @@
 """Work and memory that must not grow faster than what is asked for."""
 
+import json
 import random
 
 import brute
@@ -8,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackwise import catalog
+from trackwise.functions import decode
 from trackwise.functions.geometry import centroid
+from trackwise.plans import commands, rawdata, search
 from trackwise.plans import mapdata as md
-from trackwise.plans import search
+from trackwise.plans.derive import Derived
 from trackwise.sources import files
 
 EDGE = "src string, dst string, country string, line string, cost long"
@@ -101,3 +104,17 @@ def test_written_tables_are_dealt_to_tasks_by_size(spark):
     rows = files.cut(spark.range(4_000_000).select(F.xxhash64("id").alias("h")).repartition("h"))
     assert len(rows.inputFiles()) > 1 and [spark.conf.get(k) for k in keys] == before
     files.drop_cut(rows)
+
+
+def test_points_parse_their_documents_once(spark, tmp_path):
+    term = lambda v, kind="literal": {"type": kind, "value": v}
+    rows = [{"uopid": term("A"), "opName": term("a"), "opType": term(decode.TYPE_PREFIXES[0] + "rinf/10", "uri"), "country": term(decode.COUNTRY_PREFIXES[0] + "DEU", "uri"), "wkt": term("POINT(8 50)"), "lineId": term(line)} for line in ("L1", "L2")]
+    (tmp_path / "points.json").write_text(json.dumps({"head": {"vars": []}, "results": {"bindings": rows}}))
+    for found in commands.load_operational_points(spark, f"file://{tmp_path}/points.json"):
+        assert "json" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_a_build_writes_what_its_stages_read(spark):
+    """Raw results that no stage named reads aren't written."""
+    folder = rawdata.built(Derived(spark, "/root/testdata/sf0.001"), "OperationalPoints;Metadata", countries="").folder
+    assert [files.exists(spark, f"{folder}/sparql-{name}.json") for name in rawdata.RESULTS] == [name == "operationalPoints" for name in rawdata.RESULTS]

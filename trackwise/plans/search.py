@@ -25,31 +25,185 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as m
 from ..operators import paths
-from ..sources.files import cut, drop_cut, read_gr
+from ..sources.files import cut, drop_cut, read_gr, small_batches
 
 #: rows that a task of a line gives away at a time, parts of the questions about a line
 ROWS, PARTS = 20_000, 4
 #: rounds after which the rows of rounds are merged to one table
 LAYERS = 6
+#: arcs of a cell of a graph, which one task searches at a time
+CELL_ARCS = 1_000_000
+
+
+def _cells(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, cell): connected pieces of about ``CELL_ARCS`` arcs (src, dst) at most, with few arcs between them.
+
+    Each round a unit joins the first, by a hash, of itself and the units that it has the most arcs with; what would become
+    too large is dealt out by unit and left as it is. A node's arcs stay together, however many. Cells say only what is searched
+    together, results don't depend on them.
+    """
+    if arcs.limit(CELL_ARCS + 1).count() <= CELL_ARCS:
+        return nodes.withColumn("cell", F.lit("0"))
+    # a node too is weighed
+    degree = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    held = cut(nodes.join(degree, "node", "left").select("node", F.col("node").cast("string").alias("unit"), (F.coalesce("n", F.lit(0)) + 1).alias("weight")))
+    a, b = F.col("src").cast("string"), F.col("dst").cast("string")
+    links = arcs.where("src <> dst").select(F.inline(F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))))
+    links, turn = cut(links.groupBy("a", "b").agg(F.count("*").alias("n"))), 0
+    while not links.isEmpty():
+        turn += 1
+        rank = lambda unit: F.struct(F.xxhash64(F.lit(turn), F.col(unit)).alias("h"), F.col(unit).alias("unit"))  # noqa: E731, B023
+        strong = links.join(links.groupBy("a").agg(F.max("n").alias("most")), "a").where("2 * n >= most")
+        hooks = cut(strong.groupBy(F.col("a").alias("unit")).agg(F.least(F.min(rank("b")), F.first(rank("a")))["unit"].alias("root")))
+        while True:
+            up = hooks.select(F.col("unit").alias("root"), F.col("root").alias("upper"))
+            jumped = cut(hooks.join(up, "root").select("unit", F.col("upper").alias("root"), (F.col("upper") != F.col("root")).alias("moved")))
+            drop_cut(hooks)
+            hooks = jumped
+            if jumped.where("moved").isEmpty():
+                break
+        weights = held.groupBy("unit").agg(F.sum("weight").alias("weight")).join(hooks.select("unit", "root"), "unit")
+        sums = weights.groupBy("root").agg(F.sum("weight").alias("whole"))
+        # what is dealt out or more than half of a cell is finished: so a piece, which is closed at half a cell, is a cell at most
+        weighed = weights.join(sums, "root").withColumn("deal", F.pmod(F.xxhash64(F.lit("deal"), "unit"), F.ceil(F.col("whole") / CELL_ARCS)))
+        before = F.sum("weight").over(Window.partitionBy("root", "deal").orderBy("unit")) - F.col("weight")
+        piece = F.when(F.col("whole") > CELL_ARCS, F.concat_ws("/", F.lit(turn), "root", "deal", F.floor(before / (CELL_ARCS / 2))))
+        named = cut(weighed.select("unit", F.coalesce(piece, "root").alias("to"), (2 * F.col("whole") <= CELL_ARCS).alias("open")))
+        after = cut(held.join(named, "unit", "left").select("node", F.coalesce("to", "unit").alias("unit"), "weight"))
+        side = lambda c: named.where("open").select(F.col("unit").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: E731, B023
+        fewer = cut(links.join(side("a"), "a").join(side("b"), "b").where("a_to <> b_to").groupBy(F.col("a_to").alias("a"), F.col("b_to").alias("b")).agg(F.sum("n").alias("n")))
+        for old in (held, links, hooks, named):
+            drop_cut(old)
+        held, links = after, fewer
+    return held.select("node", F.col("unit").alias("cell"))
+
+
+def _packed_cells(arcs: DataFrame, places: DataFrame) -> DataFrame:
+    """(cell, names, begin, head, cost, outer): each cell's nodes in order, their arcs side by side, heads by number: own nodes, then the others of ``outer``."""
+    node = arcs.schema["src"].dataType.simpleString()
+    own = arcs.join(places.withColumnRenamed("node", "src"), "src").select("cell", "src", "dst", "cost")
+    rows = own.unionByName(places.select("cell", F.col("node").alias("src"), F.lit(None).cast(node).alias("dst"), F.lit(None).cast("long").alias("cost")))
+
+    def packed(cell: str, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        names, there = pc.unique(rows["src"]), rows["dst"].is_valid()
+        arcs = rows.filter(there)
+        mine = pc.index_in(arcs["dst"], names)
+        outer = pc.unique(arcs["dst"].filter(mine.is_null()))
+        head = pc.coalesce(mine, pc.add(pc.index_in(arcs["dst"], outer), pa.scalar(len(names), pa.int32())))
+        # rows come by name, so the arcs of a node are side by side
+        tail = pc.index_in(arcs["src"], names).to_numpy(zero_copy_only=False)
+        begin = pa.array(np.searchsorted(tail, np.arange(len(names) + 1)), pa.int32())
+        whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        return pa.RecordBatch.from_arrays([pa.array([cell]), *[whole(v) for v in (names, begin, head, arcs["cost"], outer)]], ["cell", "names", "begin", "head", "cost", "outer"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts = None, []
+        for batch in batches:
+            runs = pc.run_end_encode(batch["cell"])
+            low = 0
+            for c, high in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if c != cell and parts:
+                    yield packed(cell, parts)
+                    parts = []
+                cell = c
+                parts.append(batch.slice(low, high - low))
+                low = high
+        if parts:
+            yield packed(cell, parts)
+
+    ordered = rows.repartition("cell").sortWithinPartitions("cell", "src", "dst")
+    return cut(ordered.mapInArrow(pack, f"cell string, names array<{node}>, begin array<int>, head array<int>, cost array<long>, outer array<{node}>"))
+
+
+def _spread(begin: list[int], head: list[int], more: list[int], cost: list, hops: list, starts: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+    """Carries (node, cost, hops) on inside a cell, in place where better; what goes out of it, by number."""
+    heap, out, n = [(c, h, at) for at, c, h in starts], {}, len(cost)
+    heapq.heapify(heap)
+    done = set()
+    while heap:
+        c, h, at = heapq.heappop(heap)
+        if at in done or (cost[at] is not None and (cost[at], hops[at]) <= (c, h)):
+            continue
+        done.add(at)
+        cost[at], hops[at] = c, h
+        h += 1
+        for i in range(begin[at], begin[at + 1]):
+            to, total = head[i], c + more[i]
+            if to >= n:
+                if to not in out or (total, h) < out[to]:
+                    out[to] = (total, h)
+            elif cost[to] is None or total < cost[to] or (total == cost[to] and h < hops[to]):
+                heapq.heappush(heap, (total, h, to))
+    return out
 
 
 def _least_costs(arcs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, cost, hops): the cheapest cost and the fewest hops of a route of that cost; arcs (src, dst, cost of 0 or more)."""
-    best = lambda layers: reduce(DataFrame.unionByName, layers).groupBy("source", "node").agg(F.min(F.struct("cost", "hops")).alias("b"))
-    layers = [cut(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops")))]
+    """(source, node, cost, hops): the cheapest cost and the fewest hops of a route of that cost; arcs (src, dst, cost of 0 or more), a row for two nodes.
+
+    A round carries costs on through whole cells of the graph and sends what leaves them to the next ones, so rounds are as
+    many as the cells that a route passes, not its hops. A task holds one cell and what is known of it for one source.
+    """
+    arcs = cut(arcs.where("src is not null and dst is not null").select("src", "dst", F.col("cost").cast("long").alias("cost")))
+    sources = cut(sources.select("source").where("source is not null").distinct())
+    nodes = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).union(sources.select("source")).distinct()
+    places = cut(_cells(arcs, cut(nodes)))
+    cells = _packed_cells(arcs, places)
+    node = arcs.schema["src"].dataType.simpleString()
+    label = f"array<struct<node: {node}, cost: bigint, hops: int>>"
+    part = F.pmod(F.xxhash64("source"), F.lit(arcs.sparkSession.sparkContext.defaultParallelism)).alias("part")
+    packed = ("names", "begin", "head", "more", "outer")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = begin = head = more = outer = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values = lambda c: _inside(batch[c], i)  # noqa: E731, B023
+                if not batch["source"][i].is_valid:
+                    # the cell itself comes before what is asked of it
+                    names, outer = values("names"), values("outer")
+                    begin, head, more = (values(c).to_pylist() for c in ("begin", "head", "more"))
+                    continue
+                known = batch["cost"][i].is_valid
+                cost, hops = (values(c).to_pylist() if known else [None] * len(names) for c in ("cost", "hops"))
+                at = values("starts")
+                starts = list(zip(pc.index_in(at.field("node"), names).to_pylist(), at.field("cost").to_pylist(), at.field("hops").to_pylist(), strict=True))
+                out = _spread(begin, head, more, cost, hops, starts)
+                there = outer.take(pa.array([k - len(names) for k in out], pa.int64())).to_pylist()
+                sent = [{"node": to, "cost": c, "hops": h} for to, (c, h) in zip(there, out.values(), strict=True)]
+                lists = [pa.array([v], pa.list_(t)) for v, t in ((cost, pa.int64()), (hops, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch["source"].slice(i, 1), batch["cell"].slice(i, 1), *lists, pa.array([sent], pa.list_(pa.struct({"node": outer.type, "cost": pa.int64(), "hops": pa.int32()})))], ["source", "cell", "cost", "hops", "sent"])
+
+    def latest() -> DataFrame:
+        return reduce(DataFrame.unionByName, layers).groupBy("source", "cell").agg(F.max_by(F.struct("cost", "hops"), "turn").alias("s"), F.max("turn").alias("turn")).select("source", "cell", "s.*", "turn")
+
+    layers: list[DataFrame] = []
+    labels, turn = sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops")), 0
     while True:
-        step = layers[-1].withColumnRenamed("node", "src").join(arcs.withColumnRenamed("cost", "more"), "src")
-        step = step.groupBy("source", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), (F.col("hops") + 1).alias("hops"))).alias("n"))
-        better = step.join(best(layers), ["source", "node"], "left").where(F.col("b").isNull() | (F.col("n") < F.col("b")))
-        front = cut(better.select("source", "node", "n.cost", "n.hops"))
-        if front.isEmpty():
-            return best(layers).select("source", "node", "b.cost", "b.hops")
-        layers.append(front)
+        best = labels.groupBy("source", "node").agg(F.min(F.struct("cost", "hops")).alias("b"))
+        asked = best.join(places, "node").groupBy("source", "cell").agg(F.collect_list(F.struct("node", "b.cost", "b.hops")).alias("starts"))
+        none = [F.lit(None).cast("array<long>").alias("cost"), F.lit(None).cast("array<int>").alias("hops")]
+        asked = cut(asked.select("source", "cell", "starts", *none) if not layers else asked.join(latest().drop("turn"), ["source", "cell"], "left").select("source", "cell", "starts", "cost", "hops"))
+        if asked.isEmpty():
+            break
+        wanted = asked.select("cell", part).distinct()
+        rows = asked.withColumn("part", part).unionByName(cells.withColumnRenamed("cost", "more").join(wanted, "cell"), allowMissingColumns=True)
+        ordered = rows.select("cell", "part", "source", "starts", "cost", "hops", *packed).repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("source").asc_nulls_first())
+        found = ordered.mapInArrow(search, f"source {node}, cell string, cost array<long>, hops array<int>, sent {label}")
+        with small_batches(arcs.sparkSession):
+            layers.append(cut(found.withColumn("turn", F.lit(turn))))
+        drop_cut(asked)
+        turn += 1
+        labels = layers[-1].select("source", F.inline("sent"))
         if len(layers) > LAYERS:
-            merged = cut(best(layers[:-1]).select("source", "node", "b.cost", "b.hops"))
+            merged = cut(latest().withColumn("sent", F.lit(None).cast(label)))
             for layer in layers[:-1]:
                 drop_cut(layer)
-            layers = [merged, front]
+            layers = [merged, layers[-1]]
+    if not layers:
+        return sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"))
+    done = latest().join(cells.select("cell", "names"), "cell").select("source", F.inline(F.arrays_zip("names", "cost", "hops")))
+    return done.where("cost is not null").select("source", F.col("names").alias("node"), "cost", "hops")
 
 
 def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -86,6 +240,15 @@ def trace(pointers: DataFrame, starts: DataFrame) -> DataFrame:
     return found
 
 
+def _legs(edges: DataFrame, questions: DataFrame) -> DataFrame:
+    """(path, leg, a, b) of questions (path, waypoints array) whose points are all known."""
+    nodes = edges.select(F.col("src").alias("w")).union(edges.select("dst")).distinct()
+    asked = questions.select("path", "waypoints")
+    unknown = asked.select("path", F.explode("waypoints").alias("w")).join(nodes, "w", "left_anti").select("path").distinct()
+    legs = asked.join(unknown, "path", "left_anti").select("path", F.posexplode(F.expr("transform(sequence(1, greatest(size(waypoints) - 1, 1)), i -> struct(waypoints[i - 1] as a, get(waypoints, i) as b))")).alias("leg", "w"))
+    return cut(legs.select("path", "leg", "w.*").where("b is not null"))
+
+
 def shortest_paths(edges: DataFrame, questions: DataFrame) -> DataFrame:
     """questions (path, waypoints array) -> edges of the routes (path, leg, seq, ...), each hop the cheapest parallel edge.
 
@@ -93,11 +256,7 @@ def shortest_paths(edges: DataFrame, questions: DataFrame) -> DataFrame:
     empty. One search goes out from each distinct start of a leg.
     """
     edges = cut(edges)
-    nodes = edges.select(F.col("src").alias("w")).union(edges.select("dst")).distinct()
-    asked = questions.select("path", "waypoints")
-    unknown = asked.select("path", F.explode("waypoints").alias("w")).join(nodes, "w", "left_anti").select("path").distinct()
-    legs = asked.join(unknown, "path", "left_anti").select("path", F.posexplode(F.expr("transform(sequence(1, greatest(size(waypoints) - 1, 1)), i -> struct(waypoints[i - 1] as a, get(waypoints, i) as b))")).alias("leg", "w"))
-    legs = cut(legs.select("path", "leg", "w.*").where("b is not null"))
+    legs = _legs(edges, questions)
     reached = shortest_costs(edges, legs.select(F.col("a").alias("source")))
     key = lambda source, node: F.struct(source.alias("source"), node.alias("node"))
     pointers = reached.where("pred is not null").select(key(F.col("source"), F.col("node")).alias("key"), key(F.col("source"), F.col("pred")).alias("up"))
@@ -110,6 +269,16 @@ def shortest_paths(edges: DataFrame, questions: DataFrame) -> DataFrame:
     return hops.join(paths.cheapest_edges(edges), ["src", "dst"])
 
 
+def path_costs(edges: DataFrame, questions: DataFrame) -> DataFrame:
+    """questions (path, waypoints array) -> (path, cost): the cost of the edges of ``shortest_paths``, for which no route is followed."""
+    edges = cut(edges)
+    legs = _legs(edges, questions)
+    reached = shortest_costs(edges, legs.select(F.col("a").alias("source")))
+    # a leg from a point to itself has no edges
+    on = legs.where("a <> b").join(reached.select(F.col("source").alias("a"), F.col("node").alias("b"), "cost"), ["a", "b"])
+    return on.groupBy("path").agg(F.sum("cost").cast("long").alias("cost"))
+
+
 def dijkstra(graph: dict, source: str, target: str) -> list[str]:
     """Nodes of a cheapest path in a small graph, going back by the smallest node each time; empty if there is none."""
     best, ways, before, heap = {source: (0, 0)}, defaultdict(list), {}, [(0, 0, source)]

@@ -32,6 +32,7 @@ class Job:
     folder: str
     countries: tuple[str, ...] | None = None
     by_locations: bool = True
+    codec: str | None = None
 
     @property
     def codes(self) -> list[str] | None:
@@ -186,19 +187,20 @@ def _write_note(job: Job, name: str, wanted: dict) -> None:
     out.close()
 
 
-def build_all(spark: SparkSession, folder: str, countries: str = "", by_locations: bool = True, use_cache: bool = False, skip_osm: bool = False, only: str = "") -> dict[str, str]:
+def build_all(spark: SparkSession, folder: str, countries: str = "", by_locations: bool = True, use_cache: bool = False, skip_osm: bool = False, only: str = "", codec: str | None = None) -> dict[str, str]:
     """Data sets of a folder, from its raw results sparql-{operationalPoints,tracks,sectionsOfLine,tunnel}.json; what became of each.
 
     countries: codes joined by semicolons; all if empty. Where there are raw results of map stations (osm), map routes
     (osmWikipedia, osmWikidata), countries or types of points, their data sets are made as well ("absent" otherwise).
     use_cache: stages whose inputs and options haven't changed are "kept". skip_osm: stations and routes of the map stay as they are.
     only: names of stages joined by semicolons; they read the data sets as they are.
+    codec: how files of data sets are compressed (gzip), not at all without.
     """
     codes = files.checked_countries(countries) if countries else None
     names = only.split(";") if only else list(STAGES)
     if unknown := [n for n in names if n not in STAGES]:
         raise ValueError(f"unknown stages {unknown}, there are {list(STAGES)}")
-    job = Job(spark, folder, None if codes is None else tuple(codes), by_locations)
+    job = Job(spark, folder, None if codes is None else tuple(codes), by_locations, codec)
     out = {}
     for name in (n for n in STAGES if n in names):
         stage = STAGES[name]
@@ -212,8 +214,10 @@ def build_all(spark: SparkSession, folder: str, countries: str = "", by_location
                 out[name] = "kept"
                 continue
             files.remove(spark, _note(job, name))
-            files.write_dataset(stage.make(job), folder, name)
-            stage.after(job)
+            # the tables of a stage aren't needed once its data set is there
+            with files.scratch(spark):
+                files.write_dataset(stage.make(job), folder, name, codec)
+                stage.after(job)
             _write_note(job, name, wanted)
             out[name] = "built"
     return out

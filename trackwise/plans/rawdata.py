@@ -22,6 +22,8 @@ HOME, ABROAD = "DEU", "FRA"
 PAGES = 16
 #: about how many rows a document of a page has
 DOCUMENT_ROWS = 10_000
+#: how documents and data sets of a build are compressed: their texts repeat names and prefixes in each row
+CODEC = "gzip"
 
 
 def term(value: Column, kind: str = "literal", datatype: str | None = None) -> Column:
@@ -114,7 +116,7 @@ def write_documents(texts: DataFrame, path: str, head: str, tail: str, rows: int
     place = Window.partitionBy("page", "part").orderBy("value")
     edge = lambda near, text, other: F.when(near(F.lit(1)).over(place).isNull(), F.lit(text)).otherwise(F.lit(other))
     lines = dealt.select("page", "part", F.concat(edge(F.lag, head, ","), "value", edge(F.lead, tail, "")).alias("value"))
-    lines.write.partitionBy("page", "part").text(path)
+    lines.write.partitionBy("page", "part").text(path, compression=CODEC)
     files.drop_cut(texts)
 
 
@@ -128,11 +130,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{files.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def built(d: Derived, only: str, countries: str = HOME, by_locations: bool = True) -> Folder:
-    """A new folder with the raw results that the stages named read, and these stages."""
-    folder, d = new_folder(d.spark, "built"), d.settled()
-    read = {raw for stage in only.split(";") for raw in STAGES[stage].raw}
-    for name in (n for n in RESULTS if n in read):
-        write(RESULTS[name](d), f"{folder}/sparql-{name}.json")
-    build_all(d.spark, folder, countries, by_locations, only=only)
+def built(d: Derived, only: str, countries: str = HOME, by_locations: bool = True, kept: tuple[str, ...] | None = None) -> Folder:
+    """A new folder with the raw results that the stages named read, and these stages.
+
+    kept: the data sets that are asked for; raw results and other data sets are removed once no later stage reads them. Without it all stay.
+    """
+    folder, names, written = new_folder(d.spark, "built"), only.split(";"), set()
+    stages = [n for n in STAGES if n in names]
+    with files.scratch(d.spark):
+        d = d.settled()
+        for i, name in enumerate(stages):
+            # raw results are written when a stage reads them, not all at once
+            for raw in (r for r in RESULTS if r in STAGES[name].raw and r not in written):
+                write(RESULTS[raw](d), f"{folder}/sparql-{raw}.json")
+                written.add(raw)
+            build_all(d.spark, folder, countries, by_locations, only=name, codec=CODEC)
+            if kept is not None:
+                later = [STAGES[n] for n in stages[i + 1 :]]
+                done = [f"sparql-{r}" for r in STAGES[name].raw if not any(r in s.raw for s in later)]
+                done += [n for n in stages[: i + 1] if n not in kept and not any(n in s.sets for s in later)]
+                for one in done:
+                    files.remove(d.spark, f"{folder}/{one}.json")
     return Folder(d.spark, folder)

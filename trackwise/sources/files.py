@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -52,8 +53,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
-def write_dataset(df: DataFrame, folder: str, name: str) -> None:
-    df.write.mode("overwrite").json(f"{folder}/{name}.json")
+def write_dataset(df: DataFrame, folder: str, name: str, codec: str | None = None) -> None:
+    df.write.mode("overwrite").json(f"{folder}/{name}.json", compression=codec)
 
 
 def read_bindings(spark: SparkSession, path: str) -> DataFrame:
@@ -197,11 +198,38 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+#: tables cut inside the scopes of a thread, the innermost last
+_OPEN = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside are removed at the end, but those that a table given to ``keep`` reads: they belong to the scope around."""
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(p.split("/")[-2] for p in df.inputFiles())
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in scopes.pop():
+            if path.rpartition("/")[2] not in kept:
+                remove(spark, path)
+            elif scopes:
+                scopes[-1].append(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if scopes := getattr(_OPEN, "scopes", None):
+        scopes[-1].append(path)
     with sized_partitions(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

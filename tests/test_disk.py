@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from trackwise.plans import rawdata
+from trackwise.plans import rawdata, search
 from trackwise.plans.derive import Derived
 from trackwise.sources import files
 
@@ -47,3 +47,11 @@ def test_tables_go_with_their_scope(spark):
         files.cut(spark.range(3))
         raise ValueError
     assert _tables(spark) == before
+
+
+def test_a_search_leaves_its_result_alone(spark):
+    """Of all tables of a search one stays."""
+    edges = spark.createDataFrame([(f"N{i}", f"N{i + 1}", 1) for i in range(9)], "src string, dst string, cost long")
+    before = _tables(spark)
+    found = search.shortest_costs(edges, spark.createDataFrame([("N0",)], "source string"))
+    assert len(_tables(spark) - before) == 1 and found.count() == 10

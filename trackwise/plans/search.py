@@ -645,20 +645,24 @@ def pack(arcs: DataFrame, size: int = 1024) -> Packed:
 
 
 class _Line:
-    """One line's arcs (src, dst, cost) as arrays: nodes by number in the order of their names, the arcs out of a node side by side."""
+    """One line's arcs (src, dst, cost) as arrays: nodes by number in the order of their names, the arcs out of a node side by side, by head and cost."""
 
     def __init__(self, arcs: pa.StructArray):
         src, dst = arcs.field("src"), arcs.field("dst")
         names = pc.unique(pa.concat_arrays([src, dst]))
         self.names = names.take(pc.sort_indices(names))
         tail, head = (pc.index_in(c, self.names).to_numpy(zero_copy_only=False) for c in (src, dst))
-        order = np.argsort(tail, kind="stable")
+        order = np.lexsort((arcs.field("cost").to_numpy(zero_copy_only=False), head, tail))
         self.begin = array("q", np.searchsorted(tail[order], np.arange(len(self.names) + 1)).astype(np.int64).tobytes())
         self.head, self.cost = (array("q", v[order].astype(np.int64).tobytes()) for v in (head, arcs.field("cost").to_numpy(zero_copy_only=False)))
 
     def number(self, names: pa.Array) -> list[int | None]:
         return pc.index_in(names, self.names).to_pylist()
 
+    def least(self, tail: int, head: int) -> int:
+        """The cost of the cheapest arc between two neighbours."""
+        return self.cost[bisect_left(self.head, head, self.begin[tail], self.begin[tail + 1])]
+
     def ride(self, starts: pa.StructArray) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Nodes, cheapest costs to them, boarding at any of the starts (cost, node), and where."""
         cost, boarded = [None] * len(self.names), array("q", bytes(8 * len(self.names)))
@@ -757,13 +761,13 @@ def pareto_costs(edges: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def _rides_back(rides: DataFrame, front: DataFrame) -> DataFrame:
-    """(id, runs, country, line, boarded, node, cost): the rides of solutions (source, target, sol, runs), each with its own cost."""
+    """(id, runs, country, line, boarded, node, cost, so_far): the rides of solutions (source, target, sol, runs), each with its own cost and that of the rides before."""
     here, up = F.struct("source", "node", "runs"), F.struct("source", F.col("boarded").alias("node"), (F.col("runs") - 1).alias("runs"))
     ends = front.select(F.struct("source", "target", "sol").alias("id"), F.struct("source", F.col("target").alias("node"), "runs").alias("key"))
     chain = trace(rides.where("runs > 0").select(here.alias("key"), up.alias("up")), ends)
     before = rides.select("source", F.col("node").alias("boarded"), (F.col("runs") + 1).alias("runs"), F.col("cost").alias("so_far"))
     known = rides.where("runs > 0").join(before, ["source", "boarded", "runs"]).withColumn("cost", F.col("cost") - F.col("so_far"))
-    return chain.select("id", "key.*").join(known, ["source", "node", "runs"]).select("id", "runs", "country", "line", "boarded", "node", "cost")
+    return chain.select("id", "key.*").join(known, ["source", "node", "runs"]).select("id", "runs", "country", "line", "boarded", "node", "cost", "so_far")
 
 
 def pareto_legs(edges: DataFrame, questions: DataFrame) -> DataFrame:
@@ -773,6 +777,72 @@ def pareto_legs(edges: DataFrame, questions: DataFrame) -> DataFrame:
     return legs.select("id.*", F.col("runs").alias("seq"), "country", "line", F.col("boarded").alias("src"), F.col("node").alias("dst"), "cost")
 
 
+def _ridden(edges: DataFrame, asked: DataFrame, listed: bool) -> DataFrame:
+    """asked (country, line, boarded, node) -> with what the costs along the ride on its line add up to and whether they rise (``total``, ``rises``).
+
+    If ``listed``, with the ride's nodes in the line-change graph and the costs so far instead (``stops``, ``costs``). A task holds a line; rides
+    from one point are one search, whose costs are added up once a node, so without lists the work doesn't grow with the rides' lengths.
+    """
+    own = edges.select("country", "line", "src", "dst", "cost").groupBy("country", "line").agg(F.collect_list(F.struct("src", "dst", "cost")).alias("arcs"))
+    part = F.pmod(F.xxhash64("boarded", *(["node"] if listed else [])), F.lit(PARTS))
+    questions = asked.groupBy("country", "line", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("boarded", "node"))).alias("asked"))
+    dealt = own.join(questions, ["country", "line"]).select("country", "line", "arcs", "asked").repartition(edges.sparkSession.sparkContext.defaultParallelism)
+    found = {"stops": pa.list_(pa.string()), "costs": pa.list_(pa.int64())} if listed else {"total": pa.int64(), "rises": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                line, own = _Line(_inside(batch["arcs"], i)), _inside(batch["asked"], i)
+                stops = pc.binary_join_element_wise(line.names, batch["country"][i], batch["line"][i], "/") if listed else None
+                starts, ends = (line.number(own.field(c)) for c in ("boarded", "node"))
+                wanted = defaultdict(set)
+                for a, b in zip(starts, ends, strict=True):
+                    wanted[a].add(b)
+                at, before, total, rises = None, {}, {}, {}
+                rows, ways, sums, sizes = [], array("q"), array("q"), []
+                for row, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                    if a != at:
+                        at, before, total, rises = a, line.search(a, wanted[a]), {a: 0}, {a: True}
+                        # a node comes after the one before it
+                        for node, up in before.items():
+                            if up is not None:
+                                step = line.least(up, node)
+                                total[node], rises[node] = total[up] + step, rises[up] and step >= 0
+                    if b not in before:
+                        continue
+                    rows.append(row)
+                    if listed:
+                        trail = [b]
+                        while (up := before[trail[-1]]) is not None:
+                            trail.append(up)
+                        trail.reverse()
+                        ways.extend(trail)
+                        sums.extend([total[n] for n in trail])
+                        sizes.append(len(trail))
+                    else:
+                        sums.append(total[b])
+                        sizes.append(rises[b])
+                    if len(sums) >= ROWS:
+                        yield told(batch, i, own, rows, stops, ways, sums, sizes)
+                        rows, ways, sums, sizes = [], array("q"), array("q"), []
+                if rows:
+                    yield told(batch, i, own, rows, stops, ways, sums, sizes)
+
+    def told(batch: pa.RecordBatch, i: int, own: pa.StructArray, rows: list[int], stops: pa.Array | None, ways: array, sums: array, sizes: list) -> pa.RecordBatch:
+        values = [pa.array(np.frombuffer(sums, np.int64)), pa.array(sizes)]
+        if listed:
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            values = [pa.ListArray.from_arrays(ends, v) for v in (stops.take(pa.array(np.frombuffer(ways, np.int64))), values[0])]
+        own = own.take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([*[pa.repeat(batch[c][i], len(rows)) for c in ("country", "line")], own.field("boarded"), own.field("node"), *[v.cast(t) for v, t in zip(values, found.values(), strict=True)]], ["country", "line", "boarded", "node", *found])
+
+    kinds = "stops array<string>, costs array<bigint>" if listed else "total bigint, rises boolean"
+    return dealt.mapInArrow(run, f"country string, line string, boarded string, node string, {kinds}")
+
+
+RIDE = ["country", "line", "boarded", "node"]
+
+
 def pareto_routes(edges: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
     """questions (source, target) -> (source, target, sol, costs, nodes, trail) in the line-change graph of ``expand``, without building it.
 
@@ -797,6 +867,25 @@ def pareto_routes(edges: DataFrame, questions: DataFrame, most: int | None = Non
     return ways.select("id.*", F.element_at("w", -1)["costs"].alias("costs"), F.transform("w", lambda x: x["node"]).alias("nodes"), F.transform("w", lambda x: x["costs"]).alias("trail"))
 
 
+def pareto_sums(edges: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, target, sol, costs, adds_up): the solutions of ``pareto_routes``, and whether the costs along their nodes rise to these and end at the target.
+
+    The costs along a ride are those of all rides from the same point, so they are added up once for all and no route is listed.
+    """
+    edges = cut(edges.select("src", "dst", "country", "line", "cost"))
+    rides = cut(pareto_rides(edges, questions.select("source").distinct()))
+    front = cut(pareto_answers(rides, questions, most))
+    legs = cut(_rides_back(rides, front).drop("cost", "so_far"))
+    added = legs.join(_ridden(edges, legs.select(*RIDE).distinct(), listed=False), RIDE)
+    legs = added.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("runs", "boarded", "node", "total", "rises"))).alias("w"))
+    found = front.select(F.struct("source", "target", "sol").alias("id"), "runs", "cost").join(legs, "id", "left")
+    w = F.coalesce("w", F.array())
+    # each ride goes on where the one before ended
+    joined = F.concat(F.array("id.source"), F.transform(w, lambda x: x["node"])) == F.concat(F.transform(w, lambda x: x["boarded"]), F.array("id.target"))
+    adds_up = joined & (F.size(w) == F.col("runs")) & F.forall(w, lambda x: x["rises"]) & (F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + x["total"]) == F.col("cost"))
+    return found.select("id.*", F.array((F.col("runs") * 20).cast("long"), "cost").alias("costs"), adds_up.alias("adds_up"))
+
+
 def route_legs(solutions: DataFrame, edges: DataFrame) -> DataFrame:
     """Solutions of ``pareto_routes`` -> (source, target, sol, seq, src, dst, line, ...): what is ridden, runs of one line as one edge.
 

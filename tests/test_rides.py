@@ -46,3 +46,11 @@ def test_first_two_lists_no_routes(spark, monkeypatch):
     monkeypatch.setattr(search, "on_lines", None)
     got = catalog.queries()["pareto_first_two"](spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.adds_up for r in got)
+
+
+def test_solutions_are_put_together_from_lists(spark):
+    """The nodes of solutions aren't rows of a sort of their own: no window is run over them."""
+    edges = spark.createDataFrame([("A", "B", "DEU", "L1", 3), ("B", "C", "DEU", "L1", 4)], EDGE)
+    found = search.pareto_routes(edges, spark.createDataFrame([("A", "C")], "source string, target string"))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.first().nodes == ["A", "A/DEU/L1", "B/DEU/L1", "C/DEU/L1", "C"]
